@@ -106,6 +106,7 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 8, split_share: float = 0.05
     bins += [scaled("doc_id", b["doc_id_low"], b["doc_id_high"])]
     placed = base.withColumn("own_curve", curve_of(bins))
     groups = placed.groupBy("text_key").agg(F.min("own_curve").alias("group_curve"), F.sum("size").alias("group_size"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    groups = written(groups, "shard-groups")  # apart from the join, so that Spark can split a text with many rows there
     whole = F.col("group_size") <= F.lit(split_share * total / n_shards)
     ordered = (
         placed.join(groups.hint("shuffle_merge"), "text_key", "left")
