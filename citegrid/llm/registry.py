@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality, sharding
+from . import decontaminate, ngram_join, quality, sharding, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op3_url_templates": urls.op3_url_templates,
     "op5_hilbert_sharding": sharding.op5_hilbert_sharding,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
+    "op7_warc_index": warc.op7_warc_index,
     "op9_tokeniser_fertility": quality.op9_tokeniser_fertility,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": decontaminate.OP1_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": decontaminate.OP1_SQL,
+    "op3_url_templates": urls.OP3_SQL,
+    "op7_warc_index": warc.OP7_SQL,
+}
