@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, ngram_join, quality, sharding, urls, warc
+from . import decontaminate, mixing, ngram_join, quality, sharding, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_hilbert_sharding": sharding.op5_hilbert_sharding,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_warc_index": warc.op7_warc_index,
+    "op8_soft_mixing": mixing.op8_soft_mixing,
     "op9_tokeniser_fertility": quality.op9_tokeniser_fertility,
 }
 
