@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, ngram_join, quality, sharding, urls, warc
+from . import decontaminate, line_dedup, mixing, ngram_join, quality, sharding, substring_dedup, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_url_templates": urls.op3_url_templates,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_hilbert_sharding": sharding.op5_hilbert_sharding,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_warc_index": warc.op7_warc_index,
@@ -20,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.OP1_SQL,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_url_templates": urls.OP3_SQL,
     "op7_warc_index": warc.OP7_SQL,
 }
