@@ -201,7 +201,8 @@ def hit_count(spans_column: str = "spans"):
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_span: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
     """``docs`` without what they share with the benchmark: spans of at least ``min_span`` hit words go
     from the text (shorter ones only where a whole shorter item makes them up), documents with more than
-    ``max_coverage`` of their words hit go wholly. Other texts and all further columns stay as they are."""
+    ``max_coverage`` of their words hit go wholly. A column n_chars follows
+    the text. Other texts and all further columns stay as they are."""
     ship(docs.sparkSession)
     names = docs.columns
     for auto in _item_blocks(benchmark, window):
@@ -227,6 +228,12 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
                             cut = int(ends[first[r] + b - 1])
                     texts[r] = b"".join([*left, raw[cut : at[r + 1]].tobytes()]).decode()
                 columns = [pa.array(texts, batch.schema.field(k).type) if i == k else c for i, c in enumerate(batch.columns)]
+                c = batch.schema.get_field_index("n_chars")
+                if c >= 0:
+                    n_chars = batch.column(c).to_pylist()
+                    for r in found:
+                        n_chars[r] = len(texts[r])
+                    columns[c] = pa.array(n_chars, batch.schema.field(c).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
 
         docs = docs.mapInArrow(clean, docs.schema)

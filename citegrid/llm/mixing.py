@@ -22,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship, table, written
-from .words import LOWER, NOT_ALNUM, rows_of, slices, span_hashes, spans
+from .words import LOWER, NOT_ALNUM, mix, rows_of, slices, span_hashes, spans
 
 DOMAINS = ("good", "low", "toxic")
 TARGETS = {"good": 0.97, "low": 0.02, "toxic": 0.01}
@@ -101,6 +101,13 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> np.ndar
     return fit([np.asarray(f) for f in found["features"]], found["domain"].to_numpy(), len(DOMAINS))
 
 
+def _posterior(raw: np.ndarray, at: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    row, feature, n = features(raw, at)
+    score = np.stack([np.bincount(row, w[feature], len(n)) + w[-1] for w in weights.T], 1)
+    score = np.exp(score - score.max(1, keepdims=True))
+    return np.round(score / score.sum(1, keepdims=True), 6), n
+
+
 def posteriors(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """doc_id, n_tokens and a posterior for each domain."""
     ship(docs.sparkSession)
@@ -109,11 +116,8 @@ def posteriors(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
         for batch, raw, at in slices(batches, "text"):
-            row, feature, n = features(raw, at)
-            score = np.stack([np.bincount(row, w[feature], len(n)) + w[-1] for w in weights.T], 1)
-            score = np.exp(score - score.max(1, keepdims=True))
-            score /= score.sum(1, keepdims=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), *(pa.array(s) for s in np.round(score, 6).T)], names=["doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS)])
+            score, n = _posterior(raw, at, weights)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), *(pa.array(s) for s in score.T)], names=["doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {kind}, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS))
@@ -130,8 +134,8 @@ def rates(p: np.ndarray, history: list[np.ndarray], step: float) -> tuple[np.nda
     return now, point
 
 
-def fit_rates(found: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """``found`` (from :func:`posteriors`) with ``rate``."""
+def fit_history(found: DataFrame, targets: dict[str, float] | None = None) -> tuple[list[np.ndarray], float]:
+    """The residuals of all steps, and the step's length; with them :func:`rates` gives any document's rate."""
     ship(found.sparkSession)
     want = np.array([(targets or TARGETS)[d] for d in DOMAINS])
     want = want / want.sum()
@@ -151,7 +155,7 @@ def fit_rates(found: DataFrame, targets: dict[str, float] | None = None) -> Data
 
     natural = totals([], 0.0)
     if natural.sum() == 0:
-        return found.withColumn("rate", F.lit(1.0))
+        return [], 0.0
     good = int(np.argmax(want))
     budget = natural[good] / want[good] if natural[good] else natural.sum()
     step = 1.0 / (PULL + 1.0)  # with residuals by the natural totals, no step overshoots
@@ -162,6 +166,11 @@ def fit_rates(found: DataFrame, targets: dict[str, float] | None = None) -> Data
             break
         history.append(residual)
         now = totals(history, step)
+    return history, step
+
+
+def with_rates(found: DataFrame, history: list[np.ndarray], step: float) -> DataFrame:
+    names = [f"p_{d}" for d in DOMAINS]
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,16 +186,34 @@ def label_domains(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain"))
 
 
-def copies() -> Column:
-    """How often a document is taken: its rate, rounded up or down by the hash of its id."""
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return F.floor(F.col("rate") + chance).cast("int")
+def copies(ids: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """How often documents are taken: the rate, rounded up or down by the hash of the id."""
+    chance = (mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x6D6978)) >> np.uint64(11)) / float(1 << 53)
+    return np.floor(rate + chance).astype(np.int64)
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """doc_id, n_tokens, posteriors and rate of each document."""
     found = written(posteriors(docs, train(docs, label_domains(labels))), "mix-posteriors")
-    return fit_rates(found, targets)
+    return with_rates(found, *fit_history(found, targets))
+
+
+def resampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """``docs`` with each row taken as often as its rate says, and all its columns. A row's rate follows
+    from its text and the fitted residuals, so nothing is joined."""
+    weights = train(docs, label_domains(labels))
+    history, step = fit_history(written(posteriors(docs, weights), "mix-posteriors"), targets)
+    shared = docs.sparkSession.sparkContext.broadcast((weights, history, step))
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, history, step = shared.value
+        for batch, raw, at in slices(batches, "text"):
+            p, _ = _posterior(raw, at, weights)
+            ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+            yield batch.take(pa.array(np.repeat(np.arange(batch.num_rows), copies(ids, np.round(rates(p, history, step)[0], 4)))))
+
+    return docs.mapInArrow(take, docs.schema)
 
 
 def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumn("copies", copies())
+    return mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -326,5 +326,19 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     return members.join(named.hint("shuffle_merge"), ID, "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component, that with the least id; rows with an empty set or without
+    an id stay. Of several rows with the id that stays, one stays."""
+    found = jaccard_components(docs)
+    stay = written(found.filter("component_id is null or doc_id <=> component_id").select(F.col("doc_id").alias("stay")).distinct(), "join-stay")
+    left = docs.join(stay.hint("shuffle_merge"), docs["doc_id"].eqNullSafe(stay["stay"]), "left_semi")
+    again = written(docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("again")).count().filter("count > 1").select("again"), "join-again")
+    if again.isEmpty():
+        return left
+    several = docs["doc_id"] == again["again"]
+    single = left.join(again.hint("shuffle_merge"), several, "left_anti")
+    return single.unionByName(left.join(again.hint("shuffle_merge"), several, "left_semi").dropDuplicates(["doc_id"]))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship, table, written
@@ -33,6 +33,11 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
 
+def _text_key() -> Column:
+    """Tells rows with one id and different texts apart."""
+    return F.xxhash64("text")
+
+
 def default_vocabularies() -> dict[str, str]:
     import public_tokenizers
 
@@ -127,12 +132,18 @@ def measures(docs: DataFrame, vocabularies: dict[str, str] | None = None) -> Dat
             out["chars_per_token"] = n_chars / np.maximum(n_tokens, 1)
             out["token_entropy"] = entropy
             out["byte_fallback"] = np.diff(spelt_bytes[char_at]) / np.maximum(n_bytes, 1)
-            arrays = [batch.column(0), batch.column(1), *(pa.array(v) for v in out.values())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang", *out])
+            arrays = [*batch.columns[:3], *(pa.array(v) for v in out.values())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang", "text_key", *out])
 
     kinds = docs.schema
-    schema = f"doc_id {kinds['doc_id'].dataType.simpleString()}, lang {kinds['lang'].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(f"{m} double" for m in MEASURES)
-    return docs.select("doc_id", "lang", "text").mapInArrow(measure, schema)
+    schema = f"doc_id {kinds['doc_id'].dataType.simpleString()}, lang {kinds['lang'].dataType.simpleString()}, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(f"{m} double" for m in MEASURES)
+    return docs.select("doc_id", "lang", _text_key().alias("text_key"), "text").mapInArrow(measure, schema)
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    good = written(judged(docs).filter("kept").select(F.col("doc_id").alias("good_id"), F.col("text_key").alias("good_key")), "quality-good")
+    return docs.join(good.hint("shuffle_merge"), docs["doc_id"].eqNullSafe(good["good_id"]) & (_text_key() == good["good_key"]), "left_semi")
 
 
 def judged(docs: DataFrame, vocabularies: dict[str, str] | None = None, width: float = WIDTH) -> DataFrame:
@@ -162,4 +173,4 @@ def judged(docs: DataFrame, vocabularies: dict[str, str] | None = None, width: f
 
 
 def op9_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents")).drop("lang")
+    return judged(table(spark, sf_dir, "documents")).drop("lang", "text_key")

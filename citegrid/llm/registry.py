@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, mixing, ngram_join, quality, sharding, substring_dedup, urls, warc
+from . import decontaminate, line_dedup, mixing, ngram_join, quality, sharding, substring_dedup, token_files, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc_index": warc.op7_warc_index,
     "op8_soft_mixing": mixing.op8_soft_mixing,
     "op9_tokeniser_fertility": quality.op9_tokeniser_fertility,
+    "op10_range_coded_ids": token_files.op10_range_coded_ids,
 }
 
 ORACLE_SQL: dict[str, str] = {
