@@ -1,14 +1,389 @@
-"""The registered queries of the analytics engine and their SQL."""
+"""The registered queries of the analytics engine. Each reads whole tables of the given folder."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from citegrid.operators import cohorts, credit, filters, formulas, indices, normalize, ranking, resampling, stats, tables
+from citegrid.plans.sql import FEW, PAIRS, SQL
+from citegrid.sources import adapter, io
+from citegrid.sources.scratch import folder, settled
+
+Query = Callable[[SparkSession, str], DataFrame]
+STRICT = "strict_authors_count"
+
+
+class Tables:
+    """The publication tables of a folder."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+        self.made: dict[str, DataFrame] = {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return adapter.TABLES[name](self.spark, self.dir)
+
+    def read(self, name: str) -> DataFrame:
+        return adapter.read(self.spark, self.dir, name)
+
+    @property
+    def raw(self) -> DataFrame:
+        return adapter.raw_works(self.spark, self.dir)
+
+    @property
+    def author_work(self) -> DataFrame:
+        return credit.author_work(self.works, self.authorships)
+
+    @property
+    def indices(self) -> DataFrame:
+        return indices.indices(self.author_work)
+
+    @property
+    def strict(self) -> DataFrame:
+        """The selection of the statistics queries: several passes read it."""
+        if "strict" not in self.made:
+            self.made["strict"] = settled(indices.indices(credit.author_work(self.works, self.authorships, modes=[STRICT])), "selection")
+        return self.made["strict"]
+
+    def long(self, metrics=FEW) -> DataFrame:
+        return stats.to_long(self.strict, metrics)
+
+    @property
+    def ranked(self) -> DataFrame:
+        return ranking.competition_ranks(self.long())
+
+
+def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
+    return df.select(*((F.round(F.col(c), special.get(c, digits)) + F.lit(0.0)).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes))
+
+
+def _filled_index(df: DataFrame, *keys: str) -> DataFrame:
+    return rounded(df.select(*keys, *(c for c in (*indices.METRICS, "mean_authors_per_work", "share_single_authored", "n_flagged_works", "n_truncated_works"))))
+
+
+def j1(t: Tables) -> DataFrame:
+    return t.authorships.join(t.works, "work_id").groupBy("type").agg(F.count(F.lit(1)).alias("authorships"), F.count_distinct("author_id").alias("authors"), F.sum("cited_by_count").alias("citations"))
+
+
+def ix20(t: Tables) -> DataFrame:
+    f = {"from_date": "1997-01-01", "type": "article|review", "country": "na"}
+    return _filled_index(tables.filtered_indices(t.author_work, t.works, t.authorships, t.work_topics, f, STRICT), "author_id")
+
+
+def ix21(t: Tables) -> DataFrame:
+    rule = {"cited_by_count": {"min": "20"}, "source_display_name": {"contains": "NATION_1"}}
+    return _filled_index(tables.indices_of_selection("works", t.works, t.author_work, rule), "fraction_mode", "author_id")
+
+
+def rk3(t: Tables) -> DataFrame:
+    """Scores are rounded first, so that sums in another order don't break ties apart."""
+    rows = settled(rounded(t.indices), "indices")
+    return ranking.ratings(rows).select("run_id", "fraction_mode", "metric_name", "author_id", "author_display_name", "score", "position", "rank_competition", "rank_dense")
+
+
+def kendall(t: Tables) -> DataFrame:
+    few = t.strict.orderBy("author_id").limit(300)
+    return rounded(stats.kendall(few, ["p", "h", "c_frac"]).select("metric_a", "metric_b", "value"))
+
+
+def describe(t: Tables) -> DataFrame:
+    long = t.long().withColumn("value", F.round("value", 9))
+    return rounded(stats.describe(long))
+
+
+def scorecard(t: Tables) -> DataFrame:
+    return rounded(stats.scorecard(t.strict, ["h", "islv"]).select("metric", "factor", "spearman_rho", "direction"))
+
+
+def work_filter(t: Tables) -> DataFrame:
+    f = {"work_type": "article|preprint", "language": "l1", "open_access": "true", "min_citations": "10", "source_name": "nation_1"}
+    return t.works.filter(filters.work_filter(f)).select("work_id")
+
+
+def dois(t: Tables) -> DataFrame:
+    w = t.works
+    return w.filter(filters.work_filter({"doi": "DOI: 10.1/17"}) | filters.work_filter({"doi": " https://dx.doi.org/10.1/18"})).select("work_id")
+
+
+def people(t: Tables) -> DataFrame:
+    f = {"country_code": "nc", "institution_id": "I1", "author_orcid": "orcid.org/"}
+    return t.authorships.filter(filters.person_filter(f)).select("work_id", "author_id").distinct()
+
+
+def size_class(t: Tables) -> DataFrame:
+    return t.works.groupBy("type").agg(F.count(F.lit(1)).alias("n")).withColumn("size_class", filters.size_class(F.col("n")))
+
+
+def table_query(t: Tables) -> DataFrame:
+    rows = tables.query(t.strict, "indices", data_filters={"h": {"min": "15"}, "author_display_name": {"contains": "small"}}, sort="h", limit=40, offset=5)
+    return rounded(rows.select("author_id", "author_display_name", "p", "h", "c"))
+
+
+def keyset(t: Tables) -> DataFrame:
+    """The second page, found by the last row of the first."""
+    s = t.strict
+    last = tables.query(s, "indices", sort="h", limit=20).select("h", "c", "p", "author_display_name", "author_id").tail(1)
+    return tables.query(s, "indices", sort="h", limit=20, last=last[0].asDict() if last else None).select("author_id", "h", "p")
+
+
+def select_rows(t: Tables) -> DataFrame:
+    s = t.strict.select("author_id", "author_display_name", F.col("h").cast("int").alias("h"), "p")
+    hit = tables.select_rows(s.select("author_id", "author_display_name", "p", "h"), {"p": {"max": "30"}, "nothing": {"min": "1"}}, sort="h")
+    return hit.filter(tables.search("7", ["author_id", "author_display_name"], least=1)).orderBy(F.desc("h"), "author_id").limit(25).select("author_id", F.col("h").cast("long"))
+
+
+def author_works(t: Tables) -> DataFrame:
+    return tables.author_detail("A17", t.indices, ranking.ratings(t.indices), t.author_work, t.works)["works"]
+
+
+def work_people(t: Tables) -> DataFrame:
+    return tables.work_detail("https://example.org/W17", t.works, t.authorships, t.author_work)["authorships"].select("author_seq", "author_id", "author_display_name")
+
+
+def _catalog(t: Tables) -> DataFrame:
+    w, a = t.works, t.authorships
+    empty = F.lit("").alias("external_id"), F.lit("").alias("description")
+    kinds = [("source", w.groupBy(F.col("source_id").alias("entity_id"), F.col("source_display_name").alias("name"))), ("topic", w.filter("primary_topic_id is not null").groupBy(F.col("primary_topic_id").alias("entity_id"), F.col("primary_topic_display_name").alias("name"))), ("author", a.groupBy(F.col("author_id").alias("entity_id")).agg(F.min("author_display_name").alias("name"), F.count_distinct("work_id").alias("works_count")))]
+    out = None
+    for kind, df in kinds:
+        rows = df if kind == "author" else df.agg(F.count(F.lit(1)).alias("works_count"))
+        rows = rows.select(F.lit(kind).alias("entity_type"), "entity_id", "name", *empty, "works_count")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def catalog_search(t: Tables) -> DataFrame:
+    """An older catalog is brought up to date, then searched."""
+    new = _catalog(t)
+    old = new.withColumn("works_count", F.lit(0).cast("long")).withColumn("updated_at", F.lit(1))
+    merged = tables.upsert(old, new.withColumn("updated_at", F.lit(2)))
+    return tables.search_catalog(merged, "source", "nation_1").select("entity_type", "name", "works_count")
+
+
+def nz5(t: Tables) -> DataFrame:
+    gone = ["author_position", "author_orcid", "raw_author_name", "is_corresponding"]
+    return rounded(normalize.authorships(normalize.distinct_works(t.raw)).drop(*gone))
+
+
+def _twice(raw: DataFrame) -> DataFrame:
+    return raw.unionByName(raw)
+
+
+def backfill(t: Tables) -> DataFrame:
+    """Candidates for every second truncated work: its own list and two more authors."""
+    raw = t.raw
+    number = F.substring_index("id", "W", -1).cast("long")
+    fuller = raw.filter((number % 80 == 3) & (F.size("authorships") > 0)).withColumn("authorships", F.concat("authorships", F.slice("authorships", 1, 1), F.slice("authorships", 1, 1)))
+    return normalize.backfill_summary(normalize.backfilled(raw, fuller))
+
+
+def integrity(t: Tables) -> DataFrame:
+    none = F.lit(None).cast("string")
+    counts = t.works.groupBy("type").agg(F.count(F.lit(1)).alias("actual"), F.count_if("is_retracted").alias("parse_errors")).select("*", F.lit(5000).cast("long").alias("expected"), none.alias("checksum"), none.alias("expected_checksum"))
+    return normalize.integrity(counts).select("type", "actual", F.array_join("errors", ",").alias("errors"))
+
+
+def eligibility(t: Tables) -> DataFrame:
+    q = t.works.groupBy("source_id").agg(F.when(F.count_if("is_authors_truncated") > 15, F.count_if("is_authors_truncated")).otherwise(0).alias("truncated"), F.count(F.lit(1)).alias("n_authors"))
+    q = q.select("*", F.lit(True).alias("allowed"), F.lit(True).alias("ok"), F.lit(False).alias("backfilled"))
+    return normalize.eligibility(q).select("source_id", "status")
+
+
+def _events_manifest(t: Tables) -> DataFrame:
+    url = F.concat(F.lit("s3://dump/data/works/updated_date="), F.date_format("ts", "yyyy-MM-dd"), F.lit("/part_"), "event_id")
+    return t.read("events").select(url.alias("url"), F.col("user_id").alias("records"), F.col("event_id").alias("bytes"), F.lit(0).alias("error_count"), F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"))
+
+
+def csv_round_trip(t: Tables) -> DataFrame:
+    rows = t.works.select("work_id", "display_name", "publication_year", "cited_by_count", "is_retracted")
+    path = folder(t.spark, "csv")
+    io.write_both(rows, f"{path}/works")
+    return io.read_csv(t.spark, f"{path}/works.csv", rows.schema)
+
+
+def tolerant_scan(t: Tables) -> DataFrame:
+    """Order lines as JSON, every thirteenth damaged."""
+    line = F.to_json(F.struct("o_orderkey", "o_totalprice"))
+    path = folder(t.spark, "json")
+    t.read("orders").select(F.when(F.col("o_orderkey") % 13 == 0, F.substring(line, 2, 1000)).otherwise(line).alias("value")).write.text(path)
+    rows = io.read_tolerant(t.spark, path, StructType().add("o_orderkey", "long").add("o_totalprice", "double"))
+    return io.parse_errors(rows).agg(F.sum("records").alias("records"), F.sum("errors").alias("errors"))
+
+
+def ingest(t: Tables) -> DataFrame:
+    """Works come in two deliveries that overlap; articles are kept, once each."""
+    from citegrid.streaming import ingest as streaming
+
+    schema = StructType().add("id", "string").add("type", "string").add("cited_by_count", "long")
+    source, target, state = (folder(t.spark, n) for n in ("in", "out", "state"))
+    works = t.works.select(F.col("work_id").alias("id"), "type", "cited_by_count")
+    for part in (F.pmod(F.xxhash64("id"), F.lit(3)) < 2, F.pmod(F.xxhash64("id"), F.lit(3)) > 0):
+        works.filter(part).write.mode("append").json(source)
+        streaming.ingest(t.spark, source, schema, target, state, keep=lambda df: df.filter("type = 'article'"))
+    return t.spark.read.schema(schema).parquet(target).select("id", "cited_by_count")
+
+
+def custom(t: Tables) -> DataFrame:
+    m = formulas.parse_metrics([{"id": "mix", "expression": "c_frac / p + log1p(h) - i10 % 7"}])
+    return rounded(formulas.with_metrics(t.strict, m).select("author_id", "custom_mix"))
+
+
+def custom_rank(t: Tables) -> DataFrame:
+    m = formulas.parse_metrics([{"id": "rank", "expression": "100 * pr_h"}])
+    return rounded(formulas.with_metrics(t.strict, m).select("author_id", "custom_rank"))
+
+
+def cohort_statistics(t: Tables) -> DataFrame:
+    s = t.strict
+    return rounded(cohorts.statistics(s, cohorts.by_thresholds(s, min_p=25), ["p", "h", "c_frac"]).drop("skewness", "excess_kurtosis"))
+
+
+def holm(t: Tables) -> DataFrame:
+    tests = t.read("supplier").filter("s_suppkey < 40").select(F.col("s_suppkey").alias("metric_a"), F.col("s_nationkey").alias("metric_b"), ((F.col("s_suppkey") + 1) / 1000).alias("p_value"))
+    return rounded(resampling.holm(tests))
+
+
+def convergence(t: Tables) -> DataFrame:
+    return rounded(resampling.convergence(_six(t), [("h", "c_frac")], sizes=(500, 1000)))
+
+
+def _six(t: Tables) -> DataFrame:
+    return t.strict
+
+
+def qq(t: Tables) -> DataFrame:
+    return rounded(stats.qq_points(t.long(["h", "c_frac"])))
+
+
+def analysis_counts(t: Tables) -> DataFrame:
+    """Rows of every block of the whole analysis."""
+    return io.row_counts(stats.analysis(t.strict, FEW))
+
+
+def cohort_trace(t: Tables) -> DataFrame:
+    return cohorts.trace(cohorts.members_of(t.strict, cohorts.top_n(t.strict, "h", 25)).select("author_id", "p", "h"), {"metric": "h", "n": "25"})
+
+
+def calibration(t: Tables) -> DataFrame:
+    runs = t.read("orders").select(F.col("o_orderkey").alias("run"), F.col("o_orderdate").alias("finished_at"), F.col("o_totalprice").alias("actual"), (F.col("o_totalprice") / (1 + F.col("o_orderkey") % 3)).alias("estimated"))
+    return filters.calibration(runs)
+
+
+def validate(t: Tables) -> DataFrame:
+    return rounded(formulas.validate(t.strict, formulas.parse_metrics([{"id": "v", "expression": "sqrt(c) + h"}])[0]))
+
+
+def manifest_check(t: Tables) -> DataFrame:
+    """Files written by Spark against their manifest, some entries of which are made wrong."""
+    path = folder(t.spark, "files")
+    t.read("nation").repartition(4).write.parquet(path)
+    files = io.file_checksums(t.spark, f"{path}/*.parquet")
+    number = F.pmod(F.crc32("file"), F.lit(2))
+    entries = files.select("file", number.cast("string").alias("key"), F.lit("ok").alias("status"), "sha256")
+    return io.verify_manifest(entries, files).groupBy("problems").agg(F.count(F.lit(1)).alias("n"))
+
+
+_PLAIN: dict[str, Callable[[Tables], DataFrame]] = {
+    "j1_works_authorships": j1,
+    "aw1_author_work": lambda t: rounded(t.author_work),
+    "ix19_indices": lambda t: _filled_index(t.indices, "run_id", "fraction_mode", "author_id", "author_display_name"),
+    "ix20_filtered_indices": ix20,
+    "ix21_indices_of_selection": ix21,
+    "ix22_affiliations": lambda t: tables.affiliations(t.authorships),
+    "rk3_ratings": rk3,
+    "rk4_metric_ranking": lambda t: ranking.metric_ranking(t.strict, "h", 50),
+    "rk6_line_series": lambda t: rounded(ranking.line_series(t.strict)),
+    "rk8_rank_deltas": lambda t: rounded(ranking.rank_delta_summary(t.ranked)),
+    "rk9_largest_shifts": lambda t: ranking.largest_shifts(t.ranked).select("metric", "author_id", "baseline_rank", "metric_rank", "rank_delta", "abs_rank_delta"),
+    "rk10_top_overlap": lambda t: rounded(ranking.top_overlap(t.ranked)),
+    "rk11_concentration": lambda t: rounded(ranking.concentration(t.long())),
+    "ds1_distribution": lambda t: rounded(stats.distribution(t.long().withColumn("value", F.round("value", 9)))),
+    "ds2_sparse_histogram": lambda t: rounded(stats.sparse_histogram(t.long())),
+    "ds3_chart_readiness": lambda t: stats.readiness(t.long()),
+    "ds4_describe": describe,
+    "ds5_boxplot": lambda t: rounded(stats.boxplot(t.long())),
+    "ds6_boxplot_central95": lambda t: rounded(stats.boxplot(t.long(), "central95")),
+    "ds7_histogram": lambda t: rounded(stats.histogram(t.long())),
+    "ds7_histogram_log1p": lambda t: rounded(stats.histogram(t.long(), log=True)),
+    "ds8_outliers": lambda t: rounded(stats.outliers(t.long())),
+    "ds9_normality": lambda t: rounded(stats.normality(t.long()), jarque_bera=4),
+    "ds10_qq_points": qq,
+    "ds11_average_ranks": lambda t: rounded(stats.average_ranks(t.long())),
+    "ds12_spearman": lambda t: rounded(stats.spearman(t.long(), PAIRS)),
+    "ds13_pearson_log1p": lambda t: rounded(stats.pearson_log1p(t.strict, FEW)),
+    "ds14_kendall": kendall,
+    "ds15_pairwise": lambda t: rounded(stats.pairwise(t.strict, ["p", "h", "c_frac", "g"])),
+    "ds16_rank_summary": lambda t: rounded(stats.rank_summary(t.long())),
+    "ds18_findings": lambda t: stats.findings(t.strict, FEW).drop("evidence"),
+    "ds19_dependence": scorecard,
+    "ds19_finding_summary": lambda t: stats.finding_summary(stats.findings(t.strict, FEW)),
+    "ds20_conclusion": lambda t: stats.conclusion_evidence(stats.findings(t.strict, FEW)),
+    "ds21_warnings": lambda t: stats.warnings(t.strict, FEW),
+    "ds22_analysis": analysis_counts,
+    "ds24_correlation_rows": lambda t: rounded(stats.correlation_rows(t.strict, ["p", "h", "c_frac"])),
+    "sl1_snapshot_slice": lambda t: filters.snapshot_slice(t.raw, "1996-01-01", "1998-12-31", ["Article", "REVIEW"]).select("id"),
+    "sl2_subject_slice": lambda t: filters.subject_slice(t.raw, "subfield", "https://example.org/subfields/BUILDING").select("id"),
+    "sl4_work_filter": work_filter,
+    "sl6_any_topic": lambda t: filters.by_topic(t.works, t.work_topics, "S3").select("work_id"),
+    "sl7_keyword": lambda t: filters.by_keyword(t.works, t.work_topics, "urgent").select("work_id"),
+    "sl8_text_match": lambda t: t.works.filter(filters.text_match("machinery")).select("work_id"),
+    "sl9_doi": dois,
+    "sl10_person_filter": people,
+    "sl16_size_estimate": lambda t: filters.size_estimate(t.raw, 1_000_000),
+    "sl17_facets": lambda t: filters.facets(t.works, t.authorships),
+    "sl18_calibration": lambda t: rounded(calibration(t)),
+    "sl19_size_class": size_class,
+    "p1_table_query": table_query,
+    "p6_related_authors": lambda t: tables.related_authors(t.strict, t.author_countries, "country_code", "ND").select("author_id", "p"),
+    "p8_keyset_page": keyset,
+    "p10_select_rows": select_rows,
+    "p14_author_works": author_works,
+    "p15_work_authorships": work_people,
+    "p17_catalog_search": catalog_search,
+    "p19_catalog_status": lambda t: tables.catalog_status(_catalog(t)),
+    "nz2_works": lambda t: normalize.works(normalize.distinct_works(_twice(t.raw))),
+    "nz5_authorships": nz5,
+    "nz9_work_topics": lambda t: normalize.work_topics(t.raw),
+    "nz10_author_institutions": lambda t: normalize.author_institutions(t.raw).select("work_id", "author_seq", "institution_id", "country_code"),
+    "nz11_author_countries": lambda t: normalize.author_countries(t.raw).select("work_id", "author_seq", "country_code"),
+    "nz12_quality_report": lambda t: normalize.quality_report(t.raw),
+    "nz13_quality_funnel": lambda t: normalize.quality_funnel(t.raw, t.indices).drop("position"),
+    "nz14_truncated": lambda t: normalize.truncated(t.raw).select("id"),
+    "nz15_backfill": backfill,
+    "nz16_integrity": integrity,
+    "nz17_eligibility": eligibility,
+    "io2_tolerant_scan": tolerant_scan,
+    "io6_csv_round_trip": csv_round_trip,
+    "io10_row_counts": lambda t: io.row_counts({n: getattr(t, n) for n in ("works", "authorships", "work_topics")}),
+    "io11_fingerprint": lambda t: io.fingerprint(t.works),
+    "io12_manifest_partitions": lambda t: io.manifest_partitions(_events_manifest(t)),
+    "io13_manifest_check": manifest_check,
+    "io14_manifest_totals": lambda t: io.manifest_totals(_events_manifest(t)),
+    "st1_incremental_ingest": ingest,
+    "ud2_custom_metric": custom,
+    "ud3_percentile_metric": custom_rank,
+    "ud6_validate_formula": validate,
+    "ch1_top_cohort": lambda t: cohorts.checksum(cohorts.top_n(t.strict, "h", 25)),
+    "ch2_threshold_cohort": lambda t: cohorts.by_thresholds(t.strict, "c_frac", 25, 15, 100),
+    "ch6_cohort_page": lambda t: cohorts.metrics_page(t.strict, cohorts.by_thresholds(t.strict, min_p=25), "h", 20, 10).select("author_id", "h"),
+    "ch7_cohort_statistics": cohort_statistics,
+    "ch8_decision_trace": cohort_trace,
+    "rs1_bootstrap": lambda t: rounded(resampling.bootstrap(t.strict, [("h", "c_frac"), ("h", "g")], 50), 3),
+    "rs2_permutation": lambda t: rounded(resampling.permutation(t.strict, [("h", "c_frac"), ("p", "g")], 20, 50)),
+    "rs3_holm": holm,
+    "rs4_convergence": convergence,
+    "rs5_methodology": lambda t: resampling.methodology(t.strict, ["h", "c", "n_truncated_works"]),
+    "rs6_ordinal_spearman": lambda t: rounded(resampling.ordinal_spearman(t.strict, [("h", "c_frac"), ("h", "g")])),
+}
+
+QUERIES: dict[str, Query] = {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, f in _PLAIN.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for name, sql in SQL.items() if name in QUERIES}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").count()
+    """Author ranking by h, from works and authorships to unique ranks."""
+    return ranking.metric_ranking(Tables(spark, sf_dir).strict, "h", 100)
