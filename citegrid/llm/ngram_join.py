@@ -279,17 +279,13 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     classes = written(members.filter("n > 0").groupBy(*ID).agg(F.coalesce(F.min("doc_id"), F.first("f1")).alias("node")), "join-classes")
 
     by_key = Window.partitionBy("key")
-    order = by_key.orderBy("n", *ID)
+    found = _postings(docs, orders, k, percent).repartition("key").dropDuplicates(["key", *ID])
+    found = written(found.withColumn("sets", F.count(F.lit(1)).over(by_key)).filter("sets > 1"), "join-found")
+    # A text that others were made from meets more sets than they do: it comes first.
+    known = written(found.groupBy(*ID).agg(F.sum("sets").alias("known")), "join-known")
+    order = by_key.orderBy(F.desc("known"), "n", *ID)
     whole = F.struct("n", "pos", *ID, *MAPS)
-    meeting = (
-        _postings(docs, orders, k, percent)
-        .repartition("key")
-        .dropDuplicates(["key", *ID])
-        .withColumn("sets", F.count(F.lit(1)).over(by_key))
-        .filter("sets > 1")
-        .withColumn("head", F.first(whole).over(order))
-        .withColumn("before", F.lag(whole).over(order))
-    )
+    meeting = found.join(known.hint("shuffle_merge"), ID).withColumn("head", F.first(whole).over(order)).withColumn("before", F.lag(whole).over(order))
     meeting = written(meeting, "join-meeting")
     near = None
     for other in ("head", "before"):
@@ -312,8 +308,8 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     x, y = rest.alias("x"), rest.alias("y").hint("shuffle_merge")
     far = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & _possible("x", "y", percent))
     far = written(_pairs(far).join(near.hint("shuffle_merge"), ["a1", "a2", "b1", "b2"], "left_anti"), "join-far")
-    drop_written(meeting)
-    drop_written(rest)
+    for t in (found, meeting, rest):
+        drop_written(t)
     if not far.isEmpty():
         more = as_nodes(_links(docs, far, orders, k, percent))
         parts = written(connected_components(edges.unionByName(more)), "join-parts")

@@ -72,18 +72,18 @@ def template_verdicts(pages: DataFrame, labels: DataFrame, max_bad: float = MAX_
         variety = nodes.groupBy(*above).agg(F.count_distinct(f"s{k}").alias("kinds"), F.sum("pages").alias("all_pages"))
         variable = (F.col("kinds") >= MIN_DISTINCT) & (F.col("kinds") >= DISTINCT_SHARE * F.col("all_pages"))
         nodes = nodes.join(variety.hint("shuffle_merge"), above).withColumn(f"t{k}", F.when(variable, "*").otherwise(F.col(f"s{k}"))).drop("kinds", "all_pages")
+        nodes = written(nodes, "url-templates")  # each level reads the last one twice: written, the plan doesn't double
     # Merge from the leaves: m_k is t_k, or * if the branch is like the others of its node.
-    nodes = written(nodes, "url-templates")
     for k in reversed(range(DEPTH)):
         above = ["host", *(f"t{j}" for j in range(k))]
-        branch = nodes.groupBy(*above, f"t{k}").agg(F.sum("n").alias("bn"), F.sum("b").alias("bb"))
+        branch = written(nodes.groupBy(*above, f"t{k}").agg(F.sum("n").alias("bn"), F.sum("b").alias("bb")), "url-branches")
         whole = branch.groupBy(*above).agg(F.sum("bn").alias("wn"), F.sum("bb").alias("wb"))
         on, ob = F.col("wn") - F.col("bn"), F.col("wb") - F.col("bb")
         spread = F.col("wb") * (F.col("wn") - F.col("wb"))
         # z squared without division: (b1 n2 - b2 n1)^2 n / (n1 n2 w (n - w)) for w bad of n.
         apart = (F.col("bn") * on > 0) & ((F.col("bb") * on - ob * F.col("bn")).cast("double") ** 2 * F.col("wn") > Z * Z * (F.col("bn") * on).cast("double") * spread.cast("double"))
         branch = branch.join(whole.hint("shuffle_merge"), above).select(*above, f"t{k}", F.when(apart, F.col(f"t{k}")).otherwise("*").alias(f"m{k}"))
-        nodes = nodes.join(branch.hint("shuffle_merge"), [*above, f"t{k}"])
+        nodes = written(nodes.join(branch.hint("shuffle_merge"), [*above, f"t{k}"]), "url-merging")
     merged = [f"m{k}" for k in range(DEPTH)]
     nodes = written(nodes.select("host", *names, *merged, "n", "b"), "url-merged")
     by_template = nodes.groupBy("host", *merged).agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
