@@ -206,7 +206,7 @@ SELECT metric, d.n, missing, {r("min", "max", "mean", "stddev", "q1", "median",
     "p15_work_authorships": f"{BASE} SELECT author_seq, author_id, author_display_name FROM authorships WHERE work_id = 'https://example.org/W17'",
     "p17_catalog_search": "SELECT 'source' AS entity_type, n_name AS name, count(*) AS works_count FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE lower(n_name) LIKE '%nation_1%' GROUP BY n_name ORDER BY works_count DESC, name LIMIT 8",
     "p19_catalog_status": f"{BASE} SELECT 'author' AS entity_type, count(DISTINCT author_id) AS n FROM authorships UNION ALL SELECT 'source', count(DISTINCT source_id) FROM works UNION ALL SELECT 'topic', count(DISTINCT primary_topic_id) FROM works",
-    "nz2_works": f"WITH {WORKS} SELECT * FROM works",
+    "nz2_works": f"WITH {WORKS} SELECT * REPLACE ({', '.join(f'CASE WHEN primary_topic_id IS NOT NULL THEN {c} END AS {c}' for c in ('primary_subfield_id', 'primary_subfield_short_id', 'primary_field_id', 'primary_domain_id'))}) FROM works",
     "nz5_authorships": f"{BASE} SELECT work_id, author_seq, CASE WHEN author_id <> 'A9999999999' THEN author_id END AS author_id, author_display_name, institution_ids_csv, country_codes_csv, authorships_count_raw, authors_count_reported, valid_author_ids_count, round(1.0 / authors_count_reported, 6)::DOUBLE AS frac_weight_strict, round(CASE WHEN NOT qf_null_author_id AND NOT qf_deleted_author_id THEN 1.0 / valid_author_ids_count END, 6)::DOUBLE AS frac_weight_renorm, qf_null_author_id, qf_deleted_author_id, qf_duplicate_authorship AND NOT qf_null_author_id AS qf_duplicate_authorship, qf_authorship_truncated, qf_author_count_mismatch, qf_missing_primary_topic FROM authorships",
     "nz9_work_topics": f"WITH {WORKS},{TOPICS} SELECT * FROM work_topics",
     "nz10_author_institutions": f"{BASE} SELECT work_id, author_seq, institution_ids_csv AS institution_id, country_codes_csv AS country_code FROM authorships",
