@@ -33,7 +33,7 @@ def parse_errors(tolerant: DataFrame, most: int = 20) -> DataFrame:
     return counts.join(shown, "file", "left")
 
 
-def read_pack(spark: SparkSession, paths: Sequence[str], record: StructType, prefix: str = "https://openalex.org/W") -> DataFrame:
+def read_pack(spark: SparkSession, paths: Sequence[str], record: StructType, prefix: str) -> DataFrame:
     """Works from files that hold an object, an array, ``{"results": [...]}`` or lines (IO3); only ids with the prefix."""
     whole = spark.read.option("wholetext", True).text(list(paths)).select(F.trim("value").alias("text"), F.col("_metadata.file_path").alias("file"))
     one, many = record.simpleString(), f"array<{record.simpleString()}>"
