@@ -386,4 +386,6 @@ ORACLE_SQL: dict[str, str] = {name: sql for name, sql in SQL.items() if name in
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Author ranking by h, from works and authorships to unique ranks."""
-    return ranking.metric_ranking(Tables(spark, sf_dir).strict, "h", 100)
+    t = Tables(spark, sf_dir)
+    rows = indices.base_indices(credit.author_work(t.works, t.authorships, modes=[STRICT]))
+    return ranking.metric_ranking(settled(rows, "entry"), "h", 100)
