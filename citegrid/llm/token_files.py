@@ -16,6 +16,7 @@ follow each other by text. Only doc_id and text are read. An empty table gives n
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import uuid
@@ -83,6 +84,12 @@ class Words:
         return np.insert(self.pool[place], np.cumsum(n), end_id), n + 1
 
 
+@functools.lru_cache(maxsize=1)
+def _words(vocabulary: str) -> Words:
+    """One tokeniser, with the words it knows, for all tasks of a Python process."""
+    return Words(vocabulary)
+
+
 class Model:
     """What coder and decoder know of several blocks' ids so far."""
 
@@ -329,7 +336,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, fs, root = Words(vocabulary), None, ""
+        words, fs, root = _words(vocabulary), None, ""
         waiting, n_waiting, ids_of, counts, part, name, out = [], 0, [], [], None, "", None
 
         def flush(least: int) -> None:
