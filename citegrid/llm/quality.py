@@ -15,6 +15,7 @@ named columns are read. An empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,10 +45,13 @@ def default_vocabularies() -> dict[str, str]:
     return {"bpe": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "pieces": public_tokenizers.path("piece_bpe_32k.model")}
 
 
-def _load(vocabularies: dict[str, str]):
+@functools.lru_cache(maxsize=1)
+def _load(files: tuple[tuple[str, str], ...]):
+    """Tokeniser and table of byte-spelt characters, once for all tasks of a Python process."""
     import sentencepiece
     import tiktoken
 
+    vocabularies = dict(files)
     with open(vocabularies["bpe"], "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     bpe = tiktoken.Encoding("bpe", pat_str=vocabularies["pattern"], mergeable_ranks=ranks, special_tokens={})
@@ -113,7 +117,7 @@ def measures(docs: DataFrame, vocabularies: dict[str, str] | None = None) -> Dat
     vocabularies = vocabularies or default_vocabularies()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, spelt = _load(vocabularies)
+        bpe, spelt = _load(tuple(sorted(vocabularies.items())))
         for batch, raw, at in slices(batches, "text"):
             out = word_rules(raw, at)
             lead = np.flatnonzero((raw & 0xC0) != 0x80)
