@@ -44,9 +44,9 @@ class Tables:
 
     @property
     def strict(self) -> DataFrame:
-        """The selection of the statistics queries: several passes read it."""
+        """The selection of the statistics queries, to nine decimals: several passes read it."""
         if "strict" not in self.made:
-            self.made["strict"] = settled(indices.indices(credit.author_work(self.works, self.authorships, modes=[STRICT])), "selection")
+            self.made["strict"] = settled(rounded(indices.indices(credit.author_work(self.works, self.authorships, modes=[STRICT])), 9), "selection")
         return self.made["strict"]
 
     def long(self, metrics=FEW) -> DataFrame:

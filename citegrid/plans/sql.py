@@ -83,8 +83,8 @@ INDEXED = f"{CREDITED},{index_ctes()}"
 DOUBLES = ["c", "c_frac", "cpp", "m_local", "top1_share", "rfi_log_frac", "n_cited5", "frac_cited5", "pci", "iupv_s", "iupv_sb", "islv", "lrdi", "mean_authors_per_work", "share_single_authored"]
 WHOLE = ["p", "h", "i10", "g", "n_flagged_works", "n_truncated_works"]
 INDEX_COLUMNS = f"run_id, fraction_mode, author_id, author_display_name, {', '.join(WHOLE)}, {r(*DOUBLES)}"
-#: The selection of the statistics queries: strict mode.
-STRICT = f"{INDEXED}, s AS (SELECT * FROM ix WHERE fraction_mode = 'strict_authors_count')"
+#: The selection of the statistics queries: strict mode, to nine decimals, so that sums in another order don't break ties.
+STRICT = f"{INDEXED}, s AS (SELECT * REPLACE ({r(*DOUBLES, digits=9)}) FROM ix WHERE fraction_mode = 'strict_authors_count')"
 
 
 def long(metrics: list[str] = FEW, source: str = "s") -> str:
