@@ -174,6 +174,25 @@ def test_substring_dedup(spark, rows, docs, no_docs):
     assert substring_dedup.repeated_passages(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_short_passages_in_many_documents(spark, seed):
+    """Equal passages of 50 to 55 words in hundreds of documents with differing neighbours, all found."""
+    pick = random.Random(seed)
+    say = lambda k: " ".join(f"w{pick.randrange(100_000)}" for _ in range(k))
+    passages = [say(k) for k in (50, 50, 52, 55)]
+    rows = [(i, f"{say(pick.randint(20, 60))} {passages[i % 4]} {say(pick.randint(20, 60))}") for i in range(400)]
+    hit = brute_passages(rows)
+    got = {r.doc_id: r for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert {d: r.n_repeated for d, r in got.items()} == {d: len(hit[d]) for d in got}
+    first, gone = {}, defaultdict(set)
+    for d, text in rows:
+        w = text.split()
+        for i in range(len(w) - 49):
+            if first.setdefault(tuple(w[i : i + 50]), d) < d:
+                gone[d] |= set(range(i, i + 50))
+    assert {d: r.n_removable for d, r in got.items()} == {d: len(gone[d]) for d in got}
+
+
 def test_compact_windows():
     values = np.random.default_rng(3).integers(0, 1 << 40, 300).astype(np.uint64)
     left, c, right = substring_dedup.compact_windows(values, np.array([0, 100]), np.array([100, 300]), 20)
