@@ -7,7 +7,8 @@ lie in a window, so only stretches of item words are streamed.
 
 Items are read in blocks of at most ``BLOCK_WORDS`` words, each with an automaton of its own whose
 size is thereby bounded; documents are scanned against one block after another. Documents are never
-shuffled, unless there are several blocks, whose findings are then put together by row.
+shuffled, unless there are several blocks: then they are written with a number for each row, by which
+the findings of all blocks are put together before anything is judged or cut.
 
 Nulls: a null text has no words; an item without id or words is no item; a null document id is kept.
 An empty benchmark hits nothing. Repeated documents are judged each for itself; items with one id
@@ -18,13 +19,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import ship, table, written
 from .words import LOWER, NOT_ALNUM, per_row, slices, span_hashes, spans, text_bytes
 
 WINDOW = 10
@@ -175,18 +177,43 @@ def _scan_block(docs: DataFrame, key: str, auto: Automaton) -> DataFrame:
     return docs.select(key, "text").mapInArrow(scan, f"{key} {docs.schema[key].dataType.simpleString()}, {SCAN}")
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written with a number for each row, and that column's name."""
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "leak-rows"), row
+
+
+def _merged(spans: Column) -> Column:
+    """Spans in order, with those that overlap or touch made one, as if all blocks were one."""
+    last = lambda acc: F.element_at(acc, -1)
+    longer = lambda acc, s: F.struct(last(acc)["begin"].alias("begin"), F.greatest(last(acc)["stop"], s["stop"]).alias("stop"))
+    step = lambda acc, s: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["stop"] >= s["begin"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer(acc, s)))).otherwise(F.concat(acc, F.array(s)))
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<begin:bigint,stop:bigint>>"), step)
+
+
+def _scan_blocks(docs: DataFrame, row: str, autos: Iterator[Automaton]) -> DataFrame:
+    """What all blocks find, for each row number."""
+    found = None
+    for auto in autos:
+        part = _scan_block(docs, row, auto)
+        found = part if found is None else found.unionByName(part.filter(F.size("items") > 0))
+    return found.groupBy(row).agg(
+        F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), _merged(F.flatten(F.collect_list("spans"))).alias("spans")
+    )
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """For each document: ``n_words``, the ``items`` whose windows it has (sorted), and the ``spans`` of
     words (from, before) that lie in windows."""
     blocks = _item_blocks(benchmark, window)
-    found = _scan_block(docs, key, next(blocks))
-    more = [_scan_block(docs, key, auto) for auto in blocks]
-    if not more:
-        return found
-    for part in more:  # the benchmark is larger than a block: one row for each document and block
-        found = found.unionByName(part)
-    # Rows with one key and as many words and other texts stay apart only by their key; keys are unique in documents.
-    return found.groupBy(key, "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _scan_block(docs, key, first)
+    rows, row = _numbered(docs.select(key, "text"))
+    found = _scan_blocks(rows, row, chain((first, second), blocks))
+    return rows.select(row, key).join(found.hint("shuffle_merge"), row).select(key, "n_words", "items", "spans")
 
 
 def hit_count(spans_column: str = "spans"):
@@ -204,40 +231,62 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
     ``max_coverage`` of their words hit go wholly. A column n_chars follows
     the text. Other texts and all further columns stay as they are."""
     ship(docs.sparkSession)
-    names = docs.columns
-    for auto in _item_blocks(benchmark, window):
-        shared = docs.sparkSession.sparkContext.broadcast(auto)
-
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            auto = shared.value
-            shortest = min(min_span, auto.shortest)
-            for batch, raw, at in slices(batches, "text"):
-                begins, ends, first, hit, found = _findings(auto, raw, at)
-                if not found:
-                    yield batch
-                    continue
-                n, n_hit = np.diff(first), per_row(hit, first)
-                keep = n_hit <= max_coverage * n
-                k = batch.schema.get_field_index("text")
-                texts = batch.column(k).to_pylist()
+    names, schema = docs.columns, docs.schema
+    blocks = _item_blocks(benchmark, window)
+    first_block, second = next(blocks), next(blocks, None)
+    shortest = min(min_span, first_block.shortest)
+    if second is None:
+        shared = docs.sparkSession.sparkContext.broadcast(first_block)
+    else:
+        shared = None
+
+        def told(autos: Iterator[Automaton]) -> Iterator[Automaton]:
+            nonlocal shortest
+            for auto in autos:
+                shortest = min(shortest, auto.shortest)
+                yield auto
+
+        rows, row = _numbered(docs)
+        found = _scan_blocks(rows, row, told(chain((first_block, second), blocks))).filter(F.size("items") > 0)
+        docs = rows.join(found.select(row, F.col("spans").alias(f"{row}_spans")).hint("shuffle_merge"), row, "left").select(*names, f"{row}_spans")
+    least = shortest
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw, at in slices(batches, "text"):
+            if shared is not None:
+                begins, ends, first, hit, found = _findings(shared.value, raw, at)
+            else:
+                begins, ends, first = spans(raw, at, NOT_ALNUM)
+                hit, found = np.zeros(len(begins), bool), {}
+                for r, some in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                    for s in some or ():
+                        hit[first[r] + s["begin"] : first[r] + s["stop"]] = True
+                        found[r] = some
+                batch = batch.select(names)
+            if not found:
+                yield batch
+                continue
+            n, n_hit = np.diff(first), per_row(hit, first)
+            keep = n_hit <= max_coverage * n
+            k = batch.schema.get_field_index("text")
+            texts = batch.column(k).to_pylist()
+            for r in found:
+                left, cut = [], int(at[r])
+                for a, b in _runs(hit[first[r] : first[r + 1]]):
+                    if b - a >= least:
+                        left.append(raw[cut : begins[first[r] + a]].tobytes())
+                        cut = int(ends[first[r] + b - 1])
+                texts[r] = b"".join([*left, raw[cut : at[r + 1]].tobytes()]).decode()
+            columns = [pa.array(texts, batch.schema.field(k).type) if i == k else c for i, c in enumerate(batch.columns)]
+            c = batch.schema.get_field_index("n_chars")
+            if c >= 0:
+                n_chars = batch.column(c).to_pylist()
                 for r in found:
-                    left, cut = [], int(at[r])
-                    for a, b in _runs(hit[first[r] : first[r + 1]]):
-                        if b - a >= shortest:
-                            left.append(raw[cut : begins[first[r] + a]].tobytes())
-                            cut = int(ends[first[r] + b - 1])
-                    texts[r] = b"".join([*left, raw[cut : at[r + 1]].tobytes()]).decode()
-                columns = [pa.array(texts, batch.schema.field(k).type) if i == k else c for i, c in enumerate(batch.columns)]
-                c = batch.schema.get_field_index("n_chars")
-                if c >= 0:
-                    n_chars = batch.column(c).to_pylist()
-                    for r in found:
-                        n_chars[r] = len(texts[r])
-                    columns[c] = pa.array(n_chars, batch.schema.field(c).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
-
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs.select(*names)
+                    n_chars[r] = len(texts[r])
+                columns[c] = pa.array(n_chars, batch.schema.field(c).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
+
+    return docs.mapInArrow(clean, schema).select(*names)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,6 +109,25 @@ def test_decontaminate(spark, rows, docs, no_docs):
     assert set(left) >= {r[0] for r in rows if want[r[0]][1] == 0}
 
 
+def test_decontaminate_in_blocks(spark):
+    """Several blocks give what one block gives: repeated and null ids, joint coverage, overlapping windows."""
+    w = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(w[a : a + 12])) for i, a in enumerate((0, 6, 12, 30, 42))]
+    more = " ".join(f"x{i}" for i in range(8))
+    texts = [(1, " ".join(w[:24]) + " " + more), (2, " ".join(w[:18] + ["y"] * 60)), (3, " ".join(w[30:42] + ["z"] * 40 + w[42:54])), (3, " ".join(["q"] * 64)), (None, " ".join(["q"] * 64)), (None, " ".join(w[30:42] + ["z"] * 52)), (3, " ".join(["q"] * 64)), (4, None)]
+    texts.append((5, " ".join(w[:12] + ["v"] * 8 + w[42:54] + ["v"] * 12)))
+    docs = spark.createDataFrame([(d, t, len(t or ""), "r") for d, t in texts], "doc_id long, text string, n_chars long, row string").repartition(2)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    look = lambda: (sorted(map(str, decontaminate.scan(docs, bench).collect())), sorted(map(str, decontaminate.remove_leaks(docs, bench).collect())))
+    one, old = look(), decontaminate.BLOCK_WORDS
+    try:
+        for size in (5, 10, 20, 40):
+            decontaminate.BLOCK_WORDS = size
+            assert look() == one
+    finally:
+        decontaminate.BLOCK_WORDS = old
+
+
 def test_line_dedup(spark, rows, docs, no_docs):
     lines = [(r[0], i, frozenset(x for x in line.split(" ") if x)) for r in rows if r[1] is not None for i, line in enumerate(r[1].split("\n"))]
     lines = [x for x in lines if x[2]]
