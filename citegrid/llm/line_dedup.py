@@ -4,12 +4,16 @@ A line's tokens are its distinct parts between spaces; two lines match if ``100
 Lines are ordered by (doc_id, line number), and a line is removed if it matches any earlier line, kept or
 not; lines without tokens always stay.
 
-1. Tokens are ordered by rarity (counts of all tokens in 2 ** 16 buckets, by half powers of two; ties by
+1. Tokens are ordered by rarity (counts of all tokens in ``BUCKETS`` buckets, by half powers of two; ties by
    hash). Equal token sets are one class, of which only the first line goes on.
-2. Lines that match share a token of their prefixes (the ``n - ceil(0.8 n) + 1`` rarest). Length, position
-   and a parity map of the set bound the overlap of lines that meet at a token; none loses a match.
-3. Each line is first tried against the first line at each of its tokens. Only lines that found no match
-   then meet all earlier lines there: one match is enough, so a group of near copies makes no pairs of all.
+2. Lines that match share a token of their prefixes (the ``n - ceil(0.8 n) + 1`` rarest). What is left of two
+   lines from their first common token on, their lengths and two parity maps of the sets bound the overlap of
+   lines that meet at a token; none loses a match.
+3. Each line is first tried against a few lines at ``STAR`` of its prefix tokens (those of least hash, which
+   near copies mostly have in common, while the rarest are often what sets them apart): those there are dealt
+   into ``HEADS`` parts by a hash, and the earliest of each part is tried. Only lines that found no match then
+   meet all earlier lines at all prefix tokens: one match is enough, so a group of near copies makes no pairs
+   of all.
 4. Candidates' tokens are read again and compared exactly.
 
 Only DataFrame functions run here. Nulls: a null text has no lines; a null id is the least id. Rows with
@@ -27,9 +31,12 @@ from .common import drop_written, table, written
 
 PERCENT = 80
 BUCKETS = 1 << 16
+STAR = 4
+HEADS = 8
 NEEDED_BITS = 1 << 21
 NO_ID = -(1 << 63)
 LINE = ["doc", "line"]
+PARITIES = ["parity", "parity2"]
 
 
 def _constant(numbers: list[int], kind: str) -> Column:
@@ -44,8 +51,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _ranks(docs: DataFrame) -> Column:
     """For each bucket of tokens a rank that grows with its count."""
-    token = docs.select(F.explode(F.split("text", "\n")).alias("l")).select(F.explode(F.split("l", " ")).alias("t"))
-    counts = token.filter("t != ''").groupBy(F.pmod(F.xxhash64("t"), F.lit(BUCKETS)).cast("int").alias("b")).count().collect()  # BUCKETS rows at most
+    token = docs.select(F.explode(F.split(F.translate("text", "\n", " "), " ")).alias("t")).filter("t != ''")
+    counts = token.groupBy(F.xxhash64("t").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).count().collect()  # BUCKETS rows at most
     ranks = [0] * BUCKETS
     for r in counts:
         ranks[r["b"]] = 2 * r["count"].bit_length() + (r["count"] >> max(r["count"].bit_length() - 2, 0) & 1)
@@ -53,24 +60,35 @@ def _ranks(docs: DataFrame) -> Column:
 
 
 def _keys(words: Column, ranks: Column) -> Column:
-    """The distinct tokens of a line as numbers, rarest first."""
+    """The distinct tokens of a line as numbers, rarest first: the rank in the high bits, then the hash."""
 
     def key(t: Column) -> Column:
         h = F.xxhash64(t)
-        rank = F.element_at(ranks, (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int")).cast("long")
-        return F.shiftleft(rank, 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))
+        rank = F.get(ranks, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long")
+        return F.shiftleft(rank, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     return F.sort_array(F.array_distinct(F.transform(F.filter(F.split(words, " "), lambda t: t != ""), key)))
 
 
-def _bounded(x: str, y: str, percent: int) -> Column:
-    """Whether length, position and parity leave room for the overlap of a match."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    both = F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos")) + F.least(F.col(f"{x}.pos"), F.col(f"{y}.pos"))
-    apart = F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity")))
+def _parity(bits) -> Column:
+    """A map of 64 bits, each set if an odd number of the tokens have it: two sets differ in at least as many
+    tokens as their maps in bits."""
+    one = F.lit(1).cast("long")
+    return F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", one, bits(k).bitwiseAND(63).cast("int"))))
+
+
+def _may_match(x: str, y: str, n: Column, m: Column, percent: int) -> Column:
+    """Whether lines of ``n`` and ``m`` tokens that meet at their first common token may match: by their lengths,
+    by what each has from that token on, and by their parity maps."""
+    both = F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos"))
+    apart = F.greatest(*(F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in PARITIES))
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * both >= percent * (n + m)) & ((100 + percent) * apart <= (100 - percent) * (n + m))
 
 
+def _earlier(x: str, y: str) -> Column:
+    return (F.col(f"{x}.doc") < F.col(f"{y}.doc")) | ((F.col(f"{x}.doc") == F.col(f"{y}.doc")) & (F.col(f"{x}.line") < F.col(f"{y}.line")))
+
+
 def _matches(docs: DataFrame, pairs: DataFrame, ranks: Column, percent: int) -> DataFrame:
     """Distinct later lines of the candidate pairs (xd, xl, doc, line) that match."""
     needed = written(pairs.select(F.col("xd").alias("doc"), F.col("xl").alias("line")).unionByName(pairs.select(*LINE)).distinct(), "lines-needed")
@@ -81,14 +99,17 @@ def _matches(docs: DataFrame, pairs: DataFrame, ranks: Column, percent: int) ->
         flags[r["w"]] = r["b"]
     # Most other lines are passed over before their tokens are looked at.
     may = F.expr("shiftright(flag, int(bit % 64)) & 1") == 1
-    lines = _lines(docs).withColumn("bit", bit).withColumn("flag", F.element_at(_constant(flags, "long"), (F.shiftright("bit", 6) + 1).cast("int"))).filter(may)
+    lines = _lines(docs).withColumn("bit", bit).withColumn("flag", F.get(_constant(flags, "long"), F.shiftright("bit", 6).cast("int"))).filter(may)
     sets = lines.select(*LINE, _keys(F.col("words"), ranks).alias("keys")).join(needed.hint("shuffle_merge"), LINE, "left_semi").dropDuplicates(LINE)
     sets = written(sets, "lines-sets")
     x = sets.select(F.col("doc").alias("xd"), F.col("line").alias("xl"), F.col("keys").alias("x"))
     both = F.size(F.array_intersect("x", "keys"))
     found = pairs.join(x.hint("shuffle_merge"), ["xd", "xl"]).join(sets.hint("shuffle_merge"), LINE)
     found = found.filter((100 + percent) * both >= percent * (F.size("x") + F.size("keys"))).select(*LINE).distinct()
-    return written(found, "lines-matched")
+    found = written(found, "lines-matched")
+    drop_written(needed)
+    drop_written(sets)
+    return found
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -96,47 +117,51 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     tokens (doc, n_lines)."""
     docs = docs.select("doc_id", "text")
     ranks = _ranks(docs)
-    keys = _lines(docs).select(*LINE, _keys(F.col("words"), ranks).alias("keys")).filter(F.size("keys") > 0)
+    keys = _lines(docs).filter(F.trim("words") != "").select(*LINE, _keys(F.col("words"), ranks).alias("keys"))
     n = F.size("keys")
     least = -F.floor(-percent * n / 100)
+    token = lambda k: k.bitwiseAND((1 << 31) - 1).cast("int")
     lines = written(
         keys.select(
             *LINE,
             F.xxhash64("keys").alias("h1"),
             F.xxhash64("keys", F.lit(1)).alias("h2"),
             n.alias("n"),
-            F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int")))).alias("parity"),
-            F.slice("keys", F.lit(1), (n - least + 1).cast("int")).alias("prefix"),
+            _parity(lambda k: k).alias("parity"),
+            _parity(lambda k: F.shiftright(k, 6)).alias("parity2"),
+            F.transform(F.slice("keys", F.lit(1), (n - least + 1).cast("int")), token).alias("prefix"),
         ),
         "lines",
     )
-    classes = lines.groupBy("h1", "h2").agg(F.min(F.struct(*LINE, "n", "parity", "prefix")).alias("f"), F.count(F.lit(1)).alias("times"))
+    classes = lines.groupBy("h1", "h2").agg(F.min(F.struct(*LINE, "n", *PARITIES, "prefix")).alias("f"), F.count(F.lit(1)).alias("times"))
     classes = written(classes.select("h1", "h2", "times", "f.*"), "lines-classes")
     several = classes.filter("times > 1").select("h1", "h2", F.col("doc").alias("fd"), F.col("line").alias("fl"))
     exact = lines.select(*LINE, "h1", "h2").join(several.hint("shuffle_merge"), ["h1", "h2"]).filter("doc != fd or line != fl").select(*LINE, F.lit("exact").alias("why")).distinct()
-
-    order = Window.partitionBy("token").orderBy(*LINE)
-    whole = F.struct(*LINE, "n", "pos", "parity")
-    meeting = (
-        classes.select(*LINE, "n", "parity", F.posexplode("prefix").alias("pos", "token"))
-        .withColumn("head", F.first(whole).over(order))
-        .withColumn("place", F.row_number().over(order))
-        .withColumn("more", F.lead("doc").over(order).isNotNull())
-        .filter("place > 1 or more")
-    )
-    meeting = written(meeting.drop("more"), "lines-meeting")
-    near = meeting.filter("place > 1").select(whole.alias("y"), F.col("head").alias("x")).filter(_bounded("x", "y", percent))
+    exact = written(exact, "lines-exact")
+    counts = written(lines.select(*LINE).distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("n_lines")), "lines-counts")
+    drop_written(lines)
+    classes_only = classes.drop("h1", "h2", "times")
+
+    # A few early lines at each of those tokens, with every later line there.
+    stars = classes_only.select(*LINE, "n", *PARITIES, F.lit(0).alias("pos"), F.explode(F.slice(F.sort_array("prefix"), 1, STAR)).alias("token"))
+    part = F.pmod(F.xxhash64(*LINE), F.lit(HEADS))
+    heads = stars.groupBy("token", part.alias("part")).agg(F.min(F.struct(*LINE, "n", "pos", *PARITIES)).alias("x")).select("token", "x")
+    near = stars.select("token", F.struct(*LINE, "n", "pos", *PARITIES).alias("y")).join(heads.hint("shuffle_merge"), "token")
+    near = near.filter(_earlier("x", "y") & _may_match("x", "y", F.col("x.n"), F.col("y.n"), percent))
     near = written(near.select(F.col("x.doc").alias("xd"), F.col("x.line").alias("xl"), "y.doc", "y.line").distinct(), "lines-near")
     matched = _matches(docs, near, ranks, percent)
-    open_lines = meeting.filter("place > 2").join(matched.hint("shuffle_merge"), LINE, "left_anti").select("token", "place", whole.alias("y"))
-    earlier = meeting.filter("place > 1").select("token", F.col("place").alias("x_place"), whole.alias("x"))
-    far = open_lines.join(earlier.hint("shuffle_merge"), "token").filter((F.col("x_place") < F.col("place")) & _bounded("x", "y", percent))
+
+    # Lines still without a match, with all earlier ones. ``open_n`` is 0 for those that have one: they are too short to be the later line.
+    openness = classes_only.join(matched.withColumn("found", F.lit(True)).hint("shuffle_merge"), LINE, "left").withColumn("open_n", F.when(F.col("found"), 0).otherwise(F.col("n")))
+    meeting = openness.select(*LINE, "n", "open_n", *PARITIES, F.posexplode("prefix").alias("pos", "token"))
+    x, y = meeting.alias("x"), meeting.alias("y")
+    # Both sides read the same columns, so Spark shuffles the tokens once.
+    bounds = _may_match("x", "y", F.greatest("x.n", "x.open_n"), F.col("y.n"), percent) & (100 * F.col("y.open_n") >= percent * F.col("x.n"))
+    far = x.join(y.hint("shuffle_merge"), (F.col("x.token") == F.col("y.token")) & _earlier("x", "y") & bounds)
     far = written(far.select(F.col("x.doc").alias("xd"), F.col("x.line").alias("xl"), "y.doc", "y.line").distinct(), "lines-far")
-    if not far.isEmpty():
-        matched = matched.unionByName(_matches(docs, far, ranks, percent)).distinct()
-    removed = written(exact.unionByName(matched.withColumn("why", F.lit("near"))), "lines-removed")
-    counts = written(lines.select(*LINE).distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("n_lines")), "lines-counts")
-    for t in (lines, classes, meeting):
+    more = _matches(docs, far, ranks, percent)
+    removed = written(exact.unionByName(matched.unionByName(more).distinct().withColumn("why", F.lit("near"))), "lines-removed")
+    for t in (classes, exact, near, far, matched, more):
         drop_written(t)
     return removed, counts
 
@@ -164,5 +189,38 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("n_lines", zero).alias("n_lines"),
         F.coalesce("n_exact", zero).alias("n_exact"),
         F.coalesce("n_near", zero).alias("n_near"),
-        F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"),
+        F.coalesce(F.array_join("removed_lines", ","), F.lit("")).alias("removed_lines"),
     )
+
+
+OP2_SQL = f"""
+WITH parts AS (
+  SELECT coalesce(CAST(doc_id AS BIGINT), {NO_ID + 1} - 1) AS doc, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL
+), cut AS (
+  SELECT doc, i - 1 AS line, list_sort(list_distinct(list_filter(string_split(p[i], ' '), lambda t: t <> ''))) AS s
+  FROM (SELECT doc, p, unnest(range(1, len(p) + 1)) AS i FROM parts)
+), lines AS (
+  SELECT doc, line, s, len(s) AS n, row_number() OVER (ORDER BY doc, line) AS ord FROM cut WHERE len(s) > 0
+), classes AS (
+  SELECT s, any_value(n) AS n, min(ord) AS ord FROM lines GROUP BY s
+), tokens AS (
+  SELECT ord, n, unnest(s) AS t FROM classes
+), ranked AS (
+  SELECT ord, n, t, row_number() OVER (PARTITION BY ord ORDER BY df, t) AS place FROM tokens JOIN (SELECT t, count(*) AS df FROM tokens GROUP BY t) USING (t)
+), prefixes AS (
+  SELECT ord, n, t FROM ranked WHERE place <= n - CAST(ceil({PERCENT} * n / 100.0) AS BIGINT) + 1
+), pairs AS (
+  SELECT DISTINCT x.ord AS x, y.ord AS y FROM prefixes x JOIN prefixes y ON x.t = y.t AND x.ord < y.ord AND 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)
+), matched AS (
+  SELECT DISTINCT y AS ord FROM pairs JOIN classes a ON a.ord = x JOIN classes b ON b.ord = y
+  WHERE {100 + PERCENT} * len(list_intersect(a.s, b.s)) >= {PERCENT} * (a.n + b.n)
+), gone AS (
+  SELECT doc, line, l.ord <> c.ord AS exact FROM lines l JOIN classes c USING (s) WHERE l.ord <> c.ord OR l.ord IN (SELECT ord FROM matched)
+), by_doc AS (
+  SELECT doc, count(*) FILTER (exact) AS n_exact, count(*) FILTER (NOT exact) AS n_near, string_agg(line, ',' ORDER BY line) AS ids FROM gone GROUP BY doc
+), counts AS (
+  SELECT doc, count(*) AS n_lines FROM lines GROUP BY doc
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near, coalesce(ids, '') AS removed_lines
+FROM documents d LEFT JOIN counts c ON c.doc = coalesce(d.doc_id, {NO_ID + 1} - 1) LEFT JOIN by_doc b ON b.doc = c.doc
+"""

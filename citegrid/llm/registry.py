@@ -23,7 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.OP1_SQL,
-    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op2_line_dedup": line_dedup.OP2_SQL,
     "op3_url_templates": urls.OP3_SQL,
     "op7_warc_index": warc.OP7_SQL,
 }
