@@ -1,12 +1,19 @@
 """Quality rules: plain word rules first, then how well public tokenisers know a text.
 
 Three measures come from public vocabularies: characters per token and the entropy of the tokens (of a
-byte-level BPE), and the share of the text's bytes that a piece vocabulary has to spell byte by byte.
-Each has a rejection band for each language: median plus or minus ``WIDTH`` spreads, where the spread
-is half the distance of the quartiles, taken over all documents of the language that pass the word
-rules. Means over few words vary more, so below ``STEADY_WORDS`` words the band widens with the square
-root. Languages with less than ``MIN_SHARE`` of the documents (and
-a null one) share a band, so there are at most ``1 / MIN_SHARE + 1`` bands.
+byte-level BPE), and the share of the text's bytes that a piece vocabulary spells byte by byte. The last is
+asked of the piece tokeniser once for each different character: a character is spelt as bytes exactly if no
+piece is made of it alone, whatever stands beside it (tests compare with the tokeniser on whole texts).
+
+Each measure has a rejection band for each language: its median plus or minus ``WIDTH`` spreads, where the
+spread is half the distance of the quartiles, over all documents of the language that pass the word rules.
+Quartiles are exact order statistics of the measures, which are rounded to ``DECIMALS``; they come from counts
+of values, so they don't depend on how rows are dealt. A language with few documents leans on the band of all:
+its band is the mean of both, weighted by its documents and ``LEAN``, and wider by as much of the distance of
+the two medians as it leans, so that its own median lies within. Null is a language too. Means over few words
+vary more, so below ``STEADY_WORDS`` words the band widens with the square root.
+
+Words and lines are compared by 64-bit hashes.
 
 Nulls and empty texts have no words and fail the word rules. Repeated documents get a row each. Only the
 named columns are read. An empty table gives no rows.
@@ -22,13 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import ship, table, written
 from .words import SPACES, mix, per_row, rows_of, shingles, slices, span_hashes, spans
 
 WIDTH = 6.0
 STEADY_WORDS = 200
-MIN_SHARE = 0.005
+LEAN = 20
+DECIMALS = {"chars_per_token": 3, "token_entropy": 4, "byte_fallback": 5}
 MIN_WORDS = 50
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -47,7 +56,7 @@ def default_vocabularies() -> dict[str, str]:
 
 @functools.lru_cache(maxsize=1)
 def _load(files: tuple[tuple[str, str], ...]):
-    """Tokeniser and table of byte-spelt characters, once for all tasks of a Python process."""
+    """Byte-level tokeniser, and the piece tokeniser's way with characters; once for all tasks of a Python process."""
     import sentencepiece
     import tiktoken
 
@@ -55,14 +64,21 @@ def _load(files: tuple[tuple[str, str], ...]):
     with open(vocabularies["bpe"], "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     bpe = tiktoken.Encoding("bpe", pat_str=vocabularies["pattern"], mergeable_ranks=ranks, special_tokens={})
-    pieces = sentencepiece.SentencePieceProcessor(model_file=vocabularies["pieces"])
-    spelt = np.ones(0x110000, bool)
-    for i in range(pieces.get_piece_size()):
-        if not (pieces.is_byte(i) or pieces.is_control(i) or pieces.is_unknown(i)):
-            for c in pieces.id_to_piece(i):
-                spelt[ord(c)] = False
-    spelt[[9, 10, 11, 12, 13, 32]] = False
-    return bpe, spelt
+    return bpe, Characters(sentencepiece.SentencePieceProcessor(model_file=vocabularies["pieces"]))
+
+
+class Characters:
+    """How many byte pieces the piece tokeniser makes of a character between two letters."""
+
+    def __init__(self, pieces):
+        self.pieces = pieces
+        self.bytes = np.full(0x110000, -1, np.int8)
+
+    def byte_pieces(self, points: np.ndarray) -> np.ndarray:
+        some = np.unique(points)
+        for c in some[self.bytes[some] < 0].tolist():
+            self.bytes[c] = sum(map(self.pieces.is_byte, self.pieces.encode(f"a{chr(c)}a")))
+        return self.bytes[points]
 
 
 def _repeats(key: np.ndarray) -> np.ndarray:
@@ -112,18 +128,17 @@ MEASURES = ("chars_per_token", "token_entropy", "byte_fallback")
 
 def measures(docs: DataFrame, vocabularies: dict[str, str] | None = None) -> DataFrame:
     """For each document: the word counts, characters per token, token entropy (bits for each token,
-    by the bits that as many different tokens would have), and the share of bytes spelt as bytes."""
+    by the bits that as many different tokens would have), and the share of bytes spelt as bytes; all rounded."""
     ship(docs.sparkSession)
     vocabularies = vocabularies or default_vocabularies()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, spelt = _load(tuple(sorted(vocabularies.items())))
+        bpe, characters = _load(tuple(sorted(vocabularies.items())))
         for batch, raw, at in slices(batches, "text"):
             out = word_rules(raw, at)
             lead = np.flatnonzero((raw & 0xC0) != 0x80)
             points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
-            width = np.diff(np.concatenate((lead, [len(raw)])))
-            spelt_bytes = np.concatenate(([0], np.cumsum(np.where(spelt[points], width, 0))))
+            spelt_bytes = np.concatenate(([0], np.cumsum(characters.byte_pieces(points), dtype=np.int64)))
             char_at = np.searchsorted(lead, at)
             n_bytes, n_chars = np.diff(at), np.diff(char_at)
             n_tokens, entropy = np.zeros(len(at) - 1), np.zeros(len(at) - 1)
@@ -136,7 +151,7 @@ def measures(docs: DataFrame, vocabularies: dict[str, str] | None = None) -> Dat
             out["chars_per_token"] = n_chars / np.maximum(n_tokens, 1)
             out["token_entropy"] = entropy
             out["byte_fallback"] = np.diff(spelt_bytes[char_at]) / np.maximum(n_bytes, 1)
-            arrays = [*batch.columns[:3], *(pa.array(v) for v in out.values())]
+            arrays = [*batch.columns[:3], *(pa.array(np.round(v, DECIMALS[k]) if k in DECIMALS else v) for k, v in out.items())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang", "text_key", *out])
 
     kinds = docs.schema
@@ -150,30 +165,50 @@ def keep_good(docs: DataFrame) -> DataFrame:
     return docs.join(good.hint("shuffle_merge"), docs["doc_id"].eqNullSafe(good["good_id"]) & (_text_key() == good["good_key"]), "left_semi")
 
 
+def quartiles(m: DataFrame) -> DataFrame:
+    """For each language (null too) and each measure: n, low, mid and high, the values at a quarter, half and
+    three quarters of the rows in order; for all languages together with ``every`` true.
+
+    Values are counted before anything is ordered: a language has at most some 100,000 different ones, as
+    the measures are bounded and rounded."""
+    value = F.explode(F.map_from_arrays(F.array(*(F.lit(c) for c in MEASURES)), F.array(*MEASURES))).alias("measure", "value")
+    counts = m.select("lang", value).groupBy("lang", "measure", "value").agg(F.count(F.lit(1)).alias("times"))
+    counts = written(counts, "quality-counts")
+    both = counts.select(F.lit(False).alias("every"), "lang", "measure", "value", "times").unionByName(
+        counts.groupBy("measure", "value").agg(F.sum("times").alias("times")).select(F.lit(True).alias("every"), F.lit(None).cast(m.schema["lang"].dataType).alias("lang"), "measure", "value", "times")
+    )
+    group = ["every", "lang", "measure"]
+    told = both.withColumn("upto", F.sum("times").over(Window.partitionBy(*group).orderBy("value"))).withColumn("n", F.sum("times").over(Window.partitionBy(*group)))
+    cut = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("n") * q, F.col("value")))
+    return written(told.groupBy(*group).agg(F.first("n").alias("n"), *(cut(q).alias(c) for q, c in ((1, "low"), (2, "mid"), (3, "high")))), "quality-quartiles")
+
+
+def bands(m: DataFrame) -> DataFrame:
+    """For each language the centre and spread of each measure, c_... and w_..."""
+    cuts = quartiles(m)
+    spread = F.greatest((F.col("high") - F.col("low")) / 2, 0.01 * F.abs("mid"), F.lit(1e-3))
+    own = cuts.filter("not every").select("lang", "measure", "n", "mid", spread.alias("spread"))
+    every = cuts.filter("every").select("measure", F.col("mid").alias("mid_all"), spread.alias("spread_all"))  # a row for each measure
+    lean = F.lit(LEAN) / (F.col("n") + LEAN)
+    centre = F.col("mid") + lean * (F.col("mid_all") - F.col("mid"))
+    wide = F.col("spread") + lean * (F.col("spread_all") - F.col("spread")) + lean * F.abs(F.col("mid_all") - F.col("mid"))
+    joined = own.join(F.broadcast(every), "measure").select("lang", "measure", centre.alias("c"), wide.alias("w"))
+    return joined.groupBy("lang").agg(*(F.max(F.when(F.col("measure") == k, F.col(x))).alias(f"{x}_{k}") for k in MEASURES for x in "cw"))
+
+
 def judged(docs: DataFrame, vocabularies: dict[str, str] | None = None, width: float = WIDTH) -> DataFrame:
     """The measures with ``base_failed`` (the word rules) and ``kept``."""
     m = written(measures(docs, vocabularies), "quality")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     m = m.withColumn("base_failed", failed)
-    sizes = m.filter("lang is not null").groupBy("lang").count()
-    n = m.count()
-    common = [r["lang"] for r in sizes.filter(F.col("count") >= max(1, MIN_SHARE * n)).collect()]  # 1 / MIN_SHARE rows at most
-    band = F.when(F.col("lang").isin(common), F.col("lang")).otherwise(F.lit("\0other")) if common else F.lit("\0other")
-    m = m.withColumn("band", band)
-    cuts = [F.percentile_approx(c, [0.25, 0.5, 0.75], 10000).alias(c) for c in MEASURES]
-    bands = m.filter("not base_failed").groupBy("band").agg(*cuts).collect()  # a row for each band
+    # Written and read back, so that Spark knows its size and broadcasts it only if it is small.
+    band = written(bands(m.filter("not base_failed")).withColumnRenamed("lang", "band"), "quality-bands")
+    wider = F.sqrt(F.greatest(F.lit(1.0), STEADY_WORDS / F.greatest(F.col("n_words"), F.lit(1))))
     fine = F.lit(True)
-    if bands:
-        inside, wider = F.lit(True), F.sqrt(F.greatest(F.lit(1.0), STEADY_WORDS / F.col("n_words")))
-        for b in bands:
-            ok = F.lit(True)
-            for c in MEASURES:
-                low, mid, high = b[c]
-                spread = max((high - low) / 2, 0.01 * abs(mid), 1e-3)
-                ok = ok & (F.abs(F.col(c) - mid) <= width * spread * wider)
-            inside = F.when(F.col("band") == b["band"], ok).otherwise(inside)
-        fine = inside
-    return m.withColumn("kept", ~F.col("base_failed") & fine).drop("band")
+    for k in MEASURES:
+        fine = fine & (F.abs(F.col(k) - F.col(f"c_{k}")) <= width * F.col(f"w_{k}") * wider)
+    joined = m.join(band, m["lang"].eqNullSafe(band["band"]), "left")
+    return joined.select(*m.columns, (~F.col("base_failed") & F.coalesce(fine, F.lit(False))).alias("kept"))
 
 
 def op9_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ advance together, each with a range coder of its own, and share one adaptive mod
 The three are mixed into one distribution: order 0 by its counts, and a point mass for each predicted id.
 The masses follow how often predictions of such confidences came true so far. Decoding replays the model.
 
+Strings of special tokens in a text are these tokens, as the library has it by default.
+
 Nulls: a null text is empty and has the end id alone; a null document id comes first. Rows with one id
 follow each other by text. Only doc_id and text are read. An empty table gives no rows.
 """
@@ -22,14 +24,17 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import fresh_path, ship, table, written
+from .words import SPACES, slices, span_hashes, spans
 
 LANES, STEPS = 256, 256
 BLOCK = LANES * STEPS
@@ -40,53 +45,122 @@ BASE_BITS, MIX_BITS = 20, 8
 PAIRS = 1 << 15
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 LEVELS = 4
-#: White space of the tokeniser's pattern.
-BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Ids after which a file ends, at the next slice of texts.
+FILE_IDS = 1 << 25
+#: White space of the tokeniser's pattern beyond ASCII.
+WIDE_BLANK = b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
+
+
+def _pieces(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end byte of each word with the space before it, and of each stretch of other blanks, of which the
+    last before a word stands alone. The tokeniser never merges across these."""
+    begins, ends, first = spans(raw, at, SPACES)
+    n = np.diff(first)
+    gap = np.empty(len(begins), np.int64)
+    gap[1:] = ends[:-1]
+    some = np.flatnonzero(n)
+    gap[first[some]] = at[some]
+    lead = (begins > gap) & (raw[begins - 1] == 32)
+    word = begins - lead
+    alone = ~lead & (begins > gap)
+    stretch = begins - 1 > gap
+    last = at[:-1].copy()
+    last[some] = ends[first[some + 1] - 1]
+    tail = last < at[1:]
+    start = np.concatenate((word, begins[alone] - 1, gap[stretch], last[tail]))
+    stop = np.concatenate((ends, begins[alone], begins[stretch] - 1, at[1:][tail]))
+    order = np.argsort(start, kind="stable")
+    return start[order], stop[order]
 
 
 class Words:
-    """Ids of texts by ids of their words: a word with the space before it, or a stretch of blanks. The
-    tokeniser never merges across these, so each different word is tokenised once for as long as it is kept."""
+    """Ids of texts by ids of their pieces, each of which is tokenised once for as long as it is kept. Texts with
+    wide blanks or special tokens are tokenised whole."""
 
-    KEPT = 400_000
+    KEPT = 500_000
+    SLOTS = 21
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
-        self.pattern = re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
+        special = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile(b"|".join([WIDE_BLANK, *special]))
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.keys = np.zeros(1 << self.SLOTS, np.uint64)
+        self.place = np.full(1 << self.SLOTS, -1, np.int64)
         self.pool = np.zeros(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
 
-    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each with the end id, and how many each has."""
-        words = [self.pattern.findall(t) if t else [] for t in texts]
-        if len(self.index) > self.KEPT:
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces, -1 for those that aren't known."""
+        slot = (hashes >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        found = np.where(self.keys[slot] == hashes, self.place[slot], -1)
+        for step in range(1, 8):
+            left = np.flatnonzero(found < 0)
+            if len(left) == 0:
+                break
+            at = (slot[left] + step) & ((1 << self.SLOTS) - 1)
+            found[left] = np.where(self.keys[at] == hashes[left], self.place[at], -1)
+        return found
+
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> np.ndarray:
+        """Tokenises new pieces; gives their numbers."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        numbers = np.arange(len(texts)) + len(self.starts) - 1
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(some) for some in ids])])
+        left, slot = np.arange(len(texts)), (hashes >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        for step in range(8):
+            at = (slot[left] + step) & ((1 << self.SLOTS) - 1)
+            free = np.flatnonzero(self.place[at] < 0)
+            _, own = np.unique(at[free], return_index=True)
+            put = free[own]
+            self.keys[at[put]], self.place[at[put]] = hashes[left[put]], numbers[left[put]]
+            left = np.delete(left, put)
+        return numbers
+
+    def _plain(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.starts) > self.KEPT:
             self.clear()
-        new = list(dict.fromkeys(w for some in words for w in some if w not in self.index))
-        if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            begin = len(self.index)
-            self.index.update(zip(new, range(begin, begin + len(new)), strict=True))
-            self.pool = np.concatenate([self.pool, np.fromiter((i for some in ids for i in some), np.uint32)])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(some) for some in ids])])
-        n_words = np.array([len(some) for some in words])
-        which = np.fromiter((self.index[w] for some in words for w in some), np.int64, n_words.sum())
-        size = self.starts[which + 1] - self.starts[which]
-        place = np.arange(size.sum()) + np.repeat(self.starts[which] - (np.cumsum(size) - size), size)
+        start, stop = _pieces(raw, at)
+        hashes = span_hashes(raw, start, stop)
+        which = self._find(hashes)
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            kinds, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
+            texts = [raw[a:b].tobytes().decode() for a, b in zip(start[new[first]].tolist(), stop[new[first]].tolist(), strict=True)]
+            which[new] = self._learn(kinds, texts)[back]
+        begin = self.starts[which]
+        size = self.starts[which + 1] - begin
         total = np.concatenate(([0], np.cumsum(size)))
-        n = np.diff(total[np.concatenate(([0], np.cumsum(n_words)))])
-        return np.insert(self.pool[place], np.cumsum(n), end_id), n + 1
+        place = np.arange(total[-1]) + np.repeat(begin - total[:-1], size)
+        return self.pool[place], np.diff(total[np.searchsorted(start, at)])
+
+    def encode(self, raw: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slice, each with the end id, and how many each has."""
+        text = raw.tobytes()
+        odd = np.unique(np.searchsorted(at, [m.start() for m in self.odd.finditer(text)], "right") - 1)
+        if len(odd) == 0:
+            ids, n = self._plain(raw, at)
+        else:
+            size = np.diff(at)
+            usual = np.ones(len(size), bool)
+            usual[odd] = False
+            part, m = self._plain(raw[np.repeat(usual, size)], np.concatenate(([0], np.cumsum(np.where(usual, size, 0)))))
+            lists = np.split(part, np.cumsum(m)[:-1])
+            whole = self.tokenizer.encode_batch_fast([text[at[r] : at[r + 1]].decode() for r in odd], add_special_tokens=False)
+            for r, e in zip(odd.tolist(), whole, strict=True):
+                lists[r] = np.asarray(e.ids, np.uint32)
+            ids, n = np.concatenate(lists), np.array([len(some) for some in lists])
+        return np.insert(ids, np.cumsum(n), end_id), n + 1
 
 
 @functools.lru_cache(maxsize=1)
 def _words(vocabulary: str) -> Words:
-    """One tokeniser, with the words it knows, for all tasks of a Python process."""
+    """One tokeniser, with the pieces it knows, for all tasks of a Python process."""
     return Words(vocabulary)
 
 
@@ -112,6 +186,8 @@ class Model:
         scaled = own * spare // np.maximum(own[:, -1:], 1) + np.arange(1, VOCABULARY + 1)
         scaled[:, -1] = 1 << BASE_BITS
         self.below = np.concatenate((np.zeros((len(total), 1), np.int64), scaled), axis=1)
+        # Cumulative counts of all blocks, each raised above the one before, are one sorted array.
+        self.raised = (self.below + (np.arange(len(total)) << BASE_BITS + 1)[:, None]).ravel().astype(np.int32)
         share = np.minimum(self.seen[1:] / self.seen[0], 0.95)
         mass = np.floor(share * (1 << MIX_BITS)).astype(np.int64)
         over = mass.sum(0) > 240
@@ -161,18 +237,10 @@ class Step:
         at_second = later & ~past_second & ~same & (left >= self.mass * below[base + second])
         left[past_second] -= m2[past_second]
         plain = np.minimum(left // self.mass, (1 << BASE_BITS) - 1)
-        # Cumulative counts of all blocks, each raised above the one before, are one sorted array.
-        ids = np.searchsorted(self.raised(), plain + self.block * (1 << BASE_BITS + 1), "right") - 1 - base
+        ids = np.searchsorted(self.model.raised, (plain + self.block * (1 << BASE_BITS + 1)).astype(np.int32), "right") - 1 - base
         ids = np.where(at_first | over, first, ids)
         return np.where(at_second, second, ids)
 
-    def raised(self) -> np.ndarray:
-        key = id(self.model.below)
-        if getattr(self.model, "raised_of", None) != key:
-            blocks = np.arange(len(self.model.below))[:, None] * (1 << BASE_BITS + 1)
-            self.model.raised, self.model.raised_of = (self.model.below + blocks).ravel(), key
-        return self.model.raised
-
     def update(self, ids: np.ndarray) -> None:
         model = self.model
         hit_one, hit_two = self.one == ids, self.two == ids
@@ -322,72 +390,79 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-FILES = "part int, name string, n_docs long, n_ids long"
-DOCS = "part int, doc_id long, first long, n_tokens long, ids_crc32 long"
+FILES = "part int, seq int, name string, n_docs long, n_ids long"
+DOCS = "part int, seq int, doc_id long, first long, n_tokens long, ids_crc32 long"
 
 
-def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, partitions: int | None = None) -> DataFrame:
-    """Files of ids in ascending document order; gives a row for each file (numbered in that order).
+class _Writer:
+    """One file: the magic, blocks of ids, a zlib table of document ids and id counts, and a footer with the
+    table's size. Holds at most GROUP blocks, and some bytes for each document."""
 
-    A file is: magic, the blocks, a zlib table of document ids and id counts, and a footer with the
-    table's size."""
+    def __init__(self, folder: str):
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        self.name = f"{uuid.uuid4().hex}.ids"
+        self.out = fs.open_output_stream(f"{root}/{self.name}", compression=None)
+        self.out.write(MAGIC)
+        self.waiting, self.docs, self.known, self.counts, self.n_ids = np.zeros(0, np.uint32), [], [], [], 0
+
+    def add(self, docs: pa.Array, ids: np.ndarray, n: np.ndarray) -> None:
+        self.known.append(np.asarray(docs.is_valid(), np.uint8))
+        self.docs.append(docs.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
+        self.counts.append(n.astype("<u4"))
+        self.n_ids += len(ids)
+        self.waiting = np.concatenate((self.waiting, ids))
+        if len(self.waiting) >= GROUP * BLOCK:
+            self._flush(len(self.waiting) // BLOCK * BLOCK)
+
+    def _flush(self, end: int) -> None:
+        cuts = [self.waiting[i : min(i + BLOCK, end)] for i in range(0, end, BLOCK)]
+        for i in range(0, len(cuts), GROUP):
+            for raw in encode_blocks(cuts[i : i + GROUP]):
+                self.out.write(raw)
+        self.waiting = self.waiting[end:]
+
+    def close(self, part: int, seq: int) -> pa.RecordBatch:
+        self._flush(len(self.waiting))
+        n_docs = sum(map(len, self.counts))
+        tail = zlib.compress(b"".join(x.tobytes() for x in (*self.known, *self.docs, *self.counts)), 6)
+        self.out.write(tail + struct.pack("<QQ", n_docs, len(tail)))
+        self.out.close()
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((part, seq, self.name, n_docs, self.n_ids), kinds, strict=True)], names=["part", "seq", "name", "n_docs", "n_ids"])
+
+
+def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, partitions: int | None = None, file_ids: int = FILE_IDS) -> DataFrame:
+    """Files of ids in ascending document order; gives a row for each file (part, seq in that order)."""
     spark = docs.sparkSession
     ship(spark)
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, fs, root = _words(vocabulary), None, ""
-        waiting, n_waiting, ids_of, counts, part, name, out = [], 0, [], [], None, "", None
-
-        def flush(least: int) -> None:
-            nonlocal waiting, n_waiting
-            every = np.concatenate(waiting) if waiting else np.zeros(0, np.uint32)
-            end = len(every) if least == 1 else len(every) // BLOCK * BLOCK
-            cuts = [every[i : min(i + BLOCK, end)] for i in range(0, end, BLOCK)]
-            for i in range(0, len(cuts), GROUP):
-                for raw in encode_blocks(cuts[i : i + GROUP]):
-                    out.write(raw)
-            waiting, n_waiting = [every[end:]], len(every) - end
-
-        for batch in batches:
-            for row in range(0, batch.num_rows, 512):
-                some = batch.slice(row, 512)
-                if out is None:
-                    fs, root = pafs.FileSystem.from_uri(folder)
-                    fs.create_dir(root, recursive=True)
-                    part, name = some.column(2)[0].as_py(), f"{uuid.uuid4().hex}.ids"
-                    out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                    out.write(MAGIC)
-                ids, n = words.encode(some.column(1).to_pylist(), end_id)
-                ids_of += some.column(0).to_pylist()
-                counts.append(n)
-                waiting.append(ids)
-                n_waiting += len(ids)
-                if n_waiting >= GROUP * BLOCK:
-                    flush(GROUP)
+        words, out, part, seq = _words(vocabulary), None, 0, 0
+        for batch, raw, at in slices(batches, "text"):
+            if out is None:
+                out, part = _Writer(folder), batch.column(2)[0].as_py()
+            out.add(batch.column(0), *words.encode(raw, at, end_id))
+            if out.n_ids >= file_ids:
+                yield out.close(part, seq)
+                out, seq = None, seq + 1
         if out is not None:
-            flush(1)
-            n = np.concatenate(counts)
-            known = np.array([i is not None for i in ids_of], np.uint8)
-            plain = np.array([i or 0 for i in ids_of], "<i8")
-            tail = zlib.compress(known.tobytes() + plain.tobytes() + n.astype("<u4").tobytes(), 6)
-            out.write(tail + struct.pack("<QQ", len(ids_of), len(tail)))
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([len(ids_of)], pa.int64()), pa.array([int(n.sum())], pa.int64())], names=["part", "name", "n_docs", "n_ids"])
+            yield out.close(part, seq)
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
     return written(ordered.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(write, FILES), "token-files")
 
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
-    """For each document of the files: its file's number, id, place of its first id in the file, number of
+    """For each document of the files: its file (part, seq), id, place of its first id in the file, number of
     ids, and the CRC of the ids."""
     ship(files.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         for batch in batches:
-            for part, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for part, seq, name in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 with fs.open_input_file(f"{root}/{name}") as f:
                     n_docs, n_tail = struct.unpack("<QQ", f.read_at(16, f.size() - 16))
                     end = f.size() - 16 - n_tail
@@ -410,7 +485,7 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
                             crcs = zlib.crc32(memoryview(raw)[cut : cut + take], crcs)
                             cut, left = cut + take, left - take // 4
                             if left == 0:
-                                done.append((part, int(docs[doc]) if known[doc] else None, first, int(counts[doc]), crcs))
+                                done.append((part, seq, int(docs[doc]) if known[doc] else None, first, int(counts[doc]), crcs))
                                 first, doc, crcs = first + int(counts[doc]), doc + 1, 0
                                 left = int(counts[doc]) if doc < n_docs else 0
                         if done:
@@ -418,11 +493,11 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
                             done = []
 
     def _rows(done: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=["part", "doc_id", "first", "n_tokens", "ids_crc32"])
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=["part", "seq", "doc_id", "first", "n_tokens", "ids_crc32"])
 
     n = max(1, files.count())
-    return files.select("part", "name").repartitionByRange(n, "part").mapInArrow(read, DOCS)
+    return files.select("part", "seq", "name").repartitionByRange(n, "part", "seq").mapInArrow(read, DOCS)
 
 
 def op10_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -430,9 +505,6 @@ def op10_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = fresh_path(spark, "ids")
     files = write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
-    before, starts = 0, []
-    for r in files.orderBy("part").select("part", "n_ids").collect():  # a row for each file
-        starts.append((r["part"], before))
-        before += r["n_ids"]
-    start = spark.createDataFrame(starts, "part int, before long")
-    return read_token_files(files, folder).join(F.broadcast(start), "part").select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+    start = files.select("part", "seq", F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each file
+    found = read_token_files(files, folder).join(written(start, "token-starts").hint("shuffle_merge"), ["part", "seq"])
+    return found.select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")

@@ -340,17 +340,64 @@ def brute_rules(text):
     return len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), dup, len(again)
 
 
-def test_quality(spark, rows, docs, no_docs):
-    got = {r.doc_id: r for r in quality.judged(docs).collect()}
+def brute_measures(text, bpe, pieces):
+    ids = bpe.encode_ordinary(text)
+    n = Counter(ids)
+    bits = -sum(k / len(ids) * np.log2(k / len(ids)) for k in n.values()) if ids else 0
+    entropy = bits / np.log2(len(ids)) if len(ids) > 1 else float(len(ids))
+    spelt = sum(map(pieces.is_byte, pieces.encode(text)))
+    return len(text) / max(len(ids), 1), entropy, spelt / max(len(text.encode()), 1)
+
+
+def brute_bands(judged):
+    """kept by plain quartiles of each language and of all."""
+    use = [r for r in judged if not r.base_failed]
+
+    def cuts(rows, k):
+        v = sorted(r[k] for r in rows)
+        at = [v[-(-len(v) * q // 4) - 1] for q in (1, 2, 3)]
+        return at[1], max((at[2] - at[0]) / 2, 0.01 * abs(at[1]), 1e-3)
+
+    kept = {}
+    for r in judged:
+        ok = not r.base_failed
+        for k in quality.MEASURES if ok else ():
+            own = [x for x in use if x.lang == r.lang]
+            lean = quality.LEAN / (len(own) + quality.LEAN)
+            (m, s), (ma, sa) = cuts(own, k), cuts(use, k)
+            centre, wide = m + lean * (ma - m), s + lean * (sa - s) + lean * abs(ma - m)
+            ok = ok and abs(r[k] - centre) <= quality.WIDTH * wide * max(1, quality.STEADY_WORDS / r.n_words) ** 0.5
+        kept[r.doc_id] = ok
+    return kept
+
+
+def test_quality(spark, rows, no_docs):
+    import base64
+
+    import public_tokenizers
+    import sentencepiece
+    import tiktoken
+
+    say = lambda i: "\u4e2d\u6587 " * 30 + " ".join(f"\u0ca0{chr(0x4E00 + i * 40 + j)}x" for j in range(40))
+    rows = [*rows, *((i, say(i), "zz", "s", 0, 0, "", "") for i in range(200, 203)), (210, "\u0001\u0002 " * 100 + rows[3][1], "en", "s", 0, 0, "", ""), (None, rows[4][1], "en", "s", 0, 0, "", ""), (4, rows[4][1], "en", "s", 0, 0, "", "")]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    bpe = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    every = quality.judged(docs).collect()
+    assert Counter(r.doc_id for r in every) == Counter(r[0] for r in rows)
+    got = {r.doc_id: r for r in every}
     for d, text, *_ in rows:
         r = got[d]
         want = brute_rules(text)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
-        assert not (r.base_failed and r.kept)
-    assert sum(r.kept for r in got.values()) > 60
+        assert [r[k] for k in quality.MEASURES] == pytest.approx(brute_measures(text or "", bpe, pieces), abs=6e-4)
+    assert {d: r.kept for d, r in got.items()} == brute_bands(every)
+    assert got[200].kept and got[201].kept and not got[210].kept  # a rare language is not rejected for being unlike the others
     assert quality.judged(no_docs).count() == 0
-    assert sorted(r.doc_id for r in quality.keep_good(docs).collect()) == sorted(d for d in got if got[d].kept)
+    assert Counter(r.doc_id for r in quality.keep_good(docs).collect()) == Counter(r.doc_id for r in every if r.kept)
 
 
 def test_token_files(spark, rows, docs, no_docs):
@@ -359,34 +406,37 @@ def test_token_files(spark, rows, docs, no_docs):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     folder = spark.conf.get("spark.checkpoint.dir") + "/ids-test"
-    files = token_files.write_token_files(docs, folder, path)
-    before = 0
-    starts = {}
-    for f in sorted(files.collect()):
-        starts[f.part] = before
-        before += f.n_ids
-    got = {r.doc_id: (starts[r.part] + r.first, r.n_tokens, r.ids_crc32) for r in token_files.read_token_files(files, folder).collect()}
-    at = 0
-    for d, text, *_ in rows:
-        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
-        assert got[d] == (at, len(ids), zlib.crc32(ids.tobytes()))
-        at += len(ids)
+    for how in ({}, {"partitions": 1, "file_ids": 1}):  # one file a partition; a file for each slice
+        files = token_files.write_token_files(docs, folder, path, **how)
+        before = 0
+        starts = {}
+        for f in sorted(files.collect()):
+            starts[f.part, f.seq] = before
+            before += f.n_ids
+        got = {r.doc_id: (starts[r.part, r.seq] + r.first, r.n_tokens, r.ids_crc32) for r in token_files.read_token_files(files, folder).collect()}
+        at = 0
+        for d, text, *_ in rows:
+            ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+            assert got[d] == (at, len(ids), zlib.crc32(ids.tobytes()))
+            at += len(ids)
     assert token_files.read_token_files(token_files.write_token_files(no_docs, folder, path), folder).count() == 0
 
 
 def test_token_words_equal_whole_texts():
+    """Against the library's call on whole texts, at its defaults."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     words = token_files.Words(path)
-    odd = ["a  b \n c\t\td 's don't  \n\n x\u3000y\x85z <|endoftext|> q\x1cr   ", "", " ", "  ", "\n", "a\u200bb  \u2003c", "it's  'll\u00a0", "\u65e5\u672c\u8a9e \u30c6\u30b9\u30c8", "\U0001f600 \U0001f600  x"]
-    for text in odd:
-        assert words.encode([text], 0)[0][:-1].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    odd = ["a  b \n c\t\td 's don't  \n\n x\u3000y\x85z q\x1cr   ", "x<|endoftext|> y  <|endoftext|>", "", None, " ", "  ", "\n", "\n\nw", " \nw", "a\u200bb  \u2003c", "it's  'll\u00a0", "\u65e5\u672c\u8a9e \u30c6\u30b9\u30c8", "\U0001f600 \U0001f600  x", "w"]
+    pick = random.Random(3)
+    odd += ["".join(pick.choice(["a", "bc", " ", "  ", "\n", "\t", "'s", "1", ".", "\u00e9", *(["\u00a0", "<|endoftext|>"] if i % 9 == 0 else [])]) for _ in range(pick.randint(0, 60))) for i in range(300)]
+    for _ in range(2):  # the second time with all pieces known
+        ids, n = words.encode(*text_bytes(pa.array(odd)), 0)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for t in odd]
 
 
 def test_range_coder():
