@@ -7,7 +7,7 @@ not; lines without tokens always stay.
 1. Tokens are ordered by rarity (counts of all tokens in ``BUCKETS`` buckets, by half powers of two; ties by
    hash). Equal token sets are one class, of which only the first line goes on.
 2. Lines that match share a token of their prefixes (the ``n - ceil(0.8 n) + 1`` rarest). What is left of two
-   lines from their first common token on, their lengths and two parity maps of the sets bound the overlap of
+   lines from their first common token on, their lengths and a parity map of the sets bound the overlap of
    lines that meet at a token; none loses a match.
 3. Each line is first tried against a few lines at ``STAR`` of its prefix tokens (those of least hash, which
    near copies mostly have in common, while the rarest are often what sets them apart): those there are dealt
@@ -31,12 +31,11 @@ from .common import drop_written, table, written
 
 PERCENT = 80
 BUCKETS = 1 << 16
-STAR = 4
+STAR = 3
 HEADS = 8
 NEEDED_BITS = 1 << 21
 NO_ID = -(1 << 63)
 LINE = ["doc", "line"]
-PARITIES = ["parity", "parity2"]
 
 
 def _constant(numbers: list[int], kind: str) -> Column:
@@ -50,13 +49,14 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _ranks(docs: DataFrame) -> Column:
-    """For each bucket of tokens a rank that grows with its count."""
-    token = docs.select(F.explode(F.split(F.translate("text", "\n", " "), " ")).alias("t")).filter("t != ''")
+    """For each bucket of tokens a rank that grows with its count, in the bits above a key's hash. The last token
+    of a line is counted with what it touches: an order needn't be exact, and cutting lines too costs as much again."""
+    token = docs.select(F.explode(F.split("text", " ")).alias("t")).filter("t != ''")
     counts = token.groupBy(F.xxhash64("t").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).count().collect()  # BUCKETS rows at most
     ranks = [0] * BUCKETS
     for r in counts:
-        ranks[r["b"]] = 2 * r["count"].bit_length() + (r["count"] >> max(r["count"].bit_length() - 2, 0) & 1)
-    return _constant(ranks, "int")
+        ranks[r["b"]] = 2 * r["count"].bit_length() + (r["count"] >> max(r["count"].bit_length() - 2, 0) & 1) << 56
+    return _constant(ranks, "long")
 
 
 def _keys(words: Column, ranks: Column) -> Column:
@@ -64,24 +64,17 @@ def _keys(words: Column, ranks: Column) -> Column:
 
     def key(t: Column) -> Column:
         h = F.xxhash64(t)
-        rank = F.get(ranks, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long")
-        return F.shiftleft(rank, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        rank = F.coalesce(F.get(ranks, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0))
+        return rank.bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.sort_array(F.array_distinct(F.transform(F.filter(F.split(words, " "), lambda t: t != ""), key)))
-
-
-def _parity(bits) -> Column:
-    """A map of 64 bits, each set if an odd number of the tokens have it: two sets differ in at least as many
-    tokens as their maps in bits."""
-    one = F.lit(1).cast("long")
-    return F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", one, bits(k).bitwiseAND(63).cast("int"))))
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(words, " "), ""), key)))
 
 
 def _may_match(x: str, y: str, n: Column, m: Column, percent: int) -> Column:
     """Whether lines of ``n`` and ``m`` tokens that meet at their first common token may match: by their lengths,
     by what each has from that token on, and by their parity maps."""
     both = F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos"))
-    apart = F.greatest(*(F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in PARITIES))
+    apart = F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity")))
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * both >= percent * (n + m)) & ((100 + percent) * apart <= (100 - percent) * (n + m))
 
 
@@ -120,6 +113,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     keys = _lines(docs).filter(F.trim("words") != "").select(*LINE, _keys(F.col("words"), ranks).alias("keys"))
     n = F.size("keys")
     least = -F.floor(-percent * n / 100)
+    one = F.lit(1).cast("long")
     token = lambda k: k.bitwiseAND((1 << 31) - 1).cast("int")
     lines = written(
         keys.select(
@@ -127,33 +121,33 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
             F.xxhash64("keys").alias("h1"),
             F.xxhash64("keys", F.lit(1)).alias("h2"),
             n.alias("n"),
-            _parity(lambda k: k).alias("parity"),
-            _parity(lambda k: F.shiftright(k, 6)).alias("parity2"),
+            F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(63).cast("int")))).alias("parity"),
             F.transform(F.slice("keys", F.lit(1), (n - least + 1).cast("int")), token).alias("prefix"),
         ),
         "lines",
     )
-    classes = lines.groupBy("h1", "h2").agg(F.min(F.struct(*LINE, "n", *PARITIES, "prefix")).alias("f"), F.count(F.lit(1)).alias("times"))
+    classes = lines.groupBy("h1", "h2").agg(F.min(F.struct(*LINE, "n", "parity", "prefix")).alias("f"), F.count(F.lit(1)).alias("times"))
     classes = written(classes.select("h1", "h2", "times", "f.*"), "lines-classes")
     several = classes.filter("times > 1").select("h1", "h2", F.col("doc").alias("fd"), F.col("line").alias("fl"))
     exact = lines.select(*LINE, "h1", "h2").join(several.hint("shuffle_merge"), ["h1", "h2"]).filter("doc != fd or line != fl").select(*LINE, F.lit("exact").alias("why")).distinct()
     exact = written(exact, "lines-exact")
     counts = written(lines.select(*LINE).distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("n_lines")), "lines-counts")
     drop_written(lines)
+
     classes_only = classes.drop("h1", "h2", "times")
 
     # A few early lines at each of those tokens, with every later line there.
-    stars = classes_only.select(*LINE, "n", *PARITIES, F.lit(0).alias("pos"), F.explode(F.slice(F.sort_array("prefix"), 1, STAR)).alias("token"))
+    stars = classes_only.select(*LINE, "n", "parity", F.lit(0).alias("pos"), F.explode(F.slice(F.sort_array("prefix"), 1, STAR)).alias("token"))
     part = F.pmod(F.xxhash64(*LINE), F.lit(HEADS))
-    heads = stars.groupBy("token", part.alias("part")).agg(F.min(F.struct(*LINE, "n", "pos", *PARITIES)).alias("x")).select("token", "x")
-    near = stars.select("token", F.struct(*LINE, "n", "pos", *PARITIES).alias("y")).join(heads.hint("shuffle_merge"), "token")
+    heads = stars.groupBy("token", part.alias("part")).agg(F.min(F.struct(*LINE, "n", "pos", "parity")).alias("x")).select("token", "x")
+    near = stars.select("token", F.struct(*LINE, "n", "pos", "parity").alias("y")).join(heads.hint("shuffle_merge"), "token")
     near = near.filter(_earlier("x", "y") & _may_match("x", "y", F.col("x.n"), F.col("y.n"), percent))
     near = written(near.select(F.col("x.doc").alias("xd"), F.col("x.line").alias("xl"), "y.doc", "y.line").distinct(), "lines-near")
     matched = _matches(docs, near, ranks, percent)
 
     # Lines still without a match, with all earlier ones. ``open_n`` is 0 for those that have one: they are too short to be the later line.
     openness = classes_only.join(matched.withColumn("found", F.lit(True)).hint("shuffle_merge"), LINE, "left").withColumn("open_n", F.when(F.col("found"), 0).otherwise(F.col("n")))
-    meeting = openness.select(*LINE, "n", "open_n", *PARITIES, F.posexplode("prefix").alias("pos", "token"))
+    meeting = openness.select(*LINE, "n", "open_n", "parity", F.posexplode("prefix").alias("pos", "token"))
     x, y = meeting.alias("x"), meeting.alias("y")
     # Both sides read the same columns, so Spark shuffles the tokens once.
     bounds = _may_match("x", "y", F.greatest("x.n", "x.open_n"), F.col("y.n"), percent) & (100 * F.col("y.open_n") >= percent * F.col("x.n"))
