@@ -5,19 +5,24 @@ components that these links make.
    shingles found common among prefixes last of all. Any order gives the same links; a good one few
    candidates.
 2. Equal sets are one class, named by a 128-bit fingerprint, with the least document as its member.
-3. Two sets that link share a shingle of their prefixes (the first ``n - ceil(0.9 n) + 1`` shingles).
-   Sets that meet at a shingle are candidates if length, position and a bitmap of the set allow the
-   overlap; none of these bounds loses a link.
+3. Two sets that link share a shingle of their prefixes (the first ``n - ceil(0.9 n) + 1`` shingles). Sets
+   that meet at a shingle are candidates if their lengths, what each has from that shingle on (none before it
+   need be common: one meeting is at the first common shingle) and bitmaps of the sets allow the overlap; none
+   of these bounds loses a link.
 4. Candidates of one set are put into a trie along the global order and walked with that set: stretches
    that several share are compared once, and a subtree ends where its overlap so far and what remains
    can't reach the least overlap.
-5. First each set is tried against two neighbours at each shingle, and the components of these links are
-   found; then every pair at a shingle whose components differ. So a large group of near copies does not
-   make all its pairs, and no link between components is lost.
+5. First each set is tried against ``HEADS`` sets at each of ``STAR`` prefix shingles (those of least hash;
+   sets that meet many others are tried first), and the components of these links are found; then every pair
+   at a prefix shingle whose components differ. So a large group of near copies does not make all its pairs,
+   and no link between components is lost.
 
-Texts are shingled again wherever needed; whole sets are shuffled only for candidates. Nulls: a null or
-wordless text has an empty set and links with nothing; a null id is never a component's name. Repeated
-rows get a row each. Only doc_id and text are read. An empty table gives no rows.
+Texts are shingled again wherever needed; whole sets are shuffled only for candidates. Shingles are known by
+56 bits of a hash, sets by 128.
+
+Nulls: a null or wordless text has an empty set, and its component is its own id. A component's name is its
+least id that is not null, or null if it has no other; rows with one id and different texts are sets of their
+own. Repeated rows get a row each. Only doc_id and text are read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,6 +44,8 @@ PERCENT = 90
 BUCKETS = 1 << 16
 COMMON = 100_000
 NEEDED_BITS = 1 << 22
+STAR = 4
+HEADS = 4
 MAPS = ("m0", "m1", "m2", "m3")
 ID = ["f1", "f2"]
 
@@ -172,9 +179,9 @@ def _common_keys(docs: DataFrame, orders, k: int, percent: int) -> tuple[np.ndar
 
 
 def _possible(a: str, b: str, percent: int) -> Column:
-    """Whether length, position and bitmaps leave room for the overlap that a link needs."""
+    """Whether lengths, positions of the first common shingle and bitmaps leave room for the overlap that a link needs."""
     x, y = (lambda c, t=t: F.col(f"{t}.{c}") for t in (a, b))
-    both = F.least(x("n") - x("pos"), y("n") - y("pos")) + F.least(x("pos"), y("pos"))
+    both = F.least(x("n") - x("pos"), y("n") - y("pos"))
     apart = sum((F.bit_count(x(m).bitwiseXOR(y(m))) for m in MAPS), F.lit(0))
     total = x("n") + y("n")
     # both / (total - both) >= p / 100 is both * (100 + p) >= p * total; total - 2 both differ.
@@ -262,79 +269,125 @@ def _links(docs: DataFrame, pairs: DataFrame, orders, k: int, percent: int) -> D
     return written(both.select("a1", "a2", "b1", "b2", "b", "a").mapInArrow(verify, "a1 long, a2 long, b1 long, b2 long"), "join-links")
 
 
-def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each document."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    none = np.zeros(0, np.uint64)
+def _orders(docs: DataFrame, k: int, percent: int):
+    """The global order, for all tasks."""
+    context, none = docs.sparkSession.sparkContext, np.zeros(0, np.uint64)
     ranks = _word_ranks(docs)
-    orders = spark.sparkContext.broadcast((ranks, none, none))
-    common, common_keys = _common_keys(docs, orders, k, percent)
-    orders = spark.sparkContext.broadcast((ranks, common, common_keys))
+    common, common_keys = _common_keys(docs, context.broadcast((ranks, none, none)), k, percent)
+    return context.broadcast((ranks, common, common_keys))
+
+
+def _parts(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, f1, f2, n) for each document, and for each set that is not empty (f1, f2, part, name): the
+    number of its component, and the least id in it."""
+    docs = docs.select("doc_id", _text_key().alias("text_key"), "text")
+    orders = _orders(docs, k, percent)
 
     def summary(batch: pa.RecordBatch, sets: Sets, seen: set) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.f1), pa.array(sets.f2), pa.array(sets.n)], names=["doc_id", *ID, "n"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets.f1), pa.array(sets.f2), pa.array(sets.n)], names=["doc_id", "text_key", *ID, "n"])
 
-    members = written(_scan(docs, "doc_id long, f1 long, f2 long, n long", summary, orders, k, ["doc_id"]), "join-members")
-    classes = written(members.filter("n > 0").groupBy(*ID).agg(F.coalesce(F.min("doc_id"), F.first("f1")).alias("node")), "join-classes")
+    members = written(_scan(docs, "doc_id long, text_key long, f1 long, f2 long, n long", summary, orders, k, ["doc_id", "text_key"]), "join-members")
+    classes = members.filter("n > 0").groupBy(*ID).agg(F.min("doc_id").alias("least"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "join-classes")
 
     by_key = Window.partitionBy("key")
-    found = _postings(docs, orders, k, percent).repartition("key").dropDuplicates(["key", *ID])
+    found = _postings(docs, orders, k, percent).dropDuplicates(["key", *ID])
     found = written(found.withColumn("sets", F.count(F.lit(1)).over(by_key)).filter("sets > 1"), "join-found")
-    # A text that others were made from meets more sets than they do: it comes first.
-    known = written(found.groupBy(*ID).agg(F.sum("sets").alias("known")), "join-known")
-    order = by_key.orderBy(F.desc("known"), "n", *ID)
+    # A text that others were made from meets more sets than they do: it is tried first.
+    known = found.groupBy(*ID).agg(F.sum("sets").alias("known"))
+    place = F.row_number().over(Window.partitionBy(*ID).orderBy(F.xxhash64("key"), "key"))
+    stars = found.join(known.hint("shuffle_merge"), ID).withColumn("place", place).filter(F.col("place") <= STAR)
     whole = F.struct("n", "pos", *ID, *MAPS)
-    meeting = found.join(known.hint("shuffle_merge"), ID).withColumn("head", F.first(whole).over(order)).withColumn("before", F.lag(whole).over(order))
-    meeting = written(meeting, "join-meeting")
-    near = None
-    for other in ("head", "before"):
-        some = meeting.filter("before is not null").select(whole.alias("x"), F.col(other).alias("y")).filter(_possible("x", "y", percent))
-        near = some if near is None else near.unionByName(some)
-    near = written(_pairs(near.filter("x.f1 != y.f1 or x.f2 != y.f2")), "join-near")
-    links = _links(docs, near, orders, k, percent)
-
-    def as_nodes(links: DataFrame) -> DataFrame:
-        a = classes.select(F.col("f1").alias("a1"), F.col("f2").alias("a2"), F.col("node").alias("u"))
-        b = classes.select(F.col("f1").alias("b1"), F.col("f2").alias("b2"), F.col("node").alias("v"))
-        return links.join(a.hint("shuffle_merge"), ["a1", "a2"]).join(b.hint("shuffle_merge"), ["b1", "b2"]).select("u", "v")
-
-    edges = as_nodes(links)
+    stars = written(stars.select("key", "known", whole.alias("x"), F.pmod(F.xxhash64(*ID), F.lit(HEADS)).alias("deal")), "join-stars")
+    heads = stars.groupBy("key", "deal").agg(F.max(F.struct("known", "x")).alias("y")).select("key", F.col("y.x").alias("y"))
+    near = stars.select("key", "x").join(heads.hint("shuffle_merge"), "key").filter("x.f1 != y.f1 or x.f2 != y.f2").filter(_possible("x", "y", percent))
+    near = written(_pairs(near), "join-near")
+    edges = _as_nodes(_links(docs, near, orders, k, percent), classes)
     parts = written(connected_components(edges), "join-parts")
-    placed = classes.join(parts.withColumnRenamed("node", "other").hint("shuffle_merge"), F.col("node") == F.col("other"), "left").select(*ID, F.coalesce("component", "node").alias("part"))
-    rest = meeting.filter("sets > 2").select("key", *ID, "n", "pos", *MAPS).join(placed.hint("shuffle_merge"), ID)
+
+    placed = _placed(classes, parts).select(*ID, "part")
+    rest = found.select("key", *ID, "n", "pos", *MAPS).join(placed.hint("shuffle_merge"), ID)
     several = rest.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key")
     rest = written(rest.join(several.hint("shuffle_merge"), "key", "left_semi"), "join-rest")
     x, y = rest.alias("x"), rest.alias("y").hint("shuffle_merge")
     far = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & _possible("x", "y", percent))
     far = written(_pairs(far).join(near.hint("shuffle_merge"), ["a1", "a2", "b1", "b2"], "left_anti"), "join-far")
-    for t in (found, meeting, rest):
-        drop_written(t)
     if not far.isEmpty():
-        more = as_nodes(_links(docs, far, orders, k, percent))
+        more = _as_nodes(_links(docs, far, orders, k, percent), classes)
         parts = written(connected_components(edges.unionByName(more)), "join-parts")
-    named = (
-        classes.join(parts.withColumnRenamed("node", "other").hint("shuffle_merge"), F.col("node") == F.col("other"), "left")
-        .select(*ID, F.coalesce("component", "node").alias("part"))
-    )
-    named = written(named, "join-named")
-    own = F.when(F.col("n") > 0, F.col("part")).otherwise(F.col("doc_id"))
+    named = _placed(classes, parts)
+    names = named.groupBy("part").agg(F.min("least").alias("name"))
+    named = written(named.join(names.hint("shuffle_merge"), "part").select(*ID, "part", "name"), "join-named")
+    for t in (found, stars, near, rest, far):
+        drop_written(t)
+    return members, named
+
+
+def _text_key() -> Column:
+    """Tells rows with one id and different texts apart."""
+    return F.xxhash64("text")
+
+
+def _as_nodes(links: DataFrame, classes: DataFrame) -> DataFrame:
+    a = classes.select(F.col("f1").alias("a1"), F.col("f2").alias("a2"), F.col("node").alias("u"))
+    b = classes.select(F.col("f1").alias("b1"), F.col("f2").alias("b2"), F.col("node").alias("v"))
+    return links.join(a.hint("shuffle_merge"), ["a1", "a2"]).join(b.hint("shuffle_merge"), ["b1", "b2"]).select("u", "v")
+
+
+def _placed(classes: DataFrame, parts: DataFrame) -> DataFrame:
+    """``classes`` with the number of each one's component so far."""
+    return classes.join(parts.hint("shuffle_merge"), "node", "left").select(*ID, "least", F.coalesce("component", "node").alias("part"))
+
+
+def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each document."""
+    members, named = _parts(docs, k, percent)
+    own = F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id"))
     return members.join(named.hint("shuffle_merge"), ID, "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component, that with the least id; rows with an empty set or without
-    an id stay. Of several rows with the id that stays, one stays."""
-    found = jaccard_components(docs)
-    stay = written(found.filter("component_id is null or doc_id <=> component_id").select(F.col("doc_id").alias("stay")).distinct(), "join-stay")
-    left = docs.join(stay.hint("shuffle_merge"), docs["doc_id"].eqNullSafe(stay["stay"]), "left_semi")
-    again = written(docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("again")).count().filter("count > 1").select("again"), "join-again")
+    """``docs`` with one row of each component, that with the least id (null ids last; ties: the least hash of the
+    text). Rows with an empty set all stay."""
+    members, named = _parts(docs, SHINGLE, PERCENT)
+    key = ["doc_id", "text_key"]
+    first = members.join(named.hint("shuffle_merge"), ID).groupBy("part").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), *key)).alias("s"))
+    stay = first.select("s.doc_id", "s.text_key").unionByName(members.filter("n = 0").select(*key)).distinct()
+    stay = written(stay.toDF("stay_id", "stay_key"), "join-stay")
+    again = members.filter("n > 0").groupBy(*key).agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select(*key)
+    again = written(again.toDF("again_id", "again_key"), "join-again")
+    same = lambda t, x: docs["doc_id"].eqNullSafe(t[f"{x}_id"]) & _text_key().eqNullSafe(t[f"{x}_key"])
+    left = docs.join(stay.hint("shuffle_merge"), same(stay, "stay"), "left_semi")
     if again.isEmpty():
         return left
-    several = docs["doc_id"] == again["again"]
-    single = left.join(again.hint("shuffle_merge"), several, "left_anti")
-    return single.unionByName(left.join(again.hint("shuffle_merge"), several, "left_semi").dropDuplicates(["doc_id"]))
+    single = left.join(again.hint("shuffle_merge"), same(again, "again"), "left_anti")
+    return single.unionByName(left.join(again.hint("shuffle_merge"), same(again, "again"), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+_OP6_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+OP6_SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, {_OP6_WORDS} AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM words
+), shingles AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), links AS (
+  SELECT x, y FROM (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared, any_value(a.n) + any_value(b.n) AS total
+    FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id
+  ) WHERE 100 * shared >= {PERCENT} * (total - shared)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+), parts AS (
+  SELECT x, min(y) AS component_id FROM reach GROUP BY x
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN parts ON x = doc_id
+"""

@@ -25,5 +25,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op3_url_templates": urls.OP3_SQL,
+    "op6_ngram_join": ngram_join.OP6_SQL,
     "op7_warc_index": warc.OP7_SQL,
 }

@@ -247,25 +247,62 @@ def test_sharding(spark, rows, docs, no_docs):
 
 
 def brute_components(rows, k=3):
-    sets = {}
-    for d, t, *_ in rows:
+    """For each row: the size of its set, and the numbers of the rows of its component."""
+    sets = []
+    for _, t, *_ in rows:
         w = plain_words((t or "").translate(LOWERED))
-        sets[d] = {tuple(w)} if 0 < len(w) < k else {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
-    part = {d: d for d in sets}
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
-                x, y = sorted((part[a], part[b]))
-                part = {d: x if p == y else p for d, p in part.items()}
-    return {d: (len(s), part[d]) for d, s in sets.items()}
+        sets.append({tuple(w)} if 0 < len(w) < k else {tuple(w[i : i + k]) for i in range(len(w) - k + 1)})
+    part = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            if sets[a] and part[a] != part[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                part = [part[a] if p == part[b] else p for p in part]
+    return [(len(s), [j for j, q in enumerate(part) if q == p]) for s, p in zip(sets, part, strict=True)]
 
 
-def test_ngram_join(spark, rows, docs, no_docs):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect()}
-    assert got == brute_components(rows)
-    kept = [r.doc_id for r in ngram_join.one_of_each(docs.unionByName(docs.filter("doc_id = 3"))).collect()]
-    assert sorted(kept) == sorted({c for _, c in got.values()})
-    assert ngram_join.jaccard_components(no_docs).count() == 0
+def least_id(rows, some):
+    return min((rows[j][0] for j in some if rows[j][0] is not None), default=None)
+
+
+def with_odd_ids(rows):
+    """Near copies and equal texts with null ids and ids of other texts, repeated rows."""
+    w = rows[5][1].split()
+    odd = [(None, " ".join([*w[:-1], "end"])), (None, rows[9][1]), (None, " ".join(f"q{i}" for i in range(70))), (None, " ".join(f"q{i}" for i in range(69))), (None, None)]
+    odd += [(11, " ".join(f"z{i}" for i in range(80))), (11, " ".join(f"z{i}" for i in range(79))), (3, rows[3][1]), (3, rows[3][1]), (12, "")]
+    return [*rows, *((d, t, "en", "s", 0, 0, "", "") for d, t in odd)]
+
+
+def test_ngram_join(spark, rows, no_docs):
+    rows = with_odd_ids(rows)
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    parts = brute_components(rows)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect())
+    assert got == Counter((r[0], n, least_id(rows, some) if n else r[0]) for r, (n, some) in zip(rows, parts, strict=True))
+    kept = Counter((r.doc_id, r.text) for r in ngram_join.one_of_each(docs).collect())
+    for i, (n, some) in enumerate(parts):
+        if n == 0:
+            assert kept[rows[i][0], rows[i][1]] == sum(rows[j][:2] == rows[i][:2] for j in range(len(rows)))
+        elif i == some[0]:
+            assert [kept[k] for k in {rows[j][:2] for j in some} if kept[k]] == [1]
+            assert any(kept[rows[j][:2]] for j in some if rows[j][0] == least_id(rows, some))
+    assert ngram_join.jaccard_components(no_docs).count() == 0 and ngram_join.one_of_each(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_ngram_join_of_many_near_copies(spark, seed):
+    """Chains and groups near the threshold, in which no single text is like all others."""
+    pick = random.Random(seed)
+    rows = []
+    for group in range(12):
+        w = [f"g{group}w{pick.randrange(400)}" for _ in range(pick.randint(20, 200))]
+        for _ in range(pick.randint(2, 40)):
+            rows.append((len(rows), " ".join(w)))
+            source = rows[pick.randrange(max(0, len(rows) - 6), len(rows))][1].split()
+            for _ in range(pick.randint(0, max(1, len(source) // 25))):
+                source[pick.randrange(len(source))] = f"e{pick.randrange(1000)}"
+            w = source
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {r[0]: (n, least_id(rows, some)) for r, (n, some) in zip(rows, brute_components(rows), strict=True)}
 
 
 def test_components(spark):
@@ -468,8 +505,8 @@ def test_pipeline(spark, tmp_path):
         seen.append({r.doc_id: r.text for r in docs.collect()})
     kept, single, clean, mixed = seen
     assert not {r[0] for r in rows if brute_rules(r[1])[0] < 50} & set(kept)
-    parts = brute_components([r for r in rows if r[0] in kept])
-    assert set(single) == {c for _, c in parts.values()}
+    left = [r for r in rows if r[0] in kept]
+    assert set(single) == {least_id(left, some) for _, some in brute_components(left)}
     assert brute_decontaminate(clean[8], [(1, leak)])[1] == 0 and all(clean[d] == single[d] for d in clean if d != 8)
     assert set(mixed) <= set(clean) and len(mixed) >= 0.9 * len(clean)
     out = corpus_pipeline.run(spark, pq)
