@@ -3,8 +3,10 @@
 A classifier learns domains from a labelled table and gives every document a posterior for each domain.
 Rates r >= 0, one for each document, are then fitted so that the expected tokens of each domain,
 sum of r * tokens * posterior, come to its target share of the budget: least squares by accelerated
-projected gradient, with a small pull towards 1. A step needs the domains' totals only: one pass over a
-slim table of posteriors, in which a task works a document's rate out anew from the totals so far.
+projected gradient, with a small pull towards 1, until no rate moves. Documents whose posteriors lie in one
+cell of a grid (``GRID`` steps for each domain) have one rate. Spark sums the tokens and posteriors of each
+cell over all documents, exactly; there are at most (GRID + 1) ** (domains - 1) cells, so the steps run on
+that small table, however many documents there are.
 
 The classifier is fitted on at most ``SAMPLE`` labelled documents (those with the least hash of their
 id); posteriors, totals and rates cover all documents. Domains come from ``labels``: toxic, else low
@@ -25,16 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table, written
+from .common import drop_written, ship, table, written
 from .words import LOWER, NOT_ALNUM, mix, rows_of, slices, span_hashes, spans
 
 DOMAINS = ("good", "low", "toxic")
 TARGETS = {"good": 0.97, "low": 0.02, "toxic": 0.01}
 SAMPLE = 8_000
 FEATURES = 1 << 16
-PULL = 0.002
-STEPS = 40
-CLOSE = 1e-4
+SURE = 6.0
+GRID = 100
+PULL = 1e-4
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 UPPER = np.zeros(256, bool)
@@ -67,18 +69,36 @@ def _values(row: np.ndarray, feature: np.ndarray, n_rows: int) -> np.ndarray:
     return np.where(words, 1 / np.sqrt(np.maximum(kinds, 1))[row], 1.0)
 
 
-def fit(rows: list[np.ndarray], domain: np.ndarray, n_domains: int, steps: int = 300, rate: float = 1.2, decay: float = 1e-5) -> np.ndarray:
-    """Softmax regression by gradient descent with momentum; the last row of the weights is the bias."""
-    weights = np.zeros((FEATURES + 1, n_domains))
+def telling(rows: np.ndarray, index: np.ndarray, domain: np.ndarray, n_domains: int, sure: float = SURE) -> np.ndarray:
+    """For each feature and domain the logarithm of how much commoner the feature is in the domain's documents
+    than in the others, where that is surer than ``sure`` standard deviations; else 0. A word that tells a
+    domain counts fully then, however long the text around it is."""
+    size = np.bincount(domain, minlength=n_domains).astype(float)
+    found = np.stack([np.bincount(index[domain[rows] == c], minlength=FEATURES) for c in range(n_domains)], 1).astype(float)
+    other, rest = found.sum(1, keepdims=True) - found, size.sum() - size
+    inside, outside = (found + 0.5) / (size + 1), (other + 0.5) / (rest + 1)
+    pooled = (found + other + 1) / (size.sum() + 2)
+    apart = (inside - outside) / np.sqrt(pooled * (1 - pooled) * (1 / size.clip(1) + 1 / rest.clip(1)))
+    known = (apart > sure) & (size > 0) & (rest > 0)
+    known[:64] = False
+    return np.where(known, np.log(inside / outside), 0.0)
+
+
+def fit(rows: list[np.ndarray], domain: np.ndarray, n_domains: int, steps: int = 300, rate: float = 1.2, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax regression by gradient descent with momentum, on top of the words that tell a domain; gives the weights,
+    of which the last row is the bias, and the telling words' own."""
+    weights, fixed = np.zeros((FEATURES + 1, n_domains)), np.zeros((FEATURES, n_domains))
     if len(rows) == 0:
-        return weights
+        return weights, fixed
     sizes = np.array([len(r) for r in rows])
     at, index = np.repeat(np.arange(len(rows)), sizes), np.concatenate(rows)
+    fixed = telling(at, index, domain, n_domains)
+    offset = np.stack([np.bincount(at, fixed[index, c], len(rows)) for c in range(n_domains)], 1)
     value, wanted = _values(at, index, len(rows)), np.eye(n_domains)[domain]
     weights[-1] = np.log(wanted.mean(0) + 1e-3)
     speed = np.zeros_like(weights)
     for _ in range(steps):
-        score = np.stack([np.bincount(at, weights[index, c] * value, len(rows)) for c in range(n_domains)], 1) + weights[-1]
+        score = np.stack([np.bincount(at, weights[index, c] * value, len(rows)) for c in range(n_domains)], 1) + weights[-1] + offset
         score = np.exp(score - score.max(1, keepdims=True))
         error = (score / score.sum(1, keepdims=True) - wanted) / wanted.sum(0).clip(1)[domain][:, None]  # domains weigh alike
         slope = decay * weights
@@ -87,10 +107,10 @@ def fit(rows: list[np.ndarray], domain: np.ndarray, n_domains: int, steps: int =
         slope[-1] = error.sum(0) / n_domains
         speed = 0.9 * speed - rate * slope
         weights += speed
-    return weights
+    return weights, fixed
 
 
-def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Weights from at most ``sample`` labelled documents; ``labelled`` has doc_id and domain (0, 1, ...)."""
     ship(docs.sparkSession)
     chosen = labelled.filter("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.max("domain").alias("domain"))
@@ -107,15 +127,16 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> np.ndar
     return fit([np.asarray(f) for f in found["features"]], found["domain"].to_numpy(), len(DOMAINS))
 
 
-def _posterior(raw: np.ndarray, at: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _posterior(raw: np.ndarray, at: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    weights, fixed = model
     row, feature, n = features(raw, at)
     value = _values(row, feature, len(n))
-    score = np.stack([np.bincount(row, w[feature] * value, len(n)) + w[-1] for w in weights.T], 1)
+    score = np.stack([np.bincount(row, w[feature] * value + f[feature], len(n)) + w[-1] for w, f in zip(weights.T, fixed.T, strict=True)], 1)
     score = np.exp(score - score.max(1, keepdims=True))
     return np.round(score / score.sum(1, keepdims=True), 6), n
 
 
-def posteriors(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+def posteriors(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, n_tokens and a posterior for each domain."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
@@ -130,59 +151,63 @@ def posteriors(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {kind}, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS))
 
 
-def rates(p: np.ndarray, history: list[np.ndarray], step: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates of documents with posteriors ``p`` after a step for each entry of the residuals' history, and
-    the point that the next step starts from."""
-    now = point = np.ones(len(p))
-    for i, residual in enumerate(history):
-        new = np.maximum(0.0, point - step * (p @ residual + PULL * (point - 1)))
-        point = new + i / (i + 3) * (new - now)
-        now = new
-    return now, point
-
-
-def fit_history(found: DataFrame, targets: dict[str, float] | None = None) -> tuple[list[np.ndarray], float]:
-    """The residuals of all steps, and the step's length; with them :func:`rates` gives any document's rate."""
+def cell_of(p: np.ndarray) -> np.ndarray:
+    """The number of each posterior's cell of the grid."""
+    steps = np.floor(p[:, :-1] * GRID + 1e-9).astype(np.int64)
+    return steps @ ((GRID + 1) ** np.arange(steps.shape[1]))
+
+
+def solve(tokens: np.ndarray, totals: np.ndarray, want: np.ndarray, pull: float = PULL, close: float = 1e-7, most: int = 500_000) -> np.ndarray:
+    """Rates r >= 0 of cells with so many tokens and such domain totals (a row for each cell): the least
+    sum over domains of (r @ totals - want) ** 2 / natural total, plus pull * tokens @ (r - 1) ** 2."""
+    natural = np.maximum(totals.sum(0), 1.0)
+    share = totals / np.maximum(tokens, 1.0)[:, None]
+    now = point = np.ones(len(tokens))
+    step, momentum = 1.0 / (1.0 + pull), 1.0
+    for _ in range(most):
+        slope = share @ ((point @ totals - want) / natural) + pull * (point - 1)
+        new = np.maximum(0.0, point - step * slope)
+        if np.abs(new - point).max(initial=0.0) < close * pull:
+            return new
+        if (point - new) @ (new - now) > 0:  # momentum leads uphill: start it anew
+            momentum = 1.0
+        after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        point, now, momentum = new + (momentum - 1) / after * (new - now), new, after
+    return now
+
+
+def fit_rates(found: DataFrame, targets: dict[str, float] | None = None) -> tuple[np.ndarray, dict]:
+    """The rate of each cell (by its number; 1 where no document is), and a report: the domains' targets, and
+    the shares that the documents have by nature and at these rates."""
     ship(found.sparkSession)
     want = np.array([(targets or TARGETS)[d] for d in DOMAINS])
     want = want / want.sum()
     names = [f"p_{d}" for d in DOMAINS]
-
-    def totals(history: list[np.ndarray], step: float) -> np.ndarray:
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(names))
-            for batch in batches:
-                n, *p = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-                p = np.stack(p, 1)
-                total += (rates(p, history, step)[1] * n) @ p
-            yield pa.RecordBatch.from_arrays([pa.array([t]) for t in total], names=names)
-
-        sums = found.select("n_tokens", *names).mapInArrow(add, ", ".join(f"{n} double" for n in names)).agg(*(F.sum(n).alias(n) for n in names)).first()
-        return np.array([s or 0.0 for s in sums])
-
-    natural = totals([], 0.0)
+    cell = sum((F.floor(F.col(n) * GRID + 1e-9) * (GRID + 1) ** i for i, n in enumerate(names[:-1])), F.lit(0)).alias("cell")
+    millionths = [F.sum(F.round(F.col(n) * 1_000_000).cast("long") * F.col("n_tokens")).alias(n) for n in names]
+    cells = found.groupBy(cell).agg(F.sum("n_tokens").alias("n_tokens"), *millionths).orderBy("cell").toPandas()  # (GRID + 1) ** (domains - 1) rows at most
+    rate = np.ones((GRID + 1) ** (len(DOMAINS) - 1))
+    tokens, totals = cells["n_tokens"].to_numpy(np.float64), cells[names].to_numpy(np.float64) / 1e6
+    natural = totals.sum(0)
     if natural.sum() == 0:
-        return [], 0.0
+        return rate, {}
     good = int(np.argmax(want))
     budget = natural[good] / want[good] if natural[good] else natural.sum()
-    step = 1.0 / (PULL + 1.0)  # with residuals by the natural totals, no step overshoots
-    history, now = [], natural
-    for _ in range(STEPS):
-        residual = (now - want * budget) / np.maximum(natural, 1.0)
-        if history and np.abs(residual - history[-1]).max() < CLOSE:
-            break
-        history.append(residual)
-        now = totals(history, step)
-    return history, step
-
-
-def with_rates(found: DataFrame, history: list[np.ndarray], step: float) -> DataFrame:
+    fitted = solve(tokens, totals, want * budget)
+    rate[cells["cell"].to_numpy(np.int64)] = fitted
+    reached = fitted @ totals
+    report = {d: {"target": float(w), "natural": float(n), "reached": float(r)} for d, w, n, r in zip(DOMAINS, want, natural / natural.sum(), reached / max(reached.sum(), 1e-9), strict=True)}
+    return rate, report
+
+
+def with_rates(found: DataFrame, rate: np.ndarray) -> DataFrame:
     names = [f"p_{d}" for d in DOMAINS]
+    shared = found.sparkSession.sparkContext.broadcast(rate)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, 2 + len(names))], 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(rates(p, history, step)[0], 4))], names=[*batch.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(shared.value[cell_of(p)], 4))], names=[*batch.schema.names, "rate"])
 
     kind = found.schema["doc_id"].dataType.simpleString()
     return found.select("doc_id", "n_tokens", *names).mapInArrow(final, f"doc_id {kind}, n_tokens long, " + ", ".join(f"{n} double" for n in names) + ", rate double")
@@ -202,22 +227,23 @@ def copies(ids: np.ndarray, rate: np.ndarray) -> np.ndarray:
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """doc_id, n_tokens, posteriors and rate of each document."""
     found = written(posteriors(docs, train(docs, label_domains(labels))), "mix-posteriors")
-    return with_rates(found, *fit_history(found, targets))
+    return with_rates(found, fit_rates(found, targets)[0])
 
 
 def resampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """``docs`` with each row taken as often as its rate says, and all its columns. A row's rate follows
-    from its text and the fitted residuals, so nothing is joined."""
+    from its text and the cells' rates, so nothing is joined."""
     weights = train(docs, label_domains(labels))
-    history, step = fit_history(written(posteriors(docs, weights), "mix-posteriors"), targets)
-    shared = docs.sparkSession.sparkContext.broadcast((weights, history, step))
+    found = written(posteriors(docs, weights), "mix-posteriors")
+    shared = docs.sparkSession.sparkContext.broadcast((weights, fit_rates(found, targets)[0]))
+    drop_written(found)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, history, step = shared.value
+        weights, rate = shared.value
         for batch, raw, at in slices(batches, "text"):
             p, _ = _posterior(raw, at, weights)
             ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
-            yield batch.take(pa.array(np.repeat(np.arange(batch.num_rows), copies(ids, np.round(rates(p, history, step)[0], 4)))))
+            yield batch.take(pa.array(np.repeat(np.arange(batch.num_rows), copies(ids, np.round(rate[cell_of(p)], 4)))))
 
     return docs.mapInArrow(take, docs.schema)
 
