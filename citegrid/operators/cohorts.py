@@ -6,9 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from citegrid.operators import ranking, stats
+from citegrid.operators import order, ranking, stats
 
 POLICIES = ("membership", "current", "none")
 
@@ -69,9 +68,8 @@ def _nearest(name: str, q: float) -> Column:
 def statistics(indices: DataFrame, cohort: DataFrame, metrics: Sequence[str] = ("p", "c", "c_frac", "h", "g", "i10")) -> DataFrame:
     """Description of the members with nearest-rank quartiles (CH7); skewness and kurtosis are 0 without variance."""
     long = stats.to_long(members_of(indices, cohort), metrics).filter("value is not null")
-    counts = long.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("times"))
-    run = Window.partitionBy("metric").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("upto", F.sum("times").over(run)).withColumn("n", F.sum("times").over(Window.partitionBy("metric")))
+    sizes = long.groupBy("metric").agg(F.count(F.lit(1)).alias("n"))
+    counts = order.value_counts(long).join(F.broadcast(sizes), "metric")  # a row for each metric
     quart = counts.groupBy("metric").agg(_nearest("q1", 0.25), _nearest("median", 0.5), _nearest("q3", 0.75))
     v = F.col("value")
     base = long.groupBy("metric").agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stddev"), F.skewness(v).alias("s"), F.kurtosis(v).alias("k"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from citegrid.operators import order
 from citegrid.sources.scratch import settled
 
 KEYS = ["run_id", "fraction_mode", "author_id"]
@@ -20,17 +21,18 @@ def percentile_rank(df: DataFrame, fields: dict[str, str], scope: list[str] = SC
     """Adds for each field its positive-only percentile: 0 up to 0, else the average rank among the positive
     values over their number (IX15).
 
-    Ranks come from counts of distinct values, so that only distinct values of a field are sorted
-    together, never the authors. Values that agree to nine decimals are tied. ``df`` must give the same
-    values each time it is read (see :func:`citegrid.sources.scratch.settled`)."""
-    for field, out in fields.items():
-        value = F.round(F.col(field).cast("double"), 9)
-        counts = df.filter(value > 0).groupBy(*scope, value.alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
-        run = Window.partitionBy(*scope).orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        upto = F.sum("_n").over(run)
-        ranked = counts.select(*scope, "_value", F.greatest(F.lit(floor), (upto - (F.col("_n") - 1) / 2) / F.sum("_n").over(Window.partitionBy(*scope))).alias(out))
-        df = df.withColumn("_value", value).join(ranked, [*scope, "_value"], "left").withColumn(out, F.coalesce(out, F.lit(0.0))).drop("_value")
-    return df
+    Ranks come from running counts of distinct values of all fields at once. Values that agree to nine decimals
+    are tied. ``df`` must give the same values each time it is read (see :func:`citegrid.sources.scratch.settled`);
+    ``scope`` and the author name its rows."""
+    keys = [*scope, "author_id"]
+    values = [F.round(F.col(f).cast("double"), 9).alias(out) for f, out in fields.items()]
+    long = df.select(*keys, *values).unpivot(keys, list(fields.values()), "_field", "_value").filter("_value > 0")
+    counts = order.value_counts(long, [*scope, "_field"], "_value")
+    sizes = long.groupBy(*scope, "_field").agg(F.count(F.lit(1)).alias("_size"))
+    rank = F.greatest(F.lit(floor), (F.col("upto") - (F.col("times") - 1) / 2) / F.col("_size"))
+    ranks = counts.join(F.broadcast(sizes), [*scope, "_field"]).select(*scope, "_field", "_value", rank.alias("_rank"))  # a row for each scope and field
+    told = long.join(ranks.hint("shuffle_merge"), [*scope, "_field", "_value"]).groupBy(*keys).agg(*(F.max(F.when(F.col("_field") == out, F.col("_rank"))).alias(out) for out in fields.values()))
+    return df.join(told.hint("shuffle_merge"), keys, "left").fillna(0.0, list(fields.values()))
 
 
 def base_indices(author_work: DataFrame, p0: float = 5.0, decay: float = 0.15, year: int = 2026) -> DataFrame:

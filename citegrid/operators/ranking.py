@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import order
 from .indices import METRICS
 
 GROUP = ["run_id", "fraction_mode", "metric_name"]
@@ -22,18 +23,14 @@ def long_metrics(indices: DataFrame, metrics: Sequence[str] = METRICS, keep: Seq
 def ratings(indices: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
     """Competition, dense and unique ranks of every metric (RK2, RK3).
 
-    Competition and dense ranks follow from counts of distinct scores; the unique rank adds the place among
-    authors with one score, so that a task sorts authors of one score and not of a whole metric."""
+    The unique rank is a running number along score and tie breaks; the competition rank is the least one of a
+    score; the dense rank is a running number of the scores."""
     rows = long_metrics(indices, metrics)
-    values = rows.groupBy(*GROUP, "score").agg(F.count(F.lit(1)).alias("_n"))
-    above = Window.partitionBy(*GROUP).orderBy(F.desc("score"))
-    values = values.select(
-        *GROUP, "score", (F.sum("_n").over(above.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n") + 1).cast("long").alias("rank_competition"), F.row_number().over(above).cast("long").alias("rank_dense")
-    )
-    tied = Window.partitionBy(*GROUP, "score").orderBy(F.desc("tie_break_c"), F.desc("tie_break_p"), "author_id")
-    place = (F.col("rank_competition") + F.row_number().over(tied) - 1).cast("long")
-    return rows.join(values, [*GROUP, "score"]).select(
-        *GROUP, "author_id", "author_display_name", "score", place.alias("position"), place.alias("rank_ordinal"), "rank_competition", "rank_dense", "tie_break_c", "tie_break_p", F.col("author_id").alias("tie_break_author_id")
+    placed = order.running(rows, [F.desc("score"), F.desc("tie_break_c"), F.desc("tie_break_p"), F.asc("author_id")], GROUP, {"position": F.lit(1)})
+    values = placed.groupBy(*GROUP, "score").agg(F.min("position").alias("rank_competition"))
+    values = order.running(values, [F.desc("score")], GROUP, {"rank_dense": F.lit(1)})
+    return placed.join(values, [*GROUP, "score"]).select(
+        *GROUP, "author_id", "author_display_name", "score", "position", F.col("position").alias("rank_ordinal"), "rank_competition", "rank_dense", "tie_break_c", "tie_break_p", F.col("author_id").alias("tie_break_author_id")
     )
 
 
@@ -51,14 +48,15 @@ def metric_ranking(indices: DataFrame, metric: str, limit: int = 20, direction:
     selection may first be cut to its ``data_limit`` best."""
     if metric not in indices.columns:
         raise ValueError(f"unknown metric: {metric}")
-    order = stable_order(indices.columns, metric, direction)
-    rows = indices.orderBy(*order).limit(data_limit) if data_limit else indices
+    along = stable_order(indices.columns, metric, direction)
+    rows = indices.orderBy(*along).limit(data_limit) if data_limit else indices
     values = rows.groupBy(metric).agg(F.count(F.lit(1)).alias("_n"))
     up = F.col(metric).asc_nulls_last() if direction == "asc" else F.col(metric).desc_nulls_last()
-    by = Window.orderBy(up)  # over distinct values
-    values = values.select(F.col(metric).alias("_value"), (F.sum("_n").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n") + 1).alias("rank_competition"), F.row_number().over(by).alias("rank_dense"), F.sum("_n").over(Window.partitionBy()).alias("total"))
-    best = rows.orderBy(*order).limit(limit)
-    numbered = best.withColumn("rank_ordinal", F.row_number().over(Window.orderBy(*order)))  # limit rows
+    values = order.running(values, [up], [], {"_upto": F.col("_n"), "rank_dense": F.lit(1)})
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    values = values.select(F.col(metric).alias("_value"), (F.col("_upto") - F.col("_n") + 1).alias("rank_competition"), "rank_dense").crossJoin(F.broadcast(total))  # one row
+    best = rows.orderBy(*along).limit(limit)
+    numbered = best.withColumn("rank_ordinal", F.row_number().over(Window.orderBy(*along)))  # limit rows
     return numbered.join(values, F.col(metric).eqNullSafe(F.col("_value"))).select(
         "author_id", "author_display_name", F.col(metric).cast("double").alias("score"), F.col("rank_ordinal").cast("long"), F.col("rank_competition").cast("long"), F.col("rank_dense").cast("long"), F.col("total").cast("long")
     )
@@ -75,9 +73,7 @@ def line_series(indices: DataFrame, rank_metric: str = "h", metrics: Sequence[st
 
 def competition_ranks(long: DataFrame, by: str = "metric", value: str = "value") -> DataFrame:
     """``long`` with ``rank``: 1 + the number of greater values of the metric. Only distinct values are sorted."""
-    counts = long.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
-    above = Window.partitionBy(by).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = counts.select(by, value, (F.sum("_n").over(above) - F.col("_n") + 1).cast("long").alias("rank"))
+    ranks = order.value_counts(long, [by], value, descending=True).select(by, value, (F.col("upto") - F.col("times") + 1).alias("rank"))
     return long.join(ranks, [by, value])
 
 
@@ -91,25 +87,22 @@ def rank_deltas(ranked: DataFrame, baseline: str = "h") -> DataFrame:
 def rank_delta_summary(ranked: DataFrame, baseline: str = "h") -> DataFrame:
     """Median, 90th percentile, maximum and share up to 5 of the absolute shifts (RK8)."""
     d = F.col("abs_rank_delta")
-    return rank_deltas(ranked, baseline).groupBy("metric").agg(
-        F.count(F.lit(1)).alias("n_common_authors"),
-        F.percentile(d, 0.5).alias("median_abs_delta"),
-        F.percentile(d, 0.9).alias("p90_abs_delta"),
-        F.max(d).cast("double").alias("max_abs_delta"),
-        F.avg(F.when(d <= 5, 1.0).otherwise(0.0)).alias("share_abs_delta_le_5"),
-    )
+    deltas = rank_deltas(ranked, baseline).withColumn("abs_rank_delta", d.cast("double"))
+    cuts = order.quantiles(deltas, {"median_abs_delta": 0.5, "p90_abs_delta": 0.9}, value="abs_rank_delta").drop("unique_count")
+    rest = deltas.groupBy("metric").agg(F.count(F.lit(1)).alias("n_common_authors"), F.max(d).alias("max_abs_delta"), F.avg(F.when(d <= 5, 1.0).otherwise(0.0)).alias("share_abs_delta_le_5"))
+    return rest.join(F.broadcast(cuts), "metric").select("metric", "n_common_authors", "median_abs_delta", "p90_abs_delta", "max_abs_delta", "share_abs_delta_le_5")  # a row for each metric
 
 
 def largest_shifts(ranked: DataFrame, baseline: str = "h", n: int = 20) -> DataFrame:
     """The ``n`` largest shifts of each metric; of ties at the edge, larger author ids (RK9)."""
-    order = Window.partitionBy("metric").orderBy(F.desc("abs_rank_delta"), F.desc("author_id"))
-    return rank_deltas(ranked, baseline).withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= n).drop("_rn")
+    best = Window.partitionBy("metric").orderBy(F.desc("abs_rank_delta"), F.desc("author_id"))
+    return rank_deltas(ranked, baseline).withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= n).drop("_rn")
 
 
 def top_positions(ranked: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` authors of each metric by (rank, author id), with their position."""
-    order = Window.partitionBy("metric").orderBy("rank", "author_id")
-    return ranked.select("metric", "author_id", "rank").withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= limit)
+    best = Window.partitionBy("metric").orderBy("rank", "author_id")
+    return ranked.select("metric", "author_id", "rank").withColumn("pos", F.row_number().over(best)).filter(F.col("pos") <= limit)
 
 
 def top_overlap(ranked: DataFrame, top_n: int = 100) -> DataFrame:
@@ -131,8 +124,8 @@ def top_overlap(ranked: DataFrame, top_n: int = 100) -> DataFrame:
 def concentration(long: DataFrame) -> DataFrame:
     """Share of a metric's total that its first 10 and 20 authors hold (RK11)."""
     v = F.greatest(F.col("value"), F.lit(0.0))
-    order = Window.partitionBy("metric").orderBy(F.desc("_v"), "author_id")
-    top = long.filter("value is not null").withColumn("_v", v).withColumn("_rn", F.row_number().over(order)).filter("_rn <= 20")
+    best = Window.partitionBy("metric").orderBy(F.desc("_v"), "author_id")
+    top = long.filter("value is not null").withColumn("_v", v).withColumn("_rn", F.row_number().over(best)).filter("_rn <= 20")
     best = top.groupBy("metric").agg(F.sum(F.when(F.col("_rn") <= 10, F.col("_v"))).alias("t10"), F.sum("_v").alias("t20"))
     total = long.groupBy("metric").agg(F.sum(v).alias("total"))
     return total.join(best, "metric", "left").select("metric", F.try_divide("t10", "total").alias("top10_share"), F.try_divide("t20", "total").alias("top20_share"))

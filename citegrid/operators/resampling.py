@@ -8,18 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from citegrid.operators import stats
+from citegrid.operators import order, stats
+from citegrid.sources.scratch import settled
 
 
 def ordinal_ranks(rows: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """A row for each author and metric with its unique rank: by value, c, p (all descending), author id."""
     keep = [F.col("c").cast("double").alias("tie_c"), F.col("p").cast("double").alias("tie_p")]
     long = rows.select("author_id", *keep, *(F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in metrics)).unpivot(["author_id", "tie_c", "tie_p"], list(metrics), "metric", "value")
-    counts = long.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("_n"))
-    above = Window.partitionBy("metric").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = counts.select("metric", "value", (F.sum("_n").over(above) - F.col("_n")).alias("_above"))
-    tied = Window.partitionBy("metric", "value").orderBy(F.desc("tie_c"), F.desc("tie_p"), "author_id")
-    return long.join(counts, ["metric", "value"]).withColumn("rank", (F.col("_above") + F.row_number().over(tied)).cast("double")).select("author_id", "metric", "value", "rank")
+    placed = order.running(long, [F.desc("value"), F.desc("tie_c"), F.desc("tie_p"), F.asc("author_id")], ["metric"], {"rank": F.lit(1)})
+    return placed.select("author_id", "metric", "value", F.col("rank").cast("double").alias("rank"))
 
 
 def ordinal_spearman(rows: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -39,8 +37,7 @@ def bootstrap(rows: DataFrame, pairs: Sequence[tuple[str, str]], iterations: int
     iterations = max(10, min(iterations, 10_000))
     names = sorted({m for p in pairs for m in p})
     wide = ordinal_ranks(rows, names).groupBy("author_id").pivot("metric", names).agg(F.first("rank"))
-    order = Window.orderBy("author_id")
-    numbered = wide.withColumn("slot", F.row_number().over(order) - 1)  # the authors of one selection
+    numbered = order.running(wide, [F.asc("author_id")], [], {"place": F.lit(1)}).withColumn("slot", (F.col("place") - 1).cast("int")).drop("place")
     n = numbered.count()
     if n == 0:
         return rows.sparkSession.createDataFrame([], "metric_a string, metric_b string, n long, low double, high double, status string")
@@ -84,21 +81,33 @@ def permutation(rows: DataFrame, pairs: Sequence[tuple[str, str]], top_n: int =
 
 def holm(tests: DataFrame) -> DataFrame:
     """``tests`` (metric_a, metric_b, p_value) with Holm's adjusted p (RS3): a row for each pair of metrics."""
-    order = Window.orderBy("p_value", "metric_a", "metric_b")
-    ranked = tests.withColumn("i", F.row_number().over(order) - 1).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy()))
+    by = Window.orderBy("p_value", "metric_a", "metric_b")
+    ranked = tests.withColumn("i", F.row_number().over(by) - 1).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy()))
     step = F.least(F.lit(1.0), F.col("p_value") * (F.col("m") - F.col("i")))
-    return ranked.withColumn("p_holm", F.max(step).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("i", "m")
+    return ranked.withColumn("p_holm", F.max(step).over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("i", "m")
 
 
-def convergence(rows: DataFrame, pairs: Sequence[tuple[str, str]], sizes: Sequence[int] = (500, 1000, 2000, 5000)) -> DataFrame:
-    """Ordinal Spearman among the first authors by id, for growing numbers of them (RS4)."""
-    numbered = rows.withColumn("_pos", F.row_number().over(Window.orderBy("author_id")))  # the authors of one selection
+def convergence(rows: DataFrame, baseline: str = "h", sizes: Sequence[int] = (500, 1000, 2000, 5000), top_n: int = 20) -> DataFrame:
+    """How the order of the first authors by id nears that of all, for growing numbers of them (RS4): the correlation
+    of their places among themselves with their places in the whole order, and the shared authors of the two
+    lists' first ``top_n``."""
     n = rows.count()
+    full = ordinal_ranks(rows, [baseline]).select("author_id", F.col("rank").alias("full_rank"))
+    ties = rows.select("author_id", F.coalesce(F.col(baseline).cast("double"), F.lit(0.0)).alias("value"), F.col("c").cast("double").alias("tie_c"), F.col("p").cast("double").alias("tie_p"))
+    placed = settled(order.running(ties, [F.asc("author_id")], [], {"place": F.lit(1)}).join(full.hint("shuffle_merge"), "author_id"), "placed")
+    best = [F.desc("value"), F.desc("tie_c"), F.desc("tie_p"), F.asc("author_id")]
     out = None
-    for size in sorted({s for s in sizes if s < n} | {n}):
-        part = ordinal_spearman(numbered.filter(F.col("_pos") <= size).drop("_pos"), pairs).withColumn("size", F.lit(size).cast("long"))
-        out = part if out is None else out.unionByName(part)
-    return out.select("size", "metric_a", "metric_b", "value")
+    for size in sorted({s for s in sizes if 0 < s <= n} | ({n} if n else set())):
+        part = order.running(placed.filter(F.col("place") <= size), best, [], {"rank": F.lit(1)})
+        one = part.agg(F.count(F.lit(1)).alias("k"), F.corr("rank", "full_rank").alias("r"), F.count_if((F.col("rank") <= top_n) & (F.col("full_rank") <= top_n)).alias("top_overlap"))
+        one = one.select(
+            F.lit(size).cast("long").alias("prefix_size"), F.lit(n).cast("long").alias("full_size"), F.lit(size / n).alias("coverage_ratio"), F.when(F.col("k") >= 3, F.col("r")).alias("spearman_vs_full"),
+            "top_overlap", (F.col("top_overlap") / min(max(1, min(n, top_n)), size)).alias("top_overlap_rate"),
+        )
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return rows.sparkSession.createDataFrame([], "prefix_size long, full_size long, coverage_ratio double, spearman_vs_full double, top_overlap long, top_overlap_rate double")
+    return out
 
 
 def methodology(rows: DataFrame, metrics: Sequence[str]) -> DataFrame:

@@ -6,15 +6,13 @@ aggregation, so any number of metrics is one pass.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from statistics import NormalDist
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from citegrid.operators import ranking
+from citegrid.operators import order, ranking
 
 #: Finding thresholds.
 THRESHOLDS = {"skewness": (1.0, 2.0), "kurtosis": (3.0, 10.0), "normality_p": (0.05, 0.01), "zero_rate": (0.30, 0.60), "tie_rate": (0.30, 0.60)}
@@ -44,17 +42,18 @@ def metric_group(metric: Column) -> Column:
 def distribution(long: DataFrame) -> DataFrame:
     """Summary with the sample standard deviation (DS1)."""
     v = F.col("value")
-    q = lambda x: F.percentile(v, x)
-    return long.filter(v.isNotNull()).groupBy("metric").agg(
-        F.count(v).alias("n"), F.min(v).alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), F.avg(v).alias("mean"), q(0.75).alias("q3"), q(0.9).alias("p90"), F.max(v).alias("max"),
-        F.stddev_samp(v).alias("stddev"), F.count_distinct(v).alias("unique_count"), F.count_if(v == 0).alias("zero_count"), (F.count_if(v == 0) / F.count(v)).alias("zero_rate"),
-    )
+    cuts = order.quantiles(long, {"q1": 0.25, "median": 0.5, "q3": 0.75, "p90": 0.9})
+    rest = long.filter(v.isNotNull()).groupBy("metric").agg(
+        F.count(v).alias("n"), F.min(v).alias("min"), F.avg(v).alias("mean"), F.max(v).alias("max"), F.stddev_samp(v).alias("stddev"), F.count_if(v == 0).alias("zero_count"), (F.count_if(v == 0) / F.count(v)).alias("zero_rate")
+    )
+    return rest.join(F.broadcast(cuts), "metric").select("metric", "n", "min", "q1", "median", "mean", "q3", "p90", "max", "stddev", "unique_count", "zero_count", "zero_rate")  # a row for each metric
 
 
 def readiness(long: DataFrame) -> DataFrame:
     """Whether a histogram and a box plot can be drawn (DS3)."""
     v = F.col("value")
-    s = long.groupBy("metric").agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.75).alias("q3"))
+    s = long.groupBy("metric").agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    s = s.join(F.broadcast(order.quantiles(long, {"q1": 0.25, "q3": 0.75})), "metric", "left")  # a row for each metric
 
     def state(least: int, box: bool) -> Column:
         c = F.when(F.col("n") == 0, "no_data").when(F.col("n") < least, "not_enough_rows").when((F.col("lo") == 0) & (F.col("hi") == 0), "all_zero").when(F.col("lo") == F.col("hi"), "constant_values")
@@ -68,14 +67,14 @@ def describe(long: DataFrame) -> DataFrame:
     v = F.col("value")
     some = long.groupBy("metric").agg(
         F.count(F.lit(1)).alias("n_total"), F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stddev"),
-        F.percentile(v, F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)))).alias("q"), F.skewness(v).alias("s"), F.kurtosis(v).alias("k"),
-        F.count_distinct(v).alias("unique_count"), F.count_if(v == 0).alias("zeros"),
+        F.skewness(v).alias("s"), F.kurtosis(v).alias("k"), F.count_if(v == 0).alias("zeros"),
     )
-    q = lambda i: F.get("q", F.lit(i))
+    cuts = order.quantiles(long, {"q1": 0.25, "median": 0.5, "q3": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99})
+    some = some.join(F.broadcast(cuts), "metric", "left").withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))  # a row for each metric
     varies = F.coalesce(F.col("stddev") > 0, F.lit(False))
     some = some.select(
-        "metric", "n", (F.col("n_total") - F.col("n")).alias("missing"), "min", "max", "mean", "stddev", q(0).alias("q1"), q(1).alias("median"), q(2).alias("q3"), q(3).alias("p90"), q(4).alias("p95"), q(5).alias("p99"),
-        F.try_divide("stddev", "mean").alias("coefficient_of_variation"), (q(2) - q(0)).alias("iqr"), F.when(varies, F.col("s")).alias("skewness"), F.when(varies, F.col("k")).alias("excess_kurtosis"),
+        "metric", "n", (F.col("n_total") - F.col("n")).alias("missing"), "min", "max", "mean", "stddev", "q1", "median", "q3", "p90", "p95", "p99",
+        F.try_divide("stddev", "mean").alias("coefficient_of_variation"), (F.col("q3") - F.col("q1")).alias("iqr"), F.when(varies, F.col("s")).alias("skewness"), F.when(varies, F.col("k")).alias("excess_kurtosis"),
         "unique_count", F.try_divide("zeros", "n").alias("zero_rate"), F.try_divide(F.col("n") - F.col("unique_count"), F.col("n")).alias("tie_rate"),
     )
     fence = some.select("metric", (F.col("q1") - 1.5 * F.col("iqr")).alias("lo"), (F.col("q3") + 1.5 * F.col("iqr")).alias("hi"), (F.col("iqr") > 0).alias("on"))
@@ -85,7 +84,8 @@ def describe(long: DataFrame) -> DataFrame:
 
 def fences(long: DataFrame) -> DataFrame:
     v = F.col("value")
-    f = long.filter(v.isNotNull()).groupBy("metric").agg(F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.75).alias("q3"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    f = long.filter(v.isNotNull()).groupBy("metric").agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
+    f = f.join(F.broadcast(order.quantiles(long, {"q1": 0.25, "median": 0.5, "q3": 0.75}).drop("unique_count")), "metric")  # a row for each metric
     iqr = F.col("q3") - F.col("q1")
     return f.withColumns({"iqr": iqr, "lower_fence": F.when(iqr > 0, F.col("q1") - 1.5 * iqr), "upper_fence": F.when(iqr > 0, F.col("q3") + 1.5 * iqr)})
 
@@ -97,7 +97,7 @@ def boxplot(long: DataFrame, view: str = "all") -> DataFrame:
     if view == "nonzero":
         rows = rows.filter(v != 0)
     elif view == "central95":
-        cut = rows.groupBy("metric").agg(F.percentile(v, 0.025).alias("a"), F.percentile(v, 0.975).alias("b"))
+        cut = order.quantiles(rows, {"a": 0.025, "b": 0.975}).drop("unique_count")
         rows = rows.join(F.broadcast(cut), "metric").filter(v.between(F.col("a"), F.col("b"))).drop("a", "b")  # a row for each metric
     f = fences(rows)
     inside = v.between(F.coalesce("lower_fence", v), F.coalesce("upper_fence", v))
@@ -116,8 +116,8 @@ def boxplot_points(long: DataFrame, n: int = 10) -> DataFrame:
     rows = long.filter(v.isNotNull()).join(F.broadcast(fences(long)), "metric")
     flat = F.col("iqr") == 0
     rows = rows.filter((flat & (v != F.col("median"))) | (~flat & ((v < F.col("lower_fence")) | (v > F.col("upper_fence")))))
-    order = Window.partitionBy("metric").orderBy(F.desc(F.abs(v - F.col("median"))), "author_id")
-    return rows.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= n).select("metric", "author_id", "value", "rn")
+    farthest = Window.partitionBy("metric").orderBy(F.desc(F.abs(v - F.col("median"))), "author_id")
+    return rows.withColumn("rn", F.row_number().over(farthest)).filter(F.col("rn") <= n).select("metric", "author_id", "value", "rn")
 
 
 def outliers(long: DataFrame) -> DataFrame:
@@ -160,30 +160,40 @@ def qq_points(long: DataFrame, most: int = 101) -> DataFrame:
     """Up to ``most`` evenly spaced order statistics and the normal quantiles they stand against (DS10).
 
     Order statistics come from running counts of distinct values."""
-    counts = long.filter("value is not null").groupBy("metric", "value").agg(F.count(F.lit(1)).alias("n"))
-    run = Window.partitionBy("metric").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("metric")
-    counts = counts.select("metric", "value", F.sum("n").over(run).alias("upto"), "n", F.sum("n").over(whole).alias("total"))
-    totals = counts.groupBy("metric").agg(F.max("total").alias("total"))
+    counts = order.value_counts(long)
+    totals = counts.groupBy("metric").agg(F.max("upto").alias("total"))
     points = F.least(F.lit(most), F.col("total")).cast("int")
     place = F.when(points == 1, 0).otherwise(F.bround(F.col("i") * (F.col("total") - 1) / (points - 1))).cast("long")
     wanted = totals.select("metric", "total", F.explode(F.sequence(F.lit(0), points - 1)).alias("i")).select("metric", place.alias("index")).distinct()
-    at = wanted.join(counts.hint("shuffle_hash"), "metric").filter((F.col("index") >= F.col("upto") - F.col("n")) & (F.col("index") < F.col("upto")))
+    met = (F.col("index") >= F.col("upto") - F.col("times")) & (F.col("index") < F.col("upto"))
+    at = counts.join(F.broadcast(wanted), "metric").filter(met)  # most rows for each metric
+    return at.select("metric", F.col("index").cast("long"), normal_quantile((F.col("index") + 0.5) / F.col("total")).alias("theoretical"), F.col("value").alias("sample"))
+
+
+def normal_quantile(p: Column) -> Column:
+    """Where the standard normal distribution reaches ``p`` in (0, 1): a published rational
+    approximation with a relative error below 1.2e-9."""
+    # Coefficients of the published approximation.
+    a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+    b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)
+    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
 
-    def quantile(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        inverse = NormalDist().inv_cdf
-        for batch in batches:
-            yield batch.map(inverse)
+    def poly(x: Column, terms: Sequence[float], last: float | None = None) -> Column:
+        out = F.lit(terms[0])
+        for t in [*terms[1:], *([] if last is None else [last])]:
+            out = out * x + t
+        return out
 
-    normal = F.pandas_udf(quantile, "double")
-    return at.select("metric", F.col("index").cast("long"), normal((F.col("index") + 0.5) / F.col("total")).alias("theoretical"), F.col("value").alias("sample"))
+    tail = lambda q: poly(q, c) / poly(q, d, 1.0)
+    q = p - 0.5
+    middle = q * poly(q * q, a) / poly(q * q, b, 1.0)
+    return F.when(p < 0.02425, tail(F.sqrt(-2 * F.log(p)))).when(p > 1 - 0.02425, -tail(F.sqrt(-2 * F.log(1 - p)))).otherwise(middle)
 
 
 def average_ranks(long: DataFrame) -> DataFrame:
     """Average rank of each value, ascending (DS11), from counts of distinct values."""
-    counts = long.filter("value is not null").groupBy("metric", "value").agg(F.count(F.lit(1)).alias("_n"))
-    run = Window.partitionBy("metric").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.select("metric", "value", (F.sum("_n").over(run) - (F.col("_n") - 1) / 2).alias("avg_rank"))
+    ranks = order.value_counts(long).select("metric", "value", (F.col("upto") - (F.col("times") - 1) / 2).alias("avg_rank"))
     return long.join(ranks, ["metric", "value"]).select("metric", "author_id", "value", "avg_rank")
 
 
@@ -324,8 +334,8 @@ def severity_order(severity: Column) -> Column:
 
 def finding_summary(found: DataFrame) -> DataFrame:
     """Counts by severity, candidates and the first eight limitations (DS19)."""
-    order = F.struct(severity_order(F.col("severity")).alias("o"), "type", "metric", "id")
-    limits = F.collect_list(F.when(F.col("severity").isin("high", "medium") & (F.col("type") != "balanced_candidate_metric"), order))
+    first = F.struct(severity_order(F.col("severity")).alias("o"), "type", "metric", "id")
+    limits = F.collect_list(F.when(F.col("severity").isin("high", "medium") & (F.col("type") != "balanced_candidate_metric"), first))
     return found.agg(
         F.count(F.lit(1)).alias("n_findings"), F.count_if(F.col("severity") == "high").alias("high_count"), F.count_if(F.col("severity") == "medium").alias("medium_count"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("type") == "balanced_candidate_metric", F.col("metric")))), ",").alias("candidate_metrics"),

@@ -248,7 +248,7 @@ def holm(t: Tables) -> DataFrame:
 
 
 def convergence(t: Tables) -> DataFrame:
-    return rounded(resampling.convergence(_six(t), [("h", "c_frac")], sizes=(500, 1000)))
+    return rounded(resampling.convergence(_six(t)))
 
 
 def _six(t: Tables) -> DataFrame:

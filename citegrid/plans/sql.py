@@ -232,7 +232,11 @@ SELECT metric, d.n, missing, {r("min", "max", "mean", "stddev", "q1", "median",
     + ", ".join(f"round(max(value) FILTER (i = round_even((nn - 1) * {q}, 0)), 6) AS {n}" for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)))
     + ", round(max(value), 6) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stddev FROM l2 JOIN mm USING (metric) GROUP BY metric, mm.n",
     "rs3_holm": "WITH t AS (SELECT s_suppkey AS metric_a, s_nationkey AS metric_b, (s_suppkey + 1) / 1000.0::DOUBLE AS p_value FROM supplier WHERE s_suppkey < 40), k AS (SELECT *, row_number() OVER (ORDER BY p_value, metric_a, metric_b) - 1 AS i, count(*) OVER () AS m FROM t) SELECT metric_a, metric_b, round(p_value, 6) AS p_value, round(max(least(1.0, p_value * (m - i))) OVER (ORDER BY p_value, metric_a, metric_b ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM k",
-    "rs4_convergence": f"{STRICT}, a AS (SELECT *, row_number() OVER (ORDER BY author_id) AS pos FROM s), z AS (SELECT size FROM (SELECT unnest([500, 1000]) AS size) WHERE size < (SELECT count(*) FROM s) UNION ALL SELECT count(*) FROM s), rr AS (SELECT z.size, row_number() OVER (PARTITION BY z.size ORDER BY h DESC, c DESC, p DESC, author_id) AS rh, row_number() OVER (PARTITION BY z.size ORDER BY c_frac DESC, c DESC, p DESC, author_id) AS rf FROM a JOIN z ON pos <= size) SELECT CAST(size AS BIGINT) AS size, 'h' AS metric_a, 'c_frac' AS metric_b, round(corr(rh, rf), 6) AS value FROM rr GROUP BY size",
+    "rs4_convergence": f"""{STRICT}, a AS (SELECT *, row_number() OVER (ORDER BY author_id) AS pos, row_number() OVER (ORDER BY h DESC, c DESC, p DESC, author_id) AS full_rank, count(*) OVER () AS n FROM s),
+z AS (SELECT DISTINCT size, n FROM (SELECT unnest([500, 1000, 2000, 5000, n]) AS size, n FROM (SELECT count(*) AS n FROM s)) WHERE size <= n),
+rr AS (SELECT z.size, z.n, full_rank, row_number() OVER (PARTITION BY z.size ORDER BY h DESC, c DESC, p DESC, author_id) AS own FROM a JOIN z ON pos <= size)
+SELECT CAST(size AS BIGINT) AS prefix_size, CAST(n AS BIGINT) AS full_size, round(size / n::DOUBLE, 6) AS coverage_ratio, round(corr(own, full_rank), 6) AS spearman_vs_full, count(*) FILTER (own <= 20 AND full_rank <= 20) AS top_overlap,
+round(count(*) FILTER (own <= 20 AND full_rank <= 20) / least(20, n, size)::DOUBLE, 6) AS top_overlap_rate FROM rr GROUP BY size, n""",
     "rs5_methodology": f"{STRICT}, {long(['h', 'c', 'n_truncated_works'])} SELECT metric, count(DISTINCT round(value, 12)) <= 1 AS \"constant\", max(abs(value)) = 0 AS all_zero, CASE WHEN count(DISTINCT round(value, 12)) <= 1 THEN 'constant_metric' ELSE 'ok' END AS status FROM lg GROUP BY metric",
     "rs6_ordinal_spearman": f"{STRICT}, rr AS (SELECT " + ", ".join(f"row_number() OVER (ORDER BY {m} DESC, c DESC, p DESC, author_id) AS {m}" for m in ("h", "c_frac", "g")) + " FROM s) " + " UNION ALL ".join(f"SELECT '{a}' AS metric_a, '{b}' AS metric_b, count(*) AS n, round(corr({a}, {b}), 6) AS value FROM rr" for a, b in (("h", "c_frac"), ("h", "g"))),
 }
