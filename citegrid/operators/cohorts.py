@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrid.operators import order, ranking, stats
+from citegrid.operators import filters, order, ranking, stats, tables
 
 POLICIES = ("membership", "current", "none")
 
@@ -42,15 +42,22 @@ def members_of(indices: DataFrame, cohort: DataFrame) -> DataFrame:
     return indices.join(cohort.select("author_id").distinct(), "author_id", "left_semi")
 
 
-def resolve(indices: DataFrame, cohort: DataFrame, policy: str, saved: Column | None = None, current: Column | None = None, scope: tuple[str, str] | None = None, wanted: tuple[str, str] | None = None) -> DataFrame:
-    """The rows that a cohort stands for (CH5): its members with no filter, under its own, or under the current one."""
+def context(saved: Mapping[str, object], wanted: Mapping[str, object], policy: str = "membership", scope: tuple[str, ...] = (), asked: tuple[str, ...] = ()) -> tuple[dict, str]:
+    """The filters that a cohort is analysed under, and their label (CH5): its own, the request's, or none. ``scope``
+    (run, dump, mode) must not differ from what is asked for, where both are set."""
     if policy not in POLICIES:
         raise ValueError(f"unknown policy: {policy}")
-    if scope and wanted and scope != wanted:
-        raise ValueError("the cohort belongs to another run or dump")
-    rows = members_of(indices, cohort)
-    keep = {"membership": saved, "current": current, "none": None}[policy]
-    return rows if keep is None else rows.filter(keep)
+    if any(a and b and a != b for a, b in zip(scope, asked, strict=False)):
+        raise ValueError("the cohort belongs to another run, dump or mode")
+    own, request = filters.clean(saved), filters.clean(wanted)
+    chosen = {"membership": own, "current": request, "none": {}}[policy]
+    return chosen, "no_analysis_filters" if not chosen else "membership_filters" if chosen == own else "analysis_override"
+
+
+def resolve(cohort: DataFrame, chosen: tuple[dict, str], precomputed: DataFrame, author_work: DataFrame, works: DataFrame, authorships: DataFrame, topics: DataFrame, mode: str) -> DataFrame:
+    """The members' indices under a context (CH5): stored ones without filters, else computed anew on the slice."""
+    rows = tables.selected_indices(precomputed, author_work, works, authorships, topics, mode, chosen[0], cohort)
+    return rows.withColumn("resolved_filter_mode", F.lit(chosen[1]))
 
 
 def metrics_page(indices: DataFrame, cohort: DataFrame, metric: str, limit: int = 100, offset: int = 0) -> DataFrame:
@@ -86,6 +93,7 @@ def histograms(indices: DataFrame, cohort: DataFrame, metrics: Sequence[str] = (
 
 def trace(result: DataFrame, inputs: dict[str, str]) -> DataFrame:
     """A stable fingerprint of a decision run (CH8): its inputs and the rows of its result, in any order."""
-    rows = result.select(F.xxhash64(*sorted(result.columns)).cast("decimal(38,0)").alias("h")).agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("h"), F.lit(0)).cast("string").alias("rows"))
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(result.columns)))), 1, 15), 16, 10)
+    rows = result.select(h.cast("decimal(38,0)").alias("h")).agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("h"), F.lit(0)).cast("string").alias("rows"))
     told = "\n".join(f"{k}={v}" for k, v in sorted(inputs.items()))
     return rows.select("n_rows", F.sha2(F.concat_ws("\n", F.lit(told), "n_rows", "rows"), 256).alias("trace"))

@@ -64,8 +64,9 @@ def metric_id(raw: str, number: int = 1) -> str:
 
 def names_in(expression: str) -> set[str]:
     """Fields that a formula reads (UD4), ``pr_`` ones with the prefix."""
-    called = {id(n.func) for n in ast.walk(ast.parse(expression, mode="eval")) if isinstance(n, ast.Call)}
-    return {n.id for n in ast.walk(ast.parse(expression, mode="eval")) if isinstance(n, ast.Name) and n.id not in CONSTANTS and n.id not in FUNCTIONS and id(n) not in called}
+    tree = ast.parse(expression, mode="eval")
+    called = {id(n.func) for n in ast.walk(tree) if isinstance(n, ast.Call)}
+    return {n.id for n in ast.walk(tree) if isinstance(n, ast.Name) and n.id not in CONSTANTS and n.id not in FUNCTIONS and id(n) not in called}
 
 
 def compile_formula(expression: str, fields: dict[str, Column]) -> Column:
@@ -139,18 +140,31 @@ def resolve_template(template: str, parameters: dict[str, float]) -> str:
 
 
 def validate(rows: DataFrame, metric: Metric, against: Sequence[str] = ("p", "c", "c_frac", "h", "g", "i10"), top_n: int = 20) -> DataFrame:
-    """How a formula's ranking compares with known metrics (UD6): ordinal Spearman, shared top authors, tie rate."""
-    from citegrid.operators.resampling import ordinal_spearman
+    """How a formula's ranking compares with known metrics (UD6): Spearman of unique ranks, the shared part of the
+    first ``top_n`` authors, tie rate, correlation with the number of co-authors, and warnings."""
+    from citegrid.operators.resampling import ordinal_ranks
 
+    names = [metric.id, *against]
     df = with_metrics(rows, [metric])
-    long = stats.to_long(df, [metric.id, *against])
-    ranked = ranking.competition_ranks(long)
-    rho = ordinal_spearman(df, [(metric.id, m) for m in against]).select("metric_b", F.col("value").alias("spearman"))
-    shared = ranking.top_overlap(ranked, top_n).filter((F.col("metric_a") == metric.id) & (F.col("cut") == top_n)).select("metric_b", F.col("overlap").alias("top_overlap"))
-    tie = df.agg((1 - F.count_distinct(F.round(metric.id, 12)) / F.count(F.lit(1))).alias("tie_rate"))
-    out = rho.join(shared.hint("shuffle_hash"), "metric_b").crossJoin(F.broadcast(tie))  # one row
-    warning = F.when(F.col("tie_rate") > 0.5, "high_tie_rate").when(F.col("spearman") > 0.98, "nearly_identical")
-    return out.select(F.lit(metric.id).alias("metric"), F.col("metric_b").alias("compared_with"), "spearman", "top_overlap", "tie_rate", warning.alias("warning"))
+    wide = ordinal_ranks(df, names).groupBy("author_id").pivot("metric", names).agg(F.first("rank"))
+    mine = F.col(metric.id)
+    each = [F.struct(F.lit(m).alias("compared_with"), F.corr(mine, m).alias("spearman"), F.count_if((mine <= top_n) & (F.col(m) <= top_n)).alias("top_overlap")).alias(f"s{i}") for i, m in enumerate(against)]
+    out = wide.agg(F.count(F.lit(1)).alias("n_authors"), *each)
+    out = out.select("n_authors", F.explode(F.array(*(f"s{i}" for i in range(len(against))))).alias("s")).select("n_authors", "s.*")
+    kinds = df.groupBy(F.round(metric.id, 12).alias("v")).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"))
+    tie = kinds.select((1 - F.try_divide("kinds", "n")).alias("tie_rate"))
+    authors = df.agg(F.corr(F.coalesce(F.col(metric.id), F.lit(0.0)), F.coalesce("mean_authors_per_work", F.lit(0.0))).alias("coauthorship_score_correlation")) if "mean_authors_per_work" in df.columns else df.agg(F.lit(None).cast("double").alias("coauthorship_score_correlation"))
+    out = out.crossJoin(F.broadcast(tie)).crossJoin(F.broadcast(authors))  # one row each
+    warning = F.when(F.col("tie_rate") > 0.5, "high_tie_rate").when(F.col("spearman") > 0.98, "duplicates_core_metric")
+    rate = F.try_divide("top_overlap", F.least(F.lit(top_n), F.col("n_authors")))
+    return out.select(F.lit(metric.id).alias("metric"), "compared_with", "n_authors", "spearman", "top_overlap", rate.alias("top_overlap_rate"), "tie_rate", "coauthorship_score_correlation", warning.alias("warning"))
+
+
+def validation(rows: DataFrame, metric: Metric, top_n: int = 20) -> dict[str, DataFrame]:
+    """The whole report on a formula (UD6): comparison, distribution, readiness for charts, and its first authors."""
+    df = with_metrics(rows, [metric])
+    long = stats.to_long(df, [metric.id])
+    return {"comparison": validate(rows, metric, top_n=top_n), "distribution": stats.distribution(long), "readiness": stats.readiness(long), "ranking_preview": ranking.metric_ranking(df, metric.id, top_n)}
 
 
 def save_metric(saved: DataFrame, new: DataFrame) -> DataFrame:

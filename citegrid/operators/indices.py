@@ -24,6 +24,8 @@ def percentile_rank(df: DataFrame, fields: dict[str, str], scope: list[str] = SC
     Ranks come from running counts of distinct values of all fields at once. Values that agree to nine decimals
     are tied. ``df`` must give the same values each time it is read (see :func:`citegrid.sources.scratch.settled`);
     ``scope`` and the author name its rows."""
+    if not fields:
+        return df
     keys = [*scope, "author_id"]
     values = [F.round(F.col(f).cast("double"), 9).alias(out) for f, out in fields.items()]
     long = df.select(*keys, *values).unpivot(keys, list(fields.values()), "_field", "_value").filter("_value > 0")

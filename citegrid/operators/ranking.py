@@ -62,6 +62,19 @@ def metric_ranking(indices: DataFrame, metric: str, limit: int = 20, direction:
     )
 
 
+def ranking_rows(indices: DataFrame, metric: str, visible: Sequence[str] = (), limit: int = 20, most: int = 500, direction: str = "desc") -> DataFrame:
+    """The rows of a ranking table (RK5): by score, citations, publications (descending) and author id; ascending is
+    that order backwards, ties too. ``rank_competition`` counts from the end that is shown first."""
+    score = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    up = direction == "asc"
+    rows = indices.withColumn("_score", score(metric))
+    along = [score(c).asc() if up else score(c).desc() for c in (metric, "c", "p")] + [F.desc("author_id") if up else F.asc("author_id")]
+    shown = max(0, min(limit, max(1, most)))
+    ranks = order.value_counts(rows, [], "_score", descending=not up).select("_score", (F.col("upto") - F.col("times") + 1).alias("rank_competition"))
+    best = rows.orderBy(*along).limit(shown) if shown else rows
+    return best.join(ranks, "_score").select("author_id", "author_display_name", F.col("_score").alias("score"), *visible, "rank_competition")
+
+
 def line_series(indices: DataFrame, rank_metric: str = "h", metrics: Sequence[str] = ("p", "c", "h", "g"), limit: int = 30) -> DataFrame:
     """The best authors with each metric scaled to 0-100 over the whole selection (RK6)."""
     limit = min(limit, 100)

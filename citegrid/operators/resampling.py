@@ -28,8 +28,8 @@ def ordinal_spearman(rows: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataF
     return found.select(F.col("a").alias("metric_a"), F.col("b").alias("metric_b"), "n", F.when(F.col("n") >= 3, F.col("value")).alias("value"))
 
 
-def bootstrap(rows: DataFrame, pairs: Sequence[tuple[str, str]], iterations: int = 200, seed: int = 42) -> DataFrame:
-    """2.5 % and 97.5 % bounds of the ordinal Spearman over resamples of the authors (RS1).
+def bootstrap(rows: DataFrame, pairs: Sequence[tuple[str, str]], iterations: int = 200, seed: int = 42, sample_size: int = 0) -> DataFrame:
+    """The ordinal Spearman and its 2.5 % and 97.5 % bounds over resamples of ``sample_size`` (or all) authors (RS1).
 
     Authors are numbered by id. Each iteration draws as many slots as there are authors, by hash, and counts
     draws for each author; an author's rank in a resample is the running count of draws in the metric's order,
@@ -39,9 +39,10 @@ def bootstrap(rows: DataFrame, pairs: Sequence[tuple[str, str]], iterations: int
     wide = ordinal_ranks(rows, names).groupBy("author_id").pivot("metric", names).agg(F.first("rank"))
     numbered = order.running(wide, [F.asc("author_id")], [], {"place": F.lit(1)}).withColumn("slot", (F.col("place") - 1).cast("int")).drop("place")
     n = numbered.count()
-    if n == 0:
-        return rows.sparkSession.createDataFrame([], "metric_a string, metric_b string, n long, low double, high double, status string")
-    draws = rows.sparkSession.range(iterations).select(F.col("id").alias("iteration"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+    drawn_size = max(2, min(n, sample_size or n))
+    if n < 3 or drawn_size < 3:
+        return rows.sparkSession.createDataFrame([], "metric_a string, metric_b string, iterations long, sample_size long, estimate double, ci_low double, ci_high double, status string")
+    draws = rows.sparkSession.range(iterations).select(F.col("id").alias("iteration"), F.explode(F.sequence(F.lit(0), F.lit(drawn_size - 1))).alias("k"))
     drawn = draws.select("iteration", F.pmod(F.xxhash64(F.lit(seed), "iteration", "k"), F.lit(n)).cast("int").alias("slot")).groupBy("iteration", "slot").agg(F.count(F.lit(1)).alias("times"))
     sample = drawn.join(numbered.hint("shuffle_hash"), "slot")
     ranks = {m: F.sum("times").over(Window.partitionBy("iteration").orderBy(m).rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias(m) for m in names}
@@ -53,9 +54,17 @@ def bootstrap(rows: DataFrame, pairs: Sequence[tuple[str, str]], iterations: int
     each = sample.groupBy("iteration").agg(*structs).select("iteration", F.explode(F.array(*(f"s{i}" for i in range(len(pairs))))).alias("s")).select("iteration", "s.*")
     rho = each.withColumn("rho", stats._correlation())
     constant = methodology(rows, names).filter("constant").agg(F.collect_set("metric").alias("flat"))
-    out = rho.groupBy("a", "b").agg(F.count("rho").alias("n"), F.percentile("rho", 0.025).alias("low"), F.percentile("rho", 0.975).alias("high")).crossJoin(F.broadcast(constant))  # one row
+    out = rho.groupBy("a", "b").agg(F.count("rho").alias("n"), F.percentile("rho", 0.025).alias("low"), F.percentile("rho", 0.975).alias("high")).crossJoin(F.broadcast(constant))  # one row; iterations values a pair
     flat = F.array_contains("flat", F.col("a")) | F.array_contains("flat", F.col("b"))
-    return out.select(F.col("a").alias("metric_a"), F.col("b").alias("metric_b"), "n", F.when(~flat, F.col("low")).alias("low"), F.when(~flat, F.col("high")).alias("high"), F.when(flat, "constant_metric").otherwise("ok").alias("status"))
+    whole = _moments_of_ranks(wide, pairs).select("a", "b", F.col("value").alias("whole"))
+    return out.join(F.broadcast(whole), ["a", "b"]).select(  # a row for each pair
+        F.col("a").alias("metric_a"), F.col("b").alias("metric_b"), F.when(flat, 0).otherwise(F.col("n")).cast("long").alias("iterations"), F.lit(drawn_size).cast("long").alias("sample_size"),
+        F.when(~flat, F.col("whole")).alias("estimate"), F.when(~flat, F.col("low")).alias("ci_low"), F.when(~flat, F.col("high")).alias("ci_high"), F.when(flat, "constant_metric").otherwise("ok").alias("status"),
+    )
+
+
+def _moments_of_ranks(wide: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    return stats._moments(wide, pairs).withColumn("value", stats._correlation())
 
 
 def permutation(rows: DataFrame, pairs: Sequence[tuple[str, str]], top_n: int = 20, iterations: int = 200, seed: int = 42) -> DataFrame:

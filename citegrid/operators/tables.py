@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,13 +13,16 @@ from pyspark.sql.window import Window
 from citegrid.functions.columns import any_of, short_id, to_double
 from citegrid.operators import filters, formulas, indices, ranking
 
+#: The columns that a text is looked for in.
 SEARCHABLE = {
-    "works": ("work_id", "display_name", "doi", "source_display_name", "primary_topic_display_name"),
-    "authorships": ("work_id", "author_id", "author_display_name", "author_orcid"),
-    "author_work": ("work_id", "author_id", "author_display_name"),
-    "indices": ("author_id", "author_display_name"),
-    "ratings": ("author_id", "author_display_name", "metric_name"),
-    "work_topics": ("work_id", "topic_id", "topic_display_name"),
+    "indices": ("author_display_name", "author_id", "orcid"),
+    "ratings": ("author_display_name", "author_id", "metric_name"),
+    "works": ("display_name", "doi", "work_id", "source_display_name", "primary_topic_display_name"),
+    "authorships": ("author_display_name", "author_id", "work_id", "institution_display_name"),
+    "author_work": ("author_display_name", "author_id", "work_id", "work_display_name"),
+    "work_topics": ("work_id", "topic_display_name", "subfield_display_name", "field_display_name"),
+    "author_institutions": ("work_id", "author_id", "institution_id", "institution_display_name", "country_code"),
+    "author_countries": ("work_id", "author_id", "country_code"),
 }
 
 
@@ -77,16 +82,37 @@ def related_authors(rows: DataFrame, relation: DataFrame, column: str, text: str
 
 
 def after(columns: Sequence[str], sort: str, direction: str, last: Mapping[str, object]) -> Column:
-    """Rows that come after the one with the values ``last`` in the stable order (P8)."""
-    order = [(sort, direction == "desc")] + [(c, d) for c, d in (("c", True), ("p", True), ("author_display_name", False), ("author_id", False), ("work_id", False)) if c in columns and c != sort]
+    """Rows that come after the one with the values ``last`` in the stable order (P8). Nulls stand where the order
+    puts them: last in the chosen column, else first where ascending and last where descending."""
+    order = [(sort, direction == "desc", True)] + [(c, d, d) for c, d in (("c", True), ("p", True), ("author_display_name", False), ("author_id", False), ("work_id", False)) if c in columns and c != sort]
     out, equal = F.lit(False), F.lit(True)
-    for name, down in order:
-        v = F.lit(last[name])
-        out = out | (equal & ((F.col(name) < v) if down else (F.col(name) > v)))
-        equal = equal & (F.col(name) == v)
+    for name, down, nulls_last in order:
+        c, v = F.col(name), F.lit(last[name])
+        if last[name] is None:
+            past = F.lit(False) if nulls_last else c.isNotNull()
+        else:
+            past = F.coalesce(c < v if down else c > v, F.lit(nulls_last))
+        out = out | (equal & past)
+        equal = equal & c.eqNullSafe(v)
     return out
 
 
+def cursor_text(row: Mapping[str, object], columns: Sequence[str], sort: str, direction: str = "desc") -> str:
+    """A page's last row as an opaque text, from which :func:`cursor_values` gives ``last`` for the next page."""
+    names = [sort, *(c for c in ("c", "p", "author_display_name", "author_id", "work_id") if c in columns and c != sort)]
+    plain = lambda v: v if v is None or isinstance(v, (str, int, float, bool)) else str(v)
+    told = {"v": 1, "sort": sort, "direction": direction, "values": {n: plain(row[n]) for n in names}}
+    return base64.urlsafe_b64encode(json.dumps(told, ensure_ascii=False).encode()).decode().rstrip("=")
+
+
+def cursor_values(text: str) -> dict[str, object]:
+    """The values of a cursor; none if it can't be read."""
+    try:
+        return dict(json.loads(base64.urlsafe_b64decode(text + "=" * (-len(text) % 4)))["values"])
+    except (ValueError, KeyError, TypeError):
+        return {}
+
+
 def query(df: DataFrame, table: str = "", q: str = "", data_filters: Mapping[str, Mapping] | None = None, sort: str = "", direction: str = "desc", limit: int = 100, offset: int = 0, last: Mapping[str, object] | None = None, select: Sequence[str] = (), **equals: str) -> DataFrame:
     """One page of a table (P1): exact filters, column filters, search, stable order, columns in table order (P9)."""
     validate(df, sort, data_filters)
@@ -171,9 +197,14 @@ def filtered_indices(author_work: DataFrame, works: DataFrame, authorships: Data
     rows = author_work.filter(F.col("fraction_mode") == mode) if mode else author_work
     rows = filters.filtered_author_work(rows, works, authorships, topics, slice_filters)
     done = indices.indices(rows)
-    people = rows.select("work_id", "author_id").distinct().join(affiliations(authorships), ["work_id", "author_id"])
-    places = people.groupBy("author_id").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("country_codes", r"[|]"))))), "|").alias("country_code"))
-    return done.join(places, "author_id", "left")
+    # The first place and subject that an author's works name, in the order of their ids; none leave null.
+    people = rows.select("work_id", "author_id").distinct()
+    places = affiliations(authorships.join(people, ["work_id", "author_id"], "left_semi")).select("work_id", "author_id", "country_codes")
+    told = people.join(places.hint("shuffle_merge"), ["work_id", "author_id"], "left").join(works.select("work_id", "primary_topic_display_name"), "work_id", "left")
+    first = lambda c: F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("work_id")))
+    told = told.groupBy("author_id").agg(first("country_codes").alias("country_code"), first("primary_topic_display_name").alias("subject_name"))
+    scope = [F.lit("filtered_recomputed").alias("metric_scope"), F.lit("current filtered author set").alias("percentile_scope")]
+    return done.join(told.hint("shuffle_merge"), "author_id", "left").select(*done.columns, "country_code", "subject_name", *scope)
 
 
 def indices_of_selection(kind: str, table: DataFrame, author_work: DataFrame, data_filters: Mapping[str, Mapping], text: str = "") -> DataFrame:
@@ -186,7 +217,7 @@ def indices_of_selection(kind: str, table: DataFrame, author_work: DataFrame, da
 def selected_indices(precomputed: DataFrame, author_work: DataFrame, works: DataFrame, authorships: DataFrame, topics: DataFrame, mode: str, slice_filters: Mapping[str, object] | None = None, ids: DataFrame | None = None, custom: Sequence[formulas.Metric] = ()) -> DataFrame:
     """The author rows of a request (IX23): the stored indices where no work filter is set, else computed anew."""
     f = filters.clean(slice_filters)
-    rows = filtered_indices(author_work, works, authorships, topics, f, mode).drop("country_code") if f else precomputed.filter(F.col("fraction_mode") == mode)
+    rows = filtered_indices(author_work, works, authorships, topics, f, mode).drop("country_code", "subject_name", "metric_scope", "percentile_scope") if f else precomputed.filter(F.col("fraction_mode") == mode)
     return only_authors(formulas.with_metrics(rows, custom), ids)
 
 

@@ -143,11 +143,50 @@ def _topics_match(text: str) -> str:
     return " OR ".join(f"coalesce({c} ILIKE '%{text}%', false)" for c in ("display_name", "source_display_name", "primary_topic_display_name", "doi"))
 
 
+def _group(metric: str) -> str:
+    kinds = {"core": stats.CORE, "diagnostic": stats.DIAGNOSTIC, "experimental": stats.EXPERIMENTAL}
+    return "CASE " + " ".join(f"WHEN {metric} IN ({', '.join(repr(m) for m in of)}) THEN '{kind}'" for kind, of in kinds.items()) + " ELSE 'custom' END"
+
+
+WORK_COLUMNS = sorted(
+    ["work_id", "doi", "display_name", "publication_year", "publication_date", "type", "language", "cited_by_count", "open_access_is_oa", "has_abstract", "is_retracted", "is_paratext", "is_xpac", "is_authors_truncated"]
+    + ["authors_count_reported", "authorships_count_raw", "valid_author_ids_count", "primary_topic_id", "primary_topic_display_name", "primary_subfield_id", "primary_subfield_short_id", "primary_field_id", "primary_domain_id"]
+    + ["source_id", "source_display_name", "source_type"]
+)
 SQL: dict[str, str] = {
     "j1_works_authorships": f"{BASE} SELECT type, count(*) AS authorships, count(DISTINCT author_id) AS authors, CAST(sum(cited_by_count) AS BIGINT) AS citations FROM authorships JOIN works USING (work_id) GROUP BY type",
     "aw1_author_work": f"{CREDITED} SELECT * EXCLUDE (credit_weight, cited_credit, omitted_author_fraction), {r('credit_weight', 'cited_credit', 'omitted_author_fraction')} FROM author_work",
     "ix19_indices": f"{INDEXED} SELECT {INDEX_COLUMNS} FROM ix",
-    "ix20_filtered_indices": f"{_filtered('publication_date >= ' + chr(39) + '1997-01-01' + chr(39) + ' AND type IN (' + chr(39) + 'article' + chr(39) + ', ' + chr(39) + 'review' + chr(39) + ')', people=chr(39) + 'NA' + chr(39) + ' = country_codes_csv')} SELECT author_id, {', '.join(WHOLE)}, {r(*DOUBLES)} FROM fx",
+    "ix20_filtered_indices": f"""{_filtered("publication_date >= '1997-01-01' AND type IN ('article', 'review')", people="'NA' = country_codes_csv")},
+pl AS (SELECT fa.author_id, fa.work_id, cc, primary_topic_display_name AS sn FROM fa JOIN (SELECT work_id, author_id, string_agg(DISTINCT country_codes_csv, '|' ORDER BY country_codes_csv) AS cc FROM authorships GROUP BY 1, 2) USING (work_id, author_id) JOIN works USING (work_id)),
+pf AS (SELECT author_id, arg_min(cc, work_id) FILTER (cc <> '') AS country_code, arg_min(sn, work_id) FILTER (sn <> '') AS subject_name FROM pl GROUP BY 1)
+SELECT author_id, {', '.join(WHOLE)}, {r(*DOUBLES)}, country_code, subject_name, 'filtered_recomputed' AS metric_scope, 'current filtered author set' AS percentile_scope FROM fx LEFT JOIN pf USING (author_id)""",
+    "ix23_selected_indices": f"{INDEXED} SELECT author_id, {', '.join(WHOLE)}, {r(*DOUBLES)} FROM ix WHERE fraction_mode = 'strict_authors_count' AND author_id IN (SELECT author_id FROM authorships WHERE country_codes_csv = 'NB')",
+    "rk5_ascending_rows": f"{STRICT}, q AS (SELECT *, rank() OVER (ORDER BY g) AS rank_competition FROM s) SELECT author_id, author_display_name, CAST(g AS DOUBLE) AS score, p, round(c, 6) AS c, rank_competition FROM q ORDER BY g, c, p, author_id DESC LIMIT 60",
+    "rk7_bundle": f"{STRICT} SELECT author_id, author_display_name, CAST(g AS DOUBLE) AS score, row_number() OVER (ORDER BY g DESC, c DESC, p DESC, author_display_name, author_id) AS rank_ordinal, rank() OVER (ORDER BY g DESC) AS rank_competition, dense_rank() OVER (ORDER BY g DESC) AS rank_dense, count(*) OVER () AS total FROM s ORDER BY rank_ordinal LIMIT 15",
+    "sl5_subject": f"WITH {WORKS} SELECT work_id FROM works WHERE (primary_subfield_short_id = 'BUILDING' OR primary_subfield_id ILIKE '%/BUILDING') AND publication_date <= '1997-06-30' AND has_abstract",
+    "sl13_text_in_slice": f"""{CREDITED},{TOPICS}, fw AS (SELECT * FROM works WHERE language = 'l2' AND (work_id IN (SELECT work_id FROM work_topics WHERE topic_id ILIKE '%urgent%' OR topic_display_name ILIKE '%urgent%') OR {_topics_match('urgent')}))
+SELECT fraction_mode, count(*) AS rows, count(DISTINCT author_id) AS authors, CAST(sum(a.cited_by_count) AS BIGINT) AS citations FROM author_work a JOIN fw USING (work_id)
+WHERE author_display_name ILIKE '%nation_1%' OR display_name ILIKE '%nation_1%' OR source_display_name ILIKE '%nation_1%' OR primary_topic_display_name ILIKE '%nation_1%' GROUP BY fraction_mode""",
+    "sl14_clean_country": f"{BASE} SELECT work_id, author_seq FROM authorships WHERE country_codes_csv = 'NB'",
+    "p3_joined_filter": f"{BASE} SELECT a.work_id, a.author_seq FROM works w JOIN authorships a USING (work_id) WHERE a.author_display_name ILIKE '%small%' AND w.cited_by_count BETWEEN 10 AND 30 AND w.display_name ILIKE '%machinery%'",
+    "p4_search": f"WITH {WORKS} SELECT work_id FROM works WHERE display_name ILIKE '%nation_2%' OR doi ILIKE '%nation_2%' OR work_id ILIKE '%nation_2%' OR source_display_name ILIKE '%nation_2%' OR coalesce(primary_topic_display_name, '') ILIKE '%nation_2%'",
+    "p9_columns": f"{STRICT} SELECT author_id, round(c_frac, 6) AS c_frac, h FROM s ORDER BY s.c_frac, c DESC, p DESC, author_display_name, author_id LIMIT 30",
+    "p11_only_authors": f"{STRICT} SELECT author_id, p FROM s WHERE author_id IN (SELECT author_id FROM authorships WHERE country_codes_csv = 'NB')",
+    "p18_alias_search": "SELECT p_partkey AS position, p_name AS label FROM part WHERE lower(concat_ws(' ', CAST(p_partkey AS VARCHAR), p_name, p_brand, p_type)) LIKE '%small%' ORDER BY position LIMIT 12",
+    "ch5_resolved_cohort": f"{STRICT}, {_filtered("publication_date >= '1995-01-01' AND type = 'article'")[_filtered('true').index(' fw AS'):]} SELECT author_id, p, h, round(c, 6) AS c, 'membership_filters' AS resolved_filter_mode FROM fx WHERE author_id IN (SELECT author_id FROM s WHERE p >= 25)",
+    "ch8_decision_trace": f"{STRICT}, t AS (SELECT author_id, p, h FROM s ORDER BY h DESC, c DESC, p DESC, author_display_name, author_id LIMIT 25), x AS (SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', author_id, h, p)), 1, 15) AS HUGEINT)) AS VARCHAR) AS rows FROM t) SELECT n_rows, sha256('metric=h' || chr(10) || 'n=25' || chr(10) || n_rows || chr(10) || rows) AS trace FROM x",
+    "io1_json_lines": "SELECT o_orderkey, o_orderstatus FROM orders",
+    "io5_either_table": "SELECT c_custkey, c_name FROM customer",
+    "io7_csv_numbers": "SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, format('{:.10g}', CAST(l_extendedprice AS DOUBLE) / 7 * pow(10.0::DOUBLE, l_linenumber * 4 - 14)) AS x, CASE WHEN l_linenumber = 1 THEN 'true' ELSE 'false' END AS first FROM lineitem",
+    "io9_registered": f"WITH {WORKS} SELECT type, count(*) AS n FROM works GROUP BY type",
+    "io11_fingerprint": f"WITH {WORKS} SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', {', '.join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in WORK_COLUMNS)})), 1, 15) AS HUGEINT)) AS VARCHAR) AS hash_sum FROM works",
+    "ud5_template": f"{STRICT} SELECT author_id, round(2.0::DOUBLE * h + 0.5::DOUBLE * sqrt(c_frac), 6) AS custom_tpl FROM s",
+    "ud6_validate_formula": f"""{STRICT}, z AS (SELECT *, sqrt(c) + h AS v FROM s), k AS (SELECT *, {', '.join(f'row_number() OVER (ORDER BY {m} DESC, c DESC, p DESC, author_id) AS r_{m}' for m in ('v', 'p', 'c', 'c_frac', 'h', 'g', 'i10'))} FROM z),
+e AS (SELECT count(*) AS n, 1 - count(DISTINCT round(v, 12)) / count(*)::DOUBLE AS tie_rate, corr(v, mean_authors_per_work) AS co FROM z)
+""" + " UNION ALL ".join(f"SELECT 'custom_v' AS metric, '{m}' AS compared_with, n AS n_authors, round(rho, 6) AS spearman, top AS top_overlap, round(top / least(20, n)::DOUBLE, 6) AS top_overlap_rate, round(tie_rate, 6) AS tie_rate, round(co, 6) AS coauthorship_score_correlation, CASE WHEN tie_rate > 0.5 THEN 'high_tie_rate' WHEN rho > 0.98 THEN 'duplicates_core_metric' END AS warning FROM e, (SELECT corr(r_v, r_{m}) AS rho, count(*) FILTER (r_v <= 20 AND r_{m} <= 20) AS top FROM k)" for m in ("p", "c", "c_frac", "h", "g", "i10")),
+    "ud7_saved_formulas": "WITH c AS (SELECT c_mktsegment AS run_id, 'm' || c_custkey % 50 AS metric_id, 'h + ' || c_custkey AS expression, c_custkey % 3 <> 0 AS enabled, c_custkey AS k FROM customer), g AS (SELECT metric_id, arg_max(expression, k) AS expression, arg_max(enabled, k) AS enabled, min(k) AS created_at, max(k) AS updated_at FROM c WHERE run_id = 'BUILDING' AND metric_id <> 'm7' GROUP BY 1) SELECT metric_id, expression, created_at, updated_at FROM g WHERE enabled",
+    "sl18_calibration": "WITH r AS (SELECT o_orderkey AS run, o_orderdate AS finished_at, o_totalprice::DOUBLE AS actual, (o_totalprice / (1 + o_orderkey % 3))::DOUBLE AS estimated FROM orders), l AS (SELECT actual / estimated AS q FROM r WHERE estimated > 0 AND actual > 0 ORDER BY finished_at DESC, run LIMIT 200), o AS (SELECT q, row_number() OVER (ORDER BY q) - 1 AS i, count(*) OVER () AS n FROM l) SELECT max(n) AS n, round(CASE WHEN max(n) >= 2 THEN least(5.0, greatest(1.0, max(q) FILTER (i = round_even((n - 1) * 0.75, 0)) * 1.15)) ELSE 1.0 END, 6)::DOUBLE AS factor FROM o",
     "ix21_indices_of_selection": f"{CREDITED}, fa AS (SELECT * FROM author_work WHERE work_id IN (SELECT work_id FROM works WHERE cited_by_count >= 20 AND source_display_name ILIKE '%NATION_1%')),{index_ctes('fa', 'fx')} SELECT fraction_mode, author_id, {', '.join(WHOLE)}, {r(*DOUBLES)} FROM fx",
     "ix22_affiliations": f"{BASE} SELECT work_id, author_id, string_agg(DISTINCT country_codes_csv, '|' ORDER BY country_codes_csv) AS country_codes, string_agg(DISTINCT institution_ids_csv, '|' ORDER BY institution_ids_csv) AS institution_ids FROM authorships GROUP BY 1, 2",
     "rk3_ratings": f"{INDEXED}, lo AS ("
@@ -179,8 +218,8 @@ SELECT metric, d.n, missing, {r("min", "max", "mean", "stddev", "q1", "median",
     "ds11_average_ranks": f"{LONG}, {AVG_RANKS} SELECT metric, author_id, round(value, 6) AS value, CAST(avg_rank AS DOUBLE) AS avg_rank FROM ar",
     "ds12_spearman": f"{LONG}, {AVG_RANKS}, wd AS (PIVOT_PLACE) " + " UNION ALL ".join(f"SELECT '{a}' AS metric_a, '{b}' AS metric_b, count(*) AS n, round({corr(a, b)}, 6) AS value FROM wd" for a, b in PAIRS),
     "ds13_pearson_log1p": f"{STRICT}, wd AS (SELECT {', '.join(f'ln(1 + greatest(0, {m}::DOUBLE)) AS {m}' for m in FEW)} FROM s) " + " UNION ALL ".join(f"SELECT '{a}' AS metric_a, '{b}' AS metric_b, count(*) AS n, round({corr(a, b)}, 6) AS value FROM wd" for a, b in PAIRS),
-    "ds14_kendall": f"{STRICT}, k AS (SELECT author_id, p, h, c_frac FROM s ORDER BY author_id LIMIT 300), pr AS (SELECT sign(x.p - y.p) AS p, sign(x.h - y.h) AS h, sign(x.c_frac - y.c_frac) AS c_frac FROM k x JOIN k y ON x.author_id < y.author_id) "
-    + " UNION ALL ".join(f"SELECT '{a}' AS metric_a, '{b}' AS metric_b, round(sum({a} * {b}) / sqrt((sum({a} * {a}) * sum({b} * {b}))::DOUBLE), 6) AS value FROM pr" for a, b in (("p", "h"), ("p", "c_frac"), ("h", "c_frac"))),
+    "ds14_kendall": f"{STRICT}, k AS (SELECT author_id, p, h, c_frac FROM s WHERE c_frac >= 100), n AS (SELECT count(*) AS n FROM k), pr AS (SELECT sign(x.p - y.p) AS p, sign(x.h - y.h) AS h, sign(x.c_frac - y.c_frac) AS c_frac FROM k x JOIN k y ON x.author_id < y.author_id AND (SELECT n FROM n) <= 1000) "
+    + " UNION ALL ".join(f"SELECT '{a}' AS metric_a, '{b}' AS metric_b, (SELECT n FROM n) AS n, round(sum({a} * {b}) / sqrt((sum({a} * {a}) * sum({b} * {b}))::DOUBLE), 6) AS value, (SELECT n FROM n) > 1000 AS skipped FROM pr" for a, b in (("p", "h"), ("p", "c_frac"), ("h", "c_frac"))),
     "ds19_dependence": f"{STRICT}, {long(sorted({*FEW, *stats.FACTORS.values()}))}, {AVG_RANKS} "
     + " UNION ALL ".join(
         f"SELECT '{m}' AS metric, '{k}' AS factor, round(v, 6) AS spearman_rho, CASE WHEN v IS NULL THEN NULL WHEN v > 0 THEN 'positive' WHEN v < 0 THEN 'negative' ELSE 'none' END AS direction FROM (SELECT {corr('a.avg_rank', 'b.avg_rank')} AS v FROM ar a JOIN ar b USING (author_id) WHERE a.metric = '{m}' AND b.metric = '{f}')"
@@ -231,7 +270,7 @@ SELECT metric, d.n, missing, {r("min", "max", "mean", "stddev", "q1", "median",
     "ch7_cohort_statistics": f"{STRICT}, s2 AS (SELECT * FROM s WHERE p >= 25), {long(['p', 'h', 'c_frac'], 's2')}, l2 AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY metric) AS nn FROM lg), {moments('value')} SELECT metric, mm.n, round(min(value), 6) AS min, "
     + ", ".join(f"round(max(value) FILTER (i = round_even((nn - 1) * {q}, 0)), 6) AS {n}" for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)))
     + ", round(max(value), 6) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stddev FROM l2 JOIN mm USING (metric) GROUP BY metric, mm.n",
-    "rs3_holm": "WITH t AS (SELECT s_suppkey AS metric_a, s_nationkey AS metric_b, (s_suppkey + 1) / 1000.0::DOUBLE AS p_value FROM supplier WHERE s_suppkey < 40), k AS (SELECT *, row_number() OVER (ORDER BY p_value, metric_a, metric_b) - 1 AS i, count(*) OVER () AS m FROM t) SELECT metric_a, metric_b, round(p_value, 6) AS p_value, round(max(least(1.0, p_value * (m - i))) OVER (ORDER BY p_value, metric_a, metric_b ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM k",
+    "rs3_holm": "WITH t AS (SELECT s_suppkey AS metric_a, s_nationkey AS metric_b, (s_acctbal::DOUBLE + 1000) / 11000000 AS p_value FROM supplier), k AS (SELECT *, row_number() OVER (ORDER BY p_value, metric_a, metric_b) - 1 AS i, count(*) OVER () AS m FROM t) SELECT metric_a, metric_b, round(p_value, 6) AS p_value, round(max(least(1.0, p_value * (m - i))) OVER (ORDER BY p_value, metric_a, metric_b ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM k",
     "rs4_convergence": f"""{STRICT}, a AS (SELECT *, row_number() OVER (ORDER BY author_id) AS pos, row_number() OVER (ORDER BY h DESC, c DESC, p DESC, author_id) AS full_rank, count(*) OVER () AS n FROM s),
 z AS (SELECT DISTINCT size, n FROM (SELECT unnest([500, 1000, 2000, 5000, n]) AS size, n FROM (SELECT count(*) AS n FROM s)) WHERE size <= n),
 rr AS (SELECT z.size, z.n, full_rank, row_number() OVER (PARTITION BY z.size ORDER BY h DESC, c DESC, p DESC, author_id) AS own FROM a JOIN z ON pos <= size)
@@ -241,3 +280,21 @@ round(count(*) FILTER (own <= 20 AND full_rank <= 20) / least(20, n, size)::DOUB
     "rs6_ordinal_spearman": f"{STRICT}, rr AS (SELECT " + ", ".join(f"row_number() OVER (ORDER BY {m} DESC, c DESC, p DESC, author_id) AS {m}" for m in ("h", "c_frac", "g")) + " FROM s) " + " UNION ALL ".join(f"SELECT '{a}' AS metric_a, '{b}' AS metric_b, count(*) AS n, round(corr({a}, {b}), 6) AS value FROM rr" for a, b in (("h", "c_frac"), ("h", "g"))),
 }
 SQL["ds12_spearman"] = SQL["ds12_spearman"].replace("PIVOT_PLACE", "SELECT author_id, " + ", ".join(f"max(avg_rank) FILTER (metric = '{m}') AS {m}" for m in FEW) + " FROM ar GROUP BY author_id")
+SQL["ds16_rank_summary"] = f"""SELECT metric, n AS n_authors, mean, median, stddev, min, q1 AS p25, q3 AS p75, p90, p95, p99, max, zero_rate, tie_rate, unique_count, outlier_share_iqr, top10_share, top20_share,
+{_group("metric")} AS metric_group FROM ({SQL["ds4_describe"]}) JOIN ({SQL["rk11_concentration"]}) USING (metric)"""
+_EXPORTED = (("p", "h"), ("p", "c_frac"), ("h", "c_frac"))
+_EITHER = lambda a, b: f"((metric_a = '{a}' AND metric_b = '{b}') OR (metric_a = '{b}' AND metric_b = '{a}'))"
+SQL["ds24_correlation_rows"] = " UNION ALL ".join(f"SELECT '{method}' AS method, '{a}' AS left, '{b}' AS right, value FROM ({SQL[key]}) WHERE {_EITHER(a, b)}" for method, key in (("spearman", "ds12_spearman"), ("pearson_log1p", "ds13_pearson_log1p")) for a, b in _EXPORTED) + " UNION ALL " + " UNION ALL ".join(
+    f"SELECT 'kendall_tau_b', metric_a, metric_b, value FROM ({SQL['ds14_kendall'].replace(' WHERE c_frac >= 100', '')}) WHERE metric_a = '{a}' AND metric_b = '{b}'" for a, b in _EXPORTED
+)
+SQL["ds21_warnings"] = f"""{LONG}, {FENCES}, n AS (SELECT count(*) AS n FROM s)
+SELECT 'no_authors' AS code, '' AS detail FROM n WHERE n = 0 UNION ALL SELECT 'under_5_authors', '' FROM n WHERE n BETWEEN 1 AND 4 UNION ALL SELECT 'under_20_authors', '' FROM n WHERE n BETWEEN 5 AND 19
+UNION ALL SELECT 'rank_cut', '' FROM n WHERE n > 100 UNION ALL SELECT 'kendall_skipped', '' FROM n WHERE n > 1000 UNION ALL SELECT 'zero_iqr', metric FROM fe WHERE iqr = 0"""
+_DS15 = ["p", "h", "c_frac", "g"]
+_DS15_PAIRS = [(a, b) for i, a in enumerate(_DS15) for b in _DS15[i + 1 :]]
+SQL["ds15_pairwise"] = f"""WITH sp AS ({SQL["ds12_spearman"]}), pe AS ({SQL["ds13_pearson_log1p"]}), ov AS ({SQL["rk10_top_overlap"]}), de AS ({SQL["rk8_rank_deltas"]}) """ + " UNION ALL ".join(
+    f"""SELECT '{a}' AS metric_a, '{b}' AS metric_b, (SELECT value FROM sp WHERE {_EITHER(a, b)}) AS spearman, (SELECT value FROM pe WHERE {_EITHER(a, b)}) AS pearson_log1p, CAST(NULL AS DOUBLE) AS kendall_tau_b,
+{", ".join(f"(SELECT overlap_rate FROM ov WHERE metric_a = '{a}' AND metric_b = '{b}' AND cut = {c}) AS top{c}_overlap_rate" for c in (10, 20, 50))},
+{", ".join(f"(SELECT {c} FROM de WHERE metric = '{b if a == 'h' else a if b == 'h' else '-'}') AS {c}" for c in ("median_abs_delta", "p90_abs_delta", "max_abs_delta", "share_abs_delta_le_5"))}, {_group(f"'{a}'")} AS group_a, {_group(f"'{b}'")} AS group_b"""
+    for a, b in _DS15_PAIRS
+)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, partitions: int | None = None) -> DataFrame:
@@ -62,12 +62,43 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return read_csv(spark, f"{path}.csv", schema)
 
 
+def number_text(c: Column, digits: int = 10) -> Column:
+    """A number with so many significant digits, without trailing zeros, and with an exponent where it is below
+    1e-4 or has more digits before the point (IO7)."""
+    size = F.abs(c)
+    e = F.floor(F.log10(size))
+    scaled = F.round(size * F.pow(F.lit(10.0), digits - 1 - e))
+    over = scaled >= 10.0**digits
+    e, scaled = e + F.when(over, 1).otherwise(0), F.when(over, scaled / 10).otherwise(scaled)
+    ds = F.lpad(scaled.cast("decimal(20,0)").cast("string"), digits, "0")
+    point = F.when(e >= 0, F.concat(F.substring(ds, F.lit(1), (e + 1).cast("int")), F.lit("."), F.substring(ds, (e + 2).cast("int"), F.lit(digits)))).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), (-e - 1).cast("int")), ds))
+    short = lambda t: F.rtrim(F.rtrim(t, F.lit("0")), F.lit("."))
+    power = F.concat(short(F.concat(F.substring(ds, F.lit(1), F.lit(1)), F.lit("."), F.substring(ds, F.lit(2), F.lit(digits)))), F.lit("e"), F.when(e < 0, "-").otherwise("+"), F.when(F.abs(e) < 10, "0").otherwise(""), F.abs(e).cast("string"))
+    text = F.when((e >= -4) & (e < digits), short(point)).otherwise(power)
+    odd = F.when(F.isnan(c), "nan").when(size == float("inf"), F.when(c > 0, "inf").otherwise("-inf")).when(c == 0, "0")
+    return F.when(c.isNotNull(), F.coalesce(odd, F.concat(F.when(c < 0, "-").otherwise(""), text)))
+
+
+def sorted_keys(c: Column, kind: DataType) -> Column:
+    """A nested value with the fields of its structs and the keys of its maps in order."""
+    if isinstance(kind, StructType):
+        inner = F.struct(*(sorted_keys(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)))
+        return F.when(c.isNotNull(), inner)
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: sorted_keys(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.map_from_entries(F.array_sort(F.map_entries(F.transform_values(c, lambda _, v: sorted_keys(v, kind.valueType)))))
+    return c
+
+
 def csv_columns(df: DataFrame) -> list[Column]:
-    """Columns as CSV holds them (IO7): truth values in lower case, nested values as JSON."""
+    """Columns as CSV holds them (IO7): truth values in lower case, floats with ten digits, nested values as JSON
+    with sorted keys."""
     out = []
-    for name, kind in df.dtypes:
-        c = F.col(name)
-        out.append((F.to_json(c) if kind.startswith(("array", "struct", "map")) else c.cast("string")).alias(name))
+    for f in df.schema.fields:
+        c = F.col(f.name)
+        nested = isinstance(f.dataType, (StructType, ArrayType, MapType))
+        out.append((F.to_json(sorted_keys(c, f.dataType)) if nested else number_text(c) if isinstance(f.dataType, (FloatType, DoubleType)) else c.cast("string")).alias(f.name))
     return out
 
 
@@ -108,7 +139,7 @@ def file_checksums(spark: SparkSession, path: str) -> DataFrame:
 
 def fingerprint(df: DataFrame) -> DataFrame:
     """Rows and a sum of row hashes: the same for any order and partitioning (IO11)."""
-    h = F.xxhash64(*(F.col(c).cast("string") if k.startswith("map") else F.col(c) for c, k in sorted(df.dtypes)))
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(df.columns)))), 1, 15), 16, 10)
     return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("hash_sum"))
 
 

@@ -1,10 +1,12 @@
 """Closed forms and small known answers of the analytics operators."""
 
+from statistics import NormalDist
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from citegrid.operators import cohorts, credit, filters, formulas, indices, normalize, ranking, resampling, stats, tables
+from citegrid.operators import cohorts, credit, filters, formulas, indices, normalize, order, ranking, resampling, stats, tables
 from citegrid.sources import io
 from citegrid.streaming import ingest
 
@@ -117,10 +119,25 @@ def test_holm_and_cohorts(spark):
 
 
 def test_filters():
-    f = filters.clean({"type": " article ", "country": "ru", "nothing": 1, "filter_mode": "all", "cited_by_min": "5", "q": ""})
-    assert f == {"work_type": "article", "country_code": "RU", "min_citations": 5}
+    f = filters.clean({"type": " article ", "country": "rus", "nothing": 1, "filter_mode": "all", "cited_by_min": "-5.5", "q": ""})
+    assert f == {"work_type": "article", "country_code": "RU", "min_cited_by_count": 0}
+    assert filters.clean({"min_cited_by_count": "many", "affiliation_mode": "historical", "open_access_is_oa": True}) == {"open_access_is_oa": "True"}
+    assert filters.clean({"affiliation_mode": "historical", "institution_id": "I1"}) == {"affiliation_mode": "historical", "institution_id": "I1"}
+    assert filters.clean({"keyword_name": "a", "author_name": "b", "source_name": "c", "source_display_name": "d"}) == {"keyword_display_name": "a", "author_display_name": "b", "source_display_name": "d"}
     with pytest.raises(ValueError):
         filters.check({"affiliation_mode": "current", "country_code": "RU"})
+    assert filters.check({"author_id": "A1", "filter_mode": "topics_any"}, has_topics=False) == ["authorship_filter_local_final_policy", "topics_any_requires_work_topics"]
+    assert filters.check({"affiliation_mode": "current", "filter_mode": "keyword"}) == ["current_affiliation_requires_enrichment", "keyword_local_best_effort"]
+
+
+def test_cohort_context():
+    assert cohorts.context({"type": "article"}, {"language": "l1"}) == ({"work_type": "article"}, "membership_filters")
+    assert cohorts.context({"type": "article"}, {"language": "l1"}, "current") == ({"language": "l1"}, "analysis_override")
+    assert cohorts.context({"type": "article"}, {"type": "article"}, "current")[1] == "membership_filters"
+    assert cohorts.context({"type": "article"}, {}, "none") == ({}, "no_analysis_filters")
+    for bad in ({"policy": "other"}, {"scope": ("r1", ""), "asked": ("r2", "")}):
+        with pytest.raises(ValueError):
+            cohorts.context({}, {}, **bad)
 
 
 def test_keyset_and_selection(spark):
@@ -132,6 +149,50 @@ def test_keyset_and_selection(spark):
     assert tables.select_rows(df, {"c": {"min": "1,5"}}).first().author_id == "A3"
     with pytest.raises(ValueError):
         tables.query(df, sort="nope")
+    info = {r.name: (r.type_class, r.sortable) for r in tables.column_info(df.withColumn("a", F.array("h"))).collect()}
+    assert info["h"] == ("number", True) and info["author_id"] == ("text", True) and not info["a"][1]
+
+
+@pytest.mark.parametrize("direction", ["desc", "asc"])
+def test_pages_by_cursor_hold_every_row(spark, direction):
+    values = [None, 3, 1, None, 3, 2, 3]
+    rows = [(f"A{i}", None if i % 3 == 0 else "n", h, None if i % 2 else 1.0, i % 2) for i, h in enumerate(values)]
+    df = spark.createDataFrame(rows, "author_id string, author_display_name string, h int, c double, p int")
+    whole = [r.author_id for r in df.orderBy(*ranking.stable_order(df.columns, "h", direction)).collect()]
+    seen, last = [], None
+    while page := tables.query(df, "indices", sort="h", direction=direction, limit=2, last=last).collect():
+        seen += [r.author_id for r in page]
+        last = tables.cursor_values(tables.cursor_text(page[-1].asDict(), df.columns, "h", direction))
+    assert seen == whole and len(seen) == len(rows)
+    assert tables.cursor_values("no cursor") == {}
+
+
+def test_running_and_quantiles(spark):
+    import numpy as np
+
+    values = [float(v) for v in np.random.default_rng(1).integers(0, 40, 500)]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 1.0), ("b", None)], "metric string, value double")
+    got = {r.metric: r for r in order.quantiles(df, {"x": 0.31, "top": 1.0}).collect()}
+    assert got["a"].x == pytest.approx(np.quantile(values, 0.31)) and got["a"].top == max(values) and got["a"].unique_count == len(set(values)) and got["b"].x == 1.0
+    counts = {(r.metric, r.value): r.upto for r in order.value_counts(df, descending=True).collect()}
+    assert all(counts["a", v] == sum(w >= v for w in values) for v in set(values))
+    assert order.quantiles(df.limit(0), {"x": 0.5}).count() == 0
+    p = spark.createDataFrame([(i / 1000,) for i in range(1, 1000)], "p double").select("p", stats.normal_quantile(F.col("p")).alias("q")).collect()
+    assert all(abs(r.q - NormalDist().inv_cdf(r.p)) < 1e-7 for r in p)
+
+
+def test_csv_text(spark):
+    xs = [0.1, 1 / 3, -2.5e-7, 1e10, 9999999999.5, 1234567890.12345, 1e-4, 0.00001, 5e300, -1e22, 0.0, 100.0, float("nan"), float("inf"), None, 12345.6789]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = [r.x for r in df.select(*io.csv_columns(df)).collect()]
+    assert got == [None if x is None else f"{x:.10g}" for x in xs]
+    nested = spark.sql("SELECT named_struct('b', 1, 'a', map('z', 1, 'c', 2)) AS s")
+    assert nested.select(*io.csv_columns(nested)).first().s == '{"a":{"c":2,"z":1},"b":1}'
+
+
+def test_names_of_a_formula():
+    for _ in range(200):
+        assert formulas.names_in("sqrt(c) + h * log1p(p) - pr_g") == {"c", "h", "p", "pr_g"}
 
 
 def test_normalize(spark):
