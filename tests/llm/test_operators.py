@@ -212,6 +212,34 @@ def test_short_passages_in_many_documents(spark, seed):
     assert {d: r.n_removable for d, r in got.items()} == {d: len(gone[d]) for d in got}
 
 
+def test_recall_of_near_passages(spark):
+    """Passages of 80 words with one, two or three edits each in 60 documents, against all pairs of documents."""
+    pick = random.Random(11)
+    say = lambda k: " ".join(f"w{pick.randrange(100_000)}" for _ in range(k))
+    rows, groups = [], {}
+    for edits in (1, 2, 3):
+        passage = say(80).split()
+        for _ in range(60):
+            w = list(passage)
+            for i in pick.sample(range(80), edits):
+                w[i] = f"e{pick.randrange(10_000)}"
+            groups[len(rows)] = edits
+            rows.append((len(rows), f"{say(pick.randint(20, 60))} {' '.join(w)} {say(pick.randint(20, 60))}"))
+    each = {d: substring_dedup._shingled(*text_bytes(pa.array([t])))[2][: len(t.split()) - 4] for d, t in rows}
+    want = defaultdict(set)
+    for a in each:
+        for b in each:
+            if a != b and groups[a] == groups[b]:
+                want[a] |= {i for x, y in substring_dedup.repeated(each[a], each[b]) for i in range(x, y + 4)}
+    got = {r.doc_id: {i for s in r.passages for i in range(s.begin, s.stop)} for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for edits in (1, 2, 3):
+        some = [d for d in groups if groups[d] == edits and want[d]]
+        found, words = sum(bool(got[d] & want[d]) for d in some), sum(len(got[d] & want[d]) for d in some)
+        print("recall", edits, found, len(some), words / max(sum(len(want[d]) for d in some), 1))
+        assert found >= 0.9 * len(some)
+    assert all(got[d] <= want[d] for d in groups)
+
+
 def test_compact_windows():
     values = np.random.default_rng(3).integers(0, 1 << 40, 300).astype(np.uint64)
     left, c, right = substring_dedup.compact_windows(values, np.array([0, 100]), np.array([100, 300]), 20)
