@@ -2,11 +2,15 @@
 and cut into runs of near equal bytes, so that each shard covers a small box in every dimension and
 readers can skip files by their minima and maxima.
 
+The law is ``bytes``: shards are runs along the curve, cut where the running size passes a multiple of an equal
+share. Equal texts stand together on the curve, at the place of the first of them, and share a shard, so a
+shard may miss its share by half of such a group at each end. A group of more than ``split_share`` of a shard
+would break the law by itself: it is cut row by row. Source and language are binned by rank, each bin with
+a like number of rows.
+
 Only DataFrame functions run here. Nulls: a null dimension is the lowest value; a null text has no
-bytes and counts 1 (every row does). Equal texts stand together on the curve, at the place of the
-first of them, and share a shard, unless the group holds more than ``split_share`` of a shard: then
-it is cut row by row. Repeated rows are rows of their own. An empty table gives no rows. Only the named
-columns are read, so further columns of any name do no harm.
+bytes and counts 1 (every row does). Repeated rows are rows of their own. An empty table gives no rows. Only
+the named columns are read, so further columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -15,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from citegrid.operators import order
+
 from .common import drop_written, table, written
 
 BITS = 4
@@ -60,9 +66,14 @@ def curve_of(bins: list[Column], bits: int = BITS) -> Column:
     return F.element_at(places, cell + 1)
 
 
-def text_rank(name: str) -> Column:
-    """A number that orders strings by their first six bytes."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("long"), F.lit(0))
+def ranked(rows: DataFrame, name: str, bits: int = BITS) -> DataFrame:
+    """(value, bin) for each value of a column: its place in order among ``2 ** bits`` bins of like many rows."""
+    counts = rows.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias(f"{name}_value")).agg(F.count(F.lit(1)).alias("times"))
+    upto = order.running(counts, [F.asc(f"{name}_value")], [], {"upto": F.col("times")})
+    total = counts.agg(F.sum("times").alias("total"))
+    place = (2 * F.col("upto") - F.col("times")) * (1 << bits)
+    # Written and read back: Spark knows its size and broadcasts it only if it is small.
+    return written(upto.crossJoin(F.broadcast(total)).select(f"{name}_value", F.floor(place / (2 * F.col("total"))).cast("int").alias(f"{name}_bin")), f"shard-{name}")  # one row
 
 
 def scaled(name: str, low: int | None, high: int | None, bits: int = BITS) -> Column:
@@ -73,7 +84,7 @@ def scaled(name: str, low: int | None, high: int | None, bits: int = BITS) -> Co
     return F.least(F.lit((1 << bits) - 1), F.floor((F.coalesce(F.col(name), F.lit(low)) - F.lit(low)) / F.lit(step)).cast("int"))
 
 
-def hilbert_shards(docs: DataFrame, n_shards: int = 8, split_share: float = 0.05, partitions: int | None = None) -> DataFrame:
+def hilbert_shards(docs: DataFrame, n_shards: int = 8, split_share: float = 0.2, partitions: int | None = None) -> DataFrame:
     """One row for each document: its shard and its place there.
 
     Dimensions: source, language, log2 of the size, id; each in ``2 ** BITS`` bins.
@@ -88,8 +99,8 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 8, split_share: float = 0.05
     base = written(
         docs.select(
             "doc_id",
-            text_rank("source").alias("source_rank"),
-            text_rank("lang").alias("lang_rank"),
+            "source",
+            "lang",
             (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
             F.crc32(F.coalesce(raw, F.lit(b""))).alias("text_crc32"),
             F.coalesce(F.md5(raw), F.lit("null")).alias("text_key"),
@@ -97,14 +108,19 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 8, split_share: float = 0.05
         "shard-base",
     )
     b = base.agg(
-        *(f(c).alias(f"{c}_{n}") for c in ("source_rank", "lang_rank", "doc_id") for n, f in (("low", F.min), ("high", F.max))),
+        *(f(c).alias(f"{c}_{n}") for c in ("doc_id",) for n, f in (("low", F.min), ("high", F.max))),
         F.sum("size").alias("total"),
     ).first()
     total, spread = b["total"] or 1, 1 << BITS
-    bins = [scaled(c, b[f"{c}_low"], b[f"{c}_high"]) for c in ("source_rank", "lang_rank")]
+    named = base
+    for c in ("source", "lang"):
+        values = ranked(base, c)
+        named = named.join(values, named[c] == values[f"{c}_value"], "left").drop(c, f"{c}_value")
+    bins = [F.coalesce(f"{c}_bin", F.lit(0)) for c in ("source", "lang")]
     bins += [F.least(F.lit(spread - 1), F.greatest(F.lit(0), F.floor(F.log2(F.col("size")) - 5).cast("int")))]
     bins += [scaled("doc_id", b["doc_id_low"], b["doc_id_high"])]
-    placed = base.withColumn("own_curve", curve_of(bins))
+    placed = written(named.withColumn("own_curve", curve_of(bins)).drop("source_bin", "lang_bin"), "shard-placed")
+    drop_written(base)
     groups = placed.groupBy("text_key").agg(F.min("own_curve").alias("group_curve"), F.sum("size").alias("group_size"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     groups = written(groups, "shard-groups")  # apart from the join, so that Spark can split a text with many rows there
     whole = F.col("group_size") <= F.lit(split_share * total / n_shards)
@@ -134,8 +150,8 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 8, split_share: float = 0.05
         .select("doc_id", "size", "text_crc32", "curve", "shard", (F.col("rows_before") + F.col("place") - 1).alias("position"))
     )
     counted = written(counted, "shard-counted")
-    drop_written(base)
-    drop_written(ordered)
+    for t in (placed, groups, ordered):
+        drop_written(t)
     firsts = counted.groupBy("shard").agg(F.min("position").alias("first"))
     return counted.join(F.broadcast(firsts), "shard").select(  # n_shards rows
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("position") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve"

@@ -271,9 +271,36 @@ def test_sharding(spark, rows, docs, no_docs):
         assert sorted(r.slot for r in some) == list(range(len(some)))
     order = sorted(got, key=lambda r: (r.shard, r.slot))
     assert [r.curve for r in order] == sorted(r.curve for r in order)
+    share = sum(r["size"] for r in got) / 4
+    longest = max(r["size"] for r in got)
+    assert all(abs(sum(r["size"] for r in some) - share) <= 0.2 * share + longest for some in by.values())
+    where = defaultdict(set)
+    given = {r[0]: r[1] for r in rows}
+    for r in got:
+        where[given[r.doc_id]].add(r.shard)
+    assert all(len(s) == 1 for t, s in where.items() if sum(r["size"] for r in got if given[r.doc_id] == t) <= 0.2 * share)
     assert sharding.hilbert_shards(no_docs).count() == 0
 
 
+def test_sharding_of_like_names(spark):
+    """Sources with a common beginning still part, a huge group of one text is cut, null ids and dimensions stay."""
+    rows = [(i if i % 50 else None, f"text {i} " * (i % 7 + 1), None if i % 11 == 0 else "en", f"https://source_{i % 32:02d}", 0, 0, "", "") for i in range(3200)]
+    rows += [(5000 + i, "the same text again " * 3, "de", "https://source_99", 0, 0, "", "") for i in range(3000)]
+    got = sharding.hilbert_shards(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    size = Counter()
+    for r in got:
+        size[r.shard] += r["size"]
+    share = sum(size.values()) / 8
+    assert len(got) == len(rows) and len(size) == 8 and all(abs(s - share) < 0.01 * share for s in size.values())
+    seen = defaultdict(set)
+    source = {r[0]: r[3] for r in rows if r[0] is not None and r[0] < 5000}
+    for r in got:
+        if r.doc_id in source:
+            seen[r.shard].add(source[r.doc_id])
+    # A shard of scattered rows would hold all 32 sources.
+    assert sum(map(len, seen.values())) / len(seen) < 20
+
+
 def brute_components(rows, k=3):
     """For each row: the size of its set, and the numbers of the rows of its component."""
     sets = []
