@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import drop_written, table, written
 
 DEPTH = 4
 MIN_DISTINCT = 20
@@ -60,32 +60,42 @@ def template_verdicts(pages: DataFrame, labels: DataFrame, max_bad: float = MAX_
     names = [f"s{k}" for k in range(DEPTH)]
     told = labels.groupBy("label_key").agg(F.max("bad").alias("bad"))
     paths = pages.select("page_id", "host", "path", "label_key", *(c.alias(n) for c, n in zip(_levels(F.col("path")), names, strict=True)))
+    # Most pages of a site may have no key: they go round the join, which would gather them in one task.
+    known = paths.filter("label_key is not null").join(written(told, "url-labels").hint("shuffle_merge"), "label_key", "left").select("host", *names, "bad")
     nodes = (
-        paths.join(told.hint("shuffle_merge"), "label_key", "left")
+        known.unionByName(paths.filter("label_key is null").select("host", *names, F.lit(None).cast("int").alias("bad")))
         .groupBy("host", *names)
         .agg(F.count(F.lit(1)).alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
     )
-    nodes = written(nodes, "url-nodes")
+    source = nodes = written(nodes, "url-nodes")
     # Generalise: a row for each shape of path; t_k is s_k or a wildcard.
     for k in range(DEPTH):
         above = ["host", *(f"t{j}" for j in range(k))]
-        variety = nodes.groupBy(*above).agg(F.count_distinct(f"s{k}").alias("kinds"), F.sum("pages").alias("all_pages"))
+        # Written apart from the join, so that Spark can split a host with many nodes there.
+        variety = written(nodes.groupBy(*above).agg(F.count_distinct(f"s{k}").alias("kinds"), F.sum("pages").alias("all_pages")), "url-variety")
         variable = (F.col("kinds") >= MIN_DISTINCT) & (F.col("kinds") >= DISTINCT_SHARE * F.col("all_pages"))
         nodes = nodes.join(variety.hint("shuffle_merge"), above).withColumn(f"t{k}", F.when(variable, "*").otherwise(F.col(f"s{k}"))).drop("kinds", "all_pages")
-        nodes = written(nodes, "url-templates")  # each level reads the last one twice: written, the plan doesn't double
+        nodes, before = written(nodes, "url-templates"), source  # each level reads the last one twice: written, the plan doesn't double
+        for t in (variety, before):
+            drop_written(t)
+        source = nodes
     # Merge from the leaves: m_k is t_k, or * if the branch is like the others of its node.
     for k in reversed(range(DEPTH)):
         above = ["host", *(f"t{j}" for j in range(k))]
         branch = written(nodes.groupBy(*above, f"t{k}").agg(F.sum("n").alias("bn"), F.sum("b").alias("bb")), "url-branches")
-        whole = branch.groupBy(*above).agg(F.sum("bn").alias("wn"), F.sum("bb").alias("wb"))
+        whole = written(branch.groupBy(*above).agg(F.sum("bn").alias("wn"), F.sum("bb").alias("wb")), "url-wholes")
         on, ob = F.col("wn") - F.col("bn"), F.col("wb") - F.col("bb")
         spread = F.col("wb") * (F.col("wn") - F.col("wb"))
         # z squared without division: (b1 n2 - b2 n1)^2 n / (n1 n2 w (n - w)) for w bad of n.
         apart = (F.col("bn") * on > 0) & ((F.col("bb") * on - ob * F.col("bn")).cast("double") ** 2 * F.col("wn") > Z * Z * (F.col("bn") * on).cast("double") * spread.cast("double"))
-        branch = branch.join(whole.hint("shuffle_merge"), above).select(*above, f"t{k}", F.when(apart, F.col(f"t{k}")).otherwise("*").alias(f"m{k}"))
-        nodes = written(nodes.join(branch.hint("shuffle_merge"), [*above, f"t{k}"]), "url-merging")
+        merged = branch.join(whole.hint("shuffle_merge"), above).select(*above, f"t{k}", F.when(apart, F.col(f"t{k}")).otherwise("*").alias(f"m{k}"))
+        nodes = written(nodes.join(merged.hint("shuffle_merge"), [*above, f"t{k}"]), "url-merging")
+        for t in (branch, whole, source):
+            drop_written(t)
+        source = nodes
     merged = [f"m{k}" for k in range(DEPTH)]
     nodes = written(nodes.select("host", *names, *merged, "n", "b"), "url-merged")
+    drop_written(source)
     by_template = nodes.groupBy("host", *merged).agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     by_host = by_template.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("b").alias("hb"))
     every = by_host.agg(F.sum("hn").alias("n"), F.sum("hb").alias("b")).first()
