@@ -266,7 +266,10 @@ def _links(docs: DataFrame, pairs: DataFrame, orders, k: int, percent: int) -> D
                     begin = j
             yield pa.RecordBatch.from_arrays([pa.array(c[good]) for c in (a1, a2, b1, b2)], names=["a1", "a2", "b1", "b2"])
 
-    return written(both.select("a1", "a2", "b1", "b2", "b", "a").mapInArrow(verify, "a1 long, a2 long, b1 long, b2 long"), "join-links")
+    found = written(both.select("a1", "a2", "b1", "b2", "b", "a").mapInArrow(verify, "a1 long, a2 long, b1 long, b2 long"), "join-links")
+    drop_written(needed)
+    drop_written(sets)
+    return found
 
 
 def _orders(docs: DataFrame, k: int, percent: int):

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ship, table, written
+from .common import drop_written, ship, table, written
 from .words import SPACES, mix, per_row, rows_of, shingles, slices, span_hashes, spans
 
 WIDTH = 6.0
@@ -180,7 +180,9 @@ def quartiles(m: DataFrame) -> DataFrame:
     group = ["every", "lang", "measure"]
     told = both.withColumn("upto", F.sum("times").over(Window.partitionBy(*group).orderBy("value"))).withColumn("n", F.sum("times").over(Window.partitionBy(*group)))
     cut = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("n") * q, F.col("value")))
-    return written(told.groupBy(*group).agg(F.first("n").alias("n"), *(cut(q).alias(c) for q, c in ((1, "low"), (2, "mid"), (3, "high")))), "quality-quartiles")
+    found = written(told.groupBy(*group).agg(F.first("n").alias("n"), *(cut(q).alias(c) for q, c in ((1, "low"), (2, "mid"), (3, "high")))), "quality-quartiles")
+    drop_written(counts)
+    return found
 
 
 def bands(m: DataFrame) -> DataFrame:

@@ -139,10 +139,10 @@ def read_records(index: DataFrame, folder: str, where: Column | None = None, wit
         for batch in batches:
             for run in ranges(list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))):
                 with fs.open_input_file(f"{root}/{run[0][0]}") as f:
-                    raw = f.read_at(run[-1][1] + run[-1][2] - run[0][1], run[0][1])
+                    raw = memoryview(f.read_at(run[-1][1] + run[-1][2] - run[0][1], run[0][1]))
                 rows = []
                 for _, offset, length in run:
-                    fields, block = parse(zlib.decompress(raw[offset - run[0][1] :][:length], 31))
+                    fields, block = parse(zlib.decompress(raw[offset - run[0][1] : offset - run[0][1] + length], 31))
                     payload = block.partition(b"\r\n\r\n")[2] if fields["WARC-Type"] == "response" else None
                     size, digest = int(fields["WARC-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     if payload is not None:
