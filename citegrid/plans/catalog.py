@@ -11,18 +11,18 @@ from pyspark.sql.types import StructType
 from citegrid.operators import cohorts, credit, filters, formulas, indices, normalize, ranking, resampling, stats, tables
 from citegrid.plans.sql import FEW, PAIRS, SQL
 from citegrid.sources import adapter, io
-from citegrid.sources.scratch import folder, settled
+from citegrid.sources.scratch import folder, kept, settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 STRICT = "strict_authors_count"
 
 
 class Tables:
-    """The publication tables of a folder."""
+    """The publication tables of a folder. The credit table and the indices are written once for an application, as
+    most queries start from them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
-        self.made: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         return adapter.TABLES[name](self.spark, self.dir)
@@ -36,18 +36,16 @@ class Tables:
 
     @property
     def author_work(self) -> DataFrame:
-        return credit.author_work(self.works, self.authorships)
+        return kept(self.spark, self.dir, "author-work", lambda: credit.author_work(self.works, self.authorships))
 
     @property
     def indices(self) -> DataFrame:
-        return indices.indices(self.author_work)
+        return kept(self.spark, self.dir, "indices", lambda: indices.indices(self.author_work))
 
     @property
     def strict(self) -> DataFrame:
-        """The selection of the statistics queries, to nine decimals: several passes read it."""
-        if "strict" not in self.made:
-            self.made["strict"] = settled(rounded(indices.indices(credit.author_work(self.works, self.authorships, modes=[STRICT])), 9), "selection")
-        return self.made["strict"]
+        """The selection of the statistics queries, to nine decimals."""
+        return kept(self.spark, self.dir, "selection", lambda: rounded(self.indices.filter(F.col("fraction_mode") == STRICT), 9))
 
     def long(self, metrics=FEW) -> DataFrame:
         return stats.to_long(self.strict, metrics)
@@ -368,8 +366,8 @@ def registered(t: Tables) -> DataFrame:
 
 _PLAIN: dict[str, Callable[[Tables], DataFrame]] = {
     "j1_works_authorships": j1,
-    "aw1_author_work": lambda t: rounded(t.author_work),
-    "ix19_indices": lambda t: _filled_index(t.indices, "run_id", "fraction_mode", "author_id", "author_display_name"),
+    "aw1_author_work": lambda t: rounded(credit.author_work(t.works, t.authorships)),
+    "ix19_indices": lambda t: _filled_index(indices.indices(credit.author_work(t.works, t.authorships)), "run_id", "fraction_mode", "author_id", "author_display_name"),
     "ix20_filtered_indices": ix20,
     "ix21_indices_of_selection": ix21,
     "ix22_affiliations": lambda t: tables.affiliations(t.authorships),

@@ -9,7 +9,8 @@ FEW = ["p", "c", "c_frac", "h", "g", "i10", "islv", "iupv_s"]
 
 
 def r(*names: str, digits: int = 6) -> str:
-    return ", ".join(f"round({n}, {digits}) AS {n.split('.')[-1]}" for n in names)
+    """Rounded columns; adding 0 makes a negative zero positive."""
+    return ", ".join(f"round({n}, {digits}) + 0 AS {n.split('.')[-1]}" for n in names)
 
 
 WORKS = """

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -26,3 +28,24 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_KEPT: dict[tuple, tuple[str, StructType]] = {}
+
+
+def _files(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted((str(f.getPath()), f.getModificationTime()) for f in found or [])
+
+
+def kept(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that many queries of an application read, written to the shared folder once. It is made anew if the
+    source's tables have changed or the files are gone."""
+    key = (spark.sparkContext.applicationId, source, name, *_files(spark, f"{source}/*.parquet"))
+    if key not in _KEPT or not _files(spark, f"{_KEPT[key][0]}/_SUCCESS"):
+        df, path = make(), folder(spark, name)
+        df.write.parquet(path)
+        _KEPT[key] = path, df.schema
+    path, schema = _KEPT[key]
+    return spark.read.schema(schema).parquet(path)
