@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from citegrid.llm import components, decontaminate, line_dedup, mixing, ngram_join, quality, sharding, substring_dedup, token_files, urls, warc
@@ -566,6 +567,64 @@ def test_range_coder():
         token_files.decode_blocks([bytes(damaged)])
 
 
+CLASHING = ("row", "rate", "part", "bit", "text_key", "stay_id", "doc", "id", "band", "curve")
+
+
+def odd_docs(spark):
+    """Null ids and columns, repeated rows, ids with several texts, and further columns named like those that operators make."""
+    rows = [(r[0], r[1], None if i % 5 == 0 else r[2], r[3], r[4]) for i, r in enumerate(with_odd_ids(corpus(seed=4, n=30)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3, "source")
+    return rows, docs.withColumns({c: F.lit(7) for c in CLASHING})
+
+
+def test_odd_rows_in_every_operator(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows, docs = odd_docs(spark)
+    names, texts = docs.columns, Counter((r[0], r[1]) for r in rows)
+    bench = spark.createDataFrame([(1, " ".join(rows[2][1].split()[5:40])), (None, "x"), (2, None)], "item_id long, text string")
+    assert decontaminate.scan(docs, bench).count() == len(rows)
+    left = decontaminate.remove_leaks(docs, bench, max_coverage=1.0)
+    assert left.columns == names and Counter(r.doc_id for r in left.collect()) == Counter(r[0] for r in rows)
+    removed, counts = line_dedup.removed_lines(docs)
+    assert line_dedup.without_lines(docs, removed).columns == names and line_dedup.without_lines(docs, removed).count() == len(rows)
+    assert {r.doc for r in counts.collect()} == {line_dedup.NO_ID if d is None else d for d, t, *_ in rows if t is not None and t.strip(" \n") != ""}
+    passages = substring_dedup.repeated_passages(docs).collect()
+    assert Counter((r.doc_id, r.n_words) for r in passages) == Counter((d, len(words_of(t))) for d, t, *_ in rows)
+    shards = sharding.hilbert_shards(docs, n_shards=3).collect()
+    assert Counter((r.doc_id, r["size"]) for r in shards) == Counter((d, len((t or "").encode()) + 1) for d, t, *_ in rows)
+    one = ngram_join.one_of_each(docs)
+    assert one.columns == names and all(n <= texts[k] for k, n in Counter((r.doc_id, r.text) for r in one.collect()).items())
+    labels = spark.createDataFrame([(d, i % 2, int(i % 7 == 0)) for i, (d, *_) in enumerate(rows)] + [(None, None, None)], "doc_id long, quality int, toxic int")
+    assert mixing.mixed(docs, labels).count() == len(rows) and mixing.resampled(docs, labels).columns == names
+    kept = quality.keep_good(docs)
+    assert kept.columns == names and Counter(r.kept for r in quality.judged(docs).collect())[True] == kept.count()
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    files = token_files.write_token_files(docs, spark.conf.get("spark.checkpoint.dir") + "/odd-ids", path, partitions=2)
+    got = sorted(((r.part, r.seq, r.first), r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.read_token_files(files, spark.conf.get("spark.checkpoint.dir") + "/odd-ids").collect())
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    ids = [np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for _, t, *_ in ordered]
+    assert [x[1:] for x in got] == [(r[0], len(i), zlib.crc32(i.tobytes())) for r, i in zip(ordered, ids, strict=True)]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path, empty):
+    rows, docs = odd_docs(spark)
+    pq = f"file://{tmp_path}"
+    cut = (lambda df: df.limit(0)) if empty else (lambda df: df)
+    cut(docs).write.parquet(f"{pq}/documents.parquet")
+    cut(spark.createDataFrame([(1, " ".join(rows[2][1].split()[5:40])), (None, None)], "item_id long, text string")).write.parquet(f"{pq}/benchmark.parquet")
+    cut(spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality int, toxic int")).write.parquet(f"{pq}/labels.parquet")
+    stage_docs = spark.read.parquet(f"{pq}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = corpus_pipeline.written(stage(spark, stage_docs, pq), "odd")
+        assert after.columns == docs.columns and (empty or 0 < after.count() <= len(rows))
+        stage_docs = after
+    assert corpus_pipeline.STAGES[-1][1](spark, stage_docs, pq).count() == stage_docs.count()
+
+
 def test_pipeline(spark, tmp_path):
     rows = corpus(seed=2)
     pq = f"file://{tmp_path}"
