@@ -29,7 +29,7 @@ def ratings(indices: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
     placed = order.running(rows, [F.desc("score"), F.desc("tie_break_c"), F.desc("tie_break_p"), F.asc("author_id")], GROUP, {"position": F.lit(1)})
     values = placed.groupBy(*GROUP, "score").agg(F.min("position").alias("rank_competition"))
     values = order.running(values, [F.desc("score")], GROUP, {"rank_dense": F.lit(1)})
-    return placed.join(values, [*GROUP, "score"]).select(
+    return placed.join(values.hint("shuffle_merge"), [*GROUP, "score"]).select(
         *GROUP, "author_id", "author_display_name", "score", "position", F.col("position").alias("rank_ordinal"), "rank_competition", "rank_dense", "tie_break_c", "tie_break_p", F.col("author_id").alias("tie_break_author_id")
     )
 
@@ -72,7 +72,7 @@ def ranking_rows(indices: DataFrame, metric: str, visible: Sequence[str] = (), l
     shown = max(0, min(limit, max(1, most)))
     ranks = order.value_counts(rows, [], "_score", descending=not up).select("_score", (F.col("upto") - F.col("times") + 1).alias("rank_competition"))
     best = rows.orderBy(*along).limit(shown) if shown else rows
-    return best.join(ranks, "_score").select("author_id", "author_display_name", F.col("_score").alias("score"), *visible, "rank_competition")
+    return best.join(ranks.hint("shuffle_merge"), "_score").select("author_id", "author_display_name", F.col("_score").alias("score"), *visible, "rank_competition")
 
 
 def line_series(indices: DataFrame, rank_metric: str = "h", metrics: Sequence[str] = ("p", "c", "h", "g"), limit: int = 30) -> DataFrame:
@@ -87,14 +87,14 @@ def line_series(indices: DataFrame, rank_metric: str = "h", metrics: Sequence[st
 def competition_ranks(long: DataFrame, by: str = "metric", value: str = "value") -> DataFrame:
     """``long`` with ``rank``: 1 + the number of greater values of the metric. Only distinct values are sorted."""
     ranks = order.value_counts(long, [by], value, descending=True).select(by, value, (F.col("upto") - F.col("times") + 1).alias("rank"))
-    return long.join(ranks, [by, value])
+    return long.join(ranks.hint("shuffle_merge"), [by, value])
 
 
 def rank_deltas(ranked: DataFrame, baseline: str = "h") -> DataFrame:
     """Each author's shift from the baseline's rank, for every other metric."""
     base = ranked.filter(F.col("metric") == baseline).select("author_id", F.col("rank").alias("baseline_rank"))
     others = ranked.filter(F.col("metric") != baseline).select("author_id", "metric", F.col("rank").alias("metric_rank"))
-    return others.join(base, "author_id").withColumn("rank_delta", F.col("metric_rank") - F.col("baseline_rank")).withColumn("abs_rank_delta", F.abs("rank_delta"))
+    return others.join(base.hint("shuffle_merge"), "author_id").withColumn("rank_delta", F.col("metric_rank") - F.col("baseline_rank")).withColumn("abs_rank_delta", F.abs("rank_delta"))
 
 
 def rank_delta_summary(ranked: DataFrame, baseline: str = "h") -> DataFrame:
@@ -125,9 +125,9 @@ def top_overlap(ranked: DataFrame, top_n: int = 100) -> DataFrame:
     at = top.select("metric", "author_id", "pos", F.explode(F.array(*map(F.lit, cuts))).alias("cut")).filter("pos <= cut")
     sizes = at.groupBy("metric", "cut").agg(F.count(F.lit(1)).alias("n"))
     a, b = at.select(F.col("metric").alias("metric_a"), "author_id", "cut"), at.select(F.col("metric").alias("metric_b"), "author_id", "cut")
-    both = a.join(b, ["author_id", "cut"]).groupBy("metric_a", "metric_b", "cut").agg(F.count(F.lit(1)).alias("overlap"))
+    both = a.join(b.hint("shuffle_merge"), ["author_id", "cut"]).groupBy("metric_a", "metric_b", "cut").agg(F.count(F.lit(1)).alias("overlap"))
     na, nb = sizes.select(F.col("metric").alias("metric_a"), "cut", F.col("n").alias("size_a")), sizes.select(F.col("metric").alias("metric_b"), "cut", F.col("n").alias("size_b"))
-    pairs = na.join(nb, "cut").join(both, ["metric_a", "metric_b", "cut"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
+    pairs = na.join(nb.hint("shuffle_merge"), "cut").join(both.hint("shuffle_merge"), ["metric_a", "metric_b", "cut"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
     available = F.least("cut", F.greatest("size_a", "size_b"))
     return pairs.select(
         "metric_a", "metric_b", F.col("cut").cast("long"), "size_a", "size_b", "overlap", F.try_divide("overlap", available).alias("overlap_rate"), F.try_divide("overlap", F.col("size_a") + F.col("size_b") - F.col("overlap")).alias("jaccard")
@@ -141,4 +141,4 @@ def concentration(long: DataFrame) -> DataFrame:
     top = long.filter("value is not null").withColumn("_v", v).withColumn("_rn", F.row_number().over(best)).filter("_rn <= 20")
     best = top.groupBy("metric").agg(F.sum(F.when(F.col("_rn") <= 10, F.col("_v"))).alias("t10"), F.sum("_v").alias("t20"))
     total = long.groupBy("metric").agg(F.sum(v).alias("total"))
-    return total.join(best, "metric", "left").select("metric", F.try_divide("t10", "total").alias("top10_share"), F.try_divide("t20", "total").alias("top20_share"))
+    return total.join(F.broadcast(best), "metric", "left").select("metric", F.try_divide("t10", "total").alias("top10_share"), F.try_divide("t20", "total").alias("top20_share"))

@@ -194,7 +194,7 @@ def normal_quantile(p: Column) -> Column:
 def average_ranks(long: DataFrame) -> DataFrame:
     """Average rank of each value, ascending (DS11), from counts of distinct values."""
     ranks = order.value_counts(long).select("metric", "value", (F.col("upto") - (F.col("times") - 1) / 2).alias("avg_rank"))
-    return long.join(ranks, ["metric", "value"]).select("metric", "author_id", "value", "avg_rank")
+    return long.join(ranks.hint("shuffle_merge"), ["metric", "value"]).select("metric", "author_id", "value", "avg_rank")
 
 
 def _moments(wide: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

@@ -149,7 +149,7 @@ def author_detail(author: str, indices_table: DataFrame, ratings: DataFrame, aut
     return {
         "indices": indices_table.filter(F.col("author_id") == author).orderBy("fraction_mode"),
         "ratings": ratings.filter(F.col("author_id") == author).orderBy("fraction_mode", "metric_name"),
-        "works": works.join(mine, "work_id", "left_semi").select("work_id", "display_name", "publication_year", "cited_by_count").orderBy(F.desc("cited_by_count"), "work_id").offset(offset).limit(limit),
+        "works": works.join(mine.hint("shuffle_merge"), "work_id", "left_semi").select("work_id", "display_name", "publication_year", "cited_by_count").orderBy(F.desc("cited_by_count"), "work_id").offset(offset).limit(limit),
     }
 
 
@@ -200,7 +200,7 @@ def filtered_indices(author_work: DataFrame, works: DataFrame, authorships: Data
     # The first place and subject that an author's works name, in the order of their ids; none leave null.
     people = rows.select("work_id", "author_id").distinct()
     places = affiliations(authorships.join(people, ["work_id", "author_id"], "left_semi")).select("work_id", "author_id", "country_codes")
-    told = people.join(places.hint("shuffle_merge"), ["work_id", "author_id"], "left").join(works.select("work_id", "primary_topic_display_name"), "work_id", "left")
+    told = people.join(places.hint("shuffle_merge"), ["work_id", "author_id"], "left").join(works.select("work_id", "primary_topic_display_name").hint("shuffle_merge"), "work_id", "left")
     first = lambda c: F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("work_id")))
     told = told.groupBy("author_id").agg(first("country_codes").alias("country_code"), first("primary_topic_display_name").alias("subject_name"))
     scope = [F.lit("filtered_recomputed").alias("metric_scope"), F.lit("current filtered author set").alias("percentile_scope")]
@@ -211,7 +211,7 @@ def indices_of_selection(kind: str, table: DataFrame, author_work: DataFrame, da
     """Indices computed anew from a selection of works, credit rows, authorships or topics (IX21)."""
     hit = table.filter(column_filter(data_filters, table.columns)).filter(search(text, table.columns, least=1))
     on = ["work_id", "author_id"] if kind in ("author_work", "authorships") else ["work_id"]
-    return indices.indices(author_work.join(hit.select(*on).distinct(), on, "left_semi"))
+    return indices.indices(author_work.join(hit.select(*on).distinct().hint("shuffle_merge"), on, "left_semi"))
 
 
 def selected_indices(precomputed: DataFrame, author_work: DataFrame, works: DataFrame, authorships: DataFrame, topics: DataFrame, mode: str, slice_filters: Mapping[str, object] | None = None, ids: DataFrame | None = None, custom: Sequence[formulas.Metric] = ()) -> DataFrame:

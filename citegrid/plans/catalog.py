@@ -64,7 +64,7 @@ def _filled_index(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def j1(t: Tables) -> DataFrame:
-    return t.authorships.join(t.works, "work_id").groupBy("type").agg(F.count(F.lit(1)).alias("authorships"), F.count_distinct("author_id").alias("authors"), F.sum("cited_by_count").alias("citations"))
+    return t.authorships.join(t.works.hint("shuffle_merge"), "work_id").groupBy("type").agg(F.count(F.lit(1)).alias("authorships"), F.count_distinct("author_id").alias("authors"), F.sum("cited_by_count").alias("citations"))
 
 
 def ix20(t: Tables) -> DataFrame:

@@ -14,15 +14,17 @@ def ingest(spark: SparkSession, source: str, schema: StructType, target: str, ch
 
     The checkpoint remembers the files, so a run after a failure takes up where the last one stopped (ST2).
     Records whose key is in the target already, or earlier in the batch, are left out (ST3): an anti join on
-    keys instead of state that grows for ever. A batch has a folder of its own, so one that is done twice
+    keys instead of state that grows for ever. Records without a key are all kept. A batch has a folder of its own, so one that is done twice
     replaces itself."""
 
     def append(batch: DataFrame, number: int) -> None:
-        new = keep(batch).dropDuplicates([key])
+        rows = keep(batch)
+        new = rows.filter(F.col(key).isNotNull()).dropDuplicates([key])
         parts = spark._jvm.org.apache.hadoop.fs.Path(target)
         if parts.getFileSystem(spark._jsc.hadoopConfiguration()).exists(parts):
             before = spark.read.schema(f"{key} {schema[key].dataType.simpleString()}, batch long").parquet(target).filter(F.col("batch") != number)
             new = new.join(before.select(key).distinct(), key, "left_anti")
+        new = new.unionByName(rows.filter(F.col(key).isNull()))
         new.select(*schema.names).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source)

@@ -215,10 +215,10 @@ def test_csv_and_manifest(spark, tmp_path):
 def test_incremental_ingest(spark, tmp_path):
     schema = StructType().add("id", "string").add("n", "long")
     base = f"file://{tmp_path}"
-    for rows in ([("a", 1), ("b", 2)], [("b", 3), ("c", 4)], []):
+    for rows in ([("a", 1), ("b", 2), (None, 7), (None, 8)], [("b", 3), ("c", 4)], []):
         if rows:
             spark.createDataFrame(rows, schema).write.mode("append").json(f"{base}/in")
         ingest.ingest(spark, f"{base}/in", schema, f"{base}/out", f"{base}/state")
     got = spark.read.schema(schema).parquet(f"{base}/out").collect()
-    assert sorted(r.id for r in got) == ["a", "b", "c"]
-    assert sum(r.records for r in ingest.manifest(spark, f"{base}/out", schema).collect()) == 3
+    assert sorted((r.id or "", r.n) for r in got) == [("", 7), ("", 8), ("a", 1), ("b", 2), ("c", 4)]
+    assert sum(r.records for r in ingest.manifest(spark, f"{base}/out", schema).collect()) == 5
