@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from citegrid.operators import order, ranking
+from citegrid.sources.scratch import settled
 
 #: Finding thresholds.
 THRESHOLDS = {"skewness": (1.0, 2.0), "kurtosis": (3.0, 10.0), "normality_p": (0.05, 0.01), "zero_rate": (0.30, 0.60), "tie_rate": (0.30, 0.60)}
@@ -164,20 +165,25 @@ def qq_points(long: DataFrame, most: int = 101) -> DataFrame:
     totals = counts.groupBy("metric").agg(F.max("upto").alias("total"))
     points = F.least(F.lit(most), F.col("total")).cast("int")
     place = F.when(points == 1, 0).otherwise(F.bround(F.col("i") * (F.col("total") - 1) / (points - 1))).cast("long")
-    wanted = totals.select("metric", "total", F.explode(F.sequence(F.lit(0), points - 1)).alias("i")).select("metric", place.alias("index")).distinct()
+    wanted = totals.select("metric", "total", F.explode(F.sequence(F.lit(0), points - 1)).alias("i")).select("metric", "total", place.alias("index")).distinct()
     met = (F.col("index") >= F.col("upto") - F.col("times")) & (F.col("index") < F.col("upto"))
     at = counts.join(F.broadcast(wanted), "metric").filter(met)  # most rows for each metric
     return at.select("metric", F.col("index").cast("long"), normal_quantile((F.col("index") + 0.5) / F.col("total")).alias("theoretical"), F.col("value").alias("sample"))
 
 
+#: Coefficients of the published approximation of the normal quantile.
+QUANTILE = (
+    (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+    (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01),
+    (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+    (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00),
+)
+
+
 def normal_quantile(p: Column) -> Column:
     """Where the standard normal distribution reaches ``p`` in (0, 1): a published rational
     approximation with a relative error below 1.2e-9."""
-    # Coefficients of the published approximation.
-    a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
-    b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)
-    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
-    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
+    a, b, c, d = QUANTILE
 
     def poly(x: Column, terms: Sequence[float], last: float | None = None) -> Column:
         out = F.lit(terms[0])
@@ -313,7 +319,7 @@ def findings(rows: DataFrame, metrics: Sequence[str], baseline: str = "h", top_n
     for m in ("islv", "iupv_s"):
         if m in metrics:
             out = out.unionByName(told(one.select(F.lit(m).alias("metric")), "balanced_candidate_metric", info, F.struct(F.lit(True).alias("uses_percentile_components")), "balanced_candidate"))
-    ranked = ranking.competition_ranks(long)
+    ranked = settled(ranking.competition_ranks(long), "finding-ranks")
     pair = ranking.top_overlap(ranked, top_n).filter((F.col("cut") == top_n) & (F.col("metric_a") == baseline)).select(F.col("metric_b").alias("metric"), "jaccard")
     others = [m for m in metrics if m != baseline]
     rho = spearman(long, [(baseline, m) for m in others]).select(F.col("metric_b").alias("metric"), F.col("value").alias("spearman"))
@@ -371,9 +377,9 @@ def warnings(rows: DataFrame, metrics: Sequence[str], top_n: int = 100) -> DataF
 
 def analysis(rows: DataFrame, metrics: Sequence[str], baseline: str = "h", top_n: int = 100) -> dict[str, DataFrame]:
     """Every block of the analysis on one selection (DS22), which the caller may persist first."""
-    long = to_long(rows, metrics)
-    ranked = ranking.competition_ranks(long)
-    found = findings(rows, metrics, baseline, top_n)
+    long = settled(to_long(rows, metrics), "analysis-long")
+    ranked = settled(ranking.competition_ranks(long), "analysis-ranked")
+    found = settled(findings(rows, metrics, baseline, top_n), "analysis-findings")  # several blocks read each
     return {
         "descriptive": describe(long), "boxplots": boxplot(long), "boxplots_nonzero": boxplot(long, "nonzero"), "boxplots_central": boxplot(long, "central95"),
         "histograms": histogram(long), "histograms_log1p": histogram(long, log=True), "chart_readiness": readiness(long), "normality": normality(long), "normality_log1p": normality(long, log=True),

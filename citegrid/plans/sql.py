@@ -299,3 +299,22 @@ SQL["ds15_pairwise"] = f"""WITH sp AS ({SQL["ds12_spearman"]}), pe AS ({SQL["ds1
 {", ".join(f"(SELECT {c} FROM de WHERE metric = '{b if a == 'h' else a if b == 'h' else '-'}') AS {c}" for c in ("median_abs_delta", "p90_abs_delta", "max_abs_delta", "share_abs_delta_le_5"))}, {_group(f"'{a}'")} AS group_a, {_group(f"'{b}'")} AS group_b"""
     for a, b in _DS15_PAIRS
 )
+
+
+def _normal_quantile(p: str) -> str:
+    def poly(x: str, terms: tuple) -> str:
+        out = f"{terms[0]!r}::DOUBLE"
+        for t in terms[1:]:
+            out = f"(({out}) * {x} + {t!r}::DOUBLE)"
+        return out
+
+    a, b, c, d = stats.QUANTILE
+    tail = lambda q: f"({poly(q, c)} / {poly(q, (*d, 1.0))})"
+    low, high, mid = f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))", f"({p} - 0.5)"
+    return f"CASE WHEN {p} < 0.02425 THEN {tail(low)} WHEN {p} > 1 - 0.02425 THEN -{tail(high)} ELSE {mid} * {poly(f'({mid} * {mid})', a)} / {poly(f'({mid} * {mid})', (*b, 1.0))} END"
+
+
+SQL["ds10_qq_points"] = f"""{STRICT}, {long(["h", "c_frac"])}, o AS (SELECT metric, value, row_number() OVER (PARTITION BY metric ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY metric) AS n FROM lg WHERE value IS NOT NULL),
+g AS (SELECT metric, n, unnest(range(0, least(101, n))) AS k FROM (SELECT DISTINCT metric, n FROM o)), w AS (SELECT DISTINCT metric, CAST(CASE WHEN n = 1 THEN 0 ELSE round_even(k * (n - 1)::DOUBLE / (least(101, n) - 1), 0) END AS BIGINT) AS idx FROM g),
+q AS (SELECT o.metric, idx, (idx + 0.5)::DOUBLE / n AS p, value FROM w JOIN o ON o.metric = w.metric AND i = idx)
+SELECT metric, idx AS "index", round({_normal_quantile("p")}, 6) + 0 AS theoretical, round(value, 6) + 0 AS sample FROM q"""
