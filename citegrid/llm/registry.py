@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, mixing, ngram_join, quality, sharding, substring_dedup, token_files, urls, warc
+from . import ball_tree, decontaminate, infill, line_dedup, mixing, ngram_join, quality, sharding, simhash, substring_dedup, token_files, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_soft_mixing": mixing.op8_soft_mixing,
     "op9_tokeniser_fertility": quality.op9_tokeniser_fertility,
     "op10_range_coded_ids": token_files.op10_range_coded_ids,
+    "op11_infill_chunks": infill.op11_infill_chunks,
+    "op12_ball_tree_search": ball_tree.op12_ball_tree_search,
+    "op13_simhash_covering": simhash.op13_simhash_covering,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -27,4 +30,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_url_templates": urls.OP3_SQL,
     "op6_ngram_join": ngram_join.OP6_SQL,
     "op7_warc_index": warc.OP7_SQL,
+    "op11_infill_chunks": infill.OP11_SQL,
+    "op12_ball_tree_search": ball_tree.OP12_SQL,
 }

@@ -93,6 +93,16 @@ def span_hashes(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def window_hashes(raw: np.ndarray, size: int) -> np.ndarray:
+    """A rolling hash of each run of ``size`` bytes; its high bits are the good ones."""
+    if len(raw) < size:
+        return np.zeros(0, np.uint64)
+    up, down = _power(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64, out=sums[1:])
+    return (sums[size:] - sums[:-size]) * down[: len(raw) - size + 1] * np.uint64(0x9E3779B97F4A7C15)
+
+
 def rows_of(first: np.ndarray) -> np.ndarray:
     """For each word its row's number."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
