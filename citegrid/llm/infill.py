@@ -90,7 +90,7 @@ class Chunks:
         ends = self.ends(marks, len(text))
         told = [self.summary(text[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
         goes_on = [False, *(x[2] and y[1] for x, y in zip(told, told[1:], strict=False))]
-        begun = list(accumulate(t[0] - g for t, g in zip(told, goes_on, strict=True)))
+        begun = list(accumulate(t[0] - g for t, g in zip(told, goes_on, strict=False)))
         return Counted(text, ends, goes_on, begun, list(accumulate(t[3] for t in told)), bool(told) and not told[-1][2])
 
 
