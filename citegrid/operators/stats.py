@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from citegrid.operators import order, ranking
+from citegrid.operators import concordance, order, ranking
 from citegrid.sources.scratch import settled
 
 #: Finding thresholds.
@@ -240,32 +240,19 @@ def pearson_log1p(rows: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return _moments(wide, _pairs(metrics)).select(F.col("a").alias("metric_a"), F.col("b").alias("metric_b"), "n", _correlation().alias("value"))
 
 
-def kendall(rows: DataFrame, metrics: Sequence[str], limit: int = KENDALL_LIMIT) -> DataFrame:
-    """Exact tau-b; null and marked skipped above ``limit`` authors (DS14). Only up to limit rows are paired."""
-    few = rows.select("author_id", *(F.col(m).cast("double").alias(m) for m in metrics))
-    n = few.count()
-    pairs = _pairs(metrics)
-    if n > limit:
-        one = rows.sparkSession.range(1).select(F.explode(F.array(*(F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b")) for a, b in pairs))).alias("s"))
-        return one.select("s.*", F.lit(n).cast("long").alias("n"), F.lit(None).cast("double").alias("value"), F.lit(True).alias("skipped"))
-    x, y = few.alias("x"), few.alias("y")
-    met = x.join(F.broadcast(y), F.col("x.author_id") < F.col("y.author_id"))  # limit rows at most
-    sums = []
-    for i, (a, b) in enumerate(pairs):
-        s, t = F.signum(F.col(f"x.{a}") - F.col(f"y.{a}")), F.signum(F.col(f"x.{b}") - F.col(f"y.{b}"))
-        sums += [F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"), F.sum(s * t).alias("st"), F.sum(s * s).alias("ss"), F.sum(t * t).alias("tt")).alias(f"s{i}")]
-    one = met.agg(*sums).select(F.explode(F.array(*(f"s{i}" for i in range(len(pairs))))).alias("s")).select("s.*")
-    return one.select("metric_a", "metric_b", F.lit(n).cast("long").alias("n"), F.when((F.col("ss") > 0) & (F.col("tt") > 0), F.col("st") / F.sqrt(F.col("ss") * F.col("tt"))).alias("value"), F.lit(False).alias("skipped"))
+def kendall(rows: DataFrame, metrics: Sequence[str], limit: int | None = KENDALL_LIMIT, by: Sequence[str] = (), diagonal: bool = False) -> DataFrame:
+    """Exact tau-b, null and marked skipped above ``limit`` authors; ``limit=None`` counts for any number (DS14)."""
+    return concordance.kendall(rows, metrics, limit, by, diagonal)
 
 
-def pairwise(rows: DataFrame, metrics: Sequence[str], baseline: str = "h", top_n: int = 100) -> DataFrame:
+def pairwise(rows: DataFrame, metrics: Sequence[str], baseline: str = "h", top_n: int = 100, kendall_limit: int | None = KENDALL_LIMIT) -> DataFrame:
     """All pairs of metrics with three correlations, overlaps and shifts against the baseline (DS15)."""
     long = to_long(rows, metrics)
     ranked = ranking.competition_ranks(long)
     keys = ["metric_a", "metric_b"]
     s = spearman(long, _pairs(metrics)).select(*keys, F.col("value").alias("spearman"))
     p = pearson_log1p(rows, metrics).select(*keys, F.col("value").alias("pearson_log1p"))
-    k = kendall(rows, metrics).select(*keys, F.col("value").alias("kendall_tau_b"))
+    k = kendall(rows, metrics, kendall_limit).select(*keys, F.col("value").alias("kendall_tau_b"))
     o = ranking.top_overlap(ranked, top_n).groupBy(*keys).agg(*(F.max(F.when(F.col("cut") == c, F.col("overlap_rate"))).alias(f"top{c}_overlap_rate") for c in (10, 20, 50)))
     d = ranking.rank_delta_summary(ranked, baseline).drop("n_common_authors")
     out = s.join(p.hint("shuffle_hash"), keys).join(k.hint("shuffle_hash"), keys).join(o.hint("shuffle_hash"), keys, "left")
@@ -398,10 +385,10 @@ def tidy_tables(rows: DataFrame, metrics: Sequence[str], folder: str, baseline:
     return [f"{folder}/{name}" for name in keep]
 
 
-def correlation_rows(rows: DataFrame, metrics: Sequence[str]) -> DataFrame:
+def correlation_rows(rows: DataFrame, metrics: Sequence[str], kendall_limit: int | None = KENDALL_LIMIT) -> DataFrame:
     """Correlations as export rows: method, left, right, value (DS24)."""
     long = to_long(rows, metrics)
-    each = {"spearman": spearman(long, _pairs(metrics)), "pearson_log1p": pearson_log1p(rows, metrics), "kendall_tau_b": kendall(rows, metrics)}
+    each = {"spearman": spearman(long, _pairs(metrics)), "pearson_log1p": pearson_log1p(rows, metrics), "kendall_tau_b": kendall(rows, metrics, kendall_limit)}
     out = None
     for method, df in each.items():
         part = df.select(F.lit(method).alias("method"), F.col("metric_a").alias("left"), F.col("metric_b").alias("right"), "value")

@@ -85,8 +85,15 @@ def rk3(t: Tables) -> DataFrame:
 
 
 def kendall(t: Tables) -> DataFrame:
-    """Over the authors with most credit; a selection above the operator's limit is told as skipped."""
-    return rounded(stats.kendall(t.strict.filter("c_frac >= 100"), ["p", "h", "c_frac"]))
+    """Over all authors, without the limit."""
+    return rounded(stats.kendall(t.strict, ["p", "h", "c_frac"], limit=None, diagonal=True))
+
+
+def kendall_by_institution(t: Tables) -> DataFrame:
+    """For the authors of each institution; those with more than the limit are told as skipped."""
+    people = t.authorships.filter("author_id is not null").select("author_id", F.col("institution_ids_csv").alias("institution")).distinct()
+    rows = people.join(t.strict.hint("shuffle_merge"), "author_id")
+    return rounded(stats.kendall(rows, ["p", "h", "c_frac"], by=["institution"]))
 
 
 def describe(t: Tables) -> DataFrame:
@@ -411,7 +418,8 @@ _PLAIN: dict[str, Callable[[Tables], DataFrame]] = {
     "ds12_spearman": lambda t: rounded(stats.spearman(t.long(), PAIRS)),
     "ds13_pearson_log1p": lambda t: rounded(stats.pearson_log1p(t.strict, FEW)),
     "ds14_kendall": kendall,
-    "ds15_pairwise": lambda t: rounded(stats.pairwise(t.strict, ["p", "h", "c_frac", "g"])),
+    "ds14_kendall_by_institution": kendall_by_institution,
+    "ds15_pairwise": lambda t: rounded(stats.pairwise(t.strict, ["p", "h", "c_frac", "g"], kendall_limit=None)),
     "ds16_rank_summary": lambda t: rounded(stats.rank_summary(t.long())),
     "ds18_findings": lambda t: stats.findings(t.strict, FEW).drop("evidence"),
     "ds19_dependence": scorecard,
@@ -419,7 +427,7 @@ _PLAIN: dict[str, Callable[[Tables], DataFrame]] = {
     "ds20_conclusion": lambda t: stats.conclusion_evidence(stats.findings(t.strict, FEW)),
     "ds21_warnings": lambda t: stats.warnings(t.strict, FEW),
     "ds22_analysis": analysis_counts,
-    "ds24_correlation_rows": lambda t: rounded(stats.correlation_rows(t.strict, ["p", "h", "c_frac"])),
+    "ds24_correlation_rows": lambda t: rounded(stats.correlation_rows(t.strict, ["p", "h", "c_frac"], kendall_limit=None)),
     "sl1_snapshot_slice": lambda t: filters.snapshot_slice(t.raw, "1996-01-01", "1998-12-31", ["Article", "REVIEW"]).select("id"),
     "sl2_subject_slice": lambda t: filters.subject_slice(t.raw, "subfield", "https://example.org/subfields/BUILDING").select("id"),
     "sl4_work_filter": work_filter,

@@ -219,8 +219,6 @@ SELECT metric, d.n, missing, {r("min", "max", "mean", "stddev", "q1", "median",
     "ds11_average_ranks": f"{LONG}, {AVG_RANKS} SELECT metric, author_id, round(value, 6) AS value, CAST(avg_rank AS DOUBLE) AS avg_rank FROM ar",
     "ds12_spearman": f"{LONG}, {AVG_RANKS}, wd AS (PIVOT_PLACE) " + " UNION ALL ".join(f"SELECT '{a}' AS metric_a, '{b}' AS metric_b, count(*) AS n, round({corr(a, b)}, 6) AS value FROM wd" for a, b in PAIRS),
     "ds13_pearson_log1p": f"{STRICT}, wd AS (SELECT {', '.join(f'ln(1 + greatest(0, {m}::DOUBLE)) AS {m}' for m in FEW)} FROM s) " + " UNION ALL ".join(f"SELECT '{a}' AS metric_a, '{b}' AS metric_b, count(*) AS n, round({corr(a, b)}, 6) AS value FROM wd" for a, b in PAIRS),
-    "ds14_kendall": f"{STRICT}, k AS (SELECT author_id, p, h, c_frac FROM s WHERE c_frac >= 100), n AS (SELECT count(*) AS n FROM k), pr AS (SELECT sign(x.p - y.p) AS p, sign(x.h - y.h) AS h, sign(x.c_frac - y.c_frac) AS c_frac FROM k x JOIN k y ON x.author_id < y.author_id AND (SELECT n FROM n) <= 1000) "
-    + " UNION ALL ".join(f"SELECT '{a}' AS metric_a, '{b}' AS metric_b, (SELECT n FROM n) AS n, round(sum({a} * {b}) / sqrt((sum({a} * {a}) * sum({b} * {b}))::DOUBLE), 6) AS value, (SELECT n FROM n) > 1000 AS skipped FROM pr" for a, b in (("p", "h"), ("p", "c_frac"), ("h", "c_frac"))),
     "ds19_dependence": f"{STRICT}, {long(sorted({*FEW, *stats.FACTORS.values()}))}, {AVG_RANKS} "
     + " UNION ALL ".join(
         f"SELECT '{m}' AS metric, '{k}' AS factor, round(v, 6) AS spearman_rho, CASE WHEN v IS NULL THEN NULL WHEN v > 0 THEN 'positive' WHEN v < 0 THEN 'negative' ELSE 'none' END AS direction FROM (SELECT {corr('a.avg_rank', 'b.avg_rank')} AS v FROM ar a JOIN ar b USING (author_id) WHERE a.metric = '{m}' AND b.metric = '{f}')"
@@ -285,16 +283,35 @@ SQL["ds16_rank_summary"] = f"""SELECT metric, n AS n_authors, mean, median, stdd
 {_group("metric")} AS metric_group FROM ({SQL["ds4_describe"]}) JOIN ({SQL["rk11_concentration"]}) USING (metric)"""
 _EXPORTED = (("p", "h"), ("p", "c_frac"), ("h", "c_frac"))
 _EITHER = lambda a, b: f"((metric_a = '{a}' AND metric_b = '{b}') OR (metric_a = '{b}' AND metric_b = '{a}'))"
+
+
+def _tau(pairs, keep: str = "", group: str = "", n: str = "(SELECT count(*) FROM k)", limit: bool = False) -> str:
+    """tau-b of every pair of metrics by comparing all pairs of rows of ``k``."""
+    value = lambda a, b: f"round(sum({a} * {b}) / nullif(sqrt(sum({a} * {a})::DOUBLE * sum({b} * {b})::DOUBLE), 0), 6) + 0"
+    one = lambda a, b: f"SELECT {keep}'{a}' AS metric_a, '{b}' AS metric_b, {n} AS n, {f'CASE WHEN {n} <= {stats.KENDALL_LIMIT} THEN {value(a, b)} END' if limit else value(a, b)} AS value, {f'{n} > {stats.KENDALL_LIMIT}' if limit else 'false'} AS skipped FROM pr {group}"
+    return " UNION ALL ".join(one(a, b) for a, b in pairs)
+
+
+_SIGNS = lambda names: ", ".join(f"sign(x.{m} - y.{m}) AS {m}" for m in names)
+_TAU = ["p", "h", "c_frac"]
+SQL["ds14_kendall"] = (
+    f"{STRICT}, k AS (SELECT author_id, p, h, c_frac FROM s), pr AS (SELECT {_SIGNS(_TAU)} FROM k x JOIN k y ON x.author_id < y.author_id) {_tau([(a, b) for i, a in enumerate(_TAU) for b in _TAU[i + 1 :]])}"
+    + "".join(f" UNION ALL SELECT '{m}', '{m}', (SELECT count(*) FROM k), CASE WHEN (SELECT count(*) FROM k) >= 2 THEN 1.0 END, false" for m in _TAU)
+)
+SQL["ds14_kendall_by_institution"] = f"""{STRICT}, k AS (SELECT DISTINCT institution_ids_csv AS institution, author_id, p, h, c_frac FROM s JOIN authorships USING (author_id)),
+sz AS (SELECT institution, count(*) AS n FROM k GROUP BY 1), pr AS (SELECT sz.institution, sz.n, {_SIGNS(_TAU)} FROM sz LEFT JOIN (k x JOIN k y ON x.institution = y.institution AND x.author_id < y.author_id) ON x.institution = sz.institution)
+{_tau([(a, b) for i, a in enumerate(_TAU) for b in _TAU[i + 1 :]], "institution, ", "GROUP BY institution, n", "n", True)}"""
+_TAU4 = f"{STRICT}, k AS (SELECT author_id, p, h, c_frac, g FROM s), pr AS (SELECT {_SIGNS([*_TAU, 'g'])} FROM k x JOIN k y ON x.author_id < y.author_id) {_tau([('p', 'h'), ('p', 'c_frac'), ('p', 'g'), ('h', 'c_frac'), ('h', 'g'), ('c_frac', 'g')])}"
 SQL["ds24_correlation_rows"] = " UNION ALL ".join(f"SELECT '{method}' AS method, '{a}' AS left, '{b}' AS right, value FROM ({SQL[key]}) WHERE {_EITHER(a, b)}" for method, key in (("spearman", "ds12_spearman"), ("pearson_log1p", "ds13_pearson_log1p")) for a, b in _EXPORTED) + " UNION ALL " + " UNION ALL ".join(
-    f"SELECT 'kendall_tau_b', metric_a, metric_b, value FROM ({SQL['ds14_kendall'].replace(' WHERE c_frac >= 100', '')}) WHERE metric_a = '{a}' AND metric_b = '{b}'" for a, b in _EXPORTED
+    f"SELECT 'kendall_tau_b', metric_a, metric_b, value FROM ({SQL['ds14_kendall']}) WHERE metric_a = '{a}' AND metric_b = '{b}'" for a, b in _EXPORTED
 )
 SQL["ds21_warnings"] = f"""{LONG}, {FENCES}, n AS (SELECT count(*) AS n FROM s)
 SELECT 'no_authors' AS code, '' AS detail FROM n WHERE n = 0 UNION ALL SELECT 'under_5_authors', '' FROM n WHERE n BETWEEN 1 AND 4 UNION ALL SELECT 'under_20_authors', '' FROM n WHERE n BETWEEN 5 AND 19
 UNION ALL SELECT 'rank_cut', '' FROM n WHERE n > 100 UNION ALL SELECT 'kendall_skipped', '' FROM n WHERE n > 1000 UNION ALL SELECT 'zero_iqr', metric FROM fe WHERE iqr = 0"""
 _DS15 = ["p", "h", "c_frac", "g"]
 _DS15_PAIRS = [(a, b) for i, a in enumerate(_DS15) for b in _DS15[i + 1 :]]
-SQL["ds15_pairwise"] = f"""WITH sp AS ({SQL["ds12_spearman"]}), pe AS ({SQL["ds13_pearson_log1p"]}), ov AS ({SQL["rk10_top_overlap"]}), de AS ({SQL["rk8_rank_deltas"]}) """ + " UNION ALL ".join(
-    f"""SELECT '{a}' AS metric_a, '{b}' AS metric_b, (SELECT value FROM sp WHERE {_EITHER(a, b)}) AS spearman, (SELECT value FROM pe WHERE {_EITHER(a, b)}) AS pearson_log1p, CAST(NULL AS DOUBLE) AS kendall_tau_b,
+SQL["ds15_pairwise"] = f"""WITH sp AS ({SQL["ds12_spearman"]}), pe AS ({SQL["ds13_pearson_log1p"]}), ov AS ({SQL["rk10_top_overlap"]}), de AS ({SQL["rk8_rank_deltas"]}), ke AS ({_TAU4}) """ + " UNION ALL ".join(
+    f"""SELECT '{a}' AS metric_a, '{b}' AS metric_b, (SELECT value FROM sp WHERE {_EITHER(a, b)}) AS spearman, (SELECT value FROM pe WHERE {_EITHER(a, b)}) AS pearson_log1p, (SELECT value FROM ke WHERE metric_a = '{a}' AND metric_b = '{b}') AS kendall_tau_b,
 {", ".join(f"(SELECT overlap_rate FROM ov WHERE metric_a = '{a}' AND metric_b = '{b}' AND cut = {c}) AS top{c}_overlap_rate" for c in (10, 20, 50))},
 {", ".join(f"(SELECT {c} FROM de WHERE metric = '{b if a == 'h' else a if b == 'h' else '-'}') AS {c}" for c in ("median_abs_delta", "p90_abs_delta", "max_abs_delta", "share_abs_delta_le_5"))}, {_group(f"'{a}'")} AS group_a, {_group(f"'{b}'")} AS group_b"""
     for a, b in _DS15_PAIRS
