@@ -12,6 +12,7 @@ from citegrid.operators import cohorts, credit, filters, formulas, indices, norm
 from citegrid.plans.sql import FEW, PAIRS, SQL
 from citegrid.sources import adapter, io
 from citegrid.sources.scratch import folder, kept, settled
+from citegrid.streaming import partitions
 
 Query = Callable[[SparkSession, str], DataFrame]
 STRICT = "strict_authors_count"
@@ -234,6 +235,65 @@ def ingest(t: Tables) -> DataFrame:
     return t.spark.read.schema(schema).parquet(target).select("id", "cited_by_count")
 
 
+def _delivered(t: Tables, rows: DataFrame, into: str) -> None:
+    """Works as a dump has them: a folder for each month, one file in it."""
+    rows.repartition("updated_date").write.mode("append").partitionBy("updated_date").json(into)
+
+
+def _months(t: Tables) -> DataFrame:
+    return t.works.select(F.col("work_id").alias("id"), "type", "cited_by_count", F.substring("publication_date", 1, 7).alias("updated_date"))
+
+
+def _replaced(t: Tables, rows: DataFrame, month: str, source: str) -> None:
+    """The file of a month written anew under its old name."""
+    path, system = t.spark._jvm.org.apache.hadoop.fs.Path, None
+    new, old = folder(t.spark, "month"), f"{source}/updated_date={month}"
+    rows.filter(F.col("updated_date") == month).drop("updated_date").coalesce(1).write.json(new)  # a file's rows
+    system = path(old).getFileSystem(t.spark._jsc.hadoopConfiguration())
+    first = lambda at: [f.getPath() for f in system.listStatus(path(at)) if f.getPath().getName().startswith("part-")][0]
+    was = first(old)
+    system.delete(was, False)
+    system.rename(first(new), was)
+
+
+DUMP = StructType().add("id", "string").add("type", "string").add("cited_by_count", "long")
+
+
+def changed_files(t: Tables) -> DataFrame:
+    """A dump of which later two files change, one goes and one comes."""
+    source, target, state = (folder(t.spark, n) for n in ("dump", "chunks", "log"))
+    articles = lambda df: df.filter("type = 'article'")
+    rows = _months(t)
+    _delivered(t, rows.filter("updated_date != '1996-07'"), source)
+    partitions.sync(t.spark, source, DUMP, target, state, keep=articles)
+    changed = rows.filter("cited_by_count % 2 = 0").withColumn("cited_by_count", F.col("cited_by_count") + 1000)
+    for month in ("1995-03", "1997-11"):
+        _replaced(t, changed, month, source)
+    gone = t.spark._jvm.org.apache.hadoop.fs.Path(f"{source}/updated_date=1996-02")
+    gone.getFileSystem(t.spark._jsc.hadoopConfiguration()).delete(gone, True)
+    _delivered(t, rows.filter("updated_date = '1996-07'"), source)
+    partitions.sync(t.spark, source, DUMP, target, state, keep=articles)
+    return partitions.records(t.spark, target, state, DUMP).drop("source")
+
+
+def repaired_chunks(t: Tables) -> DataFrame:
+    """A dump is taken in steps; then rows of the log are lost and chunks damaged, and the next run mends both. Records that
+    several files have come once."""
+    source, target, state = (folder(t.spark, n) for n in ("dump", "chunks", "log"))
+    rows = _months(t)
+    again = rows.filter("cited_by_count % 5 = 0").withColumn("updated_date", F.lit("2000-01"))
+    _delivered(t, rows.unionByName(again), source)
+    partitions.sync(t.spark, source, DUMP, target, state, files_per_commit=40)
+    logged = partitions.log(t.spark, state)
+    left = settled(logged.filter("source not like '%1996-0%'"), "log")
+    wrong = settled(left.filter("source like '%1995-05%' or source like '%2000-01%'").select("chunk"), "wrong")
+    made = settled(partitions._chunks(t.spark, target, DUMP).join(wrong.hint("shuffle_merge"), "chunk").withColumn("cited_by_count", F.lit(-1).cast("long")), "made")
+    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(target)
+    left.write.mode("overwrite").json(state)
+    partitions.sync(t.spark, source, DUMP, target, state, verify=True)
+    return partitions.first_of_each(partitions.records(t.spark, target, state, DUMP), "id").drop("source")
+
+
 def custom(t: Tables) -> DataFrame:
     m = formulas.parse_metrics([{"id": "mix", "expression": "c_frac / p + log1p(h) - i10 % 7"}])
     return rounded(formulas.with_metrics(t.strict, m).select("author_id", "custom_mix"))
@@ -467,6 +527,8 @@ _PLAIN: dict[str, Callable[[Tables], DataFrame]] = {
     "io13_manifest_check": manifest_check,
     "io14_manifest_totals": lambda t: io.manifest_totals(_events_manifest(t)),
     "st1_incremental_ingest": ingest,
+    "st1_changed_files": changed_files,
+    "st2_repaired_chunks": repaired_chunks,
     "ud2_custom_metric": custom,
     "ud3_percentile_metric": custom_rank,
     "ud6_validate_formula": validate,

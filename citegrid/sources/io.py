@@ -15,7 +15,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, partiti
     return rows.repartition(partitions) if partitions else rows
 
 
-def read_tolerant(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_tolerant(spark: SparkSession, path: str | list[str], schema: StructType) -> DataFrame:
     """JSON lines with ``error`` true for lines that are no JSON object (IO2), and their file."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).filter(F.trim("value") != "")
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_none"})
