@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from citegrid.operators import cohorts, credit, filters, formulas, indices, normalize, ranking, resampling, stats, tables
 from citegrid.plans.sql import FEW, PAIRS, SQL
-from citegrid.sources import adapter, io
+from citegrid.sources import adapter, io, packs
 from citegrid.sources.scratch import folder, kept, settled
 from citegrid.streaming import partitions
 
@@ -256,6 +256,29 @@ def _replaced(t: Tables, rows: DataFrame, month: str, source: str) -> None:
     system.rename(first(new), was)
 
 
+def packed(t: Tables) -> DataFrame:
+    """Works in packs of some thousand: arrays, lists of results, single objects and lines."""
+    number = F.substring_index("work_id", "W", -1).cast("long")
+    ours = F.when(F.col("cited_by_count") % 7 == 0, F.concat(F.lit("https://example.org/X"), number)).otherwise(F.col("work_id"))
+    works = t.works.select(F.floor(number / 1000).alias("pack"), ours.alias("id"), number.alias("number"), F.col("display_name").alias("title"), F.struct("type", F.array(F.struct("language")).alias("results")).alias("more"))
+    all_ = F.array_sort(F.collect_list(F.struct("number", "id", "title", "more")))
+    plain = F.transform(all_, lambda s: F.struct(s["id"].alias("id"), s["title"].alias("title"), s["more"].alias("more")))
+    layout = F.col("pack") % 4
+    told = works.groupBy("pack").agg(plain.alias("records"))  # a thousand works at most
+    text = F.when(layout == 0, F.to_json("records")).when(layout == 1, F.to_json(F.struct(F.struct(F.lit(1).alias("count")).alias("meta"), F.col("records").alias("results")))).when(layout == 2, F.to_json(F.col("records")[0]))
+    text = F.coalesce(text, F.array_join(F.transform("records", lambda s: F.to_json(s)), "\n"))
+    source = folder(t.spark, "packs")
+    told.select(text.alias("value"), "pack").write.partitionBy("pack").text(source)
+    path = t.spark._jvm.org.apache.hadoop.fs.Path
+    system = path(source).getFileSystem(t.spark._jsc.hadoopConfiguration())
+    for at in system.globStatus(path(f"{source}/pack=*/part-*")):
+        number = int(at.getPath().getParent().getName()[5:])
+        system.rename(at.getPath(), path(f"{source}/works-{number}.{'jsonl' if number % 4 == 3 else 'json'}"))
+    rows, manifest = packs.read_packs(t.spark, source, StructType().add("id", "string").add("title", "string"), "https://example.org/W")
+    file = F.regexp_extract("file", "works-[0-9]+.json", 0)
+    return rows.withColumn("file", file).join(manifest.select(file.alias("file"), "records", "status").hint("shuffle_merge"), "file")
+
+
 DUMP = StructType().add("id", "string").add("type", "string").add("cited_by_count", "long")
 
 
@@ -455,6 +478,7 @@ _PLAIN: dict[str, Callable[[Tables], DataFrame]] = {
     "ud5_template": template_metric,
     "ud7_saved_formulas": saved_formulas,
     "io1_json_lines": json_lines,
+    "io3_packs": packed,
     "io5_either_table": either_table,
     "io7_csv_numbers": csv_numbers,
     "io9_registered": registered,

@@ -261,6 +261,8 @@ SELECT metric, d.n, missing, {r("min", "max", "mean", "stddev", "q1", "median",
     "io6_csv_round_trip": f"WITH {WORKS} SELECT work_id, display_name, publication_year, cited_by_count, is_retracted FROM works",
     "io2_tolerant_scan": "SELECT count(*) FILTER (o_orderkey % 13 <> 0) AS records, count(*) FILTER (o_orderkey % 13 = 0) AS errors FROM orders",
     "st1_incremental_ingest": f"WITH {WORKS} SELECT work_id AS id, cited_by_count FROM works WHERE type = 'article'",
+    "io3_packs": f"""WITH {WORKS}, k AS (SELECT *, CAST(split_part(work_id, 'W', -1) AS BIGINT) AS number FROM works), m AS (SELECT *, number // 1000 AS pack, row_number() OVER (PARTITION BY number // 1000 ORDER BY number) AS i FROM k),
+w AS (SELECT 'works-' || pack || '.json' AS file, work_id AS id, display_name AS title FROM m WHERE cited_by_count % 7 <> 0 AND (pack % 4 <> 2 OR i = 1)) SELECT *, count(*) OVER (PARTITION BY file) AS records, 'ok' AS status FROM w""",
     "st1_changed_files": f"WITH {WORKS}, m AS (SELECT work_id AS id, type, cited_by_count AS c, publication_date[1:7] IN ('1995-03', '1997-11') AS changed FROM works WHERE type = 'article' AND publication_date[1:7] <> '1996-02') SELECT id, type, CASE WHEN changed THEN c + 1000 ELSE c END AS cited_by_count FROM m WHERE NOT changed OR c % 2 = 0",
     "st2_repaired_chunks": f"WITH {WORKS} SELECT work_id AS id, type, cited_by_count FROM works",
     "ud2_custom_metric": f"{STRICT}, z AS (SELECT author_id, round(coalesce(c_frac / nullif(p, 0), 0) + ln(1 + h::DOUBLE) - i10 % 7, 6) AS custom_mix, p FROM s), q AS (SELECT *, row_number() OVER (ORDER BY author_id) AS i FROM z) SELECT author_id, custom_mix FROM q",

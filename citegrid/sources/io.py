@@ -33,22 +33,6 @@ def parse_errors(tolerant: DataFrame, most: int = 20) -> DataFrame:
     return counts.join(shown, "file", "left")
 
 
-def read_pack(spark: SparkSession, paths: Sequence[str], record: StructType, prefix: str) -> DataFrame:
-    """Works from files that hold an object, an array, ``{"results": [...]}`` or lines (IO3); only ids with the prefix."""
-    whole = spark.read.option("wholetext", True).text(list(paths)).select(F.trim("value").alias("text"), F.col("_metadata.file_path").alias("file"))
-    one, many = record.simpleString(), f"array<{record.simpleString()}>"
-    array = F.from_json("text", many)
-    results = F.get_json_object("text", "$.results")
-    lines = F.transform(F.filter(F.split("text", "\n"), lambda s: F.trim(s) != ""), lambda s: F.from_json(s, one))
-    by_line = F.size(F.filter(F.split("text", "\n"), lambda s: F.trim(s).startswith("{") & F.trim(s).endswith("}"))) > 1
-    records = F.when(F.col("text").startswith("["), array).when(results.isNotNull(), F.from_json(results, many)).when(by_line, lines).otherwise(F.array(F.from_json("text", one)))
-    return whole.select("file", F.explode(records).alias("r")).filter(F.col("r.id").startswith(prefix)).select("file", "r.*")
-
-
-def pack_manifest(packed: DataFrame) -> DataFrame:
-    return packed.groupBy("file").agg(F.count(F.lit(1)).alias("records"), F.sum(F.octet_length(F.to_json(F.struct(*[c for c in packed.columns if c != "file"])))).alias("bytes"), F.lit("ok").alias("status"))
-
-
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """CSV with a header, quotes doubled inside quotes, and line breaks in quotes (IO4)."""
     return spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
