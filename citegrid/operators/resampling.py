@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,64 +28,119 @@ def ordinal_spearman(rows: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataF
     return found.select(F.col("a").alias("metric_a"), F.col("b").alias("metric_b"), "n", F.when(F.col("n") >= 3, F.col("value")).alias("value"))
 
 
-def bootstrap(rows: DataFrame, pairs: Sequence[tuple[str, str]], iterations: int = 200, seed: int = 42, sample_size: int = 0) -> DataFrame:
+def _number(*parts: Column | str, at: Column | None = None) -> Column:
+    """A number below 2 ** 60 from the MD5 of the parts; ``at`` 0 or 1 takes one of two."""
+    digest = F.md5(F.concat_ws(":", *parts))
+    digits = F.substring(digest, 1, 15) if at is None else F.substring(digest, at * 15 + 1, F.lit(15))
+    return F.conv(digits, 16, 10).cast("long")
+
+
+def _ranks_in_order(wide: DataFrame, metrics: Sequence[str], rows_per_range: int) -> tuple[DataFrame, int, int]:
+    """``wide`` (author_id and whole ranks) with ``slot``, its number by id from 0; and the rows, and how many ranges of ranks
+    of ``rows_per_range`` they make."""
+    numbered = order.running(wide, [F.asc("author_id")], [], {"place": F.lit(1)}).withColumn("slot", F.col("place") - 1).drop("place")
+    numbered = settled(numbered, "numbered")
+    n = numbered.count()
+    return numbered, n, -(-n // rows_per_range) or 1
+
+
+def bootstrap(rows: DataFrame, pairs: Sequence[tuple[str, str]], iterations: int = 200, seed: int = 42, sample_size: int = 0, rows_per_range: int = 1_000_000) -> DataFrame:
     """The ordinal Spearman and its 2.5 % and 97.5 % bounds over resamples of ``sample_size`` (or all) authors (RS1).
 
-    Authors are numbered by id. Each iteration draws as many slots as there are authors, by hash, and counts
-    draws for each author; an author's rank in a resample is the running count of draws in the metric's order,
-    the place of its last copy. Iterations are the partitions, so each task sorts one resample."""
+    Authors are numbered by id. Each iteration draws as many numbers as there are authors, by MD5, and counts draws for each
+    author; an author's rank in a resample is the running count of draws in the metric's order, the place of its last
+    copy. Draws are rows of a range, so no task makes an iteration's; the running count is taken within ranges of
+    ``rows_per_range`` ranks, with the sums of the ranges before, so none sorts a resample of any size."""
     iterations = max(10, min(iterations, 10_000))
-    names = sorted({m for p in pairs for m in p})
+    spark, names = rows.sparkSession, sorted({m for p in pairs for m in p})
     wide = ordinal_ranks(rows, names).groupBy("author_id").pivot("metric", names).agg(F.first("rank"))
-    numbered = order.running(wide, [F.asc("author_id")], [], {"place": F.lit(1)}).withColumn("slot", (F.col("place") - 1).cast("int")).drop("place")
-    n = numbered.count()
+    numbered, n, ranges = _ranks_in_order(wide, names, rows_per_range)
     drawn_size = max(2, min(n, sample_size or n))
     if n < 3 or drawn_size < 3:
-        return rows.sparkSession.createDataFrame([], "metric_a string, metric_b string, iterations long, sample_size long, estimate double, ci_low double, ci_high double, status string")
-    draws = rows.sparkSession.range(iterations).select(F.col("id").alias("iteration"), F.explode(F.sequence(F.lit(0), F.lit(drawn_size - 1))).alias("k"))
-    drawn = draws.select("iteration", F.pmod(F.xxhash64(F.lit(seed), "iteration", "k"), F.lit(n)).cast("int").alias("slot")).groupBy("iteration", "slot").agg(F.count(F.lit(1)).alias("times"))
-    sample = drawn.join(numbered.hint("shuffle_hash"), "slot")
-    ranks = {m: F.sum("times").over(Window.partitionBy("iteration").orderBy(m).rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias(m) for m in names}
-    sample = sample.select("iteration", *ranks.values())
+        return spark.createDataFrame([], "metric_a string, metric_b string, iterations long, sample_size long, estimate double, ci_low double, ci_high double, status string")
+    twos = -(-drawn_size // 2)
+    parts = max(spark.sparkContext.defaultParallelism, -(-iterations * twos // 1_000_000))
+    draws = spark.range(0, iterations * twos, 1, parts).select((F.col("id") / twos).cast("long").alias("iteration"), (F.col("id") % twos).alias("two"))
+    both = F.array(*(F.struct((F.col("two") * 2 + i).alias("k"), (_number(F.lit(str(seed)), "iteration", "two", at=F.lit(i)) % n).alias("slot")) for i in (0, 1)))
+    draws = draws.select("iteration", F.inline(both)).filter(F.col("k") < drawn_size).select(F.col("iteration").cast("int").alias("iteration"), "slot")
+    # Dealt by slot once, for the counts and for the join.
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    drawn = draws.repartition(width, "slot").groupBy("iteration", "slot").agg(F.count(F.lit(1)).alias("times"))
+    sample = drawn.join(numbered.drop("author_id").hint("shuffle_hash"), "slot").drop("slot")
+    for m in names:
+        sample = _resampled_rank(sample, m, n, ranges)
     structs = []
     for i, (a, b) in enumerate(pairs):
-        x, y = F.col(a), F.col(b)
+        x, y = F.col(f"_{a}"), F.col(f"_{b}")
         structs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(x).alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"), F.sum(x * y).alias("xy")).alias(f"s{i}"))
     each = sample.groupBy("iteration").agg(*structs).select("iteration", F.explode(F.array(*(f"s{i}" for i in range(len(pairs))))).alias("s")).select("iteration", "s.*")
     rho = each.withColumn("rho", stats._correlation())
     constant = methodology(rows, names).filter("constant").agg(F.collect_set("metric").alias("flat"))
     out = rho.groupBy("a", "b").agg(F.count("rho").alias("n"), F.percentile("rho", 0.025).alias("low"), F.percentile("rho", 0.975).alias("high")).crossJoin(F.broadcast(constant))  # one row; iterations values a pair
     flat = F.array_contains("flat", F.col("a")) | F.array_contains("flat", F.col("b"))
-    whole = _moments_of_ranks(wide, pairs).select("a", "b", F.col("value").alias("whole"))
+    whole = _moments_of_ranks(numbered, pairs).select("a", "b", F.col("value").alias("whole"))
     return out.join(F.broadcast(whole), ["a", "b"]).select(  # a row for each pair
         F.col("a").alias("metric_a"), F.col("b").alias("metric_b"), F.when(flat, 0).otherwise(F.col("n")).cast("long").alias("iterations"), F.lit(drawn_size).cast("long").alias("sample_size"),
         F.when(~flat, F.col("whole")).alias("estimate"), F.when(~flat, F.col("low")).alias("ci_low"), F.when(~flat, F.col("high")).alias("ci_high"), F.when(flat, "constant_metric").otherwise("ok").alias("status"),
     )
 
 
+def _resampled_rank(sample: DataFrame, metric: str, n: int, ranges: int) -> DataFrame:
+    """``sample`` with ``_metric``: copies up to and with the author's, in the order of its rank in all."""
+    if ranges == 1:
+        by = Window.partitionBy("iteration").orderBy(metric).rowsBetween(Window.unboundedPreceding, 0)
+        return sample.withColumn(f"_{metric}", F.sum("times").over(by).cast("double"))
+    dealt = settled(sample.withColumn("_range", F.floor((F.col(metric) - 1) * ranges / n).cast("int")), "resample")
+    sums = dealt.groupBy("iteration", "_range").agg(F.sum("times").alias("_sum"))
+    earlier = Window.partitionBy("iteration").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("iteration", "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("iteration", "_range").orderBy(metric).rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.withColumn("_within", F.sum("times").over(within)).join(sums.hint("shuffle_merge"), ["iteration", "_range"])
+    return placed.withColumn(f"_{metric}", (F.col("_within") + F.col("_before")).cast("double")).drop("_range", "_within", "_before")
+
+
 def _moments_of_ranks(wide: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     return stats._moments(wide, pairs).withColumn("value", stats._correlation())
 
 
 def permutation(rows: DataFrame, pairs: Sequence[tuple[str, str]], top_n: int = 20, iterations: int = 200, seed: int = 42) -> DataFrame:
-    """Is the overlap of two top lists more than that with random authors (RS2)? p = (extreme + 1) / (iterations + 1).
+    """Is the overlap of two top lists more than that of the first with random authors (RS2)? p = (extreme + 1) / (iterations + 1),
+    and Holm's adjustment over the pairs; pairs with a constant metric have a status instead.
 
-    All pairs share the random lists: the ``top_n`` authors of least hash in each iteration."""
-    names = sorted({m for p in pairs for m in p})
+    An iteration's list is the ``top_n`` authors of least number by MD5. Numbers are even, so all but about ``top_n`` authors
+    lie above a threshold and are dropped where they are made; an iteration that keeps fewer than ``top_n`` is given a higher
+    one, until none does. So some ``top_n`` rows of each iteration are shuffled, whatever the number of authors."""
+    spark, names = rows.sparkSession, sorted({m for p in pairs for m in p})
     wide = ordinal_ranks(rows, names).groupBy("author_id").pivot("metric", names).agg(F.first("rank"))
-    n = wide.count()
-    size = min(top_n, n)
-    top = wide.select("author_id", *((F.col(m) <= size).alias(m) for m in names))
-    chance = F.xxhash64(F.lit(seed), "iteration", "author_id")
+    n = rows.count()
+    size = max(1, min(top_n, n))
+    if n < 2:
+        return spark.createDataFrame([], "metric_a string, metric_b string, top_n long, overlap long, overlap_rate double, p_value double, iterations long, status string, p_holm double")
+    top = settled(wide.select("author_id", *((F.col(m) <= size).alias(m) for m in names)), "top")
+    each = top.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).withColumn("chance", _number(F.lit(str(seed)), "iteration", "author_id"))
+    share = (size + 12 * size**0.5 + 40) / n
+    while True:
+        few = each if share >= 1 else each.filter(F.col("chance") < int(share * 2**60))
+        few = settled(few, "lists")
+        full = few.groupBy("iteration").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= size).count()
+        if full == iterations:
+            break
+        share *= 4
     by = Window.partitionBy("iteration").orderBy("chance", "author_id")
-    each = top.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).withColumn("chance", chance)
-    lists = each.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= size)
+    lists = few.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= size)
     hits = lists.groupBy("iteration").agg(*(F.count_if(m).alias(m) for m in names))
     seen = top.agg(*(F.count_if(F.col(a) & F.col(b)).alias(f"o{i}") for i, (a, b) in enumerate(pairs)))
     both = hits.crossJoin(F.broadcast(seen))  # one row
-    sums = [F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"), F.max(f"o{i}").alias("overlap"), ((F.count_if(F.col(b) >= F.col(f"o{i}")) + 1) / (iterations + 1)).alias("p_value")).alias(f"s{i}") for i, (a, b) in enumerate(pairs)]
-    one = both.agg(*sums).select(F.explode(F.array(*(f"s{i}" for i in range(len(pairs))))).alias("s"))
-    return one.select("s.metric_a", "s.metric_b", "s.overlap", "s.p_value")
+    sums = [F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"), F.max(f"o{i}").alias("overlap"), ((F.count_if(F.col(a) >= F.col(f"o{i}")) + 1) / (iterations + 1)).alias("p")).alias(f"s{i}") for i, (a, b) in enumerate(pairs)]
+    constant = methodology(rows, names).filter("constant").agg(F.collect_set("metric").alias("flat"))
+    one = both.agg(*sums).select(F.explode(F.array(*(f"s{i}" for i in range(len(pairs))))).alias("s")).select("s.*").crossJoin(F.broadcast(constant))  # one row
+    flat = F.array_contains("flat", F.col("metric_a")) | F.array_contains("flat", F.col("metric_b"))
+    told = one.select(
+        "metric_a", "metric_b", F.lit(size).cast("long").alias("top_n"), F.when(~flat, F.col("overlap")).alias("overlap"), F.when(~flat, F.col("overlap") / size).alias("overlap_rate"), F.when(~flat, F.col("p")).alias("p_value"),
+        F.when(flat, 0).otherwise(iterations).cast("long").alias("iterations"), F.when(flat, "constant_metric").otherwise("ok").alias("status"),
+    )
+    told = settled(told, "permutation")
+    return holm(told.filter("p_value is not null")).unionByName(told.filter("p_value is null").withColumn("p_holm", F.lit(None).cast("double")))
 
 
 def holm(tests: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from citegrid.operators import cohorts, credit, filters, formulas, indices, normalize, ranking, resampling, stats, tables
 from citegrid.plans.sql import FEW, PAIRS, SQL
@@ -213,6 +214,18 @@ def csv_round_trip(t: Tables) -> DataFrame:
     return io.read_csv(t.spark, f"{path}/works.csv", rows.schema)
 
 
+def sorted_export(t: Tables) -> DataFrame:
+    """Works by citations, exported in parts; each line with its place in the whole."""
+    path = folder(t.spark, "export")
+    rows = t.works.select("work_id", "display_name", "cited_by_count")
+    parts = io.export_sorted(rows, path, [F.desc("cited_by_count"), "work_id"], rows_per_part=2000)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    parts = parts.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+    text = t.spark.read.text(path, wholetext=True)  # some thousand lines
+    lines = text.select("part", F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n")).alias("place", "line"))
+    return lines.join(F.broadcast(parts), "part").select((F.col("before") + F.col("place")).alias("place"), "line")
+
+
 def tolerant_scan(t: Tables) -> DataFrame:
     """Order lines as JSON, every thirteenth damaged."""
     line = F.to_json(F.struct("o_orderkey", "o_totalprice"))
@@ -370,13 +383,17 @@ def validate(t: Tables) -> DataFrame:
 
 
 def manifest_check(t: Tables) -> DataFrame:
-    """Files written by Spark against their manifest, some entries of which are made wrong."""
+    """Files of a dump against their manifest, in which entries of some months are made wrong."""
     path = folder(t.spark, "files")
-    t.read("orders").repartition(8, "o_orderkey").write.parquet(path)
-    files = io.file_checksums(t.spark, f"{path}/*.parquet")
-    number = F.pmod(F.crc32("file"), F.lit(2))
-    entries = files.select("file", number.cast("string").alias("key"), F.lit("ok").alias("status"), "sha256")
-    return io.verify_manifest(entries, files).groupBy("problems").agg(F.count(F.lit(1)).alias("n"))
+    t.works.select("work_id", F.substring("publication_date", 1, 7).alias("month")).repartition("month").write.partitionBy("month").parquet(path)
+    files = io.file_checksums(t.spark, f"{path}/*/*.parquet")
+    files = files.withColumn("file", F.concat(F.regexp_extract("path", "month=([0-9-]+)", 0), F.lit("/"), "file"))  # Spark's file names repeat over folders
+    month, wrong = F.regexp_extract("path", "month=([0-9-]+)", 1), lambda tail: F.col("key").endswith(tail)
+    entries = files.withColumn("key", month).select(
+        F.when(wrong("-03"), F.concat(F.lit("gone-"), "file")).otherwise(F.col("file")).alias("file"), F.when(wrong("-04") | wrong("-05"), F.concat(F.substring("key", 1, 5), F.lit("04"))).otherwise(F.col("key")).alias("key"),
+        F.when(wrong("-01"), "failed").otherwise("ok").alias("status"), F.when(wrong("-02") | wrong("-01"), F.lit("0")).otherwise(F.col("sha256")).alias("sha256"),
+    )
+    return io.verify_manifest(entries, files).select("key", "problems")
 
 
 def text_in_slice(t: Tables) -> DataFrame:
@@ -545,6 +562,7 @@ _PLAIN: dict[str, Callable[[Tables], DataFrame]] = {
     "nz17_eligibility": eligibility,
     "io2_tolerant_scan": tolerant_scan,
     "io6_csv_round_trip": csv_round_trip,
+    "io8_sorted_export": sorted_export,
     "io10_row_counts": lambda t: io.row_counts({n: getattr(t, n) for n in ("works", "authorships", "work_topics")}),
     "io11_fingerprint": lambda t: io.fingerprint(t.works),
     "io12_manifest_partitions": lambda t: io.manifest_partitions(_events_manifest(t)),
@@ -561,8 +579,8 @@ _PLAIN: dict[str, Callable[[Tables], DataFrame]] = {
     "ch6_cohort_page": lambda t: cohorts.metrics_page(t.strict, cohorts.by_thresholds(t.strict, min_p=25), "h", 20, 10).select("author_id", "h"),
     "ch7_cohort_statistics": cohort_statistics,
     "ch8_decision_trace": cohort_trace,
-    "rs1_bootstrap": lambda t: rounded(resampling.bootstrap(t.strict, [("h", "c_frac"), ("h", "g")]), 3),
-    "rs2_permutation": lambda t: rounded(resampling.permutation(t.strict, [("h", "c_frac"), ("p", "g")])),
+    "rs1_bootstrap": lambda t: rounded(resampling.bootstrap(t.strict, [("h", "c_frac"), ("h", "g")])),
+    "rs2_permutation": lambda t: rounded(resampling.permutation(t.strict, [("h", "c_frac"), ("p", "g"), ("h", "n_truncated_works")])),
     "rs3_holm": holm,
     "rs4_convergence": convergence,
     "rs5_methodology": lambda t: resampling.methodology(t.strict, ["h", "c", "n_truncated_works"]),

@@ -261,6 +261,9 @@ SELECT metric, d.n, missing, {r("min", "max", "mean", "stddev", "q1", "median",
     "io6_csv_round_trip": f"WITH {WORKS} SELECT work_id, display_name, publication_year, cited_by_count, is_retracted FROM works",
     "io2_tolerant_scan": "SELECT count(*) FILTER (o_orderkey % 13 <> 0) AS records, count(*) FILTER (o_orderkey % 13 = 0) AS errors FROM orders",
     "st1_incremental_ingest": f"WITH {WORKS} SELECT work_id AS id, cited_by_count FROM works WHERE type = 'article'",
+    "io8_sorted_export": f"WITH {WORKS} SELECT row_number() OVER (ORDER BY cited_by_count DESC, work_id) AS place, work_id || ',' || display_name || ',' || cited_by_count AS line FROM works UNION ALL SELECT 0, 'work_id,display_name,cited_by_count'",
+    "io13_manifest_check": f"""WITH {WORKS}, m AS (SELECT DISTINCT publication_date[1:7] AS month FROM works), k AS (SELECT *, CASE WHEN month LIKE '%-05' THEN month[1:5] || '04' ELSE month END AS key FROM m), z AS (SELECT key, count(*) > 1 AS again FROM k GROUP BY 1)
+SELECT k.key, array_to_string(list_filter([CASE WHEN month LIKE '%-03' THEN 'missing' END, CASE WHEN month LIKE '%-01' THEN 'failed' END, CASE WHEN month LIKE '%-01' OR month LIKE '%-02' THEN 'checksum' END, CASE WHEN again THEN 'repeated_key' END], lambda x: x IS NOT NULL), ',') AS problems FROM k JOIN z ON z.key = k.key""",
     "io3_packs": f"""WITH {WORKS}, k AS (SELECT *, CAST(split_part(work_id, 'W', -1) AS BIGINT) AS number FROM works), m AS (SELECT *, number // 1000 AS pack, row_number() OVER (PARTITION BY number // 1000 ORDER BY number) AS i FROM k),
 w AS (SELECT 'works-' || pack || '.json' AS file, work_id AS id, display_name AS title FROM m WHERE cited_by_count % 7 <> 0 AND (pack % 4 <> 2 OR i = 1)) SELECT *, count(*) OVER (PARTITION BY file) AS records, 'ok' AS status FROM w""",
     "st1_changed_files": f"WITH {WORKS}, m AS (SELECT work_id AS id, type, cited_by_count AS c, publication_date[1:7] IN ('1995-03', '1997-11') AS changed FROM works WHERE type = 'article' AND publication_date[1:7] <> '1996-02') SELECT id, type, CASE WHEN changed THEN c + 1000 ELSE c END AS cited_by_count FROM m WHERE NOT changed OR c % 2 = 0",
@@ -273,6 +276,15 @@ w AS (SELECT 'works-' || pack || '.json' AS file, work_id AS id, display_name AS
     "ch7_cohort_statistics": f"{STRICT}, s2 AS (SELECT * FROM s WHERE p >= 25), {long(['p', 'h', 'c_frac'], 's2')}, l2 AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY metric) AS nn FROM lg), {moments('value')} SELECT metric, mm.n, round(min(value), 6) AS min, "
     + ", ".join(f"round(max(value) FILTER (i = round_even((nn - 1) * {q}, 0)), 6) AS {n}" for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)))
     + ", round(max(value), 6) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stddev FROM l2 JOIN mm USING (metric) GROUP BY metric, mm.n",
+    "rs1_bootstrap": f"""{STRICT}, w AS (SELECT {", ".join(f"row_number() OVER (ORDER BY {m} DESC, c DESC, p DESC, author_id) AS {m}" for m in ("h", "c_frac", "g"))}, row_number() OVER (ORDER BY author_id) - 1 AS slot, count(*) OVER () AS n FROM s),
+d AS (SELECT it, unnest(range(0, n)) AS k, n FROM (SELECT unnest(range(0, 200)) AS it, count(*) AS n FROM s)), x AS (SELECT it, CAST('0x' || substr(md5('42:' || it || ':' || k // 2), 1 + 15 * CAST(k % 2 AS INTEGER), 15) AS BIGINT) % n AS slot FROM d),
+t AS (SELECT it, slot, count(*) AS times FROM x GROUP BY 1, 2), rr AS (SELECT it, {", ".join(f"sum(times) OVER (PARTITION BY it ORDER BY {m}) AS {m}" for m in ("h", "c_frac", "g"))} FROM t JOIN w USING (slot)) """
+    + " UNION ALL ".join(f"SELECT '{a}' AS metric_a, '{b}' AS metric_b, count(v) AS iterations, (SELECT count(*) FROM s) AS sample_size, (SELECT round(corr({a}, {b}), 6) FROM w) AS estimate, round(quantile_cont(v, 0.025), 6) AS ci_low, round(quantile_cont(v, 0.975), 6) AS ci_high, 'ok' AS status FROM (SELECT it, corr({a}, {b}) AS v FROM rr GROUP BY it)" for a, b in (("h", "c_frac"), ("h", "g"))),
+    "rs2_permutation": f"""{STRICT}, w AS (SELECT author_id, {", ".join(f"row_number() OVER (ORDER BY {m} DESC, c DESC, p DESC, author_id) <= 20 AS {m}" for m in ("h", "c_frac", "p", "g", "n_truncated_works"))} FROM s),
+x AS (SELECT it, w.*, row_number() OVER (PARTITION BY it ORDER BY substr(md5('42:' || it || ':' || author_id), 1, 15), author_id) AS place FROM w, (SELECT unnest(range(1, 201)) AS it)),
+hi AS (SELECT it, {", ".join(f"count(*) FILTER ({m}) AS {m}" for m in ("h", "p"))} FROM x WHERE place <= 20 GROUP BY it), k AS ("""
+    + " UNION ALL ".join(f"SELECT '{a}' AS metric_a, '{b}' AS metric_b, (SELECT count(*) FROM w WHERE {a} AND {b}) AS overlap, ((SELECT count(*) FROM hi WHERE {a} >= (SELECT count(*) FROM w WHERE {a} AND {b})) + 1) / 201.0 AS p, (SELECT count(DISTINCT {a}) <= 1 OR count(DISTINCT {b}) <= 1 FROM s) AS flat" for a, b in (("h", "c_frac"), ("p", "g"), ("h", "n_truncated_works")))
+    + "), q AS (SELECT *, row_number() OVER (ORDER BY p, metric_a, metric_b) - 1 AS i, count(*) OVER () AS m FROM k WHERE NOT flat), ho AS (SELECT metric_a, metric_b, max(least(1.0, p * (m - i))) OVER (ORDER BY p, metric_a, metric_b ROWS UNBOUNDED PRECEDING) AS p_holm FROM q) SELECT metric_a, metric_b, 20 AS top_n, CASE WHEN NOT flat THEN overlap END AS overlap, CASE WHEN NOT flat THEN round(overlap / 20, 6) END AS overlap_rate, CASE WHEN NOT flat THEN round(p, 6) END AS p_value, CASE WHEN flat THEN 0 ELSE 200 END AS iterations, CASE WHEN flat THEN 'constant_metric' ELSE 'ok' END AS status, round(p_holm, 6) AS p_holm FROM k LEFT JOIN ho USING (metric_a, metric_b)",
     "rs3_holm": "WITH t AS (SELECT s_suppkey AS metric_a, s_nationkey AS metric_b, (s_acctbal::DOUBLE + 1000) / 11000000 AS p_value FROM supplier), k AS (SELECT *, row_number() OVER (ORDER BY p_value, metric_a, metric_b) - 1 AS i, count(*) OVER () AS m FROM t) SELECT metric_a, metric_b, round(p_value, 6) AS p_value, round(max(least(1.0, p_value * (m - i))) OVER (ORDER BY p_value, metric_a, metric_b ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM k",
     "rs4_convergence": f"""{STRICT}, a AS (SELECT *, row_number() OVER (ORDER BY author_id) AS pos, row_number() OVER (ORDER BY h DESC, c DESC, p DESC, author_id) AS full_rank, count(*) OVER () AS n FROM s),
 z AS (SELECT DISTINCT size, n FROM (SELECT unnest([500, 1000, 2000, 5000, n]) AS size, n FROM (SELECT count(*) AS n FROM s)) WHERE size <= n),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
+from pyspark.sql.window import Window
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, partitions: int | None = None) -> DataFrame:
@@ -25,8 +26,6 @@ def read_tolerant(spark: SparkSession, path: str | list[str], schema: StructType
 
 def parse_errors(tolerant: DataFrame, most: int = 20) -> DataFrame:
     """For each file: records, errors, and the first ``most`` damaged lines by text (IO2)."""
-    from pyspark.sql.window import Window
-
     counts = tolerant.groupBy("file").agg(F.count_if(~F.col("error")).alias("records"), F.count_if("error").alias("errors"))
     first = tolerant.filter("error").withColumn("_rn", F.row_number().over(Window.partitionBy("file").orderBy("line"))).filter(F.col("_rn") <= most)
     shown = first.groupBy("file").agg(F.array_sort(F.collect_list("line")).alias("examples"))
@@ -94,10 +93,36 @@ def write_both(df: DataFrame, path: str) -> DataFrame:
     return back
 
 
+#: Quotes are doubled, null and empty texts are empty fields, blanks stay.
+CSV = {"quote": '"', "escape": '"', "nullValue": "", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def write_csv(df: DataFrame, path: str, order: Sequence[Column | str] = ()) -> None:
     """An export, sorted if asked (IO8); null is an empty field."""
     rows = df.select(*csv_columns(df)) if not order else df.orderBy(*order).select(*csv_columns(df))
-    rows.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path)
+    rows.write.mode("overwrite").options(header=True, **CSV).csv(path)
+
+
+def export_sorted(df: DataFrame, path: str, order: Sequence[Column | str], rows_per_part: int = 1_000_000) -> DataFrame:
+    """A sorted export in parts that are one CSV file if put together in their order (IO8): part -1 has the header. Gives the
+    manifest: part, file, rows, bytes, and the ``offset`` of its first byte in the whole.
+
+    ``order`` should leave no ties. Parts are ranges, so no task sorts more than one; a record with line breaks is in
+    one part."""
+    spark = df.sparkSession
+    parts = max(1, -(-df.count() // rows_per_part))
+    sorted_ = df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", *order)
+    lines = sorted_.select(F.to_csv(F.struct(*csv_columns(df)), CSV).alias("value"), "part")
+    lines.write.partitionBy("part").text(path)
+    header = spark.range(1).select(F.to_csv(F.struct(*(F.lit(c).alias(c) for c in df.columns)), CSV).alias("value"), F.lit(-1).alias("part"))
+    header.write.mode("append").partitionBy("part").text(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = files.select(F.regexp_extract("path", "part=(-?[0-9]+)/", 1).cast("int").alias("part"), F.col("path").alias("file"), F.col("length").alias("bytes"))
+    text = ", ".join(f"c{i} string" for i in range(max(1, len(df.columns))))
+    counted = spark.read.schema(f"{text}, part int").options(multiLine=True, **CSV).csv(path).groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    told = files.join(counted.hint("shuffle_merge"), "part", "left")
+    return told.select("part", "file", F.coalesce("rows", F.lit(0)).alias("rows"), "bytes", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("offset"))
 
 
 def register(tables: dict[str, DataFrame]) -> None:
@@ -118,7 +143,7 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 and size of each file (IO11)."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
