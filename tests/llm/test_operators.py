@@ -166,6 +166,64 @@ def test_url_templates(spark):
     assert {r.verdict for r in urls.template_verdicts(df, labels.limit(0)).collect()} == {"allow"}
 
 
+def brute_templates(pages, bad):
+    """Verdicts by a tree of as many levels as the longest path has."""
+    parts = lambda p: tuple(re.sub("[0-9]+", "#", x) for x in p.split("/") if x)
+    shapes = defaultdict(lambda: [0, 0, 0])
+    for _, host, path, key in pages:
+        s = shapes[host, parts(path)]
+        s[0] += 1
+        if key in bad:
+            s[1] += 1
+            s[2] += bad[key]
+    depth = max((len(p) for _, p in shapes), default=0)
+    seg = lambda p, k: p[k] if k < len(p) else ""
+    t = {x: () for x in shapes}
+    for k in range(depth):
+        kinds, total = defaultdict(set), Counter()
+        for (h, p), (n, _, _) in shapes.items():
+            kinds[h, t[h, p]].add(seg(p, k))
+            total[h, t[h, p]] += n
+        wild = {x for x in kinds if len(kinds[x]) >= urls.MIN_DISTINCT and len(kinds[x]) >= urls.DISTINCT_SHARE * total[x]}
+        t = {(h, p): (*x, "*" if (h, x) in wild else seg(p, k)) for (h, p), x in t.items()}
+    m = {x: () for x in shapes}
+    for k in reversed(range(depth)):
+        branch, whole = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+        for (h, p), (_, n, b) in shapes.items():
+            for d, x in ((branch, t[h, p][: k + 1]), (whole, t[h, p][:k])):
+                d[h, x][0] += n
+                d[h, x][1] += b
+        for (h, p), x in t.items():
+            (bn, bb), (wn, wb) = branch[h, x[: k + 1]], whole[h, x[:k]]
+            on, ob = wn - bn, wb - bb
+            apart = bn * on > 0 and (bb * on - ob * bn) ** 2 * wn > urls.Z**2 * bn * on * wb * (wn - wb)
+            m[h, p] = (x[k] if apart else "*", *m[h, p])
+    leaf, hosts = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for (h, p), (_, n, b) in shapes.items():
+        for d, x in ((leaf, (h, m[h, p])), (hosts, h)):
+            d[x][0] += n
+            d[x][1] += b
+    n, b = (sum(v[i] for v in hosts.values()) for i in (0, 1))
+    prior = b / n if n else 0.0
+    smooth = lambda v, toward: (v[1] + urls.WEIGHT * toward) / (v[0] + urls.WEIGHT)
+    return Counter((i, h, p, "block" if smooth(leaf[h, m[h, parts(p)]], smooth(hosts[h], prior)) > urls.MAX_BAD else "allow") for i, h, p, _ in pages)
+
+
+@pytest.mark.parametrize("before", ["", "/1/2/3/4/5/6/7/8/9"])
+def test_url_templates_of_any_depth(spark, before):
+    """Bad and good branches lie below any number of segments; among the pages are odd, equal and null ones."""
+    pick = random.Random(4)
+    pages = [(i, "site.net", f"{before}/{'spam' if i % 3 == 0 else 'news'}/x{pick.random()}", i) for i in range(400)]
+    pages += [(1000 + i, "other.net", "/" + "/".join(pick.choice(["a", "b", "7", "*", "#"]) for _ in range(pick.randint(0, 4))), 1000 + i) for i in range(200)]
+    pages += [(2000 + i, "deep.net", "/d" * (40 + i), 2000 + i) for i in range(3)] + [(1, "site.net", "", None), (None, "", "", None), (7, "site.net", "//", 7)]
+    df = spark.createDataFrame(pages, "page_id long, host string, path string, label_key long").withColumn("t", F.lit("t")).withColumn("own", F.lit(1))
+    bad = {i: int(i % 3 == 0) for i in range(0, 400, 2)} | {1000 + i: int(pick.random() < 0.4) for i in range(150)}
+    labels = spark.createDataFrame(list(bad.items()), "label_key long, bad int").withColumn("host", F.lit("x"))
+    got = Counter((r.page_id, r.host, r.path, r.verdict) for r in urls.template_verdicts(df, labels).collect())
+    assert got == brute_templates(pages, bad)
+    assert sum(n for (i, h, _, v), n in got.items() if h == "site.net" and v == "block" and i is not None) >= 134
+
+
 def brute_passages(rows, run=50):
     seen = defaultdict(set)
     texts = {r[0]: words_of(r[1]) for r in rows}
