@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from citegrid.operators import cohorts, credit, filters, formulas, indices, normalize, ranking, resampling, stats, tables
 from citegrid.plans.sql import FEW, PAIRS, SQL
-from citegrid.sources import adapter, io, packs
+from citegrid.sources import adapter, io, packs, text_index
 from citegrid.sources.scratch import folder, kept, settled
 from citegrid.streaming import partitions
 
@@ -214,6 +214,14 @@ def csv_round_trip(t: Tables) -> DataFrame:
     return io.read_csv(t.spark, f"{path}/works.csv", rows.schema)
 
 
+def indexed_search(t: Tables) -> DataFrame:
+    """Works in files by title, searched by the trigram index."""
+    path = folder(t.spark, "indexed")
+    t.works.repartitionByRange(32, "display_name").write.parquet(f"{path}/works")
+    text_index.update(t.spark, f"{path}/works", f"{path}/index", tables.SEARCHABLE["works"])
+    return text_index.search(t.spark, f"{path}/works", f"{path}/index", "nation_2", tables.SEARCHABLE["works"]).select("work_id")
+
+
 def sorted_export(t: Tables) -> DataFrame:
     """Works by citations, exported in parts; each line with its place in the whole."""
     path = folder(t.spark, "export")
@@ -488,6 +496,7 @@ _PLAIN: dict[str, Callable[[Tables], DataFrame]] = {
     "sl14_clean_country": lambda t: t.authorships.filter(filters.person_filter({"country_code": "nbx", "min_cited_by_count": "many"})).select("work_id", "author_seq"),
     "p3_joined_filter": joined_filter,
     "p4_search": lambda t: t.works.filter(tables.search("nation_2", tables.SEARCHABLE["works"])).select("work_id"),
+    "p4_indexed_search": indexed_search,
     "p9_columns": lambda t: rounded(tables.query(t.strict, "indices", sort="c_frac", direction="asc", limit=30, select=["h", "author_id", "c_frac"])),
     "p11_only_authors": lambda t: tables.only_authors(t.strict, in_country(t, "NB")).select("author_id", "p"),
     "p18_alias_search": aliases,

@@ -318,6 +318,7 @@ SQL["ds14_kendall_by_institution"] = f"""{STRICT}, k AS (SELECT DISTINCT institu
 sz AS (SELECT institution, count(*) AS n FROM k GROUP BY 1), pr AS (SELECT sz.institution, sz.n, {_SIGNS(_TAU)} FROM sz LEFT JOIN (k x JOIN k y ON x.institution = y.institution AND x.author_id < y.author_id) ON x.institution = sz.institution)
 {_tau([(a, b) for i, a in enumerate(_TAU) for b in _TAU[i + 1 :]], "institution, ", "GROUP BY institution, n", "n", True)}"""
 _TAU4 = f"{STRICT}, k AS (SELECT author_id, p, h, c_frac, g FROM s), pr AS (SELECT {_SIGNS([*_TAU, 'g'])} FROM k x JOIN k y ON x.author_id < y.author_id) {_tau([('p', 'h'), ('p', 'c_frac'), ('p', 'g'), ('h', 'c_frac'), ('h', 'g'), ('c_frac', 'g')])}"
+SQL["p4_indexed_search"] = SQL["p4_search"]
 SQL["ds24_correlation_rows"] = " UNION ALL ".join(f"SELECT '{method}' AS method, '{a}' AS left, '{b}' AS right, value FROM ({SQL[key]}) WHERE {_EITHER(a, b)}" for method, key in (("spearman", "ds12_spearman"), ("pearson_log1p", "ds13_pearson_log1p")) for a, b in _EXPORTED) + " UNION ALL " + " UNION ALL ".join(
     f"SELECT 'kendall_tau_b', metric_a, metric_b, value FROM ({SQL['ds14_kendall']}) WHERE metric_a = '{a}' AND metric_b = '{b}'" for a, b in _EXPORTED
 )
