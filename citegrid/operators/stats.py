@@ -267,13 +267,16 @@ def rank_summary(long: DataFrame) -> DataFrame:
 
 
 def scorecard(rows: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """Dependence of each metric on five factors (DS17): metric, factor label, rho, direction."""
+    """Dependence of each metric on five factors (DS17): metric, factor label, rho, direction; and the metric's shares of ties, zeros
+    and outliers and its variation."""
     pairs = [(m, f) for m in metrics for f in FACTORS.values() if m != f]
     names = sorted({*metrics, *FACTORS.values()})
     label = F.create_map(*(x for k, v in FACTORS.items() for x in (F.lit(v), F.lit(k))))
     rho = F.col("value")
     direction = F.when(rho.isNull(), None).when(rho > 0, "positive").when(rho < 0, "negative").otherwise("none")
-    return spearman(to_long(rows, names), pairs).select(F.col("metric_a").alias("metric"), label[F.col("metric_b")].alias("factor"), rho.alias("spearman_rho"), F.abs(rho).alias("abs_spearman_rho"), direction.alias("direction"))
+    found = spearman(to_long(rows, names), pairs).select(F.col("metric_a").alias("metric"), label[F.col("metric_b")].alias("factor"), rho.alias("spearman_rho"), F.abs(rho).alias("abs_spearman_rho"), direction.alias("direction"))
+    shares = describe(to_long(rows, metrics)).select("metric", "tie_rate", "zero_rate", "outlier_share_iqr", "coefficient_of_variation")
+    return found.join(shares.hint("shuffle_hash"), "metric", "left")
 
 
 def findings(rows: DataFrame, metrics: Sequence[str], baseline: str = "h", top_n: int = 100) -> DataFrame:
@@ -287,13 +290,14 @@ def findings(rows: DataFrame, metrics: Sequence[str], baseline: str = "h", top_n
 
     level = lambda high: F.when(high, "high").otherwise("medium")
     d = describe(long).join(normality(long).select("metric", "jarque_bera_p_approx").hint("shuffle_hash"), "metric")
+    d = settled(d, "finding-shapes")  # several rules read these tables
     s, k, jp = F.abs("skewness"), F.col("excess_kurtosis"), F.col("jarque_bera_p_approx")
     t = THRESHOLDS
     heavy = [F.coalesce((s >= t["skewness"][i]) | (k >= t["kurtosis"][i]) | (jp < t["normality_p"][i]), F.coalesce(s >= t["skewness"][i], F.lit(False)) | F.coalesce(k >= t["kurtosis"][i], F.lit(False)) | F.coalesce(jp < t["normality_p"][i], F.lit(False))) for i in (0, 1)]
     out = told(d.filter(heavy[0]), "heavy_tail_distribution", level(heavy[1]), F.struct("skewness", "excess_kurtosis", "jarque_bera_p_approx"), "heavy_tail")
     for kind, column, prefix in (("zero_inflation", "zero_rate", ""), ("high_tie_rate", "tie_rate", "tie_rate")):
         out = out.unionByName(told(d.filter(F.col(column) >= t[column][0]), kind, level(F.col(column) >= t[column][1]), F.struct(column), prefix))
-    card = scorecard(rows, metrics)
+    card = settled(scorecard(rows, metrics), "finding-scorecard")
     for kind, (least, high) in DEPENDENCE.items():
         rho = F.col("abs_spearman_rho")
         out = out.unionByName(told(card.filter((F.col("factor") == kind) & (rho >= least)), kind, level(rho >= high), F.struct("abs_spearman_rho", "spearman_rho", "direction")))
@@ -312,6 +316,7 @@ def findings(rows: DataFrame, metrics: Sequence[str], baseline: str = "h", top_n
     rho = spearman(long, [(baseline, m) for m in others]).select(F.col("metric_b").alias("metric"), F.col("value").alias("spearman"))
     n = rows.agg(F.count(F.lit(1)).alias("n_authors"))
     shift = ranking.rank_delta_summary(ranked, baseline).join(pair.hint("shuffle_hash"), "metric").join(rho.hint("shuffle_hash"), "metric").crossJoin(F.broadcast(n))  # one row
+    shift = settled(shift, "finding-shifts")
     p90, j, size = F.col("p90_abs_delta"), F.col("jaccard"), F.col("n_authors")
     unstable = (p90 >= F.greatest(F.lit(5.0), INSTABILITY["share"] * size)) | (j < INSTABILITY["jaccard"])
     high = (p90 >= F.greatest(F.lit(10.0), INSTABILITY["high_share"] * size)) | (j < INSTABILITY["high_jaccard"])

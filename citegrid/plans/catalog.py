@@ -104,7 +104,24 @@ def describe(t: Tables) -> DataFrame:
 
 
 def scorecard(t: Tables) -> DataFrame:
-    return rounded(stats.scorecard(t.strict, ["h", "islv"]).select("metric", "factor", "spearman_rho", "direction"))
+    return rounded(stats.scorecard(t.strict, FEW))
+
+
+#: The number of a finding's evidence that decided.
+EVIDENCE = {"heavy_tail_distribution": "skewness", "zero_inflation": "zero_rate", "high_tie_rate": "tie_rate", "rank_instability": "p90_abs_delta", "rank_agreement": "spearman"} | dict.fromkeys(stats.DEPENDENCE, "spearman_rho")
+
+
+def all_findings(t: Tables) -> DataFrame:
+    found = stats.findings(t.strict, FEW)
+    value = None
+    for kind, name in EVIDENCE.items():
+        one = F.get_json_object("evidence", f"$.{name}").cast("double")
+        value = F.when(F.col("type") == kind, one) if value is None else value.when(F.col("type") == kind, one)
+    return rounded(found.withColumn("value", value).drop("evidence"))
+
+
+def size_estimate(t: Tables) -> DataFrame:
+    return filters.size_estimate(t.works.select(F.col("work_id").alias("id"), "publication_year", "cited_by_count", "type"), 1_000_000, least=0)
 
 
 def work_filter(t: Tables) -> DataFrame:
@@ -531,7 +548,7 @@ _PLAIN: dict[str, Callable[[Tables], DataFrame]] = {
     "ds14_kendall_by_institution": kendall_by_institution,
     "ds15_pairwise": lambda t: rounded(stats.pairwise(t.strict, ["p", "h", "c_frac", "g"], kendall_limit=None)),
     "ds16_rank_summary": lambda t: rounded(stats.rank_summary(t.long())),
-    "ds18_findings": lambda t: stats.findings(t.strict, FEW).drop("evidence"),
+    "ds18_findings": all_findings,
     "ds19_dependence": scorecard,
     "ds19_finding_summary": lambda t: stats.finding_summary(stats.findings(t.strict, FEW)),
     "ds20_conclusion": lambda t: stats.conclusion_evidence(stats.findings(t.strict, FEW)),
@@ -546,7 +563,7 @@ _PLAIN: dict[str, Callable[[Tables], DataFrame]] = {
     "sl8_text_match": lambda t: t.works.filter(filters.text_match("machinery")).select("work_id"),
     "sl9_doi": dois,
     "sl10_person_filter": people,
-    "sl16_size_estimate": lambda t: filters.size_estimate(t.raw, 1_000_000),
+    "sl16_size_estimate": size_estimate,
     "sl17_facets": lambda t: filters.facets(t.works, t.authorships),
     "sl18_calibration": lambda t: rounded(calibration(t)),
     "sl19_size_class": size_class,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citegrid.operators import indices, stats
+from citegrid.operators import filters, indices, stats
 
 METRICS = list(indices.METRICS)
 FEW = ["p", "c", "c_frac", "h", "g", "i10", "islv", "iupv_s"]
@@ -222,7 +222,7 @@ SELECT metric, d.n, missing, {r("min", "max", "mean", "stddev", "q1", "median",
     "ds19_dependence": f"{STRICT}, {long(sorted({*FEW, *stats.FACTORS.values()}))}, {AVG_RANKS} "
     + " UNION ALL ".join(
         f"SELECT '{m}' AS metric, '{k}' AS factor, round(v, 6) AS spearman_rho, CASE WHEN v IS NULL THEN NULL WHEN v > 0 THEN 'positive' WHEN v < 0 THEN 'negative' ELSE 'none' END AS direction FROM (SELECT {corr('a.avg_rank', 'b.avg_rank')} AS v FROM ar a JOIN ar b USING (author_id) WHERE a.metric = '{m}' AND b.metric = '{f}')"
-        for m in ("h", "islv")
+        for m in FEW
         for k, f in stats.FACTORS.items()
         if m != f
     ),
@@ -352,3 +352,49 @@ SQL["ds10_qq_points"] = f"""{STRICT}, {long(["h", "c_frac"])}, o AS (SELECT metr
 g AS (SELECT metric, n, unnest(range(0, least(101, n))) AS k FROM (SELECT DISTINCT metric, n FROM o)), w AS (SELECT DISTINCT metric, CAST(CASE WHEN n = 1 THEN 0 ELSE round_even(k * (n - 1)::DOUBLE / (least(101, n) - 1), 0) END AS BIGINT) AS idx FROM g),
 q AS (SELECT o.metric, idx, (idx + 0.5)::DOUBLE / n AS p, value FROM w JOIN o ON o.metric = w.metric AND i = idx)
 SELECT metric, idx AS "index", round({_normal_quantile("p")}, 6) + 0 AS theoretical, round(value, 6) + 0 AS sample FROM q"""
+
+
+SQL["ds19_dependence"] = f"""WITH x AS ({SQL["ds19_dependence"]}), y AS ({SQL["ds4_describe"]})
+SELECT metric, factor, spearman_rho, abs(spearman_rho) AS abs_spearman_rho, direction, tie_rate, zero_rate, outlier_share_iqr, coefficient_of_variation FROM x JOIN y USING (metric)"""
+
+
+def _findings() -> str:
+    """The threshold rules over the statistics' own SQL: CTE ``f`` with the findings."""
+    t, any_ = stats.THRESHOLDS, lambda i: f"(coalesce(abs(skewness) >= {t['skewness'][i]}, false) OR coalesce(excess_kurtosis >= {t['kurtosis'][i]}, false) OR coalesce(jarque_bera_p_approx < {t['normality_p'][i]}, false))"
+    level = lambda high: f"CASE WHEN {high} THEN 'high' ELSE 'medium' END"
+    row = lambda prefix, kind, severity, value, source, base="NULL": f"SELECT '{prefix}:' || {'' if base == 'NULL' else base + " || ':' || "}metric AS id, '{kind}' AS type, metric, {base} AS baseline_metric, {severity} AS severity, {value} AS value FROM {source}"
+    rows = [row("heavy_tail", "heavy_tail_distribution", level(any_(1)), "skewness", f"d4 JOIN (SELECT metric, jarque_bera_p_approx FROM d9) USING (metric) WHERE {any_(0)}")]
+    for kind, column, prefix in (("zero_inflation", "zero_rate", "zero_inflation"), ("high_tie_rate", "tie_rate", "tie_rate")):
+        rows.append(row(prefix, kind, level(f"{column} >= {t[column][1]}"), column, f"d4 WHERE {column} >= {t[column][0]}"))
+    rows += [row(kind, kind, level(f"abs_spearman_rho >= {high}"), "spearman_rho", f"ca WHERE factor = '{kind}' AND abs_spearman_rho >= {least}") for kind, (least, high) in stats.DEPENDENCE.items()]
+    for m, kind, prefix in (("p", "productivity_metric", "metric_identity"), ("c", "citation_volume_metric", "metric_identity"), ("islv", "balanced_candidate_metric", "balanced_candidate"), ("iupv_s", "balanced_candidate_metric", "balanced_candidate")):
+        rows.append(row(prefix, kind, "'informational'", "NULL", f"(SELECT '{m}' AS metric)"))
+    shift = f"(SELECT dl.*, jaccard, (SELECT value FROM sp WHERE (metric_a = 'h' AND metric_b = dl.metric) OR (metric_b = 'h' AND metric_a = dl.metric)) AS spearman FROM dl JOIN ov ON ov.metric_a = 'h' AND ov.metric_b = dl.metric AND cut = 100)"
+    i, n = stats.INSTABILITY, "(SELECT n FROM nn)"
+    rows.append(row("rank_instability", "rank_instability", level(f"p90_abs_delta >= greatest(10, {i['high_share']} * {n}) OR jaccard < {i['high_jaccard']}"), "p90_abs_delta", f"{shift} WHERE p90_abs_delta >= greatest(5, {i['share']} * {n}) OR jaccard < {i['jaccard']}", "'h'"))
+    rows.append(row("rank_agreement", "rank_agreement", "'informational'", "spearman", f"{shift} WHERE spearman >= {stats.AGREEMENT['spearman']} AND jaccard >= {stats.AGREEMENT['jaccard']}", "'h'"))
+    parts = {"d4": "ds4_describe", "d9": "ds9_normality", "ca": "ds19_dependence", "ov": "rk10_top_overlap", "dl": "rk8_rank_deltas", "sp": "ds12_spearman"}
+    return "WITH " + ", ".join(f"{k} AS ({SQL[v]})" for k, v in parts.items()) + f", nn AS (SELECT count(*) AS n FROM ({STRICT} SELECT * FROM s)), f AS (" + " UNION ALL ".join(rows) + ")"
+
+
+FINDINGS = _findings()
+SQL["ds18_findings"] = f"{FINDINGS} SELECT id, type, metric, baseline_metric, severity, round(value, 6) + 0 AS value FROM f"
+SQL["ds19_finding_summary"] = f"""{FINDINGS}, li AS (SELECT id, row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 ELSE 1 END, type, metric, id) AS i FROM f WHERE severity IN ('high', 'medium'))
+SELECT count(*) AS n_findings, count(*) FILTER (severity = 'high') AS high_count, count(*) FILTER (severity = 'medium') AS medium_count, string_agg(DISTINCT metric, ',' ORDER BY metric) FILTER (type = 'balanced_candidate_metric') AS candidate_metrics, (SELECT string_agg(id, ',' ORDER BY i) FROM li WHERE i <= 8) AS limitations FROM f"""
+_ROLES = {"heavy_tail_distribution": "distribution_limits", "high_tie_rate": "index_limitations", "zero_inflation": "index_limitations", "rank_instability": "rank_comparison", "rank_agreement": "rank_comparison", "balanced_candidate_metric": "candidate_metric"} | dict.fromkeys(stats.DEPENDENCE, "dependence_limits")
+SQL["ds20_conclusion"] = f"""{FINDINGS}, ro AS (SELECT *, CASE WHEN type = 'top1_dominance_dependence' AND value < 0 THEN 'correction_effects' {" ".join(f"WHEN type = '{k}' THEN '{v}'" for k, v in _ROLES.items())} END AS role FROM f)
+SELECT role, string_agg(DISTINCT id, ',' ORDER BY id) AS evidence_finding_ids, string_agg(DISTINCT metric, ',' ORDER BY metric) AS evidence_metrics FROM ro WHERE role IS NOT NULL GROUP BY role
+UNION ALL SELECT unnest(['scope', 'final_caution']), '', ''"""
+SQL["sl16_size_estimate"] = f"""WITH {WORKS}, b AS (SELECT CAST(strlen('{{"id":"' || work_id || '","publication_year":' || publication_year || ',"cited_by_count":' || cited_by_count || ',"type":"' || type || '"}}') + 1 AS DOUBLE) AS b, row_number() OVER (ORDER BY md5(work_id), work_id) AS i FROM works),
+o AS (SELECT b, row_number() OVER (ORDER BY b) - 1 AS i, count(*) OVER () AS n FROM b WHERE i <= 1000), q AS (SELECT avg(b) AS mean, max(b) FILTER (i = round_even((n - 1) * 0.9, 0)) AS p90, max(b) FILTER (i = round_even((n - 1) * 0.95, 0)) AS p95 FROM o),
+h AS (SELECT *, greatest(p90, mean) AS high, greatest(p95, p90, mean) AS higher FROM q), r1 AS (SELECT *, mean * 1000000 AS raw, floor(high * 1000000) AS raw_p90, floor(higher * 1000000) AS raw_p95 FROM h),
+r2 AS (SELECT *, floor(greatest(raw_p95, high * 1000000, raw * {filters.STORAGE["download_of_raw"]}::DOUBLE)) AS download FROM r1),
+r3 AS (SELECT *, floor(greatest(download * {filters.STORAGE["final_of_download"]}::DOUBLE, high * 1000000 * {filters.STORAGE["final_of_raw"]}::DOUBLE)) AS final, floor(greatest({filters.STORAGE["tables_of_record"]} * 1000000, raw_p90 * {filters.STORAGE["tables_of_raw"]}::DOUBLE)) AS tables, floor(greatest(download * {filters.STORAGE["temp_of_download"]}::DOUBLE, raw_p90 * {filters.STORAGE["temp_of_raw"]}::DOUBLE)) AS temp FROM r2)
+SELECT {", ".join(f"round({c}, 6) AS {c}_bytes" for c in ("mean", "p90", "p95"))}, {", ".join(f"CAST(floor({c}) AS BIGINT) AS {c}_bytes" for c in ("raw", "raw_p90", "download", "final", "tables", "temp"))}, CAST(floor((temp + final + tables) * {filters.STORAGE["free"]}::DOUBLE) AS BIGINT) AS free_bytes FROM r3"""
+_BLOCKS = {
+    "descriptive": "ds4_describe", "boxplots": "ds5_boxplot", "boxplots_nonzero": "ds5_boxplot", "boxplots_central": "ds6_boxplot_central95", "histograms": "ds7_histogram", "histograms_log1p": "ds7_histogram_log1p", "chart_readiness": "ds3_chart_readiness",
+    "normality": "ds9_normality", "normality_log1p": "ds9_normality", "spearman": "ds12_spearman", "pearson_log1p": "ds13_pearson_log1p", "kendall_tau_b": "ds12_spearman", "rank_deltas": "rk8_rank_deltas", "largest_shifts": "rk9_largest_shifts", "top_overlap": "rk10_top_overlap",
+    "pairwise": "ds12_spearman", "rank_summary": "ds16_rank_summary", "scorecard": "ds19_dependence", "findings": "ds18_findings", "finding_summary": "ds19_finding_summary", "conclusion": "ds20_conclusion", "warnings": "ds21_warnings",
+}
+_COUNTED = {v: f"n{i}" for i, v in enumerate(dict.fromkeys(_BLOCKS.values())) if v != "ds19_finding_summary"}
+SQL["ds22_analysis"] = "WITH " + ", ".join(f"{n} AS MATERIALIZED (SELECT count(*) AS rows FROM ({SQL[v]}))" for v, n in _COUNTED.items()) + " " + " UNION ALL ".join(f"SELECT '{k}' AS \"table\", {f'rows FROM {_COUNTED[v]}' if v in _COUNTED else '1 AS rows'}" for k, v in _BLOCKS.items())
