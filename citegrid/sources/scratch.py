@@ -47,10 +47,16 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 _KEPT: dict[tuple, tuple[str, StructType]] = {}
 
 
-def _files(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
+def _files(spark: SparkSession, pattern: str) -> list[tuple[str, int, int]]:
+    """Path, size and time of change of each file that a pattern meets, or that lies below a folder that it meets."""
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return sorted((str(f.getPath()), f.getModificationTime()) for f in found or [])
+    system, told = path.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    for found in system.globStatus(path) or []:
+        below = system.listFiles(found.getPath(), True)
+        while below.hasNext():
+            f = below.next()
+            told.append((str(f.getPath()), f.getLen(), f.getModificationTime()))
+    return sorted(told)
 
 
 def kept(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
