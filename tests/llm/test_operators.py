@@ -287,11 +287,29 @@ def test_equal_runs_in_any_order_of_copies(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "_shared_runs", told)
     monkeypatch.setattr(substring_dedup, "drop_written", lambda df: None)
     found = []
-    for order in (rows, rows[::-1]):
-        df = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+    words, first, _, _ = substring_dedup._shingled(*text_bytes(pa.array(texts)))
+    each = set(substring_dedup._fingerprints(words, first)[0].tolist())
+    for order, tasks in ((rows, 1), (rows[::-1], 1), (rows, 7)):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(tasks)
         found.append(sorted(map(str, substring_dedup.repeated_passages(df).collect())))
-        assert {r.doc for r in seen[-1].select("doc").collect()} == set(range(80))
-    assert found[0] == found[1]
+        assert Counter(r.doc for r in seen[-1].select("doc").collect()) == Counter(each)
+    assert found[0] == found[1] == found[2]
+
+
+def test_passages_of_texts_with_one_id(spark):
+    """Different texts with one id, null too, are compared; none of them is earlier than the other."""
+    pick = random.Random(5)
+    say = lambda k: " ".join(str(pick.randrange(10**6)) for _ in range(k))
+    passage = say(60)
+    rows = [(d, f"{say(30)} {passage} {say(30)}") for d in (None, None, 4, 4, 9)]
+    for tasks in (1, 5):
+        got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(tasks)).collect()
+        want = Counter({(None, 60, 0): 2, (4, 60, 60): 2, (9, 60, 60): 1})
+        assert Counter((r.doc_id, r.n_repeated, r.n_removable) for r in got) == want
+    for d in (None, 4):
+        rows = [(d, f"{say(30)} {passage} {say(30)}") for _ in range(2)]
+        got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert [(r.n_repeated, r.n_removable) for r in got] == [(60, 0)] * 2
 
 
 def test_recall_of_near_passages(spark):
