@@ -2,11 +2,12 @@
 
 A classifier learns domains from a labelled table and gives every document a posterior for each domain.
 Rates r >= 0, one for each document, are then fitted so that the expected tokens of each domain,
-sum of r * tokens * posterior, come to its target share of the budget: least squares by accelerated
-projected gradient, with a small pull towards 1, until no rate moves. Documents whose posteriors lie in one
-cell of a grid (``GRID`` steps for each domain) have one rate. Spark sums the tokens and posteriors of each
-cell over all documents, exactly; there are at most (GRID + 1) ** (domains - 1) cells, so the steps run on
-that small table, however many documents there are.
+sum of r * tokens * posterior, come to its target share of the budget: least squares by projected
+gradient, with a small pull towards 1. The gradient of a document's rate is the same few numbers for all,
+one for each domain, weighted by its posteriors, so the steps add up to one vector, and a document's rate is
+the projection of 1 less that vector's product with its posteriors on r >= 0. Each step is one aggregate over
+all documents: the domains' expected tokens at the present rates, and the curvature that scales the step.
+The steps end when the vector no longer moves; a fit that does not come to that is an error.
 
 The classifier is fitted on at most ``SAMPLE`` labelled documents (those with the least hash of their
 id); posteriors, totals and rates cover all documents. Domains come from ``labels``: toxic, else low
@@ -20,11 +21,12 @@ in each row. Only doc_id and text are read. An empty table gives no rows.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_written, ship, table, written
@@ -35,8 +37,10 @@ TARGETS = {"good": 0.97, "low": 0.02, "toxic": 0.01}
 SAMPLE = 8_000
 FEATURES = 1 << 16
 SURE = 6.0
-GRID = 100
 PULL = 1e-4
+STEPS = 200
+CLOSE = 1e-9
+log = logging.getLogger(__name__)
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 UPPER = np.zeros(256, bool)
@@ -151,66 +155,74 @@ def posteriors(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataF
     return docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {kind}, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS))
 
 
-def cell_of(p: np.ndarray) -> np.ndarray:
-    """The number of each posterior's cell of the grid."""
-    steps = np.floor(p[:, :-1] * GRID + 1e-9).astype(np.int64)
-    return steps @ ((GRID + 1) ** np.arange(steps.shape[1]))
-
-
-def solve(tokens: np.ndarray, totals: np.ndarray, want: np.ndarray, pull: float = PULL, close: float = 1e-7, most: int = 500_000) -> np.ndarray:
-    """Rates r >= 0 of cells with so many tokens and such domain totals (a row for each cell): the least
-    sum over domains of (r @ totals - want) ** 2 / natural total, plus pull * tokens @ (r - 1) ** 2."""
-    natural = np.maximum(totals.sum(0), 1.0)
-    share = totals / np.maximum(tokens, 1.0)[:, None]
-    now = point = np.ones(len(tokens))
-    step, momentum = 1.0 / (1.0 + pull), 1.0
-    for _ in range(most):
-        slope = share @ ((point @ totals - want) / natural) + pull * (point - 1)
-        new = np.maximum(0.0, point - step * slope)
-        if np.abs(new - point).max(initial=0.0) < close * pull:
-            return new
-        if (point - new) @ (new - now) > 0:  # momentum leads uphill: start it anew
-            momentum = 1.0
-        after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        point, now, momentum = new + (momentum - 1) / after * (new - now), new, after
-    return now
-
-
-def fit_rates(found: DataFrame, targets: dict[str, float] | None = None) -> tuple[np.ndarray, dict]:
-    """The rate of each cell (by its number; 1 where no document is), and a report: the domains' targets, and
-    the shares that the documents have by nature and at these rates."""
-    ship(found.sparkSession)
-    want = np.array([(targets or TARGETS)[d] for d in DOMAINS])
-    want = want / want.sum()
-    names = [f"p_{d}" for d in DOMAINS]
-    cell = sum((F.floor(F.col(n) * GRID + 1e-9) * (GRID + 1) ** i for i, n in enumerate(names[:-1])), F.lit(0)).alias("cell")
-    millionths = [F.sum(F.round(F.col(n) * 1_000_000).cast("long") * F.col("n_tokens")).alias(n) for n in names]
-    cells = found.groupBy(cell).agg(F.sum("n_tokens").alias("n_tokens"), *millionths).orderBy("cell").toPandas()  # (GRID + 1) ** (domains - 1) rows at most
-    rate = np.ones((GRID + 1) ** (len(DOMAINS) - 1))
-    tokens, totals = cells["n_tokens"].to_numpy(np.float64), cells[names].to_numpy(np.float64) / 1e6
-    natural = totals.sum(0)
-    if natural.sum() == 0:
-        return rate, {}
-    good = int(np.argmax(want))
-    budget = natural[good] / want[good] if natural[good] else natural.sum()
-    fitted = solve(tokens, totals, want * budget)
-    rate[cells["cell"].to_numpy(np.int64)] = fitted
-    reached = fitted @ totals
-    report = {d: {"target": float(w), "natural": float(n), "reached": float(r)} for d, w, n, r in zip(DOMAINS, want, natural / natural.sum(), reached / max(reached.sum(), 1e-9), strict=True)}
-    return rate, report
+def _rate(slope: np.ndarray) -> Column:
+    return F.greatest(F.lit(0.0), sum((-F.col(f"p_{d}") * float(x) for d, x in zip(DOMAINS, slope, strict=True)), F.lit(1.0)))
+
+
+def rates(p: np.ndarray, slope: np.ndarray) -> np.ndarray:
+    """The rate of each row of posteriors, to four places."""
+    return np.floor(np.maximum(0.0, sum((-p[:, d] * x for d, x in enumerate(slope)), np.ones(len(p)))) * 10_000 + 0.5) / 10_000
 
 
-def with_rates(found: DataFrame, rate: np.ndarray) -> DataFrame:
-    names = [f"p_{d}" for d in DOMAINS]
-    shared = found.sparkSession.sparkContext.broadcast(rate)
+def _sums(found: DataFrame, slope: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Over all documents: half of tokens * rate ** 2, each domain's expected tokens, and the domains'
+    products over documents with a rate above 0. One row, with partial sums in each task."""
+    k = len(DOMAINS)
+    rows = found.select(F.col("n_tokens").cast("double").alias("n"), _rate(slope).alias("r"), *(f"p_{d}" for d in DOMAINS))
+    pairs = [(a, b) for a in range(k) for b in range(a, k)]
+    part = [F.col("n") * F.col("r") * F.col("r") / 2]
+    part += [F.col("n") * F.col("r") * F.col(f"p_{d}") for d in DOMAINS]
+    part += [F.when(F.col("r") > 0, F.col("n") * F.col(f"p_{DOMAINS[a]}") * F.col(f"p_{DOMAINS[b]}")) for a, b in pairs]
+    row = rows.agg(*(F.coalesce(F.sum(x), F.lit(0.0)).alias(f"s{i}") for i, x in enumerate(part))).first()
+    bend = np.zeros((k, k))
+    for (a, b), x in zip(pairs, row[1 + k :], strict=True):
+        bend[a, b] = bend[b, a] = x
+    return row[0], np.array(row[1 : 1 + k]), bend
 
-    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, 2 + len(names))], 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(shared.value[cell_of(p)], 4))], names=[*batch.schema.names, "rate"])
 
-    kind = found.schema["doc_id"].dataType.simpleString()
-    return found.select("doc_id", "n_tokens", *names).mapInArrow(final, f"doc_id {kind}, n_tokens long, " + ", ".join(f"{n} double" for n in names) + ", rate double")
+def fit_rates(found: DataFrame, targets: dict[str, float] | None = None, steps: int = STEPS) -> tuple[np.ndarray, dict]:
+    """The vector that gives every document its rate (see ``rates``), and a report: the number of steps and, for
+    each domain, the target and the shares that the documents have by nature and at these rates.
+
+    The rates are the least of the sum over domains of (expected - wanted tokens) ** 2 / natural tokens, plus PULL * tokens *
+    (rate - 1) ** 2 over documents. Raises ArithmeticError after ``steps`` steps without coming to rest."""
+    want = np.array([(targets or TARGETS)[d] for d in DOMAINS])
+    want = want / want.sum()
+    slope = np.zeros(len(DOMAINS))
+    half, natural, bend = _sums(found, slope)
+    if natural.sum() == 0:
+        return slope, {}
+    good = int(np.argmax(want))
+    wanted = want * (natural[good] / want[good] if natural[good] else natural.sum())
+    weight = PULL * np.maximum(natural, 1.0)
+    height = lambda half, at: half + at @ wanted + weight @ at**2 / 2
+    now, reached = height(half, slope), natural
+    for step in range(1, steps + 1):
+        move = np.linalg.solve(bend + np.diag(weight), reached - wanted - weight * slope)
+        fall = (reached - wanted - weight * slope) @ move
+        share = 1.0
+        while True:  # a step that leads too far, past rates that become 0, is halved
+            after = slope + share * move
+            half, expected, bend = _sums(found, after)
+            new = height(half, after)
+            if new <= now - 1e-4 * share * fall + 1e-12 * abs(now) or share < 1e-6:
+                break
+            share /= 2
+        rest = np.abs(after - slope).max() <= CLOSE * (1 + np.abs(after).max())
+        slope, now, reached = after, new, expected
+        if rest:
+            break
+    else:
+        raise ArithmeticError(f"rates don't come to rest in {steps} steps")
+    slope = np.round(slope, 7)  # sums differ in their last bits when made twice
+    shares = zip(DOMAINS, want, natural / natural.sum(), reached / max(reached.sum(), 1e-9), strict=True)
+    report = {"steps": step, **{d: {"target": float(w), "natural": float(n), "reached": float(r)} for d, w, n, r in shares}}
+    log.info("mixture: %s", report)
+    return slope, report
+
+
+def with_rates(found: DataFrame, slope: np.ndarray) -> DataFrame:
+    return found.withColumn("rate", F.floor(_rate(slope) * 10_000 + 0.5) / 10_000)
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -232,18 +244,18 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
 
 def resampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """``docs`` with each row taken as often as its rate says, and all its columns. A row's rate follows
-    from its text and the cells' rates, so nothing is joined."""
+    from its text and the fitted vector, so nothing is joined."""
     weights = train(docs, label_domains(labels))
     found = written(posteriors(docs, weights), "mix-posteriors")
     shared = docs.sparkSession.sparkContext.broadcast((weights, fit_rates(found, targets)[0]))
     drop_written(found)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, rate = shared.value
+        weights, slope = shared.value
         for batch, raw, at in slices(batches, "text"):
             p, _ = _posterior(raw, at, weights)
             ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
-            yield batch.take(pa.array(np.repeat(np.arange(batch.num_rows), copies(ids, np.round(rate[cell_of(p)], 4)))))
+            yield batch.take(pa.array(np.repeat(np.arange(batch.num_rows), copies(ids, rates(p, slope)))))
 
     return docs.mapInArrow(take, docs.schema)
 

@@ -486,11 +486,11 @@ def test_warc(spark):
     assert warc.read_records(warc.write_archives(df.limit(0), folder), folder).count() == 0
 
 
-def dense_rates(n, p, want):
+def dense_rates(n, p, want, rounds=4000):
     """Coordinate descent over the documents' rates, each step exact."""
     natural = (n @ p).clip(1)
     budget, r = natural[0] / want[0], np.ones(len(n))
-    for _ in range(4000):
+    for _ in range(rounds):
         total, before = (r * n) @ p, r.copy()
         for i in np.flatnonzero(n):
             slope = p[i] @ ((total - want * budget) / natural) + mixing.PULL * (r[i] - 1)
@@ -502,6 +502,32 @@ def dense_rates(n, p, want):
     return r
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_rates_of_documents(spark, seed):
+    """No document's rate can be bettered (the conditions of a least value), nor does the dense solver better
+    them together; with domains that are absent, rare or certain."""
+    rng = np.random.default_rng(seed)
+    p = rng.dirichlet((2.0, 0.3, 0.1 if seed else 1e-9), 60)
+    p[:5] = np.eye(3)[[0, 1, 0, 1, 0]]
+    p, n = np.round(p, 6), rng.integers(0, 400, 60)
+    found = spark.createDataFrame([(i, int(k), *map(float, x)) for i, (k, x) in enumerate(zip(n, p, strict=True))], "doc_id long, n_tokens long, p_good double, p_low double, p_toxic double")
+    targets = {"good": 0.9, "low": 0.06, "toxic": 0.04} if seed < 2 else {"good": 0.4, "low": 0.3, "toxic": 0.3}
+    slope, report = mixing.fit_rates(found.repartition(4), targets)
+    want, natural = np.array(list(targets.values())), (n @ p).clip(1)
+    aim = want * natural[0] / want[0]
+    rate = np.maximum(0, 1 - p @ slope)
+    pulled = p @ (((rate * n) @ p - aim) / natural) + mixing.PULL * (rate - 1)
+    assert abs(pulled[rate > 0]).max() < 1e-6 and (pulled[rate == 0] > -1e-6).all()
+    cost = lambda r: (((r * n) @ p - aim) ** 2 / natural).sum() + mixing.PULL * (n * (r - 1) ** 2).sum()
+    assert cost(rate) <= cost(dense_rates(n, p, want, 300)) * (1 + 1e-9)
+    got = np.array([r.rate for r in mixing.with_rates(found, slope).orderBy("doc_id").collect()])
+    assert (got == mixing.rates(p, slope)).all() and abs(got - rate).max() < 1e-4
+    assert report["steps"] < 40
+    with pytest.raises(ArithmeticError):
+        mixing.fit_rates(found, targets, steps=0)
+    assert mixing.fit_rates(found.limit(0), targets)[1] == {}
+
+
 def test_mixing(spark, no_docs):
     pick = random.Random(5)
     bad = ["idiot", "moron", "scum"]
