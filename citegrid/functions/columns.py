@@ -36,6 +36,19 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def significant(c: Column) -> Column:
+    """A number to three significant digits as text, as ``%.3g`` writes it in C; null of null."""
+    zeros = r"(\.[0-9]*[1-9])0+$|\.0+$"
+    power = F.floor(F.log10(F.abs(c)))
+    lead = F.bround(c / F.pow(F.lit(10.0), power), 2)
+    over = F.abs(lead) >= 10  # 9.996 becomes 10.0
+    power, lead = power + over.cast("int"), F.when(over, lead / 10).otherwise(lead)
+    plain = F.regexp_replace(F.format_string("%.8f", lead * F.pow(F.lit(10.0), power)), zeros, "$1")
+    exponent = F.concat(F.when(power < 0, "e-").otherwise("e+"), F.format_string("%02d", F.abs(power)))
+    short = F.concat(F.regexp_replace(F.format_string("%.2f", lead), zeros, "$1"), exponent)
+    return F.when(c == 0, "0").when(power.between(-4, 2), plain).when(c.isNotNull(), short)
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 

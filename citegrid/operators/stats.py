@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from citegrid.functions.columns import significant
 from citegrid.operators import concordance, order, ranking
 from citegrid.sources.scratch import settled
 
@@ -112,13 +113,15 @@ def boxplot(long: DataFrame, view: str = "all") -> DataFrame:
 
 
 def boxplot_points(long: DataFrame, n: int = 10) -> DataFrame:
-    """The ``n`` greatest outliers of each metric, or values off the median where the quartiles meet (DS5)."""
+    """The first ``n`` outliers of each metric from the greatest value on, or values off the median where the quartiles meet
+    (DS5), with the fences and the rule."""
     v = F.col("value")
     rows = long.filter(v.isNotNull()).join(F.broadcast(fences(long)), "metric")
     flat = F.col("iqr") == 0
     rows = rows.filter((flat & (v != F.col("median"))) | (~flat & ((v < F.col("lower_fence")) | (v > F.col("upper_fence")))))
-    farthest = Window.partitionBy("metric").orderBy(F.desc(F.abs(v - F.col("median"))), "author_id")
-    return rows.withColumn("rn", F.row_number().over(farthest)).filter(F.col("rn") <= n).select("metric", "author_id", "value", "rn")
+    greatest = Window.partitionBy("metric").orderBy(F.desc(v), "author_id")  # with a limit, which Spark takes into each task
+    rule = F.when(flat, "iqr_zero_no_outlier_fence").otherwise("iqr_1_5")
+    return rows.withColumn("rn", F.row_number().over(greatest)).filter(F.col("rn") <= n).select("metric", "author_id", "value", "rn", "lower_fence", "upper_fence", rule.alias("rule"))
 
 
 def outliers(long: DataFrame) -> DataFrame:
@@ -144,8 +147,10 @@ def histogram(long: DataFrame, bins: int = 12, log: bool = False) -> DataFrame:
 
 
 def sparse_histogram(long: DataFrame, bins: int = 8) -> DataFrame:
-    """The bins that have values (DS2)."""
-    return histogram(long, bins).filter("count > 0")
+    """The bins that have values (DS2), each with a label of its bounds to three digits, or of its value if all are equal."""
+    low, high = F.col("low"), F.col("high")
+    label = F.when(low == high, significant(low)).otherwise(F.concat_ws("-", significant(low), significant(high)))
+    return histogram(long, bins).filter("count > 0").withColumn("label", label)
 
 
 def normality(long: DataFrame, log: bool = False) -> DataFrame:
@@ -381,13 +386,39 @@ def analysis(rows: DataFrame, metrics: Sequence[str], baseline: str = "h", top_n
     }
 
 
-def tidy_tables(rows: DataFrame, metrics: Sequence[str], folder: str, baseline: str = "h", top_n: int = 100) -> list[str]:
-    """The long result tables of an analysis written as Parquet (DS23); gives their paths."""
-    blocks = analysis(rows, metrics, baseline, top_n)
-    keep = ("chart_readiness", "spearman", "pearson_log1p", "kendall_tau_b", "top_overlap", "rank_deltas", "rank_summary")
-    for name in keep:
-        blocks[name].write.mode("overwrite").parquet(f"{folder}/{name}")
-    return [f"{folder}/{name}" for name in keep]
+def tidy_tables(rows: DataFrame, metrics: Sequence[str], folder: str, baseline: str = "h", top_n: int = 100, kendall_limit: int | None = KENDALL_LIMIT) -> list[str]:
+    """The long result tables of a selection written as Parquet (DS23); gives their paths. Ranks are made once."""
+    long = settled(to_long(rows, metrics), "tidy-long")
+    ranked = settled(ranking.competition_ranks(long), "tidy-ranked")
+    made = {
+        "chart_readiness": readiness(long),
+        "spearman": spearman(long, _pairs(metrics)),
+        "pearson_log1p": pearson_log1p(rows, metrics),
+        "kendall_tau_b": kendall(rows, metrics, kendall_limit),
+        "top_overlap": ranking.top_overlap(ranked, top_n),
+        "rank_deltas": ranking.rank_delta_summary(ranked, baseline),
+        "rank_summary": rank_summary(long),
+    }
+    for name, df in made.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return [f"{folder}/{name}" for name in made]
+
+
+def outlier_rows(rows: DataFrame, metrics: Sequence[str], n: int = 10) -> DataFrame:
+    """The first outliers of each metric as export rows, with names (DS24); none where the quartiles meet."""
+    points = boxplot_points(to_long(rows, metrics), n).filter("rule = 'iqr_1_5'").drop("rn")
+    names = rows.select("author_id", "author_display_name")
+    return names.join(F.broadcast(points), "author_id").select("metric", "author_id", "author_display_name", "value", "rule", "lower_fence", "upper_fence")  # n rows for each metric
+
+
+def finding_rows(found: DataFrame) -> DataFrame:
+    """Findings as export rows, the evidence as text (DS24)."""
+    return found.select("id", "type", "metric", "baseline_metric", "severity", F.col("evidence").alias("evidence_json"))
+
+
+def descriptive_rows(rows: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """A row of figures for each metric (DS24)."""
+    return describe(to_long(rows, metrics))
 
 
 def correlation_rows(rows: DataFrame, metrics: Sequence[str], kendall_limit: int | None = KENDALL_LIMIT) -> DataFrame:

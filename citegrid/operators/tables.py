@@ -113,13 +113,27 @@ def cursor_values(text: str) -> dict[str, object]:
         return {}
 
 
-def query(df: DataFrame, table: str = "", q: str = "", data_filters: Mapping[str, Mapping] | None = None, sort: str = "", direction: str = "desc", limit: int = 100, offset: int = 0, last: Mapping[str, object] | None = None, select: Sequence[str] = (), **equals: str) -> DataFrame:
-    """One page of a table (P1): exact filters, column filters, search, stable order, columns in table order (P9)."""
-    validate(df, sort, data_filters)
+def matching(df: DataFrame, table: str = "", q: str = "", data_filters: Mapping[str, Mapping] | None = None, **equals: str) -> DataFrame:
+    """The rows of a table under exact filters, column filters and search, in no order."""
     for name, value in equals.items():
         if value and name in df.columns:
             df = df.filter(F.col(name) == value)
-    df = df.filter(column_filter(data_filters or {}, df.columns)).filter(search(q, [c for c in SEARCHABLE.get(table, df.columns) if c in df.columns]))
+    return df.filter(column_filter(data_filters or {}, df.columns)).filter(search(q, [c for c in SEARCHABLE.get(table, df.columns) if c in df.columns]))
+
+
+def page_info(df: DataFrame, table: str = "", q: str = "", data_filters: Mapping[str, Mapping] | None = None, limit: int = 100, offset: int = 0, **equals: str) -> DataFrame:
+    """What goes with a page of :func:`query` (P1): the number of all matching rows, of those on the page, and whether others follow.
+    One count, without a sort."""
+    validate(df, "", data_filters)
+    left = F.greatest(F.col("total") - offset, F.lit(0))
+    told = matching(df, table, q, data_filters, **equals).agg(F.count(F.lit(1)).alias("total"))
+    return told.select("total", F.least(left, F.lit(limit)).cast("long").alias("page_rows"), (left > limit).alias("has_next"))
+
+
+def query(df: DataFrame, table: str = "", q: str = "", data_filters: Mapping[str, Mapping] | None = None, sort: str = "", direction: str = "desc", limit: int = 100, offset: int = 0, last: Mapping[str, object] | None = None, select: Sequence[str] = (), **equals: str) -> DataFrame:
+    """One page of a table (P1): exact filters, column filters, search, stable order, columns in table order (P9)."""
+    validate(df, sort, data_filters)
+    df = matching(df, table, q, data_filters, **equals)
     if sort:
         if last:
             df = df.filter(after(df.columns, sort, direction, last))

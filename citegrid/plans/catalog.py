@@ -148,6 +148,10 @@ def table_query(t: Tables) -> DataFrame:
     return rounded(rows.select("author_id", "author_display_name", "p", "h", "c"))
 
 
+def page_info(t: Tables) -> DataFrame:
+    return tables.page_info(t.strict, "indices", data_filters={"h": {"min": "15"}, "author_display_name": {"contains": "small"}}, limit=40, offset=5)
+
+
 def keyset(t: Tables) -> DataFrame:
     """The second page, found by the last row of the first."""
     s = t.strict
@@ -191,8 +195,7 @@ def catalog_search(t: Tables) -> DataFrame:
 
 
 def nz5(t: Tables) -> DataFrame:
-    gone = ["author_position", "author_orcid", "raw_author_name", "is_corresponding"]
-    return rounded(normalize.authorships(normalize.distinct_works(t.raw)).drop(*gone))
+    return rounded(normalize.authorships(normalize.distinct_works(t.raw)))
 
 
 def _twice(raw: DataFrame) -> DataFrame:
@@ -367,7 +370,29 @@ def custom_rank(t: Tables) -> DataFrame:
 
 def cohort_statistics(t: Tables) -> DataFrame:
     s = t.strict
-    return rounded(cohorts.statistics(s, cohorts.by_thresholds(s, min_p=25), ["p", "h", "c_frac"]).drop("skewness", "excess_kurtosis"))
+    return rounded(cohorts.statistics(s, cohorts.by_thresholds(s, min_p=25), ["p", "h", "c_frac"]))
+
+
+def cohort_histograms(t: Tables) -> DataFrame:
+    s = t.strict
+    return rounded(cohorts.histograms(s, cohorts.by_thresholds(s, min_p=25)))
+
+
+def tidy(t: Tables) -> DataFrame:
+    """The result tables as written, read back as one."""
+    paths = stats.tidy_tables(t.strict, FEW, folder(t.spark, "tidy"), kendall_limit=None)
+    made = {p.rsplit("/", 1)[-1]: t.spark.read.parquet(p) for p in paths}
+    a, b, none = F.col("metric_a"), F.col("metric_b"), F.lit(None).cast("string")
+    parts = {
+        "chart_readiness": (F.col("metric"), none, (F.col("boxplot") == "ok").cast("double")), "spearman": (a, b, F.col("value")), "pearson_log1p": (a, b, F.col("value")), "kendall_tau_b": (a, b, F.col("value")),
+        "top_overlap": (a, b, F.col("jaccard")), "rank_deltas": (F.col("metric"), none, F.col("p90_abs_delta")), "rank_summary": (F.col("metric"), none, F.col("top10_share")),
+    }
+    out = None
+    for name, (left, right, value) in parts.items():
+        cut = F.col("cut") if name == "top_overlap" else F.lit(None).cast("long")
+        rows = made[name].select(F.lit(name).alias("table"), left.alias("left"), right.alias("right"), cut.alias("cut"), value.alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return rounded(out)
 
 
 def holm(t: Tables) -> DataFrame:
@@ -535,6 +560,8 @@ _PLAIN: dict[str, Callable[[Tables], DataFrame]] = {
     "ds3_chart_readiness": lambda t: stats.readiness(t.long()),
     "ds4_describe": describe,
     "ds5_boxplot": lambda t: rounded(stats.boxplot(t.long())),
+    "ds5_boxplot_points": lambda t: rounded(stats.boxplot_points(t.long())),
+    "ds6_boxplot_nonzero": lambda t: rounded(stats.boxplot(t.long(), "nonzero")),
     "ds6_boxplot_central95": lambda t: rounded(stats.boxplot(t.long(), "central95")),
     "ds7_histogram": lambda t: rounded(stats.histogram(t.long())),
     "ds7_histogram_log1p": lambda t: rounded(stats.histogram(t.long(), log=True)),
@@ -554,6 +581,8 @@ _PLAIN: dict[str, Callable[[Tables], DataFrame]] = {
     "ds20_conclusion": lambda t: stats.conclusion_evidence(stats.findings(t.strict, FEW)),
     "ds21_warnings": lambda t: stats.warnings(t.strict, FEW),
     "ds22_analysis": analysis_counts,
+    "ds23_tidy_tables": tidy,
+    "ds24_outlier_rows": lambda t: rounded(stats.outlier_rows(t.strict, FEW)),
     "ds24_correlation_rows": lambda t: rounded(stats.correlation_rows(t.strict, ["p", "h", "c_frac"], kendall_limit=None)),
     "sl1_snapshot_slice": lambda t: filters.snapshot_slice(t.raw, "1996-01-01", "1998-12-31", ["Article", "REVIEW"]).select("id"),
     "sl2_subject_slice": lambda t: filters.subject_slice(t.raw, "subfield", "https://example.org/subfields/BUILDING").select("id"),
@@ -568,6 +597,7 @@ _PLAIN: dict[str, Callable[[Tables], DataFrame]] = {
     "sl18_calibration": lambda t: rounded(calibration(t)),
     "sl19_size_class": size_class,
     "p1_table_query": table_query,
+    "p1_page_info": page_info,
     "p6_related_authors": lambda t: tables.related_authors(t.strict, t.author_countries, "country_code", "ND").select("author_id", "p"),
     "p8_keyset_page": keyset,
     "p10_select_rows": select_rows,
@@ -604,6 +634,7 @@ _PLAIN: dict[str, Callable[[Tables], DataFrame]] = {
     "ch2_threshold_cohort": lambda t: cohorts.by_thresholds(t.strict, "c_frac", 25, 15, 100),
     "ch6_cohort_page": lambda t: cohorts.metrics_page(t.strict, cohorts.by_thresholds(t.strict, min_p=25), "h", 20, 10).select("author_id", "h"),
     "ch7_cohort_statistics": cohort_statistics,
+    "ch7_cohort_histograms": cohort_histograms,
     "ch8_decision_trace": cohort_trace,
     "rs1_bootstrap": lambda t: rounded(resampling.bootstrap(t.strict, [("h", "c_frac"), ("h", "g")])),
     "rs2_permutation": lambda t: rounded(resampling.permutation(t.strict, [("h", "c_frac"), ("p", "g"), ("h", "n_truncated_works")])),

@@ -114,12 +114,15 @@ def corr(x: str, y: str) -> str:
 PAIRS = [(a, b) for i, a in enumerate(FEW) for b in FEW[i + 1 :]]
 
 
-def _histogram(v: str, bins: int = 12, sparse: bool = False) -> str:
+def _histogram(v: str, bins: int = 12, sparse: bool = False, rows: str = "") -> str:
     where = " WHERE count > 0" if sparse else ""
-    return f"""{LONG}, bo AS (SELECT metric, min({v}) AS lo, max({v}) AS hi, (max({v}) - min({v})) / {bins} AS width FROM lg GROUP BY metric),
+    digits = "printf('%.3g', lo + ev.bin * width)"
+    upper = f"printf('%.3g', CASE WHEN ev.bin = {bins - 1} THEN hi ELSE lo + (ev.bin + 1) * width END)"
+    label = f", CASE WHEN lo = hi THEN {digits} ELSE {digits} || '-' || {upper} END AS label" if sparse else ""
+    return f"""{rows or LONG}, bo AS (SELECT metric, min({v}) AS lo, max({v}) AS hi, (max({v}) - min({v})) / {bins} AS width FROM lg GROUP BY metric),
 hb AS (SELECT lg.metric, CASE WHEN width = 0 THEN 0 ELSE CAST(least({bins - 1}, floor(({v} - lo) / width)) AS BIGINT) END AS bin, count(*) AS count FROM lg JOIN bo USING (metric) GROUP BY 1, 2),
 ev AS (SELECT *, unnest(range(0, CASE WHEN lo = hi THEN 1 ELSE {bins} END)) AS bin FROM bo),
-o AS (SELECT ev.metric, ev.bin, round(lo + ev.bin * width, 6) AS low, round(CASE WHEN ev.bin = CASE WHEN lo = hi THEN 0 ELSE {bins - 1} END THEN hi ELSE lo + (ev.bin + 1) * width END, 6) AS high, coalesce(count, 0) AS count FROM ev LEFT JOIN hb ON ev.metric = hb.metric AND ev.bin = hb.bin)
+o AS (SELECT ev.metric, ev.bin, round(lo + ev.bin * width, 6) AS low, round(CASE WHEN ev.bin = CASE WHEN lo = hi THEN 0 ELSE {bins - 1} END THEN hi ELSE lo + (ev.bin + 1) * width END, 6) AS high, coalesce(count, 0) AS count{label} FROM ev LEFT JOIN hb ON ev.metric = hb.metric AND ev.bin = hb.bin)
 SELECT * FROM o{where}"""
 
 
@@ -211,6 +214,9 @@ FROM n x JOIN n y ON x.cut = y.cut LEFT JOIN bo ON bo.metric_a = x.metric AND bo
 d AS (SELECT metric, count(value) AS n, count(*) - count(value) AS missing, min(value) AS min, max(value) AS max, avg(value) AS mean, stddev_pop(value) AS stddev, quantile_cont(value, 0.9) AS p90, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, count(DISTINCT round(value, 9)) AS unique_count, count(*) FILTER (value = 0) / count(value) AS zero_rate FROM lg GROUP BY metric)
 SELECT metric, d.n, missing, {r("min", "max", "mean", "stddev", "q1", "median", "q3", "p90", "p95", "p99")}, round(d.stddev / mean, 6) AS coefficient_of_variation, {r("iqr", "skewness", "excess_kurtosis")}, unique_count, {r("zero_rate")}, round((d.n - unique_count) / d.n, 6) AS tie_rate, outlier_count_iqr, round(outlier_count_iqr / d.n, 6) AS outlier_share_iqr FROM d JOIN fe USING (metric) JOIN mm USING (metric) JOIN ou USING (metric)""",
     "ds5_boxplot": _box("all"),
+    "ds5_boxplot_points": f"""{LONG}, {FENCES}, o AS (SELECT metric, author_id, value, lower_fence, upper_fence, CASE WHEN iqr = 0 THEN 'iqr_zero_no_outlier_fence' ELSE 'iqr_1_5' END AS rule, row_number() OVER (PARTITION BY metric ORDER BY value DESC, author_id) AS rn
+FROM lg JOIN fe USING (metric) WHERE CASE WHEN iqr = 0 THEN value <> median ELSE value < lower_fence OR value > upper_fence END) SELECT metric, author_id, {r('value', 'lower_fence', 'upper_fence')}, rule, rn FROM o WHERE rn <= 10""",
+    "ds6_boxplot_nonzero": _box("nonzero"),
     "ds6_boxplot_central95": _box("central95"),
     "ds7_histogram": _histogram("value"),
     "ds7_histogram_log1p": _histogram("ln(1 + greatest(0, value))"),
@@ -237,6 +243,7 @@ SELECT metric, d.n, missing, {r("min", "max", "mean", "stddev", "q1", "median",
     "sl17_facets": f"{BASE}, e AS (SELECT 'type' AS facet, type AS value, work_id FROM works UNION ALL SELECT 'year', CAST(publication_year AS VARCHAR), work_id FROM works UNION ALL SELECT DISTINCT 'country', country_codes_csv, work_id FROM authorships), n AS (SELECT facet, value, count(*) AS count FROM e GROUP BY 1, 2) SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY facet ORDER BY count DESC, value) <= 20",
     "sl19_size_class": f"WITH {WORKS}, n AS (SELECT type, count(*) AS n FROM works GROUP BY type) SELECT type, n, CASE WHEN n <= 0 THEN 'no_data' WHEN n <= 50000 THEN 'can_fetch' WHEN n <= 300000 THEN 'medium' WHEN n <= 1000000 THEN 'large' ELSE 'very_large' END AS size_class FROM n",
     "p1_table_query": f"{STRICT} SELECT author_id, author_display_name, p, h, round(c, 6) AS c FROM s WHERE CAST(h AS DOUBLE) >= 15 AND author_display_name ILIKE '%small%' ORDER BY h DESC, c DESC, p DESC, author_display_name, author_id LIMIT 40 OFFSET 5",
+    "p1_page_info": f"{STRICT}, n AS (SELECT count(*) AS total FROM s WHERE CAST(h AS DOUBLE) >= 15 AND author_display_name ILIKE '%small%') SELECT total, least(greatest(total - 5, 0), 40) AS page_rows, total > 45 AS has_next FROM n",
     "p6_related_authors": f"{STRICT} SELECT author_id, p FROM s WHERE author_id IN (SELECT author_id FROM authorships WHERE country_codes_csv ILIKE '%ND%')",
     "p8_keyset_page": f"{STRICT}, o AS (SELECT author_id, author_display_name, h, c, p, row_number() OVER (ORDER BY h DESC, c DESC, p DESC, author_display_name, author_id) AS rn FROM s) SELECT author_id, h, p FROM o WHERE rn BETWEEN 21 AND 40",
     "p10_select_rows": f"{STRICT} SELECT author_id, h FROM s WHERE CAST(p AS DOUBLE) <= 30 AND (author_id ILIKE '%7%' OR author_display_name ILIKE '%7%') ORDER BY h DESC, author_id LIMIT 25",
@@ -245,7 +252,7 @@ SELECT metric, d.n, missing, {r("min", "max", "mean", "stddev", "q1", "median",
     "p17_catalog_search": "SELECT 'source' AS entity_type, n_name AS name, count(*) AS works_count FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE lower(n_name) LIKE '%nation_1%' GROUP BY n_name ORDER BY works_count DESC, name LIMIT 8",
     "p19_catalog_status": f"{BASE} SELECT 'author' AS entity_type, count(DISTINCT author_id) AS n FROM authorships UNION ALL SELECT 'source', count(DISTINCT source_id) FROM works UNION ALL SELECT 'topic', count(DISTINCT primary_topic_id) FROM works",
     "nz2_works": f"WITH {WORKS} SELECT * REPLACE ({', '.join(f'CASE WHEN primary_topic_id IS NOT NULL THEN {c} END AS {c}' for c in ('primary_subfield_id', 'primary_subfield_short_id', 'primary_field_id', 'primary_domain_id'))}) FROM works",
-    "nz5_authorships": f"{BASE} SELECT work_id, author_seq, CASE WHEN author_id <> 'A9999999999' THEN author_id END AS author_id, author_display_name, institution_ids_csv, country_codes_csv, authorships_count_raw, authors_count_reported, valid_author_ids_count, round(1.0 / authors_count_reported, 6)::DOUBLE AS frac_weight_strict, round(CASE WHEN NOT qf_null_author_id AND NOT qf_deleted_author_id THEN 1.0 / valid_author_ids_count END, 6)::DOUBLE AS frac_weight_renorm, qf_null_author_id, qf_deleted_author_id, qf_duplicate_authorship AND NOT qf_null_author_id AS qf_duplicate_authorship, qf_authorship_truncated, qf_author_count_mismatch, qf_missing_primary_topic FROM authorships",
+    "nz5_authorships": f"{BASE} SELECT work_id, author_seq, CASE WHEN author_id <> 'A9999999999' THEN author_id END AS author_id, author_display_name, author_position, author_orcid, author_display_name AS raw_author_name, is_corresponding, institution_ids_csv, country_codes_csv, authorships_count_raw, authors_count_reported, valid_author_ids_count, round(1.0 / authors_count_reported, 6)::DOUBLE AS frac_weight_strict, round(CASE WHEN NOT qf_null_author_id AND NOT qf_deleted_author_id THEN 1.0 / valid_author_ids_count END, 6)::DOUBLE AS frac_weight_renorm, qf_null_author_id, qf_deleted_author_id, qf_duplicate_authorship AND NOT qf_null_author_id AS qf_duplicate_authorship, qf_authorship_truncated, qf_author_count_mismatch, qf_missing_primary_topic FROM authorships",
     "nz9_work_topics": f"WITH {WORKS},{TOPICS} SELECT * FROM work_topics",
     "nz10_author_institutions": f"{BASE} SELECT work_id, author_seq, institution_ids_csv AS institution_id, country_codes_csv AS country_code FROM authorships",
     "nz11_author_countries": f"{BASE} SELECT work_id, author_seq, country_codes_csv AS country_code FROM authorships",
@@ -275,7 +282,7 @@ w AS (SELECT 'works-' || pack || '.json' AS file, work_id AS id, display_name AS
     "ch6_cohort_page": f"{STRICT} SELECT author_id, h FROM s WHERE p >= 25 ORDER BY h DESC, c DESC, p DESC, author_display_name, author_id LIMIT 20 OFFSET 10",
     "ch7_cohort_statistics": f"{STRICT}, s2 AS (SELECT * FROM s WHERE p >= 25), {long(['p', 'h', 'c_frac'], 's2')}, l2 AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY metric) AS nn FROM lg), {moments('value')} SELECT metric, mm.n, round(min(value), 6) AS min, "
     + ", ".join(f"round(max(value) FILTER (i = round_even((nn - 1) * {q}, 0)), 6) AS {n}" for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)))
-    + ", round(max(value), 6) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stddev FROM l2 JOIN mm USING (metric) GROUP BY metric, mm.n",
+    + ", round(max(value), 6) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stddev, round(coalesce(max(skewness), 0), 6) + 0 AS skewness, round(coalesce(max(excess_kurtosis), 0), 6) + 0 AS excess_kurtosis FROM l2 JOIN mm USING (metric) GROUP BY metric, mm.n",
     "rs1_bootstrap": f"""{STRICT}, w AS (SELECT {", ".join(f"row_number() OVER (ORDER BY {m} DESC, c DESC, p DESC, author_id) AS {m}" for m in ("h", "c_frac", "g"))}, row_number() OVER (ORDER BY author_id) - 1 AS slot, count(*) OVER () AS n FROM s),
 d AS (SELECT it, unnest(range(0, n)) AS k, n FROM (SELECT unnest(range(0, 200)) AS it, count(*) AS n FROM s)), x AS (SELECT it, CAST('0x' || substr(md5('42:' || it || ':' || k // 2), 1 + 15 * CAST(k % 2 AS INTEGER), 15) AS BIGINT) % n AS slot FROM d),
 t AS (SELECT it, slot, count(*) AS times FROM x GROUP BY 1, 2), rr AS (SELECT it, {", ".join(f"sum(times) OVER (PARTITION BY it ORDER BY {m}) AS {m}" for m in ("h", "c_frac", "g"))} FROM t JOIN w USING (slot)) """
@@ -398,3 +405,15 @@ _BLOCKS = {
 }
 _COUNTED = {v: f"n{i}" for i, v in enumerate(dict.fromkeys(_BLOCKS.values())) if v != "ds19_finding_summary"}
 SQL["ds22_analysis"] = "WITH " + ", ".join(f"{n} AS MATERIALIZED (SELECT count(*) AS rows FROM ({SQL[v]}))" for v, n in _COUNTED.items()) + " " + " UNION ALL ".join(f"SELECT '{k}' AS \"table\", {f'rows FROM {_COUNTED[v]}' if v in _COUNTED else '1 AS rows'}" for k, v in _BLOCKS.items())
+_COHORT = f"{STRICT}, s2 AS (SELECT * FROM s WHERE p >= 25), {long(['p', 'c', 'c_frac', 'h', 'g', 'i10'], 's2')}"
+SQL["ch7_cohort_histograms"] = " UNION ALL ".join(f"SELECT *, '{scale}' AS scale FROM ({_histogram(v, rows=_COHORT)})" for scale, v in (("raw", "value"), ("log1p", "ln(1 + greatest(0, value))")))
+SQL["ds24_outlier_rows"] = f"""WITH o AS ({SQL["ds5_boxplot_points"]}), w AS ({STRICT} SELECT author_id, author_display_name FROM s)
+SELECT metric, author_id, author_display_name, value, rule, lower_fence, upper_fence FROM o JOIN w USING (author_id) WHERE rule = 'iqr_1_5'"""
+_TAU_FEW = f"{STRICT}, k AS (SELECT author_id, {', '.join(FEW)} FROM s), pr AS (SELECT {_SIGNS(FEW)} FROM k x JOIN k y ON x.author_id < y.author_id) {_tau(PAIRS)}"
+SQL["ds23_tidy_tables"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS \"table\", {left} AS \"left\", {right} AS \"right\", {cut} AS cut, {value} AS value FROM ({SQL.get(key, key)})"
+    for name, key, left, right, cut, value in (
+        ("chart_readiness", "ds3_chart_readiness", "metric", "NULL", "NULL", "CAST(boxplot = 'ok' AS DOUBLE)"), ("spearman", "ds12_spearman", "metric_a", "metric_b", "NULL", "value"), ("pearson_log1p", "ds13_pearson_log1p", "metric_a", "metric_b", "NULL", "value"),
+        ("kendall_tau_b", _TAU_FEW, "metric_a", "metric_b", "NULL", "value"), ("top_overlap", "rk10_top_overlap", "metric_a", "metric_b", "cut", "jaccard"), ("rank_deltas", "rk8_rank_deltas", "metric", "NULL", "NULL", "p90_abs_delta"), ("rank_summary", "ds16_rank_summary", "metric", "NULL", "NULL", "top10_share"),
+    )
+)

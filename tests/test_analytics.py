@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from citegrid.functions.columns import significant
 from citegrid.operators import cohorts, credit, filters, formulas, indices, normalize, order, ranking, resampling, stats, tables
 from citegrid.sources import io
 from citegrid.streaming import ingest
@@ -85,6 +86,36 @@ def test_describe_and_boxes(spark):
     assert stats.normality(long(spark, [1.0, 1.0, 1.0])).first().jarque_bera is None
 
 
+def test_labels_to_three_digits(spark):
+    values = [0.0, 1.0, -2.5, 12.25, 12.75, 15.25, 99.95, 99.96, 999.4, 999.6, 1000.0, 123456.0, 1e9, 0.1, 0.25, 0.0625, 0.0001234, 0.00001234, 100.0, 2.0, -31.5, 1.005e-7]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", significant(F.col("v")).alias("t")).collect()
+    assert [r.t for r in got] == [f"{r.v:.3g}" for r in got]
+    assert spark.range(1).select(significant(F.lit(None).cast("double")).alias("t")).first().t is None
+    labels = {r.bin: r.label for r in stats.sparse_histogram(long(spark, [0.0, 3.0, 39.0, 4000.0])).collect()}
+    assert labels == {0: "0-500", 7: "3.5e+03-4e+03"}
+    assert [r.label for r in stats.sparse_histogram(long(spark, [7.0, 7.0])).collect()] == ["7"]
+
+
+def test_outlier_points_and_rows(spark):
+    values = [10.0] * 4 + [11.0, 12.0, 13.0, 14.0, -500.0, 90.0, 80.0, 80.0]
+    rows = spark.createDataFrame([(f"A{i}", f"n{i}", v, 1.0 if i else 5.0) for i, v in enumerate(values)], "author_id string, author_display_name string, x double, flat double")
+    points = [(r.metric, r.author_id, r.rn, r.rule) for r in stats.boxplot_points(stats.to_long(rows, ["x", "flat"]), 3).orderBy("metric", "rn").collect()]
+    assert points == [("flat", "A0", 1, "iqr_zero_no_outlier_fence"), ("x", "A9", 1, "iqr_1_5"), ("x", "A10", 2, "iqr_1_5"), ("x", "A11", 3, "iqr_1_5")]
+    told = {(r.metric, r.author_display_name, r.value) for r in stats.outlier_rows(rows, ["x", "flat"]).collect()}
+    assert told == {("x", "n9", 90.0), ("x", "n10", 80.0), ("x", "n11", 80.0), ("x", "n8", -500.0)}
+    assert stats.outlier_rows(rows.limit(0), ["x"]).count() == 0
+    assert stats.descriptive_rows(rows, ["x", "flat"]).count() == 2
+
+
+def test_tidy_tables(spark, tmp_path):
+    rows = spark.createDataFrame([(f"A{i}", float(i % 7), float(i)) for i in range(30)], "author_id string, h double, x double")
+    made = {p.rsplit("/", 1)[-1]: spark.read.parquet(p) for p in stats.tidy_tables(rows, ["h", "x"], f"file://{tmp_path}/tidy")}
+    assert made["kendall_tau_b"].count() == made["spearman"].count() == 1 and made["rank_summary"].count() == 2
+    assert made["top_overlap"].columns == ["metric_a", "metric_b", "cut", "size_a", "size_b", "overlap", "overlap_rate", "jaccard"]
+    again = stats.tidy_tables(rows.limit(0), ["h", "x"], f"file://{tmp_path}/tidy")
+    assert spark.read.parquet(again[5]).count() == 0
+
+
 def test_correlations(spark):
     rows = spark.createDataFrame([(f"A{i}", float(i), float(2 * i), 3.0) for i in range(1, 40)], "author_id string, x double, y double, z double")
     s = {(r.metric_a, r.metric_b): r.value for r in stats.spearman(stats.to_long(rows, ["x", "y", "z"]), [("x", "y"), ("x", "z")]).collect()}
@@ -153,6 +184,16 @@ def test_keyset_and_selection(spark):
     assert info["h"] == ("number", True) and info["author_id"] == ("text", True) and not info["a"][1]
 
 
+@pytest.mark.parametrize(("limit", "offset", "told"), [(2, 0, (5, 2, True)), (2, 3, (5, 2, False)), (2, 4, (5, 1, False)), (3, 9, (5, 0, False)), (5, 0, (5, 5, False))])
+def test_page_info(spark, limit, offset, told):
+    df = spark.createDataFrame([(f"A{i}", None if i == 6 else "Smith", i) for i in range(7)], "author_id string, author_display_name string, h int")
+    chosen = {"q": "smith", "data_filters": {"h": {"min": "1"}}}
+    assert tuple(tables.page_info(df, "indices", limit=limit, offset=offset, **chosen).first()) == told
+    assert tables.query(df, "indices", sort="h", limit=limit, offset=offset, **chosen).count() == told[1]
+    with pytest.raises(ValueError):
+        tables.page_info(df, data_filters={"nope": {}})
+
+
 @pytest.mark.parametrize("direction", ["desc", "asc"])
 def test_pages_by_cursor_hold_every_row(spark, direction):
     values = [None, 3, 1, None, 3, 2, 3]
