@@ -8,22 +8,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from citegrid.functions.columns import all_of
 from citegrid.sources.scratch import settled
 
+#: Sums of ranges are broadcast up to so many rows, and joined by shuffle beyond.
+BROADCAST_ROWS = 100_000
+
 
 def running(rows: DataFrame, order: Sequence[Column], group: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
     """``rows`` with running sums along ``order``, which must leave no ties, in each group.
 
     Rows are dealt into ranges of group and order; each range is summed for itself, and one row for each range
-    and group brings the sums of the ranges before."""
+    and group brings the sums of the ranges before; with very many groups these rows are joined by shuffle."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.withColumns({f"_w_{n}": w.cast("long") for n, w in sums.items()}).repartitionByRange(parts, *map(F.col, group), *order)
     placed = settled(placed.withColumn("_range", F.spark_partition_id()), "ranges")
     whole = placed.groupBy("_range", *group).agg(*(F.sum(f"_w_{n}").alias(f"_s_{n}") for n in sums))
+    if group:
+        whole = settled(whole, "range-sums")
+    # At most a row for each range and each group: without many groups that is small.
+    few = not group or whole.count() <= BROADCAST_ROWS
     earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = whole.select("_range", *group, *(F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums))
+    keys = [F.col(g).alias(f"_g_{g}") for g in group]
+    whole = whole.select(F.col("_range").alias("_r"), *keys, *(F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums))
     within = Window.partitionBy("_range", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = placed.withColumns({f"_s_{n}": F.sum(f"_w_{n}").over(within) for n in sums}).join(F.broadcast(whole), ["_range", *group])  # a row for each range and group
+    here = all_of([F.col("_range") == F.col("_r"), *(F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group)])
+    summed = placed.withColumns({f"_s_{n}": F.sum(f"_w_{n}").over(within) for n in sums}).join(F.broadcast(whole) if few else whole.hint("shuffle_merge"), here)
     return summed.select(*rows.columns, *((F.col(f"_s_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums))
 
 

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 from pyspark.sql.window import Window
 
+from citegrid.sources.scratch import ship
+
+#: Files up to this size are hashed as one cell, larger ones as a stream, in slices.
+CELL_BYTES = 1 << 26
+SLICE_BYTES = 1 << 23
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, partitions: int | None = None) -> DataFrame:
     """JSON lines, plain or gzipped; blank lines are no rows (IO1). Gzip files can't be split: deal their rows out."""
@@ -140,10 +149,36 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def file_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 and size of each file (IO11)."""
+def _opened(path: str) -> pa.NativeFile:
+    """A file as a stream, from what Spark calls it (``file:/a/b``, ``hdfs://host/a/b``, ``s3a://bucket/a/b``)."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
+    host, _, inside = rest.removeprefix("//").partition("/")
+    system, base = fs.FileSystem.from_uri(f"{scheme.removesuffix('a') if scheme == 's3a' else scheme}://{host}/")
+    return system.open_input_stream(f"{base.rstrip('/')}/{inside}")
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        told = []
+        for path in batch.column(0).to_pylist():
+            digest = hashlib.sha256()
+            with _opened(path) as stream:
+                while data := stream.read(SLICE_BYTES):
+                    digest.update(data)
+            told.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(told, pa.string())], names=["path", "length", "sha256"])
+
+
+def file_checksums(spark: SparkSession, path: str, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """SHA-256 and size of each file (IO11). Files of at most ``cell_bytes`` come through Spark's reader; a larger one is
+    a task of its own, which reads it in slices of ``SLICE_BYTES``, so its size doesn't matter."""
+    ship(spark)
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    small = files.filter(F.col("length") <= cell_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > cell_bytes).select("path", "length").mapInArrow(_digests, "path string, length long, sha256 string")
+    return small.unionByName(large).select("path", F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), "sha256")
 
 
 def fingerprint(df: DataFrame) -> DataFrame:

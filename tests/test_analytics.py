@@ -208,6 +208,14 @@ def test_pages_by_cursor_hold_every_row(spark, direction):
     assert tables.cursor_values("no cursor") == {}
 
 
+@pytest.mark.parametrize("rows", [0, 100_000])
+def test_running_sums_of_many_groups(spark, monkeypatch, rows):
+    monkeypatch.setattr(order, "BROADCAST_ROWS", rows)
+    df = spark.createDataFrame([(f"g{i % 17}" if i % 17 else None, i) for i in range(300)], "g string, v long").repartition(5)
+    got = {(r.g, r.v): r.total for r in order.running(df, [F.asc("v")], ["g"], {"total": F.col("v")}).collect()}
+    assert got == {(f"g{i % 17}" if i % 17 else None, i): sum(range(i % 17, i + 1, 17)) for i in range(300)}
+
+
 def test_running_and_quantiles(spark):
     import numpy as np
 
