@@ -107,6 +107,12 @@ def test_outlier_points_and_rows(spark):
     assert stats.descriptive_rows(rows, ["x", "flat"]).count() == 2
 
 
+def test_finding_rows(spark):
+    found = spark.createDataFrame([("zero_inflation:h", "zero_inflation", "h", None, "high", '{"zero_rate":0.7}')], "id string, type string, metric string, baseline_metric string, severity string, evidence string")
+    row = stats.finding_rows(found).first().asDict()
+    assert row == {"id": "zero_inflation:h", "type": "zero_inflation", "metric": "h", "baseline_metric": None, "severity": "high", "evidence_json": '{"zero_rate":0.7}'}
+
+
 def test_tidy_tables(spark, tmp_path):
     rows = spark.createDataFrame([(f"A{i}", float(i % 7), float(i)) for i in range(30)], "author_id string, h double, x double")
     made = {p.rsplit("/", 1)[-1]: spark.read.parquet(p) for p in stats.tidy_tables(rows, ["h", "x"], f"file://{tmp_path}/tidy")}
