@@ -1,9 +1,11 @@
 """Plans that keep the work in proportion to the input."""
 
-from citegrid.operators import credit, indices
+from citegrid.operators import credit, indices, order, ranking, stats
 from citegrid.plans.catalog import STRICT, Tables
 from citegrid.sources import adapter
-from test_analytics import author_rows
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+from test_analytics import author_rows, long
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -35,3 +37,26 @@ def test_selection_is_made_for_its_mode_only(spark, monkeypatch):
     assert made in ([[STRICT]], []) and {r.fraction_mode for r in rows.select("fraction_mode").distinct().collect()} == {STRICT}
     every = {r.author_id: (r.h, r.islv) for r in indices.indices(whole(adapter.works(spark, SMALL), adapter.authorships(spark, SMALL))).filter(f"fraction_mode = '{STRICT}'").collect()}
     assert {r.author_id: (r.h, round(r.islv, 9)) for r in rows.collect()} == {a: (h, round(i, 9)) for a, (h, i) in every.items()}
+
+
+def test_values_on_the_edge_of_a_log_bin(spark):
+    for top in (80, 728, 15624):  # edges at powers of 3 and 5
+        got = [r["count"] for r in stats.histogram(long(spark, [float(i) for i in range(top + 1)]), log=True).orderBy("bin").collect()]
+        low = [next(v for v in range(top + 2) if (v + 1) ** 12 >= (top + 1) ** k) for k in range(12)]
+        assert got[:-1] == [b - a for a, b in zip(low[:11], low[1:], strict=True)] and sum(got) == top + 1
+
+
+def test_ranks_of_scores_that_fill_several_ranges(spark):
+    values = [1.0] * 300 + [2.0] * 40 + [float(i % 5) for i in range(60)]
+    rows = spark.createDataFrame([(g, f"A{i:04}", v) for g in ("x", "y", None) for i, v in enumerate(values)], "g string, author_id string, score double")
+    got = order.ranks(rows, "score", [F.asc("author_id")], ["g"])
+    by = Window.partitionBy("g").orderBy(F.desc("score"))
+    want = rows.select("*", F.row_number().over(by.orderBy(F.desc("score"), "author_id")).cast("long"), F.rank().over(by).cast("long"), F.dense_rank().over(by).cast("long"))
+    assert sorted(map(str, got.collect())) == sorted(str(r) for r in want.toDF(*got.columns).collect())
+
+
+def test_ratings_sort_the_scores_once(spark):
+    rows = spark.createDataFrame([("r", "m", "A1", "a", 2.0, 1.0, 1), ("r", "m", "A2", "b", 2.0, 3.0, 1)], "run_id string, fraction_mode string, author_id string, author_display_name string, h double, c double, p long")
+    told = ranking.ratings(rows, ["h"])
+    assert "SortMergeJoin" not in plan(told) and "Exchange rangepartitioning" not in plan(told)
+    assert [(r.author_id, r.position, r.rank_competition, r.rank_dense) for r in told.orderBy("position").collect()] == [("A2", 1, 1, 1), ("A1", 2, 1, 1)]
