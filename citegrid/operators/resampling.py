@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from citegrid.operators import order, stats
-from citegrid.sources.scratch import settled
+from citegrid.sources.scratch import settled, ship
 
 
 def ordinal_ranks(rows: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -44,13 +46,14 @@ def _ranks_in_order(wide: DataFrame, metrics: Sequence[str], rows_per_range: int
     return numbered, n, -(-n // rows_per_range) or 1
 
 
-def bootstrap(rows: DataFrame, pairs: Sequence[tuple[str, str]], iterations: int = 200, seed: int = 42, sample_size: int = 0, rows_per_range: int = 1_000_000) -> DataFrame:
+def bootstrap(rows: DataFrame, pairs: Sequence[tuple[str, str]], iterations: int = 200, seed: int = 42, sample_size: int = 0, rows_per_range: int = 100_000) -> DataFrame:
     """The ordinal Spearman and its 2.5 % and 97.5 % bounds over resamples of ``sample_size`` (or all) authors (RS1).
 
-    Authors are numbered by id. Each iteration draws as many numbers as there are authors, by MD5, and counts draws for each
-    author; an author's rank in a resample is the running count of draws in the metric's order, the place of its last
-    copy. Draws are rows of a range, so no task makes an iteration's; the running count is taken within ranges of
-    ``rows_per_range`` ranks, with the sums of the ranges before, so none sorts a resample of any size."""
+    Authors are numbered by id. Each iteration draws as many numbers as there are authors, by MD5; an author's rank in a
+    resample is the running count of draws in the metric's order, the place of its last copy. Draws are rows of a range
+    and are shuffled once, by author: an author then has one row with the list of iterations that drew it, and the running
+    counts of all iterations are taken together, within ranges of ``rows_per_range`` ranks of each metric, from the sums of
+    the ranges before. So no task holds an iteration, and no row is shuffled for each draw again."""
     iterations = max(10, min(iterations, 10_000))
     spark, names = rows.sparkSession, sorted({m for p in pairs for m in p})
     wide = ordinal_ranks(rows, names).groupBy("author_id").pivot("metric", names).agg(F.first("rank"))
@@ -63,17 +66,18 @@ def bootstrap(rows: DataFrame, pairs: Sequence[tuple[str, str]], iterations: int
     draws = spark.range(0, iterations * twos, 1, parts).select((F.col("id") / twos).cast("long").alias("iteration"), (F.col("id") % twos).alias("two"))
     both = F.array(*(F.struct((F.col("two") * 2 + i).alias("k"), (_number(F.lit(str(seed)), "iteration", "two", at=F.lit(i)) % n).alias("slot")) for i in (0, 1)))
     draws = draws.select("iteration", F.inline(both)).filter(F.col("k") < drawn_size).select(F.col("iteration").cast("int").alias("iteration"), "slot")
-    # Dealt by slot once, for the counts and for the join.
+    ship(spark)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    drawn = draws.repartition(width, "slot").groupBy("iteration", "slot").agg(F.count(F.lit(1)).alias("times"))
-    sample = drawn.join(numbered.drop("author_id").hint("shuffle_hash"), "slot").drop("slot")
+    drawn = draws.repartition(width, "slot").groupBy("slot").agg(F.sort_array(F.collect_list("iteration")).alias("drawn"))
+    sample = settled(drawn.join(numbered.drop("author_id").hint("shuffle_hash"), "slot"), "resample")
+    placed = None
     for m in names:
-        sample = _resampled_rank(sample, m, n, ranges)
-    structs = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = F.col(f"_{a}"), F.col(f"_{b}")
-        structs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(x).alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"), F.sum(x * y).alias("xy")).alias(f"s{i}"))
-    each = sample.groupBy("iteration").agg(*structs).select("iteration", F.explode(F.array(*(f"s{i}" for i in range(len(pairs))))).alias("s")).select("iteration", "s.*")
+        one = _resampled_ranks(sample, m, n, ranges, iterations)
+        one = one if placed is None else one.drop("kinds")
+        placed = one if placed is None else placed.join(one.hint("shuffle_merge"), "slot")
+    each = placed.mapInArrow(_sums_of_iterations(pairs, iterations), "iteration int, pair int, n long, x double, y double, xx double, yy double, xy double")
+    named = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs))
+    each = each.groupBy("iteration", "pair").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy"))).withColumn("s", F.get(named, F.col("pair"))).select("iteration", "s.*", "n", "x", "y", "xx", "yy", "xy")
     rho = each.withColumn("rho", stats._correlation())
     constant = methodology(rows, names).filter("constant").agg(F.collect_set("metric").alias("flat"))
     out = rho.groupBy("a", "b").agg(F.count("rho").alias("n"), F.percentile("rho", 0.025).alias("low"), F.percentile("rho", 0.975).alias("high")).crossJoin(F.broadcast(constant))  # one row; iterations values a pair
@@ -85,18 +89,80 @@ def bootstrap(rows: DataFrame, pairs: Sequence[tuple[str, str]], iterations: int
     )
 
 
-def _resampled_rank(sample: DataFrame, metric: str, n: int, ranges: int) -> DataFrame:
-    """``sample`` with ``_metric``: copies up to and with the author's, in the order of its rank in all."""
-    if ranges == 1:
-        by = Window.partitionBy("iteration").orderBy(metric).rowsBetween(Window.unboundedPreceding, 0)
-        return sample.withColumn(f"_{metric}", F.sum("times").over(by).cast("double"))
-    dealt = settled(sample.withColumn("_range", F.floor((F.col(metric) - 1) * ranges / n).cast("int")), "resample")
-    sums = dealt.groupBy("iteration", "_range").agg(F.sum("times").alias("_sum"))
-    earlier = Window.partitionBy("iteration").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("iteration", "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("iteration", "_range").orderBy(metric).rowsBetween(Window.unboundedPreceding, 0)
-    placed = dealt.withColumn("_within", F.sum("times").over(within)).join(sums.hint("shuffle_merge"), ["iteration", "_range"])
-    return placed.withColumn(f"_{metric}", (F.col("_within") + F.col("_before")).cast("double")).drop("_range", "_within", "_before")
+#: Counts of authors by iterations that a task holds at once.
+CELLS = 1 << 21
+
+
+def _counts(lists: pa.Array, iterations: int) -> np.ndarray:
+    """How often each list holds each iteration: a row for each list."""
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    at = np.repeat(np.arange(len(size), dtype=np.int64) * iterations, size) + lists.flatten().to_numpy(zero_copy_only=False)
+    return np.bincount(at, minlength=len(size) * iterations).reshape(len(size), iterations)
+
+
+def _resampled_ranks(sample: DataFrame, metric: str, n: int, ranges: int, iterations: int) -> DataFrame:
+    """slot, ``kinds``, the different iterations that drew it, and ``_metric``, for each of them the copies up to and with the
+    author's, in the order of its rank in all."""
+    rows = sample.select("slot", "drawn", F.col(metric).cast("long").alias("rank"), F.floor((F.col(metric) - 1) * ranges / n).cast("int").alias("range"))
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, part = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            at = np.repeat(part.astype(np.int64) * iterations, batch.column(1).value_lengths().to_numpy(zero_copy_only=False)) + batch.column(1).flatten().to_numpy()
+            sums = np.bincount(at, minlength=len(kinds) * iterations)
+            some = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds[some // iterations], pa.int32()), pa.array((some % iterations).astype(np.int32)), pa.array(sums[some], pa.int64())], names=["range", "iteration", "sum"])
+
+    few = max(1, CELLS // iterations)
+
+    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, last = np.zeros(iterations, np.int64), -1
+        for batch in (b.slice(i, few) for b in batches for i in range(0, b.num_rows, few)):
+            slots, part, before = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(4)
+            times = _counts(batch.column(1), iterations)
+            begins = np.flatnonzero(np.concatenate(([part[0] != last], part[1:] != part[:-1]))) if len(part) else []
+            starts = [0, *(b for b in begins if b)] if len(part) else []
+            upto = np.empty(times.shape, np.int64)
+            for begin, stop in zip(starts, [*starts[1:], len(part)], strict=True):
+                if begin in begins:  # a range begins with the row of the sums before
+                    total = np.asarray(before[begin].values).astype(np.int64)
+                upto[begin:stop] = np.cumsum(times[begin:stop], axis=0) + total
+                total = upto[stop - 1]
+            last = part[-1] if len(part) else last
+            row, iteration = np.nonzero(times)
+            ends = np.searchsorted(row, np.arange(len(slots) + 1)).astype(np.int32)
+            kinds = pa.ListArray.from_arrays(pa.array(ends), pa.array(iteration.astype(np.int32)))
+            found = pa.ListArray.from_arrays(pa.array(ends), pa.array(upto[row, iteration]))
+            yield pa.RecordBatch.from_arrays([pa.array(slots), kinds, found], names=["slot", "kinds", f"_{metric}"]).filter(pa.array(slots >= 0))
+
+    sums = rows.select("range", "drawn").mapInArrow(totals, "range int, iteration int, sum long").groupBy("range", "iteration").agg(F.sum("sum").alias("sum"))
+    every = rows.sparkSession.range(ranges).select(F.col("id").cast("int").alias("range")).crossJoin(rows.sparkSession.range(iterations).select(F.col("id").cast("int").alias("iteration")))
+    sums = every.join(sums.hint("shuffle_merge"), ["range", "iteration"], "left")
+    earlier = Window.partitionBy("iteration").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("range", "iteration", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("before"))
+    sums = sums.groupBy("range").agg(F.transform(F.array_sort(F.collect_list(F.struct("iteration", "before"))), lambda s: s["before"]).alias("before"))
+    first = sums.select(F.lit(-1).cast("long").alias("slot"), F.array().cast("array<int>").alias("drawn"), "range", F.lit(0).cast("long").alias("rank"), "before")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = rows.select("slot", "drawn", "range", "rank", F.lit(None).cast("array<long>").alias("before")).unionByName(first)
+    return both.repartition(parts, "range").sortWithinPartitions("range", "rank").mapInArrow(running, f"slot long, kinds array<int>, _{metric} array<long>")
+
+
+def _sums_of_iterations(pairs: Sequence[tuple[str, str]], iterations: int) -> Callable:
+    """For each task, iteration and pair the moments of the ranks in the resample."""
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(pairs), 6, iterations))
+        for batch in batches:
+            iteration = batch.column("kinds").flatten().to_numpy()
+            for i, (a, b) in enumerate(pairs):
+                x, y = (batch.column(f"_{m}").flatten().to_numpy().astype(np.float64) for m in (a, b))
+                for j, weight in enumerate((None, x, y, x * x, y * y, x * y)):
+                    sums[i, j] += np.bincount(iteration, weight, iterations)
+        for i in range(len(pairs)):
+            n = sums[i, 0].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(iterations, dtype=np.int32)), pa.array(np.full(iterations, i, np.int32)), pa.array(n), *(pa.array(sums[i, j]) for j in range(1, 6))], names=["iteration", "pair", "n", "x", "y", "xx", "yy", "xy"])
+
+    return moments
 
 
 def _moments_of_ranks(wide: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

@@ -56,6 +56,17 @@ def test_bootstrap(rows, size, per_range):
     assert r.estimate == pytest.approx(np.corrcoef([x[i] for i in x], [y[i] for i in x])[0, 1], abs=1e-9)
 
 
+@pytest.mark.parametrize("cells", [1, 100, 1 << 21])
+def test_bootstrap_keeps_a_row_for_each_author(rows, monkeypatch, cells):
+    made, df = rows
+    told, write = {}, resampling.settled
+    monkeypatch.setattr(resampling, "settled", lambda d, name: told.setdefault(name, write(d, name)))
+    monkeypatch.setattr(resampling, "CELLS", cells, raising=False)
+    r = resampling.bootstrap(df, [("a", "b")], iterations=30, seed=5, rows_per_range=20).first()
+    assert (r.ci_low, r.ci_high) == pytest.approx(tuple(brute_bootstrap(made, 30, len(made), 5)), abs=1e-9)
+    assert told["resample"].count() <= len(made)
+
+
 def test_bootstrap_of_constants_and_few(rows):
     df = rows[1]
     r = {x.metric_b: x for x in resampling.bootstrap(df, [("a", "flat"), ("a", "b")], iterations=10).collect()}
