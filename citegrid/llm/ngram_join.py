@@ -13,9 +13,10 @@ components that these links make.
    that several share are compared once, and a subtree ends where its overlap so far and what remains
    can't reach the least overlap.
 5. First each set is tried against ``HEADS`` sets at each of ``STAR`` prefix shingles (those of least hash;
-   sets that meet many others are tried first), and the components of these links are found; then every pair
-   at a prefix shingle whose components differ. So a large group of near copies does not make all its pairs,
-   and no link between components is lost.
+   sets that meet many others are tried first), and the components of these links are found. Where more than
+   ``CROWD`` sets of several components meet, each is tried against ``MORE_HEADS`` others there that are least apart from
+   the rest, in up to ``ROUNDS`` rounds; then every pair at a prefix shingle whose components differ. So a large group of near copies does not
+   make all its pairs, and no link between components is lost.
 
 Texts are shingled again wherever needed; whole sets are shuffled only for candidates. Shingles are known by
 56 bits of a hash, sets by 128.
@@ -46,7 +47,12 @@ COMMON = 100_000
 NEEDED_BITS = 1 << 22
 STAR = 4
 HEADS = 4
+CROWD = 64
+ROUNDS = 3
+MORE_HEADS = 16
 MAPS = ("m0", "m1", "m2", "m3")
+#: A second map of 512 bits, only for sets that still meet others after the first round.
+MORE_MAPS = tuple(f"w{j}" for j in range(8))
 ID = ["f1", "f2"]
 
 
@@ -92,12 +98,12 @@ class Sets:
         """The weight in the high bits, so that keys sort in the global order."""
         return (hashes & np.uint64((1 << 56) - 1)) | (weights.astype(np.uint64) << np.uint64(56))
 
-    def bitmaps(self) -> list[np.ndarray]:
-        """A 256-bit parity map of each set: two maps differ in at most as many bits as the sets in shingles."""
-        bits = (self.spread >> np.uint64(56)).astype(np.int64)
-        flags = np.bincount(self.rows * 256 + bits, minlength=256 * len(self.n)).reshape(-1, 256) & 1
+    def bitmaps(self, size: int = 256, shift: int = 56) -> list[np.ndarray]:
+        """A parity map of each set: two maps differ in at most as many bits as the sets in shingles."""
+        bits = (self.spread >> np.uint64(shift)).astype(np.int64) & (size - 1)
+        flags = np.bincount(self.rows * size + bits, minlength=size * len(self.n)).reshape(-1, size) & 1
         packed = np.packbits(flags.astype(np.uint8), axis=1).view(np.int64)
-        return [packed[:, j] for j in range(4)]
+        return [packed[:, j] for j in range(size // 64)]
 
 
 def _scan(docs: DataFrame, schema: str, rows, orders, k: int, columns: list[str]) -> DataFrame:
@@ -178,14 +184,19 @@ def _common_keys(docs: DataFrame, orders, k: int, percent: int) -> tuple[np.ndar
     return keys[order], Sets.packed(keys, weights)[order]
 
 
-def _possible(a: str, b: str, percent: int) -> Column:
+def _distance(x: Column, y: Column, maps: tuple[str, ...]) -> Column:
+    """Bits in which two sets' maps differ."""
+    return sum((F.bit_count(x[m].bitwiseXOR(y[m])) for m in maps), F.lit(0))
+
+
+def _possible(x: Column, y: Column, percent: int, *maps: tuple[str, ...]) -> Column:
     """Whether lengths, positions of the first common shingle and bitmaps leave room for the overlap that a link needs."""
-    x, y = (lambda c, t=t: F.col(f"{t}.{c}") for t in (a, b))
-    both = F.least(x("n") - x("pos"), y("n") - y("pos"))
-    apart = sum((F.bit_count(x(m).bitwiseXOR(y(m))) for m in MAPS), F.lit(0))
-    total = x("n") + y("n")
+    both, total = F.least(x["n"] - x["pos"], y["n"] - y["pos"]), x["n"] + y["n"]
     # both / (total - both) >= p / 100 is both * (100 + p) >= p * total; total - 2 both differ.
-    return (100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n"))) & ((100 + percent) * both >= percent * total) & ((100 + percent) * apart <= (100 - percent) * total)
+    may = (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])) & ((100 + percent) * both >= percent * total)
+    for of in maps or (MAPS,):
+        may &= (100 + percent) * _distance(x, y, of) <= (100 - percent) * total
+    return may
 
 
 def _pairs(found: DataFrame) -> DataFrame:
@@ -287,10 +298,11 @@ def _parts(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     orders = _orders(docs, k, percent)
 
     def summary(batch: pa.RecordBatch, sets: Sets, seen: set) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets.f1), pa.array(sets.f2), pa.array(sets.n)], names=["doc_id", "text_key", *ID, "n"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c) for c in (sets.f1, sets.f2, sets.n, *sets.bitmaps(512, 40)))], names=["doc_id", "text_key", *ID, "n", *MORE_MAPS])
 
-    members = written(_scan(docs, "doc_id long, text_key long, f1 long, f2 long, n long", summary, orders, k, ["doc_id", "text_key"]), "join-members")
-    classes = members.filter("n > 0").groupBy(*ID).agg(F.min("doc_id").alias("least"))
+    schema = ", ".join(f"{c} long" for c in ("doc_id", "text_key", *ID, "n", *MORE_MAPS))
+    members = written(_scan(docs, schema, summary, orders, k, ["doc_id", "text_key"]), "join-members")
+    classes = members.filter("n > 0").groupBy(*ID).agg(F.min("doc_id").alias("least"), *(F.min(m).alias(m) for m in MORE_MAPS))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "join-classes")
 
     by_key = Window.partitionBy("key")
@@ -303,17 +315,25 @@ def _parts(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     whole = F.struct("n", "pos", *ID, *MAPS)
     stars = written(stars.select("key", "known", whole.alias("x"), F.pmod(F.xxhash64(*ID), F.lit(HEADS)).alias("deal")), "join-stars")
     heads = stars.groupBy("key", "deal").agg(F.max(F.struct("known", "x")).alias("y")).select("key", F.col("y.x").alias("y"))
-    near = stars.select("key", "x").join(heads.hint("shuffle_merge"), "key").filter("x.f1 != y.f1 or x.f2 != y.f2").filter(_possible("x", "y", percent))
+    near = stars.select("key", "x").join(heads.hint("shuffle_merge"), "key").filter("x.f1 != y.f1 or x.f2 != y.f2").filter(_possible(F.col("x"), F.col("y"), percent))
     near = written(_pairs(near), "join-near")
     edges = _as_nodes(_links(docs, near, orders, k, percent), classes)
     parts = written(connected_components(edges), "join-parts")
 
-    placed = _placed(classes, parts).select(*ID, "part")
-    rest = found.select("key", *ID, "n", "pos", *MAPS).join(placed.hint("shuffle_merge"), ID)
-    several = rest.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key")
-    rest = written(rest.join(several.hint("shuffle_merge"), "key", "left_semi"), "join-rest")
+    rest = _apart(found, classes, parts)
+    for turn in range(ROUNDS):
+        more = written(_pairs(_hubs(rest, turn, percent)).join(near.hint("shuffle_merge"), ["a1", "a2", "b1", "b2"], "left_anti"), "join-more")
+        if more.isEmpty():
+            break
+        near, links = written(near.unionByName(more), "join-near"), _links(docs, more, orders, k, percent)
+        if links.isEmpty():
+            break
+        edges = edges.unionByName(_as_nodes(links, classes))
+        parts = written(connected_components(edges), "join-parts")
+        rest = _apart(found, classes, parts)
     x, y = rest.alias("x"), rest.alias("y").hint("shuffle_merge")
-    far = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & _possible("x", "y", percent))
+    far = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.s.part") < F.col("y.s.part")) & _possible(F.col("x.s"), F.col("y.s"), percent, MAPS, MORE_MAPS))
+    far = far.select(F.col("x.s").alias("x"), F.col("y.s").alias("y"))
     far = written(_pairs(far).join(near.hint("shuffle_merge"), ["a1", "a2", "b1", "b2"], "left_anti"), "join-far")
     if not far.isEmpty():
         more = _as_nodes(_links(docs, far, orders, k, percent), classes)
@@ -326,6 +346,34 @@ def _parts(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     return members, named
 
 
+def _apart(found: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, s) at keys where sets of several components meet; s has the set's component, place and maps."""
+    placed = _placed(classes, parts).select(*ID, "part", *MORE_MAPS)
+    rest = found.select("key", *ID, "n", "pos", *MAPS).join(placed.hint("shuffle_merge"), ID)
+    several = rest.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key")
+    rest = rest.join(several.hint("shuffle_merge"), "key", "left_semi").select("key", F.struct("part", "n", "pos", *ID, *MAPS, *MORE_MAPS).alias("s"))
+    return written(rest, "join-rest")
+
+
+def _hubs(rest: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(x, y): possible links at crowded keys, with sets y of other components that are least apart from some
+    others there, so that most sets that link with any link with them."""
+    crowded = rest.groupBy("key").count().filter(F.col("count") > CROWD).select("key")
+    rows = rest.join(crowded.hint("shuffle_merge"), "key", "left_semi")
+    deal = F.pmod(F.xxhash64("s.f1", "s.f2", F.lit(turn)), F.lit(MORE_HEADS)).alias("deal")
+
+    def few(rows: DataFrame, order: Column, name: str) -> DataFrame:
+        one = rows.groupBy("key", deal).agg(F.min(F.struct(order, "s")).alias("one"))
+        return one.groupBy("key").agg(F.collect_list("one.s").alias(name))  # MORE_HEADS at most
+
+    some = few(rows, F.xxhash64("s.f2", F.lit(turn)), "some")
+    away = F.aggregate("some", F.lit(0), lambda total, y: total + _distance(F.col("s"), y, MORE_MAPS).cast("int"))
+    rows = rows.join(some.hint("shuffle_merge"), "key").select("key", "s", away.alias("away"))
+    tried = rows.join(few(rows, F.col("away"), "hubs").hint("shuffle_merge"), "key")
+    x = F.col("s")
+    return tried.select(x.alias("x"), F.explode(F.filter("hubs", lambda y: (x["part"] != y["part"]) & _possible(x, y, percent, MAPS, MORE_MAPS))).alias("y"))
+
+
 def _text_key() -> Column:
     """Tells rows with one id and different texts apart."""
     return F.xxhash64("text")
@@ -339,7 +387,7 @@ def _as_nodes(links: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _placed(classes: DataFrame, parts: DataFrame) -> DataFrame:
     """``classes`` with the number of each one's component so far."""
-    return classes.join(parts.hint("shuffle_merge"), "node", "left").select(*ID, "least", F.coalesce("component", "node").alias("part"))
+    return classes.join(parts.hint("shuffle_merge"), "node", "left").select(*ID, "least", *MORE_MAPS, F.coalesce("component", "node").alias("part"))
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -747,6 +747,35 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in out.collect()} == set(mixed)
 
 
+def test_crowd_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    """Most copies differ by one shingle more than a link allows: lengths, places and one map leave many of their pairs."""
+    rng = np.random.default_rng(7)
+    base, texts = [f"w{i}" for i in range(150)], []
+    for d in range(400):
+        words = list(base)
+        words[1], words[int(rng.integers(5, 145))] = f"e{d}", f"f{d}"
+        texts.append(words)
+    sets = [{tuple(w[i : i + 3]) for i in range(148)} for w in texts]
+    parent = list(range(400))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(400):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+    far, write = [], ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: (far.append(df.count()) if name == "join-far" else None, write(df, name))[1])
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs).collect()}
+    assert got == {d: root(d) for d in range(400)}
+    assert far[0] <= 12_000  # of some 78,000 pairs
+
+
 def test_shuffle_files_go_with_the_job(spark, monkeypatch):
     from pathlib import Path
 
