@@ -789,3 +789,23 @@ def test_shuffle_files_go_with_the_job(spark, monkeypatch):
     assert common.written(df, "few").count() == 7
     assert not {f for f in files() - had if f.stat().st_size > 200}
     assert spark.conf.get(common.CLEANUP) == before
+
+
+def test_passages_of_pairs_in_a_crowd(spark):
+    """400 texts have 40 words in common, too few for a passage; two and two have 20 more, and one word of the 40 changed in one of them."""
+    rng = np.random.default_rng(11)
+    words = lambda n: [f"r{x}" for x in rng.integers(0, 1 << 40, n)]
+    core, rows = words(40), []
+    for i in range(200):
+        own = words(20)
+        for twin in range(2):
+            passage = core + own
+            if twin:
+                passage[30] = f"e{i}"
+            rows.append((2 * i + twin, " ".join(words(60) + passage + words(60))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substring_dedup.repeated_passages(docs).collect()}
+    found = sum(50 <= got[d]["n_repeated"] <= 64 for d in got)
+    assert found >= 0.97 * 400, found
+    assert sum(50 <= got[d]["n_removable"] <= 64 for d in got if d % 2) >= 0.97 * 200
+    assert not any(got[d]["n_removable"] for d in got if d % 2 == 0)
