@@ -1,6 +1,7 @@
 """Plans that keep the work in proportion to the input."""
 
 from citegrid.operators import credit, indices, order, ranking, stats
+from citegrid.operators.indices import KEYS
 from citegrid.plans.catalog import STRICT, Tables
 from citegrid.sources import adapter
 from pyspark.sql import functions as F
@@ -60,3 +61,22 @@ def test_ratings_sort_the_scores_once(spark):
     told = ranking.ratings(rows, ["h"])
     assert "SortMergeJoin" not in plan(told) and "Exchange rangepartitioning" not in plan(told)
     assert [(r.author_id, r.position, r.rank_competition, r.rank_dense) for r in told.orderBy("position").collect()] == [("A2", 1, 1, 1), ("A1", 2, 1, 1)]
+
+
+def test_ranks_meet_by_author_in_one_shuffle(spark):
+    rows = long(spark, [1.0, 2.0, 3.0, 5.0]).unionByName(long(spark, [2.0, 1.0, 4.0, 4.0]).withColumn("metric", F.lit("other")))
+    names = [r["metric"] for r in rows.select("metric").distinct().orderBy("metric").collect()]
+    told = stats.spearman(rows, [tuple(names)])
+    assert plan(told).count("Exchange hashpartitioning(author_id") == 1
+    assert round(told.collect()[0]["value"], 9) == round(3.5 / 22.5**0.5, 9)
+
+
+def test_selection_sorts_an_authors_rows_twice(spark):
+    rows = credit.author_work(adapter.works(spark, SMALL), adapter.authorships(spark, SMALL), [STRICT], by_author=True)
+    fixed = {"run_id": credit.RUN, "fraction_mode": STRICT}
+    told = plan(indices.base_indices(rows, once=True, fixed=fixed))
+    by_author = [x for x in told.split("\n") if "Sort [author_id" in x]
+    assert len(by_author) == 2, by_author  # by work, by citations
+    assert "Generate" not in told and "l_extendedprice" not in told
+    every = {r.author_id: r for r in indices.base_indices(rows).select(*KEYS, "p", "c", "h", "g", "i10").collect()}
+    assert {r.author_id: r for r in indices.base_indices(rows, once=True, fixed=fixed).select(*KEYS, "p", "c", "h", "g", "i10").collect()} == every
