@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from citegrid.functions.columns import any_of, short_id, to_double
-from citegrid.operators import filters, formulas, indices, ranking
+from citegrid.operators import credit, filters, formulas, indices, ranking
 
 #: The columns that a text is looked for in.
 SEARCHABLE = {
@@ -221,9 +221,21 @@ def filtered_indices(author_work: DataFrame, works: DataFrame, authorships: Data
     return done.join(told.hint("shuffle_merge"), "author_id", "left").select(*done.columns, "country_code", "subject_name", *scope)
 
 
+def chosen(table: DataFrame, data_filters: Mapping[str, Mapping], text: str = "") -> DataFrame:
+    """The rows of a table that meet column filters and hold a text."""
+    return table.filter(column_filter(data_filters, table.columns)).filter(search(text, table.columns, least=1))
+
+
+def indices_of_works(works: DataFrame, authorships: DataFrame, data_filters: Mapping[str, Mapping], text: str = "") -> DataFrame:
+    """Indices computed anew from a selection of works (IX21). A work's credit depends on that work only, so it is dealt for
+    the chosen works, without a credit table of all."""
+    return indices.indices(credit.author_work(chosen(works, data_filters, text), authorships, by_author=True), once=True, fixed={"run_id": credit.RUN})
+
+
 def indices_of_selection(kind: str, table: DataFrame, author_work: DataFrame, data_filters: Mapping[str, Mapping], text: str = "") -> DataFrame:
-    """Indices computed anew from a selection of works, credit rows, authorships or topics (IX21)."""
-    hit = table.filter(column_filter(data_filters, table.columns)).filter(search(text, table.columns, least=1))
+    """Indices computed anew from a selection of works, credit rows, authorships or topics (IX21), where the credit table is
+    at hand."""
+    hit = chosen(table, data_filters, text)
     on = ["work_id", "author_id"] if kind in ("author_work", "authorships") else ["work_id"]
     return indices.indices(author_work.join(hit.select(*on).distinct().hint("shuffle_merge"), on, "left_semi"))
 

@@ -1,7 +1,8 @@
 """Plans that keep the work in proportion to the input."""
 
-from citegrid.operators import credit, indices, order, ranking, stats
+from citegrid.operators import credit, indices, order, ranking, stats, tables
 from citegrid.operators.indices import KEYS
+from citegrid.plans import catalog
 from citegrid.plans.catalog import STRICT, Tables
 from citegrid.sources import adapter
 from pyspark.sql import functions as F
@@ -80,3 +81,14 @@ def test_selection_sorts_an_authors_rows_twice(spark):
     assert "Generate" not in told and "l_extendedprice" not in told
     every = {r.author_id: r for r in indices.base_indices(rows).select(*KEYS, "p", "c", "h", "g", "i10").collect()}
     assert {r.author_id: r for r in indices.base_indices(rows, once=True, fixed=fixed).select(*KEYS, "p", "c", "h", "g", "i10").collect()} == every
+
+
+def test_indices_of_chosen_works_need_no_credit_table_of_all(spark, monkeypatch):
+    asked, kept = [], catalog.kept
+    monkeypatch.setattr(catalog, "kept", lambda spark, source, name, make: asked.append(name) or kept(spark, source, name, make))
+    t = Tables(spark, SMALL)
+    got = catalog.ix21(t)
+    assert "author-work" not in asked
+    rule = {"cited_by_count": {"min": "20"}, "source_display_name": {"contains": "NATION_1"}}
+    want = catalog._filled_index(tables.indices_of_selection("works", t.works, t.author_work, rule), "fraction_mode", "author_id")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
