@@ -18,7 +18,8 @@ components that these links make.
    the rest, in up to ``ROUNDS`` rounds; then every pair at a prefix shingle whose components differ. So a large group of near copies does not
    make all its pairs, and no link between components is lost.
 
-Texts are shingled again wherever needed; whole sets are shuffled only for candidates. Shingles are known by
+Texts are shingled again wherever needed, for candidates only those that a map of the needed texts' hashes lets through;
+whole sets are shuffled only for candidates. Shingles are known by
 56 bits of a hash, sets by 128.
 
 Nulls: a null or wordless text has an empty set, and its component is its own id. A component's name is its
@@ -106,14 +107,15 @@ class Sets:
         return [packed[:, j] for j in range(size // 64)]
 
 
-def _scan(docs: DataFrame, schema: str, rows, orders, k: int, columns: list[str]) -> DataFrame:
-    """``rows(batch, sets, seen)`` for each slice; ``seen`` has fingerprints of earlier slices of the task."""
+def _scan(docs: DataFrame, schema: str, rows, orders, k: int, columns: list[str], flags=None) -> DataFrame:
+    """``rows(batch, sets, seen)`` for each slice; ``seen`` has fingerprints of earlier slices of the task. With ``flags``,
+    only texts whose key has its bit there are shingled (``text_key`` is the first of ``columns`` then)."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, common, common_keys = orders.value
         seen: set = set()
-        for batch, raw, at in slices(batches, "text"):
+        for batch, raw, at in slices(batches if flags is None else _flagged(batches, flags.value), "text"):
             sets = Sets(raw, at, k, ranks, common, common_keys)
             if len(seen) > 200_000:
                 seen.clear()
@@ -122,6 +124,15 @@ def _scan(docs: DataFrame, schema: str, rows, orders, k: int, columns: list[str]
     return docs.select(*columns, "text").mapInArrow(run, schema)
 
 
+def _flagged(batches: Iterator[pa.RecordBatch], flags: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows whose text key has its bit in ``flags``."""
+    for batch in batches:
+        low = batch.column(0).to_numpy(zero_copy_only=False) & (NEEDED_BITS - 1)
+        batch = batch.filter(pa.array((flags[low >> 6] >> (low & 63)) & 1 == 1))
+        if batch.num_rows:
+            yield batch
+
+
 def _new_rows(sets: Sets, seen: set) -> np.ndarray:
     """Rows with a set that is not empty and that the task hasn't had yet."""
     fresh = np.zeros(len(sets.n), bool)
@@ -238,26 +249,24 @@ def _walk(probe: np.ndarray, members: list[np.ndarray], percent: int) -> list[in
     return linked
 
 
-def _links(docs: DataFrame, pairs: DataFrame, orders, k: int, percent: int) -> DataFrame:
-    """The candidate pairs that link."""
+def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, orders, k: int, percent: int) -> DataFrame:
+    """The candidate pairs that link. ``classes`` has a text of each set."""
     spark = docs.sparkSession
     ends = pairs.select(F.col("a1").alias("f1"), F.col("a2").alias("f2")).unionByName(pairs.select(F.col("b1").alias("f1"), F.col("b2").alias("f2"))).distinct()
-    needed = written(ends, "join-needed")
-    # A bit for the low bits of each needed fingerprint: most other sets need not be shuffled.
-    low = needed.groupBy(F.shiftright(F.col("f1").bitwiseAND(NEEDED_BITS - 1), 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, int((f1 & {NEEDED_BITS - 1}) % 64))")).alias("b")).toPandas()  # NEEDED_BITS / 64 rows at most
+    needed = written(ends.join(classes.select(*ID, "text_key").hint("shuffle_merge"), ID), "join-needed")
+    # A bit for the low bits of each needed text's key: most other texts need not be shingled again.
+    low = needed.groupBy(F.shiftright(F.col("text_key").bitwiseAND(NEEDED_BITS - 1), 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, int((text_key & {NEEDED_BITS - 1}) % 64))")).alias("b")).toPandas()  # NEEDED_BITS / 64 rows at most
     filled = np.zeros(NEEDED_BITS // 64, np.int64)
     filled[low["w"].to_numpy(np.int64)] = low["b"].to_numpy(np.int64)
     flags = spark.sparkContext.broadcast(filled)
 
     def rows(batch: pa.RecordBatch, sets: Sets, seen: set) -> pa.RecordBatch:
-        low = sets.f1 & (NEEDED_BITS - 1)
-        may = (flags.value[low >> 6] >> (low & 63)) & 1
-        r = np.flatnonzero(_new_rows(sets, seen) & (may == 1))
+        r = np.flatnonzero(_new_rows(sets, seen))
         keys = sets.keys.view(np.int64)
         lists = pa.array([keys[sets.first[i] : sets.first[i + 1]] for i in r], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array(sets.f1[r]), pa.array(sets.f2[r]), lists], names=[*ID, "keys"])
 
-    sets = _scan(docs, "f1 long, f2 long, keys array<long>", rows, orders, k, [])
+    sets = _scan(docs, "f1 long, f2 long, keys array<long>", rows, orders, k, ["text_key"], flags)
     sets = written(sets.join(needed.hint("shuffle_merge"), ID, "left_semi").dropDuplicates(ID), "join-sets")
     a = sets.select(F.col("f1").alias("a1"), F.col("f2").alias("a2"), F.col("keys").alias("a"))
     b = sets.select(F.col("f1").alias("b1"), F.col("f2").alias("b2"), F.col("keys").alias("b"))
@@ -302,7 +311,7 @@ def _parts(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
 
     schema = ", ".join(f"{c} long" for c in ("doc_id", "text_key", *ID, "n", *MORE_MAPS))
     members = written(_scan(docs, schema, summary, orders, k, ["doc_id", "text_key"]), "join-members")
-    classes = members.filter("n > 0").groupBy(*ID).agg(F.min("doc_id").alias("least"), *(F.min(m).alias(m) for m in MORE_MAPS))
+    classes = members.filter("n > 0").groupBy(*ID).agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), *(F.min(m).alias(m) for m in MORE_MAPS))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "join-classes")
 
     by_key = Window.partitionBy("key")
@@ -317,7 +326,7 @@ def _parts(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     heads = stars.groupBy("key", "deal").agg(F.max(F.struct("known", "x")).alias("y")).select("key", F.col("y.x").alias("y"))
     near = stars.select("key", "x").join(heads.hint("shuffle_merge"), "key").filter("x.f1 != y.f1 or x.f2 != y.f2").filter(_possible(F.col("x"), F.col("y"), percent))
     near = written(_pairs(near), "join-near")
-    edges = _as_nodes(_links(docs, near, orders, k, percent), classes)
+    edges = _as_nodes(_links(docs, near, classes, orders, k, percent), classes)
     parts = written(connected_components(edges), "join-parts")
 
     rest = _apart(found, classes, parts)
@@ -325,7 +334,7 @@ def _parts(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
         more = written(_pairs(_hubs(rest, turn, percent)).join(near.hint("shuffle_merge"), ["a1", "a2", "b1", "b2"], "left_anti"), "join-more")
         if more.isEmpty():
             break
-        near, links = written(near.unionByName(more), "join-near"), _links(docs, more, orders, k, percent)
+        near, links = written(near.unionByName(more), "join-near"), _links(docs, more, classes, orders, k, percent)
         if links.isEmpty():
             break
         edges = edges.unionByName(_as_nodes(links, classes))
@@ -336,7 +345,7 @@ def _parts(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     far = far.select(F.col("x.s").alias("x"), F.col("y.s").alias("y"))
     far = written(_pairs(far).join(near.hint("shuffle_merge"), ["a1", "a2", "b1", "b2"], "left_anti"), "join-far")
     if not far.isEmpty():
-        more = _as_nodes(_links(docs, far, orders, k, percent), classes)
+        more = _as_nodes(_links(docs, far, classes, orders, k, percent), classes)
         parts = written(connected_components(edges.unionByName(more)), "join-parts")
     named = _placed(classes, parts)
     names = named.groupBy("part").agg(F.min("least").alias("name"))

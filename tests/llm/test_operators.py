@@ -809,3 +809,13 @@ def test_passages_of_pairs_in_a_crowd(spark):
     assert found >= 0.97 * 400, found
     assert sum(50 <= got[d]["n_removable"] <= 64 for d in got if d % 2) >= 0.97 * 200
     assert not any(got[d]["n_removable"] for d in got if d % 2 == 0)
+
+
+def test_only_flagged_texts_are_shingled_again():
+    keys = np.array([5, -1, 5 + ngram_join.NEEDED_BITS, 6, 63], np.int64)
+    flags = np.zeros(ngram_join.NEEDED_BITS // 64, np.int64)
+    for k in (5, 63):
+        flags[k >> 6] |= np.array(1 << k, np.uint64).view(np.int64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys), pa.array([*"abcde"])], names=["text_key", "text"])] * 2
+    assert [b.column(1).to_pylist() for b in ngram_join._flagged(iter(batches), flags)] == [["a", "c", "e"]] * 2
+    assert not list(ngram_join._flagged(iter(batches), np.zeros_like(flags)))
