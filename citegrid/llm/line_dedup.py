@@ -14,6 +14,8 @@ not; lines without tokens always stay.
    into ``HEADS`` parts by a hash, and the earliest of each part is tried. Only lines that found no match then
    meet all earlier lines at all prefix tokens: one match is enough, so a group of near copies makes no pairs
    of all.
+   Both joins go through the tokens in ``PARTS`` parts, one after the other, so that only one part's rows
+   are in shuffle files at a time.
 4. Candidates' tokens are read again and compared exactly.
 
 Only DataFrame functions run here. Nulls: a null text has no lines; a null id is the least id. Rows with
@@ -23,6 +25,9 @@ text are read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,6 +38,7 @@ PERCENT = 80
 BUCKETS = 1 << 16
 STAR = 3
 HEADS = 8
+PARTS = 4
 NEEDED_BITS = 1 << 21
 NO_ID = -(1 << 63)
 LINE = ["doc", "line"]
@@ -105,6 +111,15 @@ def _matches(docs: DataFrame, pairs: DataFrame, ranks: Column, percent: int) ->
     return found
 
 
+def _in_parts(rows: DataFrame, pairs: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Distinct ``pairs`` of the ``rows`` of all tokens, made part by part."""
+    some = [written(pairs(rows.filter(F.pmod("token", F.lit(PARTS)) == i)).distinct(), f"{name}-part") for i in range(PARTS)]
+    every = written(reduce(DataFrame.unionByName, some).distinct(), name)
+    for t in some:
+        drop_written(t)
+    return every
+
+
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """The lines to remove (doc, line, why: exact or near), and the number of each document's lines with
     tokens (doc, n_lines)."""
@@ -136,26 +151,36 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
 
     classes_only = classes.drop("h1", "h2", "times")
 
+    ends = (F.col("x.doc").alias("xd"), F.col("x.line").alias("xl"), "y.doc", "y.line")
+
     # A few early lines at each of those tokens, with every later line there.
+    def with_heads(stars: DataFrame) -> DataFrame:
+        part = F.pmod(F.xxhash64(*LINE), F.lit(HEADS))
+        heads = stars.groupBy("token", part.alias("part")).agg(F.min(F.struct(*LINE, "n", "pos", "parity")).alias("x")).select("token", "x")
+        near = stars.select("token", F.struct(*LINE, "n", "pos", "parity").alias("y")).join(heads.hint("shuffle_merge"), "token")
+        return near.filter(_earlier("x", "y") & _may_match("x", "y", F.col("x.n"), F.col("y.n"), percent)).select(*ends)
+
     stars = classes_only.select(*LINE, "n", "parity", F.lit(0).alias("pos"), F.explode(F.slice(F.sort_array("prefix"), 1, STAR)).alias("token"))
-    part = F.pmod(F.xxhash64(*LINE), F.lit(HEADS))
-    heads = stars.groupBy("token", part.alias("part")).agg(F.min(F.struct(*LINE, "n", "pos", "parity")).alias("x")).select("token", "x")
-    near = stars.select("token", F.struct(*LINE, "n", "pos", "parity").alias("y")).join(heads.hint("shuffle_merge"), "token")
-    near = near.filter(_earlier("x", "y") & _may_match("x", "y", F.col("x.n"), F.col("y.n"), percent))
-    near = written(near.select(F.col("x.doc").alias("xd"), F.col("x.line").alias("xl"), "y.doc", "y.line").distinct(), "lines-near")
+    near = _in_parts(stars, with_heads, "lines-near")
     matched = _matches(docs, near, ranks, percent)
 
     # Lines still without a match, with all earlier ones. ``open_n`` is 0 for those that have one: they are too short to be the later line.
     openness = classes_only.join(matched.withColumn("found", F.lit(True)).hint("shuffle_merge"), LINE, "left").withColumn("open_n", F.when(F.col("found"), 0).otherwise(F.col("n")))
-    meeting = openness.select(*LINE, "n", "open_n", "parity", F.posexplode("prefix").alias("pos", "token"))
-    x, y = meeting.alias("x"), meeting.alias("y")
-    # Both sides read the same columns, so Spark shuffles the tokens once.
-    bounds = _may_match("x", "y", F.greatest("x.n", "x.open_n"), F.col("y.n"), percent) & (100 * F.col("y.open_n") >= percent * F.col("x.n"))
-    far = x.join(y.hint("shuffle_merge"), (F.col("x.token") == F.col("y.token")) & _earlier("x", "y") & bounds)
-    far = written(far.select(F.col("x.doc").alias("xd"), F.col("x.line").alias("xl"), "y.doc", "y.line").distinct(), "lines-far")
+    openness = written(openness.drop("found"), "lines-open")
+    for t in (classes, near):
+        drop_written(t)
+
+    def with_earlier(meeting: DataFrame) -> DataFrame:
+        x, y = meeting.alias("x"), meeting.alias("y")
+        # Both sides read the same columns, so Spark shuffles the tokens once.
+        bounds = _may_match("x", "y", F.greatest("x.n", "x.open_n"), F.col("y.n"), percent) & (100 * F.col("y.open_n") >= percent * F.col("x.n"))
+        return x.join(y.hint("shuffle_merge"), (F.col("x.token") == F.col("y.token")) & _earlier("x", "y") & bounds).select(*ends)
+
+    far = _in_parts(openness.select(*LINE, "n", "open_n", "parity", F.posexplode("prefix").alias("pos", "token")), with_earlier, "lines-far")
+    drop_written(openness)
     more = _matches(docs, far, ranks, percent)
     removed = written(exact.unionByName(matched.unionByName(more).distinct().withColumn("why", F.lit("near"))), "lines-removed")
-    for t in (classes, exact, near, far, matched, more):
+    for t in (exact, far, matched, more):
         drop_written(t)
     return removed, counts
 

@@ -819,3 +819,18 @@ def test_only_flagged_texts_are_shingled_again():
     batches = [pa.RecordBatch.from_arrays([pa.array(keys), pa.array([*"abcde"])], names=["text_key", "text"])] * 2
     assert [b.column(1).to_pylist() for b in ngram_join._flagged(iter(batches), flags)] == [["a", "c", "e"]] * 2
     assert not list(ngram_join._flagged(iter(batches), np.zeros_like(flags)))
+
+
+def test_lines_meet_in_parts_of_tokens(spark):
+    """Each part's pairs are written for themselves; none is lost, and one found in several parts stays once."""
+    rows = spark.createDataFrame([(1, 0, t) for t in range(40)] + [(2, 0, t) for t in range(20, 60)], "doc long, line int, token int")
+    seen = []
+
+    def pairs(part):
+        seen.append({r["token"] for r in part.collect()})
+        return part.alias("x").join(part.alias("y"), "token").filter("x.doc < y.doc").select("x.doc", F.col("y.doc").alias("other"))
+
+    found = line_dedup._in_parts(rows, pairs, "pairs")
+    assert [tuple(r) for r in found.collect()] == [(1, 2)]
+    assert set().union(*seen) == set(range(60)) and sum(map(len, seen)) == 60
+    assert len(seen) == line_dedup.PARTS and max(map(len, seen)) < 30
