@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from citegrid.llm import components, decontaminate, line_dedup, mixing, ngram_join, quality, sharding, substring_dedup, token_files, urls, warc
+from citegrid.llm import common, components, decontaminate, line_dedup, mixing, ngram_join, quality, sharding, substring_dedup, token_files, urls, warc
 from citegrid.llm.words import LOWER, NOT_ALNUM, SPACES, span_hashes, spans, text_bytes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words long, key string, kept string"
@@ -834,3 +834,16 @@ def test_lines_meet_in_parts_of_tokens(spark):
     assert [tuple(r) for r in found.collect()] == [(1, 2)]
     assert set().union(*seen) == set(range(60)) and sum(map(len, seen)) == 60
     assert len(seen) == line_dedup.PARTS and max(map(len, seen)) < 30
+
+
+def test_written_hands_python_few_rows_at_once(spark):
+    """What a task holds for Python is bounded by rows; the session's own setting is back afterwards."""
+    before = spark.conf.get(common.BATCH)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    found = [r["n"] for r in common.written(spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long"), "batches").collect()]
+    assert sum(found) == 5000 and max(found) <= common.BATCH_ROWS
+    assert spark.conf.get(common.BATCH) == before
