@@ -16,7 +16,7 @@ not; lines without tokens always stay.
    of all.
    Both joins go through the tokens in ``PARTS`` parts, one after the other, so that only one part's rows
    are in shuffle files at a time.
-4. Candidates' tokens are read again and compared exactly.
+4. Candidates' tokens are read again and compared exactly, in ``PARTS`` parts by the earlier line.
 
 Only DataFrame functions run here. Nulls: a null text has no lines; a null id is the least id. Rows with
 one id count as one document with the lines of all of them. An empty table gives no rows. Only doc_id and
@@ -103,9 +103,15 @@ def _matches(docs: DataFrame, pairs: DataFrame, ranks: Column, percent: int) ->
     sets = written(sets, "lines-sets")
     x = sets.select(F.col("doc").alias("xd"), F.col("line").alias("xl"), F.col("keys").alias("x"))
     both = F.size(F.array_intersect("x", "keys"))
-    found = pairs.join(x.hint("shuffle_merge"), ["xd", "xl"]).join(sets.hint("shuffle_merge"), LINE)
-    found = found.filter((100 + percent) * both >= percent * (F.size("x") + F.size("keys"))).select(*LINE).distinct()
-    found = written(found, "lines-matched")
+    # A pair takes the earlier line's keys through a shuffle: part by part, so that not all are on disk at once.
+    some = []
+    for i in range(PARTS):
+        mine = F.pmod(F.xxhash64("xd", "xl"), F.lit(PARTS)) == i
+        part = pairs.filter(mine).join(x.filter(mine).hint("shuffle_merge"), ["xd", "xl"]).join(sets.hint("shuffle_merge"), LINE)
+        some.append(written(part.filter((100 + percent) * both >= percent * (F.size("x") + F.size("keys"))).select(*LINE).distinct(), "lines-matched-part"))
+    found = written(reduce(DataFrame.unionByName, some).distinct(), "lines-matched")
+    for t in some:
+        drop_written(t)
     drop_written(needed)
     drop_written(sets)
     return found
