@@ -2,6 +2,7 @@
 
 import math
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from citegrid.operators import concordance, stats
+from citegrid.plans import catalog
 
 
 def brute_discordant(x, y, w):
@@ -88,3 +90,16 @@ def test_limit_and_groups(rows):
 def test_no_rows(rows):
     none = stats.kendall(rows[1].limit(0), ["a", "b"], diagonal=True).collect()
     assert {(r.metric_a, r.metric_b, r.n, r.value, r.skipped) for r in none} == {("a", "a", 0, None, False), ("a", "b", 0, None, False), ("b", "b", 0, None, False)}
+
+
+def test_institution_of_more_authors_than_the_limit(spark):
+    n = stats.KENDALL_LIMIT + 200
+    people = [(f"A{i}", i % 40, i % 7, float(i * 37 % 1009)) for i in range(n)]
+    at = [(a, "large") for a, *_ in people] + [(a, "small") for a, *_ in people[:30]]
+    authorships = spark.createDataFrame(at, "author_id string, institution_ids_csv string")
+    tables = SimpleNamespace(authorships=authorships, strict=spark.createDataFrame(people, "author_id string, p int, h int, c_frac double"))
+    got = {(r.institution, r.metric_a, r.metric_b): r for r in catalog.kendall_by_institution(tables).collect()}
+    for name, rows in (("large", people), ("small", people[:30])):
+        for a, b, i, j in (("p", "h", 1, 2), ("p", "c_frac", 1, 3), ("h", "c_frac", 2, 3)):
+            r = got[name, a, b]
+            assert (r.n, r.skipped) == (len(rows), False) and r.value == pytest.approx(brute_tau([(x[i], x[j]) for x in rows]), abs=1e-6)
