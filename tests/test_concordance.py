@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from citegrid.operators import concordance, stats
 from citegrid.plans import catalog
@@ -97,9 +98,33 @@ def test_institution_of_more_authors_than_the_limit(spark):
     people = [(f"A{i}", i % 40, i % 7, float(i * 37 % 1009)) for i in range(n)]
     at = [(a, "large") for a, *_ in people] + [(a, "small") for a, *_ in people[:30]]
     authorships = spark.createDataFrame(at, "author_id string, institution_ids_csv string")
-    tables = SimpleNamespace(authorships=authorships, strict=spark.createDataFrame(people, "author_id string, p int, h int, c_frac double"))
+    tables = SimpleNamespace(affiliations=authorships, strict=spark.createDataFrame(people, "author_id string, p int, h int, c_frac double"))
     got = {(r.institution, r.metric_a, r.metric_b): r for r in catalog.kendall_by_institution(tables).collect()}
     for name, rows in (("large", people), ("small", people[:30])):
         for a, b, i, j in (("p", "h", 1, 2), ("p", "c_frac", 1, 3), ("h", "c_frac", 2, 3)):
             r = got[name, a, b]
             assert (r.n, r.skipped) == (len(rows), False) and r.value == pytest.approx(brute_tau([(x[i], x[j]) for x in rows]), abs=1e-6)
+
+
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6), st.integers(0, 3)), max_size=60))
+def test_in_blocks(points):
+    x, y, b = (np.array([p[i] for p in points], np.int64) for i in range(3))
+    got = concordance.in_blocks(x, y, b, 5)
+    for k in range(5):
+        at = [p[:2] for p in points if p[2] == k]
+        pairs = [(p, q) for i, p in enumerate(at) for q in at[:i]]
+        assert got["n"][k] == len(at) and got["discordant"][k] == brute_discordant([p[0] for p in at], [p[1] for p in at], [1] * len(at))
+        for name, same in (("tied_x", lambda p, q: p[0] == q[0]), ("tied_y", lambda p, q: p[1] == q[1]), ("tied_both", lambda p, q: p == q)):
+            assert got[name][k] == 2 * sum(same(p, q) for p, q in pairs)
+
+
+def test_small_groups_are_counted_together_and_large_ones_in_ranges(spark, rows, monkeypatch):
+    made, df = rows
+    calls = []
+    ranged = concordance._ranged
+    monkeypatch.setattr(concordance, "_ranged", lambda *a: calls.append(a) or ranged(*a))
+    every = {}
+    for most in (1, 100, 100_000):  # all groups but one, some, none in ranges
+        monkeypatch.setattr(concordance, "GROUP_ROWS", most)
+        every[most] = sorted(map(str, stats.kendall(df.withColumn("other", F.lit(1.5)), ["a", "b", "c", "flat"], None, by=["kind", "other"], diagonal=True).collect()))
+    assert every[1] == every[100] == every[100_000] and len(every[1]) == 50 and len(calls) == 2

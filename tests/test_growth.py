@@ -25,6 +25,13 @@ def test_lines_are_shuffled_by_work_once(spark):
     assert plan(told).count("lineitem.parquet") == 1
 
 
+def test_affiliations_are_those_of_authorships_with_one_shuffle(spark):
+    told = adapter.affiliations(spark, SMALL)
+    assert plan(told).count("Exchange hashpartitioning") == plan(told).count("Exchange hashpartitioning(author_id") == 1
+    want = adapter.authorships(spark, SMALL).filter("author_id is not null").select(*told.columns).distinct()
+    assert sorted(map(str, told.collect())) == sorted(map(str, want.collect()))
+
+
 def test_publications_are_counted_without_a_group_for_each_work(spark):
     df = author_rows(spark, ("A", [9, 9, 3]))
     twice = indices.base_indices(df.unionByName(df.limit(1)))
