@@ -7,8 +7,9 @@ not; lines without tokens always stay.
 1. Tokens are ordered by rarity (counts of all tokens in ``BUCKETS`` buckets, by half powers of two; ties by
    hash). Equal token sets are one class, of which only the first line goes on.
 2. Lines that match share a token of their prefixes (the ``n - ceil(0.8 n) + 1`` rarest). What is left of two
-   lines from their first common token on, their lengths and a parity map of the sets bound the overlap of
-   lines that meet at a token; none loses a match.
+   lines from their first common token on, their lengths and parity maps of the sets bound the overlap of
+   lines that meet at a token; none loses a match. A map tells little of sets that have more tokens than it has
+   bits, so lines of more than ``LONG`` tokens carry more maps: unlike ones that meet would make pairs of all.
 3. Each line is first tried against a few lines at ``STAR`` of its prefix tokens (those of least hash, which
    near copies mostly have in common, while the rarest are often what sets them apart): those there are dealt
    into ``HEADS`` parts by a hash, and the earliest of each part is tried. Only lines that found no match then
@@ -41,6 +42,9 @@ HEADS = 8
 PARTS = 4
 NEEDED_BITS = 1 << 21
 NO_ID = -(1 << 63)
+#: Parity maps of longer lines: together 256 bits, which tell unlike lines of some 450 tokens apart.
+LONG = 64
+WIDE = [f"parity{i}" for i in range(4)]
 LINE = ["doc", "line"]
 
 
@@ -76,12 +80,20 @@ def _keys(words: Column, ranks: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(words, " "), ""), key)))
 
 
+def _parity(keys: Column) -> Column:
+    """For each of 64 bits, whether an odd number of keys has its number."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(63).cast("int"))))
+
+
 def _may_match(x: str, y: str, n: Column, m: Column, percent: int) -> Column:
     """Whether lines of ``n`` and ``m`` tokens that meet at their first common token may match: by their lengths,
     by what each has from that token on, and by their parity maps."""
     both = F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos"))
-    apart = F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity")))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * both >= percent * (n + m)) & ((100 + percent) * apart <= (100 - percent) * (n + m))
+    apart = lambda m: F.bit_count(F.col(f"{x}.{m}").bitwiseXOR(F.col(f"{y}.{m}")))
+    near = lambda d: (100 + percent) * d <= (100 - percent) * (n + m)
+    sizes = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * both >= percent * (n + m))
+    return sizes & near(apart("parity")) & ((F.least(n, m) <= LONG) | near(reduce(Column.__add__, map(apart, WIDE))))
 
 
 def _earlier(x: str, y: str) -> Column:
@@ -134,20 +146,22 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     keys = _lines(docs).filter(F.trim("words") != "").select(*LINE, _keys(F.col("words"), ranks).alias("keys"))
     n = F.size("keys")
     least = -F.floor(-percent * n / 100)
-    one = F.lit(1).cast("long")
+    maps = ["parity", *WIDE]
     token = lambda k: k.bitwiseAND((1 << 31) - 1).cast("int")
+    part = lambda i: F.filter("keys", lambda k: F.shiftright(k, 6).bitwiseAND(len(WIDE) - 1) == i)
     lines = written(
         keys.select(
             *LINE,
             F.xxhash64("keys").alias("h1"),
             F.xxhash64("keys", F.lit(1)).alias("h2"),
             n.alias("n"),
-            F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(63).cast("int")))).alias("parity"),
+            _parity(F.col("keys")).alias("parity"),
+            *(F.when(n > LONG, _parity(part(i))).otherwise(0).alias(m) for i, m in enumerate(WIDE)),
             F.transform(F.slice("keys", F.lit(1), (n - least + 1).cast("int")), token).alias("prefix"),
         ),
         "lines",
     )
-    classes = lines.groupBy("h1", "h2").agg(F.min(F.struct(*LINE, "n", "parity", "prefix")).alias("f"), F.count(F.lit(1)).alias("times"))
+    classes = lines.groupBy("h1", "h2").agg(F.min(F.struct(*LINE, "n", *maps, "prefix")).alias("f"), F.count(F.lit(1)).alias("times"))
     classes = written(classes.select("h1", "h2", "times", "f.*"), "lines-classes")
     several = classes.filter("times > 1").select("h1", "h2", F.col("doc").alias("fd"), F.col("line").alias("fl"))
     exact = lines.select(*LINE, "h1", "h2").join(several.hint("shuffle_merge"), ["h1", "h2"]).filter("doc != fd or line != fl").select(*LINE, F.lit("exact").alias("why")).distinct()
@@ -162,11 +176,11 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     # A few early lines at each of those tokens, with every later line there.
     def with_heads(stars: DataFrame) -> DataFrame:
         part = F.pmod(F.xxhash64(*LINE), F.lit(HEADS))
-        heads = stars.groupBy("token", part.alias("part")).agg(F.min(F.struct(*LINE, "n", "pos", "parity")).alias("x")).select("token", "x")
-        near = stars.select("token", F.struct(*LINE, "n", "pos", "parity").alias("y")).join(heads.hint("shuffle_merge"), "token")
+        heads = stars.groupBy("token", part.alias("part")).agg(F.min(F.struct(*LINE, "n", "pos", *maps)).alias("x")).select("token", "x")
+        near = stars.select("token", F.struct(*LINE, "n", "pos", *maps).alias("y")).join(heads.hint("shuffle_merge"), "token")
         return near.filter(_earlier("x", "y") & _may_match("x", "y", F.col("x.n"), F.col("y.n"), percent)).select(*ends)
 
-    stars = classes_only.select(*LINE, "n", "parity", F.lit(0).alias("pos"), F.explode(F.slice(F.sort_array("prefix"), 1, STAR)).alias("token"))
+    stars = classes_only.select(*LINE, "n", *maps, F.lit(0).alias("pos"), F.explode(F.slice(F.sort_array("prefix"), 1, STAR)).alias("token"))
     near = _in_parts(stars, with_heads, "lines-near")
     matched = _matches(docs, near, ranks, percent)
 
@@ -182,7 +196,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
         bounds = _may_match("x", "y", F.greatest("x.n", "x.open_n"), F.col("y.n"), percent) & (100 * F.col("y.open_n") >= percent * F.col("x.n"))
         return x.join(y.hint("shuffle_merge"), (F.col("x.token") == F.col("y.token")) & _earlier("x", "y") & bounds).select(*ends)
 
-    far = _in_parts(openness.select(*LINE, "n", "open_n", "parity", F.posexplode("prefix").alias("pos", "token")), with_earlier, "lines-far")
+    far = _in_parts(openness.select(*LINE, "n", "open_n", *maps, F.posexplode("prefix").alias("pos", "token")), with_earlier, "lines-far")
     drop_written(openness)
     more = _matches(docs, far, ranks, percent)
     removed = written(exact.unionByName(matched.unionByName(more).distinct().withColumn("why", F.lit("near"))), "lines-removed")

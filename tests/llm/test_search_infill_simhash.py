@@ -268,3 +268,19 @@ def test_bounds_hold_and_prune():
             if leaf is not None:
                 assert want[leaf[0]].max() <= bound[node]
     assert scored < 0.5 * 40 * tree.n_leaves
+
+
+def test_unlike_long_lines_make_no_pairs(spark, monkeypatch):
+    from citegrid.llm import line_dedup
+
+    pick = random.Random(5)
+    words = [f"w{i}" for i in range(900)]
+    lines = [" ".join(pick.sample(words[: 2 * n], n)) for n in [150] * 60 + [400] * 20]
+    copies = [" ".join([*line.split(" ")[: -len(line.split(" ")) // 12], "other", "words"]) for line in lines[:70:10]]
+    docs = spark.createDataFrame(list(enumerate(lines + copies)), "doc_id long, text string")
+    tried = []
+    matches = line_dedup._matches
+    monkeypatch.setattr(line_dedup, "_matches", lambda d, pairs, *rest: tried.append(pairs.count()) or matches(d, pairs, *rest))
+    removed, _ = line_dedup.removed_lines(docs)
+    assert sorted(r["doc"] for r in removed.collect()) == list(range(len(lines), len(lines) + len(copies)))
+    assert sum(tried) <= 2 * len(copies)
